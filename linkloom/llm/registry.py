@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.minhash import OP5_SQL, op5_minhash
 from linkloom.llm.packing import op6_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing,)}
+    return {f.__name__: f for f in (op5_minhash, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_minhash": OP5_SQL}
