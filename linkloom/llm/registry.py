@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.minhash import OP5_SQL, op5_minhash
+from linkloom.llm.mixing import op7_mixing
 from linkloom.llm.neighbours import OP4_SQL, op4_neighbours
 from linkloom.llm.packing import op6_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_neighbours, op5_minhash, op6_packing)}
+    return {f.__name__: f for f in (op4_neighbours, op5_minhash, op6_packing, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
