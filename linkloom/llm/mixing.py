@@ -5,8 +5,9 @@ Its whole part is given to all; the fraction is an inclusion probability. The cu
 flight moves these probabilities through the null-space of two balancing constraints, the words
 and the number of documents, until at most two of a block are left between 0 and 1. Blocks of a
 source fly independently; what they leave over is dealt into new blocks and flies again, until
-each source has one block. Long documents fly first, so that short ones are left. The landing drops the constraints one by one (the number of
-documents first), so a source's words end up within about one document of its target.
+each source has one block. There a dozen documents wait on the ground; the landing sets these and
+what the flight leaves to the choice, of all, that comes nearest to the expected words. A
+source's words thus end up at its target to within a small part of a document.
 
 All random choices come from a seed, the source and the block, and rows are sorted first, so
 reruns and recomputed tasks agree. A block holds a bounded number of rows whatever the source's
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +39,8 @@ from linkloom.llm.shared import WORD, table, written
 WEIGHTS = (3, 1, 2)
 #: Rows of a block.
 BLOCK = 2000
+#: Documents of a source that wait for the landing, besides the two that its flight leaves at most.
+LANDING = 12
 NEAR = 1e-9
 
 
@@ -93,13 +97,15 @@ def step(p: list[float], at: list[int], u: tuple[float, ...], rng: random.Random
             p[i] = float(round(p[i]))
 
 
-def landing(p: list[float], size: list[float], at: list[int], rng: random.Random) -> None:
-    """The few that are left: without the number of documents, then the last one by chance."""
-    while len(at := [i for i in at if NEAR < p[i] < 1 - NEAR]) > 1:
-        i, j = at[:2]
-        step(p, [i, j], (size[j], -size[i]) if size[i] and size[j] else (0.0, 1.0) if size[i] else (1.0, 0.0), rng)
-    for i in at:
-        p[i] = float(rng.random() < p[i])
+def landing(p: list[float], size: list[float], at: list[int]) -> None:
+    """Sets the few that are left to 0 or 1 such that words, then documents, come nearest to what is expected."""
+    if not at:
+        return
+    chance, words = np.array([p[i] for i in at]), np.array([size[i] for i in at])
+    choices = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at))) & 1
+    off = np.abs(choices @ words - chance @ words) + 0.01 * words.mean() * np.abs(choices.sum(axis=1) - chance.sum())
+    for i, x in zip(at, choices[int(off.argmin())], strict=True):
+        p[i] = float(x)
 
 
 def flown(last: bool, seed: int):
@@ -108,11 +114,13 @@ def flown(last: bool, seed: int):
         rng = random.Random(f"{seed} {key[0]} {key[1]} {last}")
         order = list(range(len(pdf)))
         rng.shuffle(order)
-        order.sort(key=lambda i: -pdf["size"].iat[i])
         p, size = [pdf["p"].iat[i] for i in order], [float(pdf["size"].iat[i]) for i in order]
-        left = flight(p, size, rng)
+        flying = max(0, len(p) - LANDING) if last else len(p)
+        first = p[:flying]
+        left = flight(first, size, rng)
+        p[:flying] = first
         if last:
-            landing(p, size, left, rng)
+            landing(p, size, [*left, *range(flying, len(p))])
         back = pd.Series(p, index=order)
         return pdf.assign(p=back.reindex(range(len(pdf))).to_numpy())
 
