@@ -127,12 +127,13 @@ def flown(last: bool, seed: int):
     return run
 
 
-UNIT = "doc_id long, source string, size long, whole int, p double"
+#: Ids travel as text: pandas has no whole numbers with nulls.
+UNIT = "doc_id string, source string, size long, whole int, p double"
 
 
 def mix_sizes(sizes: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """Adds source_size, target and copies to (doc_id, source, size)."""
-    sizes = written(sizes.select("doc_id", "source", "size"), "sizes")
+    sizes = written(sizes.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size"), "sizes")
     plan = targets(sizes, share, most)
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -156,7 +157,7 @@ def mix_sizes(sizes: DataFrame, share: float = 1.5, most: float = 2.0, seed: int
     chosen = done[0]
     for more in done[1:]:
         chosen = chosen.unionAll(more)
-    chosen = chosen.select("doc_id", "source", "size", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
     return chosen.join(plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 

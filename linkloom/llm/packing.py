@@ -126,8 +126,9 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = W.partitionBy("sequence_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     full = full.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(*columns, "sequence_id", "offset")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    rest = ranked.where("left").select(*columns, "left").groupBy("left").applyInPandas(first_fit(capacity), schema)
-    return full.unionByName(rest)
+    as_text = F.col("doc_id").cast("string").alias("doc_id")  # pandas has no whole numbers with nulls
+    rest = ranked.where("left").select(as_text, *columns[1:], "left").groupBy("left").applyInPandas(first_fit(capacity), schema.replace("doc_id long", "doc_id string"))
+    return full.unionByName(rest.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

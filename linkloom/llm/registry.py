@@ -10,10 +10,12 @@ from linkloom.llm.minhash import OP5_SQL, op5_minhash
 from linkloom.llm.mixing import op7_mixing
 from linkloom.llm.neighbours import OP4_SQL, op4_neighbours
 from linkloom.llm.packing import op6_packing
+from linkloom.llm.substrings import op3_substrings
+from linkloom.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_neighbours, op5_minhash, op6_packing, op7_mixing)}
+    return {f.__name__: f for f in (op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
