@@ -12,10 +12,11 @@ from linkloom.llm.neighbours import OP4_SQL, op4_neighbours
 from linkloom.llm.packing import op6_packing
 from linkloom.llm.substrings import op3_substrings
 from linkloom.llm.token_counts import op9_token_counts
+from linkloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
