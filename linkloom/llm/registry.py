@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.lines import OP2_SQL, op2_lines
 from linkloom.llm.minhash import OP5_SQL, op5_minhash
 from linkloom.llm.mixing import op7_mixing
 from linkloom.llm.neighbours import OP4_SQL, op4_neighbours
@@ -17,8 +18,8 @@ from linkloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op2_lines, op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neighbours": OP4_SQL, "op5_minhash": OP5_SQL}
+    return {"op2_lines": OP2_SQL, "op4_neighbours": OP4_SQL, "op5_minhash": OP5_SQL}
