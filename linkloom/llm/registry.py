@@ -12,13 +12,14 @@ from linkloom.llm.mixing import op7_mixing
 from linkloom.llm.neighbours import OP4_SQL, op4_neighbours
 from linkloom.llm.packing import op6_packing
 from linkloom.llm.quality import op10_quality
+from linkloom.llm.secrets import op1_secrets
 from linkloom.llm.substrings import op3_substrings
 from linkloom.llm.token_counts import op9_token_counts
 from linkloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lines, op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_secrets, op2_lines, op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
