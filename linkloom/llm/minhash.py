@@ -10,9 +10,10 @@ are linked when ``100 * |A and B| >= similarity * |A or B|``. The steps:
 3. In each bucket (equal band key) every member is paired with the bucket's least member only.
    Pairs survive by size, then by how many minima agree (a bound that a true link misses with a
    chance of about 1e-9), then by the exact intersection of full sets. Links give components.
-4. Buckets in which several components are left are gone through in full: all pairs of members
-   from different components are verified the same way, so no link between components is lost.
-   (Pairs within a component can't change the result.)
+4. Buckets in which several components are left are gone through in full, so no link between
+   components is lost: the exact intersections of all their sets are products of incidence
+   matrices, made in blocks of bounded size; a block returns one link for each two components
+   that have one, so no pairs are ever emitted. (Links within a component can't change anything.)
 
 With 24 bands of 4 minima, a link at 80 % misses all buckets with a chance of 3e-6, one at 90 %
 with 3e-11.
@@ -36,6 +37,8 @@ from linkloom.llm.components import components
 from linkloom.llm.shared import plain, table, written
 
 BANDS, ROWS = 24, 4
+#: Members and shingles of a block of a bucket; two blocks meet in a task.
+BLOCK_ROWS, BLOCK_ITEMS = 1024, 2_000_000
 #: Standard deviations below the threshold at which agreeing minima still count as similar.
 DEVIATIONS = 6
 
@@ -133,6 +136,33 @@ def similar_by_minima(pairs: DataFrame, sketch: DataFrame, similarity: int, coun
     return pairs.join(side("a"), "a").join(side("b"), "b").where(close & (agree >= least)).select("a", "b")
 
 
+def links_between(words: int, similarity: int):
+    """One link for each two components of a block that have one, from the exact intersections of all its sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
+        sets = [shingles(t.as_py(), words) for t in group["text"]]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        row = np.repeat(np.arange(len(sets)), size)
+        _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[item] > 1  # items of one text only are in no intersection
+        row, item = row[shared], item[shared]
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], np.unique(item[order], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(item.max(initial=-1)) + 1, 2048):
+            a, b = np.searchsorted(item, [at, at + 2048])
+            holds = np.zeros((len(sets), 2048), np.float32)
+            holds[row[a:b], item[a:b] - at] = 1
+            both += holds @ holds.T
+        linked = 100 * both >= similarity * (size[:, None] + size[None, :] - both)
+        u, v = np.nonzero(linked & (parts[:, None] < parts[None, :]))
+        _, one = np.unique(np.stack([parts[u], parts[v]]), axis=1, return_index=True)
+        return pa.table({"u": ids[u[one]], "v": ids[v[one]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (is it the least of its component?)."""
     sketch = written(sketches(docs, words, bands, rows, seed), "sketches")
@@ -152,13 +182,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, bands
     found = components(links)
 
     named = members.select("key", "id", "n").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = written(named.join(mixed_keys, "key").select("key", "id", "n", "component"), "left")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity) & (F.col("component") < F.col("other"))
-    rest = left.join(other, (left["key"] == other["key"]) & fits).select(F.col("id").alias("a"), "b").distinct()
-    more = confirmed(similar_by_minima(rest, reps, similarity, bands * rows), texts, words, similarity)
-    found = components(written(links.unionAll(more), "links"))
+    per_key = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"))
+    mixed_keys = per_key.where("x <> y").select("key", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    left = written(named.join(mixed_keys, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "left")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    left = left.select("key", "id", "component", "block", other).select("key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = left.join(texts, "id").groupBy("key", "i", "j").applyInArrow(links_between(words, similarity), "u long, v long")
+    found = components(written(links.unionAll(more.distinct()), "links"))
 
     of_class = classes.join(found, F.col("id") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     out = sketch.join(of_class, ["s1", "s2"], "left")

@@ -19,7 +19,10 @@ from linkloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_lines, op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op1_secrets, op2_lines, op3_substrings, op4_neighbours, op5_minhash, op6_packing, op7_mixing, op8_toxicity, op9_token_counts, op10_quality)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
