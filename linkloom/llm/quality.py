@@ -92,13 +92,14 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
     """One row per document: doc_id, the base counts, base_failed, n_grams, mean_ratio, kept; and row_hash of the text."""
     model = ratios(docs, trusted, buckets, smoothing)
     base = base_counts(docs).withColumn("row_hash", F.xxhash64("text"))
-    keys = ["doc_id", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    keys, counts = ["doc_id", "row_hash"], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     each = grams(base, buckets).join(F.broadcast(model.withColumnRenamed("bucket", "model_bucket")), F.col("bucket") == F.col("model_bucket"), "left")
-    total = each.groupBy(*keys).agg(F.sum("ratio").alias("ratios"), F.count("bucket").alias("n_grams"), F.sum((F.col("at") == 0).cast("long")).alias("rows"))
+    # The base counts aren't keys: a later filter on them must not move below the aggregation, where it would count again.
+    total = each.groupBy(*keys).agg(*[F.first(c).alias(c) for c in counts], F.sum("ratio").alias("ratios"), F.count("bucket").alias("n_grams"), F.sum((F.col("at") == 0).cast("long")).alias("rows"))
     # What the rows that repeat whole have together is shared out among them again.
     total = total.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     mean = F.coalesce(F.col("ratios") / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0))
-    total = total.select(*keys, (F.col("n_grams") / F.col("rows")).cast("long").alias("n_grams"), mean.alias("mean_ratio"))
+    total = total.select(*keys, *counts, (F.col("n_grams") / F.col("rows")).cast("long").alias("n_grams"), mean.alias("mean_ratio"))
     return total.withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= threshold))
 
 
