@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.shared import plain, table, written
 
 #: Rows of a candidate block and of a query block.
-BLOCK, QUERY_BLOCK = 512, 2048
+BLOCK, QUERY_BLOCK = 4096, 2048
 #: Tiles whose results one heap merges first.
 GROUP = 64
 
@@ -61,50 +61,57 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def near_rows(x: np.ndarray, y: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y) whose upper bound reaches the k-th lower bound of their query."""
+    a, s, _, e = quantised(x)
+    b, t, stood, f = right
+    # Products of int8 rows are whole numbers below 2**24 for up to 1,000 components, so single precision holds them exactly.
+    kind = np.float32 if x.shape[1] <= 1000 else np.float64
+    near = (a.astype(kind) @ b.astype(kind).T).astype(np.float64) * s[:, None] * t[None, :]
+    bound = np.linalg.norm(x, axis=1)[:, None] * f[None, :] + e[:, None] * stood[None, :]
+    bound = bound * (1 + 1e-9) + np.abs(near) * 1e-12 + 1e-300
+    own = qid[:, None] == vid[None, :]
+    low, n = np.where(own, -np.inf, near - bound), len(vid)
+    floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(qid), -np.inf)
+    return np.nonzero((near + bound >= floor[:, None]) & ~own)
 
 
-def tile(k: int):
-    """The k best candidates of one block for each query of another."""
+FOUND = "query_id long, part int, ids array<long>, scores array<double>"
+FOUND_TYPES = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+
+def tile(k: int, chunk: int = 256):
+    """The k best candidates of one block for each query of another: one row a query. Queries go through in chunks."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "part": pa.array([], pa.int32())})
+            return FOUND_TYPES.empty_table()
         x, y = matrix(left["embedding"]), matrix(right["vector"])
         qid, vid = left["vec_id"].to_numpy(), right["candidate"].to_numpy()
-        a, s, _, e = quantised(x)
-        b, t, stood, f = quantised(y)
-        # Products of int8 rows are whole numbers below 2**24 for up to 1,000 components, so single precision holds them exactly.
-        product = (a.astype(np.float32) @ b.astype(np.float32).T) if x.shape[1] <= 1000 else a.astype(np.float64) @ b.astype(np.float64).T
-        near = product.astype(np.float64) * s[:, None] * t[None, :]
-        bound = np.linalg.norm(x, axis=1)[:, None] * f[None, :] + e[:, None] * stood[None, :]
-        bound = bound * (1 + 1e-9) + np.abs(near) * 1e-12 + 1e-300
-        own = qid[:, None] == vid[None, :]
-        low, high = np.where(own, -np.inf, near - bound), np.where(own, -np.inf, near + bound)
-        n = low.shape[1]
-        floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(qid), -np.inf)
-        rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
-        scores = exact(x[rows], y[cols])
-        order = np.lexsort((vid[cols], -scores, rows))
-        rows, cols, scores = rows[order], cols[order], scores[order]
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = nth < k
-        part = key[1].as_py() // GROUP
-        return pa.table({"query_id": qid[rows[top]], "vec_id": vid[cols[top]], "score": scores[top], "part": pa.array([part] * int(top.sum()), pa.int32())})
+        whole, out = quantised(y), []
+        for at in range(0, len(qid), chunk):
+            q = qid[at : at + chunk]
+            rows, cols = near_rows(x[at : at + chunk], y, q, vid, k, whole)
+            scores = exact(x[at : at + chunk][rows], y[cols])
+            order = np.lexsort((vid[cols], -scores, rows))
+            rows, cols, scores = rows[order], cols[order], scores[order]
+            top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, ids, scores = rows[top], vid[cols[top]], scores[top]
+            ends = np.searchsorted(rows, np.arange(len(q) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (ids, scores)]
+            out.append(pa.table([pa.array(q), pa.array(np.full(len(q), key[1].as_py() // GROUP, np.int32)), *lists], schema=FOUND_TYPES))
+        return pa.concat_tables(out)
 
     return run
 
 
-def merged(k: int, keys: list[str]):
-    """The k best rows of a group, by a heap that never holds more than k."""
+def merged(k: int):
+    """The k best of a query's lists, by a heap that never holds more than k."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = zip(table["score"].to_pylist(), (-v for v in table["vec_id"].to_pylist()), strict=True)
-        top = heapq.nlargest(k, rows)
-        first = {c: table[c][0].as_py() for c in keys}
-        n = len(top)
-        return pa.table({"query_id": pa.array([first["query_id"]] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([-v for _, v in top], pa.int64()), "score": pa.array([s for s, _ in top], pa.float64())})
+        lists = zip(table["scores"].to_pylist(), table["ids"].to_pylist(), strict=True)
+        top = heapq.nlargest(k, ((score, -i) for scores, ids in lists for score, i in zip(scores, ids, strict=True)))
+        return pa.table([table["query_id"][:1], pa.array([0], pa.int32()), pa.array([[-i for _, i in top]]), pa.array([[s for s, _ in top]])], schema=FOUND_TYPES)
 
     return run
 
@@ -121,12 +128,12 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, block: int = BLOCK, q
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("vec_id", "embedding", own(query_blocks).alias("qb"), every(blocks).alias("vb"))
     right = vectors.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("vector"), own(blocks).alias("vb"), every(query_blocks).alias("qb"))
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(tile(k), "query_id long, vec_id long, score double, part int")
-    out = "query_id long, rank int, vec_id long, score double"
-    parts = found.groupBy("query_id", "part").applyInArrow(merged(k, ["query_id", "part"]), out)
-    if blocks <= GROUP:
-        return parts
-    return parts.groupBy("query_id").applyInArrow(merged(k, ["query_id"]), out)
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(tile(k), FOUND)
+    if blocks > GROUP:
+        found = found.groupBy("query_id", "part").applyInArrow(merged(k), FOUND)
+    found = found.groupBy("query_id").applyInArrow(merged(k), FOUND)
+    each = found.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
+    return each.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
