@@ -1,15 +1,455 @@
-"""All registered queries of the linkage library."""
+"""All registered queries of the linkage library, and their SQL."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linkloom.functions.fuzzy import indel_ratio, wratio
+from linkloom.functions.text import normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list, strip_accents
+from linkloom.jobs.views import Views, ctes
+from linkloom.operators import boxes as B
+from linkloom.operators import lifecycle as L
+from linkloom.operators import matching as M
+from linkloom.operators import reports as R
+from linkloom.operators import responses as P
+from linkloom.sources.catalog import scan_documents, upsert_catalog
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:  # counts as whole numbers of 64 bits
+            SQL[name] = re.sub(r"count_if\(((?:[^()]|\([^()]*\))*)\)", r"count(*) filter (where \1)", sql)
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["match_reads"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def norm(x: str) -> str:
+    """Normalised titles in DuckDB."""
+    return rf"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[‘’''`]', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '^(the|a|an) (.)', '\2')"
+
+
+def surname(x: str) -> str:
+    return f"list_last(string_split({norm(x)}, ' '))"
+
+
+def initials(x: str) -> str:
+    return f"list_transform(list_slice(string_split({norm(x)}, ' '), 1, -2), lambda w: w[1])"
+
+
+#: Longest common subsequences of the pairs (a, b), row by row of the table.
+LCS = """lcs as (
+  select a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as r from pairs
+  union all
+  select a, b, i + 1, list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: list_max(c[1:j])))
+  from (select *, list_transform(range(1, length(b) + 1), lambda j: case when b[j] = a[i + 1] then r[j] + 1 else r[j + 1] end) as c from lcs where i < length(a))
+), ratio as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0::double * list_last(r) / (length(a) + length(b)) end as q from lcs where i = length(a))"""
+
+
+def rec(with_: str) -> str:
+    return with_.replace("with ", "with recursive ", 1)
+
+
+# Columns: text, names, lists, colours
+
+@query("text_normalized", rf"select doc_id, {norm('substr(text, 1, 2000000)')} as norm_text from documents where lang in ('en', 'fr', 'es')")
+def _(v):
+    return v.table("documents").where("lang in ('en', 'fr', 'es')").select("doc_id", normalize_text(F.col("text")).alias("norm_text"))
+
+
+@query("accents_stripped", "select lang, count(*) as n, sum(length(strip_accents(text)))::bigint as letters from documents where lang <> 'de' group by lang")
+def _(v):
+    return v.table("documents").where("lang <> 'de'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip_accents(F.col("text"))).cast("long")).alias("letters"))
+
+
+@query("authors_parsed", f"{ctes('catalog')} select book_id, {surname('author')} as surname, array_to_string({initials('author')}, ' ') as initials from catalog")
+def _(v):
+    name = normalize_author(F.col("author"))
+    return v.derived("catalog").select("book_id", name["surname"].alias("surname"), F.array_join(name["initials"], " ").alias("initials"))
+
+
+@query("colors_folded", """select p_partkey, case split_part(p_name, ' ', 1) when 'red' then 'red' when 'blue' then 'blue' when 'green' then 'green' when 'black' then 'black' when 'white' then 'white' end as color
+  from part where split_part(p_name, ' ', 1) in ('red', 'blue', 'green', 'black', 'white', 'small', 'large', 'hot', 'cold')""")
+def _(v):
+    known = v.table("part").where("split_part(p_name, ' ', 1) in ('red', 'blue', 'green', 'black', 'white', 'small', 'large', 'hot', 'cold')")
+    return known.select("p_partkey", normalize_spine_color(F.col("p_name")).alias("color"))
+
+
+@query("catalog_fields", """select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' | |' || p_type, '|'), lambda x: trim(x)), lambda x: x <> ''), '/') as items,
+  '#' || upper(substr(md5(p_name), 1, 6)) as hex, case when p_size % 4 = 0 then null else 1950 + p_size end::integer as year, p_size % 2 = 0 as flag from part""")
+def _(v):
+    hexes = normalize_hex(F.concat(F.lit("  ##"), F.substring(F.md5("p_name"), 1, 6)))
+    year = parse_year(F.when(F.col("p_size") % 4 == 0, " ").otherwise((1950 + F.col("p_size")).cast("string")))
+    flag = parse_flag(F.when(F.col("p_size") % 2 == 0, " TRUE").otherwise("no"))
+    return v.table("part").select("p_partkey", F.array_join(split_pipe_list(F.concat("p_name", F.lit(" | |"), "p_type")), "/").alias("items"), hexes.alias("hex"), year.alias("year"), flag.alias("flag"))
+
+
+@query("library_display", f"""{ctes('library', 'catalog')} select entry_id, l.book_id, case when custom_title <> '' then custom_title else coalesce(title, '') end as display_title, coalesce(author, '') as display_author,
+  concat_ws(' · ', year::varchar, nullif(series, ''), nullif(spine_color, '')) as meta, created_at from library l left join catalog c using (book_id)""")
+def _(v):
+    return L.library_view(v.derived("library"), v.derived("catalog"))
+
+
+@query("status_names", f"""{ctes('detections')} select status, case status when 'auto_added' then 'Added' when 'needs_review' then 'Needs review' when 'unmatched' then 'No match' when 'unreadable' then 'Unreadable' when 'failed' then 'Failed' when 'confirmed' then 'Confirmed' else 'Discarded' end as label,
+  case when status in ('auto_added', 'confirmed') then 'added' when status <> 'discarded' then 'review' end as bucket, count(*) as n from detections group by 1, 2, 3""")
+def _(v):
+    s = F.col("status")
+    return v.derived("detections").groupBy("status", L.status_label(s).alias("label"), L.status_bucket(s).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scores and matches
+
+PAIRS = f"""{rec(ctes('catalog', 'reads'))}, pairs as (select distinct {norm('r.title')} as a, {norm('c.title')} as b from reads r join catalog c on c.book_id % 50 = r.read_id % 50 where trim(r.title) <> '')"""
+
+
+def title_pairs(v: Views) -> DataFrame:
+    reads = v.derived("reads").where("trim(title) <> ''").select(normalize_text(F.col("title")).alias("a"), (F.col("read_id") % 50).alias("k"))
+    rows = v.derived("catalog").select(normalize_text(F.col("title")).alias("b"), (F.col("book_id") % 50).alias("k"))
+    return reads.distinct().join(rows.distinct(), "k").select("a", "b").distinct()
+
+
+@query("indel_ratios", f"{PAIRS}, {LCS} select a, b, round(q, 6) as ratio from ratio")
+def _(v):
+    return title_pairs(v).select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+@query("weighted_ratios")
+def _(v):
+    return title_pairs(v).select("a", "b", F.round(wratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+MATCHED = f"""{rec(ctes('catalog', 'reads'))},
+r as (select *, {norm('title')} as nt, {norm('author')} as na, {surname('author')} as rs, {initials('author')} as ri from reads where trim(title) <> ''),
+dr as (select distinct nt, na, rs, ri from r),
+ct as (select book_id, {norm('title')} as t from catalog union select book_id, {norm('unnest(alt_titles)')} from catalog),
+pairs as (select distinct nt as a, t as b from (select distinct nt from dr), (select distinct t from ct)),
+{LCS},
+cn as (select book_id, {surname('author')} as cs, {initials('author')} as ci from catalog),
+ts as (select nt, book_id, max(q) as t from (select distinct nt from dr) join ratio on a = nt join ct on ct.t = b group by 1, 2),
+scored as (select dr.nt, dr.na, ts.book_id, case when na is null then least(t, 0.85::double) else 0.75::double * t + 0.25::double * (case when rs <> cs then 0 when len(ri) = 0 or len(ci) = 0 or ri[1] = ci[1] then 1 else 0.5 end) end as s from dr join ts on ts.nt = dr.nt join cn using (book_id)),
+ranked as (select *, row_number() over (partition by nt, na order by s desc, book_id) as k from scored),
+best as (select nt, na, max(case when k = 1 then s end) as s1, max(case when k = 2 then s end) as s2, max(case when k = 1 then book_id end) as b1 from ranked where k <= 2 group by 1, 2),
+out as (select reads.read_id, case when s1 is null or s1 < 0.55 then 'unmatched' when s1 >= 0.9 and s1 - s2 >= 0.12 then 'auto_added' else 'needs_review' end as match_status, round(s1, 6) as confidence,
+  case when s1 >= 0.55 then round(s1 - s2, 6) end as margin, case when s1 >= 0.9 and s1 - s2 >= 0.12 then b1 end as chosen_book
+  from reads left join r on r.read_id = reads.read_id left join best on best.nt = r.nt and best.na is not distinct from r.na)
+select * from out"""
+
+MATCH_COLUMNS = ["read_id", "match_status", "confidence", "margin", "chosen_book"]
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("read_id", "match_status", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "chosen_book")
+
+
+@query("match_reads")
+def _(v):
+    """Every read against the whole catalog, by the weighted ratio."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog"))
+    return found.select("read_id", "title", "author", F.to_json("candidates").alias("candidates"), *MATCH_COLUMNS[1:])
+
+
+@query("match_reads_plain", MATCHED)
+def _(v):
+    """The same with the plain ratio, which SQL can say."""
+    return rounded(M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio"))
+
+
+@query("match_auto_blocked")
+def _(v):
+    """Automatic matches found through blocks of like surnames."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog"), mode="blocked")
+    return found.where("match_status = 'auto_added'").select("read_id", "chosen_book", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin_upper"))
+
+
+@query("match_buckets", f"{MATCHED.replace('select * from out', 'select match_status as status, count(*) as n from out group by 1')}")
+def _(v):
+    return R.match_buckets(M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio").select(F.col("match_status").alias("status")))
+
+
+@query("distinct_reads", f"{ctes('reads')} select count(*) as n, count(distinct norm_title) as titles from (select distinct {norm('title')} as norm_title, {norm('author')} as a from reads where trim(title) <> '')")
+def _(v):
+    return M.distinct_reads(v.derived("reads")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("norm_title").alias("titles"))
+
+
+ROUTED = MATCHED.replace("select * from out", """select d.scan_id, count_if(st in ('auto_added', 'confirmed')) as added, count_if(st in ('needs_review', 'unmatched', 'unreadable', 'failed')) as review,
+  count_if(st = 'auto_added') as auto_added, count_if(st = 'needs_review') as needs_review, count_if(st = 'unmatched') as unmatched, count_if(st = 'unreadable') as unreadable, count_if(st = 'failed') as failed, count_if(st = 'confirmed') as confirmed, count_if(st = 'discarded') as discarded
+  from (select r0.scan_id, case when r0.not_a_book or r0.status = 'duplicate' then 'discarded' when not r0.readable then case when r0.status = 'failed' then 'failed' else 'unreadable' end else o.match_status end as st from reads r0 join out o using (read_id)) d group by 1""")
+
+
+@query("routed_scans", ROUTED)
+def _(v):
+    return R.scan_summary(L.route_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio"))
+
+
+@query("auto_confirmed", MATCHED.replace("select * from out", "select chosen_book as book_id, count(*) as n from out join reads using (read_id) where match_status = 'auto_added' and readable and not not_a_book and reads.status = 'ok' group by 1"))
+def _(v):
+    routed = L.route_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio")
+    rows = L.auto_confirm(routed.withColumn("detection_id", F.col("read_id")).withColumn("created_at", F.lit(None).cast("timestamp")))
+    return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("catalog_search", f"""{ctes('catalog')}, q as (select n_nationkey as query_id, lower(substr(n_name, 1, 2)) as q from nation union all select 100 + r_regionkey, 'ring' from region union all select 200, 'RED w')
+  select query_id, row_number() over (partition by query_id order by book_id)::integer as rank, book_id from q join catalog on contains(lower(title), lower(q)) or contains(lower(author), lower(q)) qualify rank <= 20""")
+def _(v):
+    one = v.table("nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.substring("n_name", 1, 2)).alias("q"))
+    two = v.table("region").select((F.col("r_regionkey") + 100).alias("query_id"), F.lit("ring").alias("q"))
+    asked = one.unionAll(two).unionAll(v.table("region").select(F.lit(200).alias("query_id"), F.lit("RED w").alias("q")).distinct())
+    return L.search_catalog(asked, v.derived("catalog")).select(F.col("query_id").cast("long").alias("query_id"), "rank", "book_id")
+
+
+# Model responses
+
+ALIGNED = f"""{ctes('responses')},
+chosen as (select *, regexp_extract(raw_text, '\\[.*\\]', 0, 's') as j1, regexp_extract(repair_text, '\\[.*\\]', 0, 's') as j2 from responses),
+o as (select *, case when call_failed then 'failed' when j1 <> '' then 'parsed' when repair_failed then 'failed' when j2 <> '' then 'parsed' else 'unreadable' end as outcome, case when j1 <> '' then j1 else j2 end as j from chosen),
+s as (select scan_id, n_crops, outcome, unnest(range(1, n_crops + 1)) as slot, j from o),
+i as (select scan_id, slot, outcome, case when outcome = 'parsed' then json_extract(j, '$[' || (slot - 1) || ']') end as item from s),
+f as (select scan_id, slot, outcome, item, coalesce(item->>'readable' = 'true' and item->>'title' <> '', false) as ok, item->>'author' as author, coalesce(item->>'not_a_book' = 'true', false) as nab, (item->>'duplicate_of') = '1' and slot <> 1 as pts,
+  case when item->>'spine_color' = 'pale Navy' then 'blue' end as spine_color from i),
+reads2 as (select scan_id, slot::integer as slot, case when ok then item->>'title' end as title, author, spine_color, nab as not_a_book, ok and not coalesce(pts, false) as readable,
+  case when outcome <> 'parsed' then outcome when ok and coalesce(pts, false) then 'duplicate' when nab and not ok then 'not_a_book' when ok then 'ok' else 'unreadable' end as status from f)"""
+
+
+@query("reads_aligned", f"{ALIGNED} select * from reads2")
+def _(v):
+    return P.align_reads(v.derived("responses"))
+
+
+@query("read_quality", f"{ALIGNED} select scan_id, count(*) as total, count_if(status = 'ok') as ok, count_if(status = 'duplicate') as duplicates, round(avg((status = 'ok')::int), 6) as ok_share from reads2 group by 1")
+def _(v):
+    return R.read_quality(P.align_reads(v.derived("responses"))).withColumn("ok_share", F.round("ok_share", 6))
+
+
+@query("reads_fallback", f"""{ctes('responses')}, c as (select scan_id, regexp_extract(raw_text, '\\[.*\\]', 0, 's') as j from responses where not call_failed),
+  i as (select scan_id, unnest(range(0, json_array_length(j)::bigint)) as n, j from c where j <> '')
+  select scan_id, row_number() over (partition by scan_id order by n)::integer as slot, json_extract(j, '$[' || n || ']')->>'title' as title, json_extract(j, '$[' || n || ']')->>'author' as author, json_extract(j, '$[' || n || ']')->>'spine_color' as spine_color from i where json_extract(j, '$[' || n || ']')->>'title' <> ''""")
+def _(v):
+    return P.fallback_reads(v.derived("responses"))
+
+
+# Boxes
+
+CLEANED = f"""{ctes('boxes')}, d as (select scan_id, ord, conf, x1::int as x1, y1::int as y1, x2::int as x2, y2::int as y2, image_width from boxes where cls = 'book' and conf >= 0.25),
+s as (select *, (x2 > x1 and (y2 - y1) >= 2.5 * (x2 - x1)) as ok from d), s2 as (select * from s qualify ok or not bool_or(ok) over (partition by scan_id)),
+w as (select *, (x2 - x1) >= 0.015 * image_width as wide from s2), w2 as (select scan_id, ord, x1, y1, x2, y2 from w qualify wide or not bool_or(wide) over (partition by scan_id))"""
+
+
+@query("boxes_filtered", f"{CLEANED} select * from w2")
+def _(v):
+    return B.sliver_filter(B.spine_shape_filter(B.filter_detections(v.derived("boxes")))).select("scan_id", "ord", *B.SIDES)
+
+
+@query("boxes_merged")
+def _(v):
+    return B.clean_boxes(v.derived("boxes")).select("scan_id", "slot", *B.SIDES, F.round("conf", 6).alias("conf"), "n_merged", "cx1", "cy1", "cx2", "cy2", "rotate")
+
+
+@query("box_geometry", f"""{ctes('boxes')}, b as (select scan_id, ord, x1::bigint as x1, y1::bigint as y1, x2::bigint as x2, y2::bigint as y2 from boxes),
+  p as (select a.scan_id, a.ord, a.x1 ax1, a.y1 ay1, a.x2 ax2, a.y2 ay2, c.x1, c.y1, c.x2, c.y2 from b a join b c on a.scan_id = c.scan_id and c.ord = a.ord + 1),
+  m as (select *, greatest(least(ax2, x2) - greatest(ax1, x1), 0) * greatest(least(ay2, y2) - greatest(ay1, y1), 0) as i, (ax2 - ax1) * (ay2 - ay1) as a1, (x2 - x1) * (y2 - y1) as a2 from p)
+  select scan_id, ord, round(i / (a1 + a2 - i), 6) as iou, round(i / least(a1, a2), 6) as containment, round(least(ax2 - ax1, x2 - x1) / greatest(ax2 - ax1, x2 - x1), 6) as width_ratio, (greatest(ax2, x2) - least(ax1, x1)) * (greatest(ay2, y2) - least(ay1, y1)) as union_area from m""")
+def _(v):
+    box = v.derived("boxes").select("scan_id", "ord", F.struct(*[F.col(c).cast("long").alias(c) for c in B.SIDES]).alias("a"))
+    other = box.select("scan_id", (F.col("ord") - 1).alias("ord"), F.col("a").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    r = lambda c: F.round(c, 6)
+    return box.join(other, ["scan_id", "ord"]).select("scan_id", "ord", r(B.iou(a, b)).alias("iou"), r(B.containment(a, b)).alias("containment"), r(B.width_ratio(a, b)).alias("width_ratio"), B.box_area(B.union_box(a, b)).alias("union_area"))
+
+
+@query("dividers", """select l_orderkey, (count(*) >= 2 and max(l_linenumber) >= 0.3 * 12 and max(l_linenumber) >= 2 * median(l_linenumber)) as divides from lineitem group by 1""")
+def _(v):
+    hits = v.table("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("hits"))
+    return hits.select("l_orderkey", B.divider_decision(F.col("hits"), F.lit(12)).alias("divides"))
+
+
+# Library and review
+
+ACTED = f"""{ctes('actions', 'catalog', 'detections')}, chk as (select a.*, case action when 'confirm' then c.book_id is not null or (a.book_id is null and trim(coalesce(custom_title, '')) <> '') when 'retry' then has_crop else true end as valid
+  from actions a left join (select book_id from catalog) c on c.book_id = a.book_id)"""
+
+
+@query("actions_checked", f"{ACTED} select action, valid, count(*) as n from chk group by 1, 2")
+def _(v):
+    return L.checked_actions(v.derived("actions"), v.derived("catalog")).groupBy("action", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("review_applied", f"""{ACTED}, last as (select detection_id, arg_max(action, (ts, action_id)) as action, arg_max(struct_pack(b := book_id), (ts, action_id)).b as book from chk where valid and action <> 'retry' group by 1)
+  select d.detection_id, case last.action when 'confirm' then 'confirmed' when 'discard' then 'discarded' else d.status end as status, case when last.action = 'confirm' then last.book else d.chosen_book end as chosen_book from detections d left join last using (detection_id)""")
+def _(v):
+    checked = L.checked_actions(v.derived("actions"), v.derived("catalog"))
+    return L.apply_review_actions(v.derived("detections"), checked).select("detection_id", "status", "chosen_book")
+
+
+@query("entries_confirmed", f"{ACTED} select book_id, case when book_id is null then trim(coalesce(custom_title, '')) else '' end as custom_title, detection_id as source_detection_id from chk where valid and action = 'confirm'")
+def _(v):
+    return L.confirmed_entries(L.checked_actions(v.derived("actions"), v.derived("catalog"))).select("book_id", "custom_title", "source_detection_id")
+
+
+@query("library_edited", f"""{ctes('library', 'actions')}, e as (select action_id * 2 // 3 as entry_id, case action when 'discard' then 'delete' else 'edit' end as kind, 'Edit ' || action_id as t, ts from actions where action_id % 7 = 0),
+  l as (select entry_id, arg_max(t, ts) as t from e where kind = 'edit' group by 1)
+  select entry_id, coalesce(l.t, custom_title) as custom_title from library left join l using (entry_id) where entry_id not in (select entry_id from e where kind = 'delete')""")
+def _(v):
+    edits = v.derived("actions").where("action_id % 7 = 0").select(F.expr("action_id * 2 div 3").alias("entry_id"), F.when(F.col("action") == "discard", "delete").otherwise("edit").alias("kind"), F.concat(F.lit("Edit "), F.col("action_id").cast("string")).alias("custom_title"), F.lit("").alias("custom_author"), "ts")
+    return L.edit_library(v.derived("library"), edits).select("entry_id", "custom_title")
+
+
+@query("library_orphans", f"{ctes('library', 'catalog')} select entry_id, book_id from library where custom_title = '' and (book_id is null or book_id not in (select book_id from catalog))")
+def _(v):
+    return L.orphaned_entries(v.derived("library"), v.derived("catalog")).select("entry_id", "book_id")
+
+
+@query("library_snapshot", f"{ctes('library', 'catalog')} select entry_id, case when custom_title <> '' then custom_title else coalesce(title, '') end as custom_title, coalesce(author, '') as custom_author from library left join catalog using (book_id)")
+def _(v):
+    return L.snapshot_library(v.derived("library"), v.derived("catalog")).select("entry_id", "custom_title", "custom_author")
+
+
+@query("omnibus_volumes", f"{ctes('catalog')}, o as (select book_id, unnest(contained_titles) as volume from catalog where is_omnibus) select book_id, volume, {norm('volume')} in (select {norm('title')} from catalog) as is_present from o")
+def _(v):
+    return L.omnibus_volumes(v.derived("catalog"))
+
+
+@query("review_queue", f"{ctes('detections')} select detection_id, scan_id, slot, status from detections where status in ('needs_review', 'unmatched', 'unreadable', 'failed')")
+def _(v):
+    return L.review_queue(v.derived("detections")).select("detection_id", "scan_id", "slot", "status")
+
+
+@query("scan_statuses", f"""{ctes('detections', 'boxes')}, s as (select o_orderkey as scan_id, o_orderkey % 29 = 0 as error from orders), b as (select scan_id, count(*) as n from boxes where conf > 0.5 group by 1), r as (select scan_id, count(*) as n from detections group by 1)
+  select s.scan_id, case when error then 'failed' else 'done' end as status, b.n is null as used_fallback, b.n is null and r.n is null and not error as empty_result from s left join b using (scan_id) left join r using (scan_id)""")
+def _(v):
+    scans = v.table("orders").select(F.col("o_orderkey").alias("scan_id"), (F.col("o_orderkey") % 29 == 0).alias("error"))
+    return L.scan_status(scans, v.derived("boxes").where("conf > 0.5"), v.derived("detections"))
+
+
+@query("scan_documents", f"{ctes('detections')} select o_orderkey as scan_id, count(detection_id)::integer as n_detections from orders left join detections on scan_id = o_orderkey group by 1")
+def _(v):
+    return scan_documents(v.table("orders").select(F.col("o_orderkey").alias("scan_id")), v.derived("detections")).select("scan_id", "n_detections")
+
+
+@query("catalog_upserted", f"""{ctes('catalog')}, n as (select * replace (case when book_id % 2 = 0 then title else title || ' II' end as title, 'New' as series) from catalog where book_id % 3 = 0),
+  k as (select {norm('title')} as t, {norm('author')} as a, year, count(*) over (partition by {norm('title')}, {norm('author')}, year) as c from n)
+  select (select count(*) from catalog) + (select count(*) from k where not exists (select 1 from catalog c where {norm('c.title')} = k.t and {norm('c.author')} = k.a and c.year = k.year)) as n_rows, (select count(*) from n) as n_new""")
+def _(v):
+    catalog = v.derived("catalog")
+    incoming = catalog.where("book_id % 3 = 0").withColumn("title", F.when(F.col("book_id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" II")))).withColumn("series", F.lit("New"))
+    return upsert_catalog(catalog, incoming).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("series") == "New").alias("n_new"))
+
+
+# Reports and audits
+
+@query("scan_summaries", f"""{ctes('detections')} select scan_id, count_if(status in ('auto_added', 'confirmed')) as added, count_if(status in ('needs_review', 'unmatched', 'unreadable', 'failed')) as review, count_if(status = 'auto_added') as auto_added, count_if(status = 'needs_review') as needs_review, count_if(status = 'unmatched') as unmatched,
+  count_if(status = 'unreadable') as unreadable, count_if(status = 'failed') as failed, count_if(status = 'confirmed') as confirmed, count_if(status = 'discarded') as discarded from detections group by 1""")
+def _(v):
+    return R.scan_summary(v.derived("detections"))
+
+
+@query("auto_rate", f"{ctes('detections')} select status, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from detections group by 1")
+def _(v):
+    return R.auto_rate(v.derived("detections")).withColumn("share", F.round("share", 6))
+
+
+@query("stage_latency", "with t as (select event_type as stage, floor(value * 10)::int as ms from events union all select 'total', floor(value * 20)::int from events) select stage, median(ms)::double as median_ms, count(*) as n from t group by 1")
+def _(v):
+    timings = v.table("events").select(F.col("event_id").alias("scan_id"), F.create_map(F.col("event_type"), F.floor(F.col("value") * 10).cast("int"), F.lit("total"), F.floor(F.col("value") * 20).cast("int")).alias("timings"))
+    return R.stage_latency(timings)
+
+
+def usage(v: Views) -> DataFrame:
+    return v.table("events").select(F.col("event_type").alias("model"), (F.col("event_id") % 900 + 424).alias("tokens_in"), (F.col("event_id") % 90).alias("tokens_out"), F.lit(426).alias("prompt_tokens"), (F.col("event_id") % 9 * 1082).alias("image_tokens"), (F.col("event_id") % 9 + 1).alias("n_crops"))
+
+
+def rates(v: Views) -> DataFrame:
+    return v.table("events").select(F.col("event_type").alias("model")).distinct().withColumn("rate_in", F.length("model") / 10).withColumn("rate_out", F.length("model") * 1.5)
+
+
+COSTS = "with u as (select event_type as model, event_id % 900 + 424 as i, event_id % 90 as o from events), c as (select model, count(*) as scans, avg((i * (length(model) / 10) + o * (length(model) * 1.5::double)) / 1e6) as c from u group by 1)"
+
+
+@query("scan_costs", f"{COSTS} select model, scans, round(c, 9) as cost_per_scan, round(c * 1000, 6) as cost_per_1000 from c")
+def _(v):
+    return R.scan_cost(usage(v), rates(v)).withColumn("cost_per_scan", F.round("cost_per_scan", 9)).withColumn("cost_per_1000", F.round("cost_per_1000", 6))
+
+
+@query("cost_projection", f"{COSTS} select model, d::integer as scans_per_day, round(c * d * 30, 6) as monthly, round(c * d * 15, 6) as monthly_batch from c, (select unnest([100, 1000, 10000]) as d)")
+def _(v):
+    return R.cost_projection(R.scan_cost(usage(v), rates(v))).withColumn("monthly", F.round("monthly", 6)).withColumn("monthly_batch", F.round("monthly_batch", 6))
+
+
+@query("batch_saving", "with u as (select event_id % 9 + 1 as n_crops, event_id % 9 * 1082 as i from events) select n_crops, sum(426 + i)::bigint as batched, sum(426 * n_crops + i)::bigint as single, round(1 - sum(426 + i) / sum(426 * n_crops + i), 6) as saving from u group by 1")
+def _(v):
+    return R.batch_saving(usage(v)).withColumn("saving", F.round("saving", 6))
+
+
+@query("catalog_profile", f"{ctes('catalog')} select count(*) as n_rows, count_if(len(alt_titles) > 0) as with_alt, count_if(series <> '') as with_series, count_if(year is not null) as with_year, count_if(spine_color <> '') as with_color, count_if(is_omnibus) as omnibus from catalog")
+def _(v):
+    return R.catalog_profile(v.derived("catalog"))
+
+
+@query("audit_shared_titles", f"{ctes('catalog')} select {norm('title')} as norm_title, count(distinct {norm('author')}) as n_authors, count(*) as n_rows from catalog group by 1 having n_authors > 1")
+def _(v):
+    return R.audit_shared_titles(v.derived("catalog"))
+
+
+EDITIONS = "select p_partkey as book_id, p_name as title, p_brand as author, 1950 + p_size as year from part"
+
+
+@query("audit_editions", f"with e as ({EDITIONS}) select {norm('title')} as norm_title, {surname('author')} as surname, array_to_string({initials('author')}, ' ') as initials, count(*) as n_rows, array_to_string(list_sort(list_distinct(list(year))), ',') as years from e group by 1, 2, 3 having count(*) > 1")
+def _(v):
+    return R.audit_editions(v.table("part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (1950 + F.col("p_size")).alias("year")))
+
+
+@query("audit_alt_titles", f"with c as (select p_partkey as book_id, p_name as title, 'The ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 2) as a from part where p_partkey % 10 = 0), t as (select book_id as other_id, {norm('title')} as k from c union all select -1, 'ring ring') select book_id, a as alt_title, other_id from c join t on {norm('a')} = k where book_id <> other_id")
+def _(v):
+    second = F.split_part("p_name", F.lit(" "), F.lit(2))
+    rows = v.table("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("The "), second, F.lit(" "), second)).alias("alt_titles"))
+    extra = v.table("region").select(F.lit(-1).cast("long").alias("book_id"), F.lit("ring ring").alias("title"), F.array().cast("array<string>").alias("alt_titles")).distinct()
+    return R.audit_alt_titles(rows.unionAll(extra))
+
+
+@query("audit_substring_titles", f"""with t as (select distinct {norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')")} as t from documents), w as (select t, list_distinct(string_split(t, ' ')) as ws from t where t <> ''), s as (select * from w union select split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2), list_distinct([split_part(t, ' ', 1), split_part(t, ' ', 2)]) from w where split_part(t, ' ', 2) <> '')
+  select a.t as title_in, b.t as title_of from s a join s b on len(a.ws) < len(b.ws) and list_has_all(b.ws, a.ws)""")
+def _(v):
+    t = v.table("documents").select(normalize_text(F.regexp_replace(F.substring("text", 1, 60), "[^ ]*$", "")).alias("title")).where("title <> ''").distinct()
+    two = t.where("split_part(title, ' ', 2) <> ''").select(F.concat(F.split_part("title", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("title", F.lit(" "), F.lit(2))).alias("title"))
+    return R.audit_substring_titles(t.union(two))
+
+
+@query("audit_author_variants", f"with c as (select case when p_partkey % 2 = 0 then p_brand else replace(p_brand, '#', '. ') end as author from part) select {surname('author')} as surname, array_to_string({initials('author')}, ' ') as initials, count(distinct author) as n_forms, array_to_string(list_sort(list_distinct(list(author))), '; ') as forms from c group by 1, 2 having count(distinct author) > 1")
+def _(v):
+    author = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit(". ")))
+    return R.audit_author_variants(v.table("part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), author.alias("author")))
+
+
+@query("check_hexes", "select p_partkey as book_id, substr(md5(p_name), 1, 6) as spine_hex from part where p_partkey % 3 = 0")
+def _(v):
+    hexes = F.substring(F.md5("p_name"), 1, 6)
+    return R.check_hexes(v.table("part").select(F.col("p_partkey").alias("book_id"), F.when(F.col("p_partkey") % 3 == 0, hexes).otherwise(F.concat(F.lit("#"), F.upper(hexes))).alias("spine_hex")))
+
+
+@query("catalog_coverage", f"""{ctes('catalog')}, e as (select title || case when book_id % 5 = 0 then ' lost' else '' end as title, case when book_id % 7 = 0 then 'Nobody' else author end as author, spine_color, spine_hex from catalog where book_id % 3 = 0),
+  j as (select e.title, c.author is not null as there, coalesce(c.author = e.author and c.spine_color = e.spine_color and c.spine_hex = e.spine_hex, false) as ok from e left join catalog c on {norm('c.title')} = {norm('e.title')})
+  select title, case when bool_or(there) then 'differs' else 'missing' end as problem from j group by 1 having not bool_or(ok)""")
+def _(v):
+    catalog = v.derived("catalog")
+    expected = catalog.where("book_id % 3 = 0").withColumn("title", F.when(F.col("book_id") % 5 == 0, F.concat("title", F.lit(" lost"))).otherwise(F.col("title"))).withColumn("author", F.when(F.col("book_id") % 7 == 0, "Nobody").otherwise(F.col("author")))
+    return R.catalog_coverage(expected.select("title", "author", "spine_color", "spine_hex"), catalog)
