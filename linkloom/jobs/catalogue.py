@@ -426,7 +426,7 @@ def _(v):
     return R.audit_alt_titles(rows.unionAll(extra))
 
 
-@query("audit_substring_titles", f"""with t as (select distinct {norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')")} as t from documents), w as (select t, list_distinct(string_split(t, ' ')) as ws from t where t <> ''), s as (select * from w union select split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2), list_distinct([split_part(t, ' ', 1), split_part(t, ' ', 2)]) from w where split_part(t, ' ', 2) <> '')
+@query("audit_substring_titles", f"""with t as (select distinct {norm(norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')"))} as t from documents), u as (select distinct {norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')")} as t from documents), w as (select t, list_distinct(string_split(t, ' ')) as ws from t where t <> ''), p as (select distinct {norm("split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2)")} as t from u where split_part(t, ' ', 2) <> ''), s as (select * from w union select t, list_distinct(string_split(t, ' ')) from p)
   select a.t as title_in, b.t as title_of from s a join s b on len(a.ws) < len(b.ws) and list_has_all(b.ws, a.ws)""")
 def _(v):
     t = v.table("documents").select(normalize_text(F.regexp_replace(F.substring("text", 1, 60), "[^ ]*$", "")).alias("title")).where("title <> ''").distinct()
