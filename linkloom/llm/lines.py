@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import WORD, plain, table, words_of, written
+from linkloom.llm.shared import WORD, held, plain, table, words_of, written
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
 
@@ -79,9 +79,9 @@ def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFra
 
     # Their words, in the documents where they stand first.
     wanted = near.groupBy(F.col("doc_id").alias("w_doc"), F.col("row").alias("w_row")).agg(F.collect_set("line_no").alias("numbers"))
-    held = rows.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
+    at = rows.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
     split = F.split("text", "\n", -1)
-    texts = held.select("doc_id", "row", F.explode("numbers").alias("line_no"), split.alias("split")).select(*PLACE, F.element_at("split", F.col("line_no") + 1).alias("line"))
+    texts = at.select("doc_id", "row", F.explode("numbers").alias("line_no"), split.alias("split")).select(*PLACE, F.element_at("split", F.col("line_no") + 1).alias("line"))
     lines = written(texts.select(F.struct(*PLACE).alias("place"), words_of(F.col("line")).alias("words")), "near-lines")
 
     # Variants: (key, length, place left out), 0 for none.
@@ -126,16 +126,17 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``; and ``n_lines``, ``n_removed`` in a struct ``lines_report``."""
-    rows = docs.select("*", row_hash(docs).alias("row"))
-    cuts = repeated_lines(plain(rows, ["doc_id", "text", "row"]), min_words, fuzzy_words)
+    rows = docs.select(held(docs), row_hash(docs).alias("row"))
+    cuts = repeated_lines(rows.select("d.doc_id", "d.text", "row"), min_words, fuzzy_words)
     cuts = cuts.groupBy(F.col("doc_id").alias("cut_doc"), F.col("row").alias("cut_row")).agg(F.collect_set("line_no").alias("cut_lines"))
-    joined = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("row") == F.col("cut_row")), "left")
-    split = F.split("text", "\n", -1)
+    joined = rows.join(cuts, F.col("d.doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("row") == F.col("cut_row")), "left")
+    split = F.split("d.text", "\n", -1)
     numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("cut_lines"))
     kept = F.array_join(F.transform(numbers, lambda i: F.element_at(split, i + 1)), "\n")
-    text = F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(kept)
-    report = F.struct(F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.when(F.col("cut_lines").isNull(), F.lit(0)).otherwise(F.size("cut_lines")).alias("n_removed"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], report.alias("lines_report"))
+    text = F.when(F.col("cut_lines").isNull(), F.col("d.text")).otherwise(kept)
+    n_lines = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.size(split))
+    report = F.struct(n_lines.alias("n_lines"), F.when(F.col("cut_lines").isNull(), F.lit(0)).otherwise(F.size("cut_lines")).alias("n_removed"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], report.alias("lines_report"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import WORD, table, written
+from linkloom.llm.shared import WORD, held, plain, table, written
 
 #: The weights of sources, in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -162,7 +162,7 @@ def mix_sizes(sizes: DataFrame, share: float = 1.5, most: float = 2.0, seed: int
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return plain(docs, ["doc_id", "source", "text"]).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -176,15 +176,14 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Copies are given to (doc_id, source, size): rows that agree in these take equal parts, the first of them the rest.
     """
     chosen = mix_sizes(sized(docs), **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("all_rows"))
-    columns = [F.col(f"d.{c}") for c in docs.columns]
-    own = docs.alias("d").select("d.*", F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0)).cast("long").alias("own_size"))
-    key = (F.col("d.doc_id") == F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.own_size") == F.col("c.size"))
-    joined = own.alias("d").join(chosen.where("all_copies > 0").alias("c"), key)
-    once = joined.where("all_rows = 1").select(*columns, F.col("all_copies").alias("times"))
-    nth = F.row_number().over(W.partitionBy("d.doc_id", "d.source", "d.own_size").orderBy(F.xxhash64("d.text")))
-    again = joined.where("all_rows > 1").select(*columns, (F.floor(F.col("all_copies") / F.col("all_rows")) + (nth <= F.col("all_copies") % F.col("all_rows")).cast("long")).alias("times"))
+    own = docs.select(held(docs), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("own_size"))
+    key = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("own_size") == F.col("c.size"))
+    joined = own.join(chosen.where("all_copies > 0").alias("c"), key)
+    once = joined.where("all_rows = 1").select("d", F.col("all_copies").alias("times"))
+    nth = F.row_number().over(W.partitionBy("d.doc_id", "d.source", "own_size").orderBy(F.xxhash64("d.text")))
+    again = joined.where("all_rows > 1").select("d", (F.floor(F.col("all_copies") / F.col("all_rows")) + (nth <= F.col("all_copies") % F.col("all_rows")).cast("long")).alias("times"))
     taken = once.unionAll(again).where("times > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy_number")).drop("copy_number")
+    return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy_number")).select("d.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

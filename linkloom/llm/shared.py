@@ -54,5 +54,10 @@ def plain(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def held(docs: DataFrame) -> Column:
+    """A whole row as one struct ``d``, so that no name in it meets a name the operator makes."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.llm.minhash import mixed
-from linkloom.llm.shared import plain, table, written
+from linkloom.llm.shared import held, plain, table, written
 
 #: Sentences of a run, and the words it must have.
 RUN, MIN_WORDS = 3, 12
@@ -124,11 +124,11 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
 def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the text of all repeated spans taken out; all columns stay."""
     cuts = repeated_spans(docs, run, min_words).groupBy(F.col("doc_id").alias("cut_doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut_spans"))
-    joined = docs.join(cuts, F.col("doc_id") == F.col("cut_doc_id"), "left")
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))).alias("text"))
-    left = F.aggregate("cut_spans", empty, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.select(*[F.when(F.col("cut_spans").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.select(held(docs)).join(cuts, F.col("d.doc_id") == F.col("cut_doc_id"), "left")
+    text, empty = F.col("d.text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))).alias("text"))
+    left = F.aggregate("cut_spans", empty, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.select(*[F.when(F.col("cut_spans").isNotNull(), left).otherwise(text).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,73 @@
+import random
+
+import pytest
+
+from linkloom.llm.mixing import flight, mix, mixed
+from tests.llm.conftest import ODD, prose
+
+
+def sources(spark, spec, seed=3):
+    rnd = random.Random(seed)
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 60)), "en", s, 0) for i, s in enumerate(s for s, n in spec for _ in range(n))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_targets_and_words(spark):
+    got = mix(sources(spark, [("a", 400), ("b", 50), ("c", 120), (None, 30), ("é", 40)])).join(sources(spark, [("a", 400), ("b", 50), ("c", 120), (None, 30), ("é", 40)]).select("doc_id", "source"), "doc_id").collect()
+    by = {}
+    for r in got:
+        x = by.setdefault(r["source"], {"size": 0, "taken": 0, "target": r["target"], "source_size": r["source_size"]})
+        x["size"] += r["size"]
+        x["taken"] += r["taken"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    total = sum(x["size"] for x in by.values())
+    weights = {"a": 3, "b": 1, "c": 2, "é": 3, None: 1}
+    left, want = dict(weights), {}
+    while True:  # limits first, their excess to the others
+        share = (1.5 * total - sum(want.values())) / sum(left.values())
+        above = [s for s, w in left.items() if w * share > 2 * by[s]["size"]]
+        if not above:
+            break
+        for s in above:
+            want[s] = 2 * by[s]["size"]
+            del left[s]
+    want |= {s: w * share for s, w in left.items()}
+    for s, x in by.items():
+        assert x["source_size"] == x["size"] and x["target"] == pytest.approx(want[s])
+        assert abs(x["taken"] - x["target"]) <= max(60, 0.01 * x["target"])
+
+
+def test_levels_and_reruns(spark):
+    docs = sources(spark, [("a", 900), ("b", 300)])
+    take = lambda d: {r["doc_id"]: r["taken"] for r in mix(d, block=50).collect()}
+    first = take(docs)
+    assert first == take(docs.repartition(7)) and len(first) == 1200
+    words = sum(v for k, v in first.items() if k < 900)
+    assert abs(words - mix(docs).where("doc_id < 900").first()["target"]) < 60
+
+
+def test_flight_keeps_sums_and_means():
+    """The balancing sums hold along every flight, and probabilities hold on average."""
+    size, hits = [random.Random(2).randint(1, 90) for _ in range(30)], [0] * 30
+    for seed in range(400):
+        p = [0.3] * 30
+        left = flight(p, size, random.Random(seed))
+        assert len(left) <= 2
+        assert sum(p) == pytest.approx(9) and sum(x * s for x, s in zip(p, size, strict=True)) == pytest.approx(0.3 * sum(size))
+        hits = [h + x for h, x in zip(hits, p, strict=True)]
+    assert all(abs(h / 400 - 0.3) < 0.1 for h in hits)
+
+
+def test_rows_of_the_mix(spark, make):
+    docs = sources(spark, [("a", 40), ("b", 40)])
+    want = {r["doc_id"]: r["taken"] for r in mix(docs).where("size > 0").collect()}
+    got = {}
+    for r in mixed(docs).where("text <> ''").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+    assert got == {k: v for k, v in want.items() if v}
+    odd = make(*ODD, (None, "no id here"), extra=True)
+    assert mixed(odd).columns == odd.columns
+    assert mix(odd).count() == len(ODD) + 1 and mix(odd.limit(0)).count() == 0 and mixed(odd.limit(0)).count() == 0
+    assert mix(odd.unionAll(odd)).count() == 2 * len(ODD) + 2
+    twice = mixed(docs.unionAll(docs)).count()
+    assert twice <= 4 * 80
