@@ -53,13 +53,15 @@ def title_scores(reads: list[str], rows: list[list[str]], of) -> np.ndarray:
     """The best ratio of each read with any title of each row, every distinct pair scored once."""
     titles = list(dict.fromkeys(t for ts in rows for t in ts))
     place = {t: i for i, t in enumerate(titles)}
-    named = [(i, r) for i, r in enumerate(reads) if r]
+    different = list(dict.fromkeys(r for r in reads if r))
     out = np.zeros((len(reads), len(rows)))
-    if not named or not titles:
+    if not different or not titles:
         return out
-    flat = of([r for _, r in named for _ in titles], titles * len(named)).reshape(len(named), len(titles)) / 100
-    best = np.stack([flat[:, [place[t] for t in ts]].max(axis=1) if ts else np.zeros(len(named)) for ts in rows], axis=1)
-    out[[i for i, _ in named]] = best
+    flat = of([r for r in different for _ in titles], titles * len(different)).reshape(len(different), len(titles)) / 100
+    best = np.stack([flat[:, [place[t] for t in ts]].max(axis=1) if ts else np.zeros(len(different)) for ts in rows], axis=1)
+    at = {r: i for i, r in enumerate(different)}
+    named = [i for i, r in enumerate(reads) if r]
+    out[named] = best[[at[reads[i]] for i in named]]
     return out
 
 
