@@ -144,10 +144,14 @@ def score_blocked(reads: DataFrame, catalog: DataFrame, config: MatchConfig = MA
     catalog = with_keys(catalog, alts=True).select("book_id", "titles", F.col("name").alias("row_name"))
     reads = reads.where("name is not null")
     a, b = reads.select(F.col("name.surname").alias("x")).distinct(), catalog.where("row_name is not null").select(F.col("row_name.surname").alias("y")).distinct()
-    # Surnames of which 85 % of the letters agree share a length class and, by counting, one of their letter pairs or are short; lengths bound the join.
+    # Unequal surnames at 0.85 or more have a longest common subsequence L >= 0.425 (m + n), and at most
+    # m + n - 2 L places where it breaks; L - 1 exceeds that, so a pair of adjacent letters is common.
     low = config.surname_threshold / (2 - config.surname_threshold)
-    sizes = F.explode(F.sequence(F.ceil(F.length("x") * low).cast("int"), F.floor(F.length("x") / low).cast("int")))
-    near = a.select("x", sizes.alias("n")).join(b.select("y", F.length("y").alias("n")), "n").where((F.col("x") == F.col("y")) | (indel_ratio(F.col("x"), F.col("y")) >= config.surname_threshold)).select("x", "y")
+    pairs_of = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).alias("g")
+    grams = lambda df, c: df.where(F.length(c) >= 2).select(c, pairs_of(F.col(c)))
+    fits = (F.least(F.length("x"), F.length("y")) >= low * F.greatest(F.length("x"), F.length("y"))) & (F.col("x") != F.col("y"))
+    apart = grams(a, "x").join(grams(b, "y"), "g").where(fits).select("x", "y").distinct().where(indel_ratio(F.col("x"), F.col("y")) >= config.surname_threshold)
+    near = a.join(b, F.col("x") == F.col("y")).select("x", "y").unionAll(apart)
     known = reads.join(near, F.col("name.surname") == F.col("x")).join(catalog, F.col("row_name.surname") == F.col("y"))
     unknown = catalog.where("row_name is null")
     # Rows without an author spoil a lead only with a title near the read's: they meet by a shared word or a like start.
