@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import WORD, held, plain, table, words_of, written
+from linkloom.llm.shared import WORD_GAP, held, plain, table, written
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
 
@@ -40,49 +40,55 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line, words) of every line that has words."""
-    split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")
-    return rows.select("doc_id", "row", split).where(F.col("line").rlike(WORD)).withColumn("words", words_of(F.col("line")))
+def words_in(line: Column) -> Column:
+    """The words of a line that isn't blank; a blank one gives a single empty word."""
+    return F.split(F.trim(line, F.lit(" \t\n\x0b\f\r")), WORD_GAP)
 
 
-def half_keys(words: Column, n: Column) -> Column:
+def lines_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, row, line_no, line, words) of every line with enough words. Lines are sifted within the row, so each is split once."""
+    every = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), words_in(x).alias("words")))
+    kept = F.filter(every, lambda x: (F.size(x["words"]) >= min_words) & (F.get(x["words"], F.lit(0)) != ""))
+    return rows.select("doc_id", "row", F.explode(kept).alias("x")).select("doc_id", "row", "x.line_no", "x.line", "x.words")
+
+
+def half_keys(words: Column, n: Column) -> list[Column]:
     """Hashes of both halves of a line, as a line of ``n`` words and as one of ``n - 1`` with a word more."""
 
     def halves(length: Column) -> list[Column]:
         at = F.floor(length / 2).cast("int")
         return [F.xxhash64(length, F.lit(1), F.slice(words, 1, at)), F.xxhash64(length, F.lit(2), F.slice(words, n - (length - at) + 1, length - at))]
 
-    return F.array(*halves(n), *halves(n - 1))
+    return [*halves(n), *halves(n - 1)]
 
 
 PLACE = ["doc_id", "row", "line_no"]
+HALVES = ["half1", "half2", "half3", "half4"]
 
 
 def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
     """(doc_id, row, line_no) of the lines that go. ``rows``: doc_id, text and ``row``."""
     n = F.size("words")
-    every = lines_of(rows).where(n >= min_words)
-    every = every.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), n.alias("n"), F.when(n >= fuzzy_words, half_keys(F.col("words"), n)).alias("halves"))
+    halves = [F.when(n >= fuzzy_words, h).alias(c) for h, c in zip(half_keys(F.col("words"), n), HALVES, strict=True)]
+    every = lines_of(rows, min_words).select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), *halves)
     every = written(every, "lines")
-    # The earliest place of each distinct line; three aggregations' worth of order in one struct.
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"))
+    # The earliest place of each distinct line.
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in HALVES])
     first = written(first, "first")
-    again = every.select(*PLACE, "h1", "h2").join(first.where("times > 1"), ["h1", "h2"]).where(F.struct(*PLACE) != F.col("first")).select(*PLACE)
+    again = every.select(*PLACE, "h1", "h2").join(first.where("times > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct(*PLACE) != F.col("first")).select(*PLACE)
 
     # Distinct lines that share a half with another.
-    earliest = first.select(F.col("first.*"))
-    fuzzy = every.where("halves is not null").join(earliest, [every[c].eqNullSafe(earliest[c]) for c in PLACE], "left_semi")
-    half = fuzzy.select(*PLACE, "h1", "h2", "n", F.explode("halves").alias("half"))
+    half = first.where("half1 is not null").select("h1", "h2", F.explode(F.array(*HALVES)).alias("half"))
     both = half.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
-    near = written(half.join(both, "half").select(*PLACE, "h1", "h2").distinct(), "near")
+    shared = half.join(both, "half").select("h1", "h2").distinct()
+    near = first.select("h1", "h2", "first").join(shared, ["h1", "h2"]).select("first.*")
 
     # Their words, in the documents where they stand first.
     wanted = near.groupBy(F.col("doc_id").alias("w_doc"), F.col("row").alias("w_row")).agg(F.collect_set("line_no").alias("numbers"))
     at = rows.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
     split = F.split("text", "\n", -1)
     texts = at.select("doc_id", "row", F.explode("numbers").alias("line_no"), split.alias("split")).select(*PLACE, F.element_at("split", F.col("line_no") + 1).alias("line"))
-    lines = written(texts.select(F.struct(*PLACE).alias("place"), words_of(F.col("line")).alias("words")), "near-lines")
+    lines = written(texts.select(F.struct(*PLACE).alias("place"), words_in(F.col("line")).alias("words")), "near-lines")
 
     # Variants: (key, length, place left out), 0 for none.
     word = lines.select("place", F.posexplode("words").alias("i", "word")).withColumn("own", F.xxhash64("word", "i")).withColumn("moved", F.xxhash64("word", F.col("i") - 1))
@@ -130,11 +136,12 @@ def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int
     cuts = repeated_lines(rows.select("d.doc_id", "d.text", "row"), min_words, fuzzy_words)
     cuts = cuts.groupBy(F.col("doc_id").alias("cut_doc"), F.col("row").alias("cut_row")).agg(F.collect_set("line_no").alias("cut_lines"))
     joined = rows.join(cuts, F.col("d.doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("row") == F.col("cut_row")), "left")
-    split = F.split("d.text", "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("cut_lines"))
-    kept = F.array_join(F.transform(numbers, lambda i: F.element_at(split, i + 1)), "\n")
+    # The split lines are a column of their own: within a function of lines they would be split again for each line.
+    joined = joined.withColumn("split", F.split("d.text", "\n", -1))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("cut_lines"))
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("split", i)), "\n")
     text = F.when(F.col("cut_lines").isNull(), F.col("d.text")).otherwise(kept)
-    n_lines = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.size(split))
+    n_lines = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.size("split"))
     report = F.struct(n_lines.alias("n_lines"), F.when(F.col("cut_lines").isNull(), F.lit(0)).otherwise(F.size("cut_lines")).alias("n_removed"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], report.alias("lines_report"))
 
