@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.config import COLORS
 from linkloom.functions.fuzzy import indel_ratio, wratio
 from linkloom.functions.text import normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list, strip_accents
 from linkloom.jobs.views import Views, ctes
@@ -73,14 +74,14 @@ def rec(with_: str) -> str:
 
 # Columns: text, names, lists, colours
 
-@query("text_normalized", rf"select doc_id, {norm('substr(text, 1, 2000000)')} as norm_text from documents where lang in ('en', 'fr', 'es')")
+@query("text_normalized", f"select doc_id, {norm('text')} as norm_text from documents")
 def _(v):
-    return v.table("documents").where("lang in ('en', 'fr', 'es')").select("doc_id", normalize_text(F.col("text")).alias("norm_text"))
+    return v.table("documents").select("doc_id", normalize_text(F.col("text")).alias("norm_text"))
 
 
-@query("accents_stripped", "select lang, count(*) as n, sum(length(strip_accents(text)))::bigint as letters from documents where lang <> 'de' group by lang")
+@query("accents_stripped", "select lang, count(*) as n, sum(length(strip_accents(text)))::bigint as letters from documents group by lang")
 def _(v):
-    return v.table("documents").where("lang <> 'de'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip_accents(F.col("text"))).cast("long")).alias("letters"))
+    return v.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip_accents(F.col("text"))).cast("long")).alias("letters"))
 
 
 @query("authors_parsed", f"{ctes('catalog')} select book_id, {surname('author')} as surname, array_to_string({initials('author')}, ' ') as initials from catalog")
@@ -89,11 +90,9 @@ def _(v):
     return v.derived("catalog").select("book_id", name["surname"].alias("surname"), F.array_join(name["initials"], " ").alias("initials"))
 
 
-@query("colors_folded", """select p_partkey, case split_part(p_name, ' ', 1) when 'red' then 'red' when 'blue' then 'blue' when 'green' then 'green' when 'black' then 'black' when 'white' then 'white' end as color
-  from part where split_part(p_name, ' ', 1) in ('red', 'blue', 'green', 'black', 'white', 'small', 'large', 'hot', 'cold')""")
+@query("colors_folded", f"select p_partkey, list_filter(list_reverse(string_split(lower(p_name), ' ')), lambda w: w in {COLORS})[1] as color from part")
 def _(v):
-    known = v.table("part").where("split_part(p_name, ' ', 1) in ('red', 'blue', 'green', 'black', 'white', 'small', 'large', 'hot', 'cold')")
-    return known.select("p_partkey", normalize_spine_color(F.col("p_name")).alias("color"))
+    return v.table("part").select("p_partkey", normalize_spine_color(F.col("p_name")).alias("color"))
 
 
 @query("catalog_fields", """select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' | |' || p_type, '|'), lambda x: trim(x)), lambda x: x <> ''), '/') as items,
@@ -120,13 +119,13 @@ def _(v):
 
 # Scores and matches
 
-PAIRS = f"""{rec(ctes('catalog', 'reads'))}, pairs as (select distinct {norm('r.title')} as a, {norm('c.title')} as b from reads r join catalog c on c.book_id % 50 = r.read_id % 50 where trim(r.title) <> '')"""
+PAIRS = f"""{rec(ctes('catalog', 'reads'))}, pairs as (select distinct {norm('r.title')} as a, {norm('c.title')} as b from (select distinct title from reads where trim(title) <> '') r join (select distinct title from catalog) c on left({norm('r.title')}, 1) = left({norm('c.title')}, 1))"""
 
 
 def title_pairs(v: Views) -> DataFrame:
-    reads = v.derived("reads").where("trim(title) <> ''").select(normalize_text(F.col("title")).alias("a"), (F.col("read_id") % 50).alias("k"))
-    rows = v.derived("catalog").select(normalize_text(F.col("title")).alias("b"), (F.col("book_id") % 50).alias("k"))
-    return reads.distinct().join(rows.distinct(), "k").select("a", "b").distinct()
+    """Distinct titles of reads and of the catalog that begin alike."""
+    one = lambda df, c: df.select(normalize_text(F.col("title")).alias(c)).distinct().withColumn("k", F.substring(c, 1, 1))
+    return one(v.derived("reads").where("trim(title) <> ''"), "a").join(one(v.derived("catalog"), "b"), "k").select("a", "b")
 
 
 @query("indel_ratios", f"{PAIRS}, {LCS} select a, b, round(q, 6) as ratio from ratio")
@@ -306,11 +305,11 @@ def _(v):
     return L.confirmed_entries(L.checked_actions(v.derived("actions"), v.derived("catalog"))).select("book_id", "custom_title", "source_detection_id")
 
 
-@query("library_edited", f"""{ctes('library', 'actions')}, e as (select action_id * 2 // 3 as entry_id, case action when 'discard' then 'delete' else 'edit' end as kind, 'Edit ' || action_id as t, ts from actions where action_id % 7 = 0),
+@query("library_edited", f"""{ctes('library', 'actions')}, e as (select action_id * 2 // 3 as entry_id, case action when 'discard' then 'delete' else 'edit' end as kind, 'Edit ' || action_id as t, ts from actions),
   l as (select entry_id, arg_max(t, ts) as t from e where kind = 'edit' group by 1)
   select entry_id, coalesce(l.t, custom_title) as custom_title from library left join l using (entry_id) where entry_id not in (select entry_id from e where kind = 'delete')""")
 def _(v):
-    edits = v.derived("actions").where("action_id % 7 = 0").select(F.expr("action_id * 2 div 3").alias("entry_id"), F.when(F.col("action") == "discard", "delete").otherwise("edit").alias("kind"), F.concat(F.lit("Edit "), F.col("action_id").cast("string")).alias("custom_title"), F.lit("").alias("custom_author"), "ts")
+    edits = v.derived("actions").select(F.expr("action_id * 2 div 3").alias("entry_id"), F.when(F.col("action") == "discard", "delete").otherwise("edit").alias("kind"), F.concat(F.lit("Edit "), F.col("action_id").cast("string")).alias("custom_title"), F.lit("").alias("custom_author"), "ts")
     return L.edit_library(v.derived("library"), edits).select("entry_id", "custom_title")
 
 
@@ -346,12 +345,12 @@ def _(v):
     return scan_documents(v.table("orders").select(F.col("o_orderkey").alias("scan_id")), v.derived("detections")).select("scan_id", "n_detections")
 
 
-@query("catalog_upserted", f"""{ctes('catalog')}, n as (select * replace (case when book_id % 2 = 0 then title else title || ' II' end as title, 'New' as series) from catalog where book_id % 3 = 0),
+@query("catalog_upserted", f"""{ctes('catalog')}, n as (select * replace (case when book_id % 2 = 0 then title else title || ' II' end as title, 'New' as series) from catalog),
   k as (select {norm('title')} as t, {norm('author')} as a, year, count(*) over (partition by {norm('title')}, {norm('author')}, year) as c from n)
   select (select count(*) from catalog) + (select count(*) from k where not exists (select 1 from catalog c where {norm('c.title')} = k.t and {norm('c.author')} = k.a and c.year = k.year)) as n_rows, (select count(*) from n) as n_new""")
 def _(v):
     catalog = v.derived("catalog")
-    incoming = catalog.where("book_id % 3 = 0").withColumn("title", F.when(F.col("book_id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" II")))).withColumn("series", F.lit("New"))
+    incoming = catalog.withColumn("title", F.when(F.col("book_id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" II")))).withColumn("series", F.lit("New"))
     return upsert_catalog(catalog, incoming).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("series") == "New").alias("n_new"))
 
 
@@ -418,20 +417,19 @@ def _(v):
     return R.audit_editions(v.table("part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (1950 + F.col("p_size")).alias("year")))
 
 
-@query("audit_alt_titles", f"with c as (select p_partkey as book_id, p_name as title, 'The ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 2) as a from part where p_partkey % 10 = 0), t as (select book_id as other_id, {norm('title')} as k from c union all select -1, 'ring ring') select book_id, a as alt_title, other_id from c join t on {norm('a')} = k where book_id <> other_id")
+@query("audit_alt_titles", f"with c as (select p_partkey as book_id, p_name as title, 'The ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 2) as a from part), t as (select book_id as other_id, {norm('title')} as k from c union all select -1, 'ring ring') select book_id, a as alt_title, other_id from c join t on {norm('a')} = k where book_id <> other_id")
 def _(v):
     second = F.split_part("p_name", F.lit(" "), F.lit(2))
-    rows = v.table("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("The "), second, F.lit(" "), second)).alias("alt_titles"))
+    rows = v.table("part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("The "), second, F.lit(" "), second)).alias("alt_titles"))
     extra = v.table("region").select(F.lit(-1).cast("long").alias("book_id"), F.lit("ring ring").alias("title"), F.array().cast("array<string>").alias("alt_titles")).distinct()
     return R.audit_alt_titles(rows.unionAll(extra))
 
 
-@query("audit_substring_titles", f"""with t as (select distinct {norm(norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')"))} as t from documents), u as (select distinct {norm("regexp_replace(substr(text, 1, 60), '[^ ]*$', '')")} as t from documents), w as (select t, list_distinct(string_split(t, ' ')) as ws from t where t <> ''), p as (select distinct {norm("split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2)")} as t from u where split_part(t, ' ', 2) <> ''), s as (select * from w union select t, list_distinct(string_split(t, ' ')) from p)
-  select a.t as title_in, b.t as title_of from s a join s b on len(a.ws) < len(b.ws) and list_has_all(b.ws, a.ws)""")
+@query("audit_substring_titles", f"""with p as (select p_name as t from part union select p_type || ' ' || p_name from part union select split_part(p_name, ' ', 2) || ' ' || p_brand from part), t as (select distinct {norm('t')} as t from p),
+  s as (select t, list_distinct(string_split(t, ' ')) as ws from t where t <> '') select a.t as title_in, b.t as title_of from s a join s b on len(a.ws) < len(b.ws) and list_has_all(b.ws, a.ws)""")
 def _(v):
-    t = v.table("documents").select(normalize_text(F.regexp_replace(F.substring("text", 1, 60), "[^ ]*$", "")).alias("title")).where("title <> ''").distinct()
-    two = t.where("split_part(title, ' ', 2) <> ''").select(F.concat(F.split_part("title", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("title", F.lit(" "), F.lit(2))).alias("title"))
-    return R.audit_substring_titles(t.union(two))
+    part, kinds = v.table("part"), ("p_name", "concat(p_type, ' ', p_name)", "concat(split_part(p_name, ' ', 2), ' ', p_brand)")
+    return R.audit_substring_titles(part.select(F.explode(F.array(*map(F.expr, kinds))).alias("title")))
 
 
 @query("audit_author_variants", f"with c as (select case when p_partkey % 2 = 0 then p_brand else replace(p_brand, '#', '. ') end as author from part) select {surname('author')} as surname, array_to_string({initials('author')}, ' ') as initials, count(distinct author) as n_forms, array_to_string(list_sort(list_distinct(list(author))), '; ') as forms from c group by 1, 2 having count(distinct author) > 1")
@@ -446,10 +444,10 @@ def _(v):
     return R.check_hexes(v.table("part").select(F.col("p_partkey").alias("book_id"), F.when(F.col("p_partkey") % 3 == 0, hexes).otherwise(F.concat(F.lit("#"), F.upper(hexes))).alias("spine_hex")))
 
 
-@query("catalog_coverage", f"""{ctes('catalog')}, e as (select title || case when book_id % 5 = 0 then ' lost' else '' end as title, case when book_id % 7 = 0 then 'Nobody' else author end as author, spine_color, spine_hex from catalog where book_id % 3 = 0),
+@query("catalog_coverage", f"""{ctes('catalog')}, e as (select title || case when book_id % 5 = 0 then ' lost' else '' end as title, case when book_id % 7 = 0 then 'Nobody' else author end as author, spine_color, spine_hex from catalog),
   j as (select e.title, c.author is not null as there, coalesce(c.author = e.author and c.spine_color = e.spine_color and c.spine_hex = e.spine_hex, false) as ok from e left join catalog c on {norm('c.title')} = {norm('e.title')})
   select title, case when bool_or(there) then 'differs' else 'missing' end as problem from j group by 1 having not bool_or(ok)""")
 def _(v):
     catalog = v.derived("catalog")
-    expected = catalog.where("book_id % 3 = 0").withColumn("title", F.when(F.col("book_id") % 5 == 0, F.concat("title", F.lit(" lost"))).otherwise(F.col("title"))).withColumn("author", F.when(F.col("book_id") % 7 == 0, "Nobody").otherwise(F.col("author")))
+    expected = catalog.withColumn("title", F.when(F.col("book_id") % 5 == 0, F.concat("title", F.lit(" lost"))).otherwise(F.col("title"))).withColumn("author", F.when(F.col("book_id") % 7 == 0, "Nobody").otherwise(F.col("author")))
     return R.catalog_coverage(expected.select("title", "author", "spine_color", "spine_hex"), catalog)

@@ -53,7 +53,7 @@ ACTIONS = """select event_id as action_id, event_id div 3 as detection_id,
 LIBRARY = """select event_id as entry_id, case when event_id % 11 > 0 then event_id % 2500 end as book_id,
     case when event_id % 22 = 0 then concat('Own ', cast(event_id as string)) else '' end as custom_title, '' as custom_author,
     event_id * 2 as source_detection_id, ts as created_at
-  from {events} where event_id % 2 = 0"""
+  from {events}"""
 #: Raw model text of each order's lines: fenced, wrapped in prose or broken off, by key.
 RESPONSES = """select l_orderkey as scan_id, cast(count(*) + 1 as int) as n_crops, l_orderkey % 19 = 0 as call_failed, l_orderkey % 51 = 0 as repair_failed,
     case when l_orderkey % 17 = 0 then concat('[', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','))
