@@ -174,6 +174,19 @@ def _(v):
     return rounded(M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio"))
 
 
+SHOWN = MATCHED.replace("select * from out", """, near as (select reads.read_id, reads.spine_color as rc, k.book_id, k.s, k.k, b.s1, b.s1 - b.s2 as lead, c.spine_color as cc from reads join r on r.read_id = reads.read_id
+  join ranked k on k.nt = r.nt and k.na is not distinct from r.na and k.k <= 3 join best b on b.nt = r.nt and b.na is not distinct from r.na join catalog c on c.book_id = k.book_id),
+  t as (select read_id, any_value(s1) as s1, any_value(lead) as lead, count_if(s1 - s <= 0.05) as tied, count_if(s1 - s <= 0.05 and cc = rc) as same, max(case when s1 - s <= 0.05 and cc = rc then book_id end) as colored, max(case when k = 1 then book_id end) as leader from near group by 1)
+  select read_id, case when s1 >= 0.55 and lead <= 0.05 and tied >= 2 and same = 1 then colored else leader end as shown_book from t""").replace("chosen_book\n  from", "chosen_book from").replace("best.na is not distinct from r.na)\n,", "best.na is not distinct from r.na),")
+
+
+@query("match_shown", SHOWN)
+def _(v):
+    """The candidate that is shown first, near-ties settled by colour."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio")
+    return found.where("trim(title) <> ''").select("read_id", F.get("candidates", F.lit(0))["book_id"].alias("shown_book"))
+
+
 @query("match_auto_blocked")
 def _(v):
     """Automatic matches found through blocks of like surnames."""

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.config import MatchConfig
-from linkloom.operators.lifecycle import route_reads
+from linkloom.operators.lifecycle import auto_confirm, checked_actions, retried, route_reads
 from linkloom.operators.matching import match_reads
 
 BOOK = "book_id long, title string, author string, alt_titles array<string>, year int, series string, spine_color string"
@@ -87,3 +87,14 @@ def test_routing(spark):
     got = {r["read_id"]: r for r in route_reads(reads, catalog(spark, DUNE[0])).collect()}
     assert [got[i]["status"] for i in range(1, 7)] == ["auto_added", "unreadable", "failed", "discarded", "discarded", "needs_review"]
     assert got[4]["spine_color"] == "blue" and got[5]["title"] == "Dune" and got[4]["candidates"] == []
+
+
+def test_retry(spark):
+    """A crop with a picture is read and matched again; one without is refused."""
+    actions = spark.createDataFrame([(1, 10, "retry", True), (2, 11, "retry", False)], "action_id long, detection_id long, action string, has_crop boolean").withColumns({c: F.lit(None).cast("string") for c in ("custom_title", "custom_author")}).withColumn("book_id", F.lit(None).cast("long"))
+    cat = catalog(spark, DUNE[0])
+    detections = spark.createDataFrame([(10, 1, None), (11, 1, None)], "detection_id long, scan_id long, created_at timestamp")
+    reads = spark.createDataFrame([(i, "Dune", "Frank Herbert", None, True, False, "ok") for i in (10, 11)], "detection_id long, title string, author string, spine_color string, readable boolean, not_a_book boolean, status string")
+    got = retried(detections, checked_actions(actions, cat), reads, cat)
+    assert [(r["detection_id"], r["status"], r["chosen_book"]) for r in got.collect()] == [(10, "auto_added", 1)]
+    assert auto_confirm(got).count() == 1
