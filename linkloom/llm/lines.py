@@ -77,11 +77,11 @@ def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFra
     first = written(first, "first")
     again = every.select(*PLACE, "h1", "h2").join(first.where("times > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct(*PLACE) != F.col("first")).select(*PLACE)
 
-    # Distinct lines that share a half with another.
-    half = first.where("half1 is not null").select("h1", "h2", F.explode(F.array(*HALVES)).alias("half"))
-    both = half.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
-    shared = half.join(both, "half").select("h1", "h2").distinct()
-    near = first.select("h1", "h2", "first").join(shared, ["h1", "h2"]).select("first.*")
+    # Distinct lines that share a half with another. A line's own four keys differ, so a key that comes twice is shared.
+    half = first.where("half1 is not null").select("h1", F.explode(F.array(*HALVES)).alias("half"))
+    both = half.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
+    shared = half.join(both, "half").select("h1").distinct()
+    near = first.select("h1", "first").join(shared, "h1").select("first.*")
 
     # Their words, in the documents where they stand first.
     wanted = near.groupBy(F.col("doc_id").alias("w_doc"), F.col("row").alias("w_row")).agg(F.collect_set("line_no").alias("numbers"))
@@ -99,7 +99,9 @@ def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFra
     left_out = F.struct(without.alias("key"), (F.col("n") - 1).alias("length"), (F.col("i") + 1).alias("out"))
     itself = F.struct(F.col("all_own").alias("key"), F.col("n").alias("length"), F.lit(0).alias("out"))
     variants = run.select("place", F.explode(F.when(F.col("i") == 0, F.array(left_out, itself)).otherwise(F.array(left_out))).alias("v")).select("place", "v.*")
-    variants = written(variants, "variants")
+    # Most variants are nobody else's; only the others are compared.
+    twice = variants.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
+    variants = written(variants.join(twice, "key"), "variants")
 
     same_out = variants.groupBy("key", "length", "out").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     is_it = F.when(F.col("out") == 0, F.col("least"))
