@@ -173,7 +173,7 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, families=IDENTITY_TERMS, l1: float = 2e-3, fairness: float = 1.0, rounds: int = 150) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, families=IDENTITY_TERMS, l1: float = 5e-4, fairness: float = 1.0, rounds: int = 200) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     marked = plain(labels, ["doc_id", "toxic"]).where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Those with the least hashes, by class: a bounded list of ids, then their texts.
