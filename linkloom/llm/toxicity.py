@@ -44,6 +44,8 @@ IDENTITY_TERMS = (
 )
 SPACE = 2**18
 MAX_ROWS = 20_000
+#: Standard deviations from chance at which a word may get a weight.
+SCREEN = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -89,7 +91,8 @@ def examples(rows: DataFrame, families: tuple[tuple[str, ...], ...]) -> DataFram
 def fit(items: list[np.ndarray], toxic: np.ndarray, pairs: np.ndarray, l1: float, fairness: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, intercept) by accelerated proximal gradient steps.
 
-    Features seen in fewer than 3 documents are left out. ``pairs``: rows of (term, other term).
+    Features seen in fewer than 3 documents are left out, and those whose count in toxic documents lies
+    within SCREEN standard deviations of what chance gives. ``pairs``: rows of (term, other term).
     The gradient's Lipschitz constant is bounded feature by feature, so steps are diagonal.
     """
     share = float(toxic.mean()) if len(toxic) else 0.5
@@ -99,7 +102,9 @@ def fit(items: list[np.ndarray], toxic: np.ndarray, pairs: np.ndarray, l1: float
     flat = np.concatenate(items)
     row = np.repeat(np.arange(len(items)), [len(x) for x in items])
     df = np.bincount(flat, minlength=SPACE)
-    known = np.flatnonzero(df >= 3)
+    times = np.bincount(flat, np.repeat(toxic, [len(x) for x in items]), minlength=SPACE)
+    apart = np.abs(times - share * df) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    known = np.flatnonzero((df >= 3) & (apart >= SCREEN))
     if not len(known):
         return none
     place = np.full(SPACE + 1, -1)
@@ -163,8 +168,7 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                 if len(known) > 500_000:
                     known.clear()
                 words = set(WORD.findall((text.as_py() or "").lower()))
-                new = words - known.keys()
-                known.update((w, weight.get(feature(w), 0.0)) for w in new)
+                known.update([(w, weight.get(feature(w), 0.0)) for w in words if w not in known])
                 # A feature counts once, as in training; words that share one are rare and carry weight only if it has any.
                 z.append(start + sum({feature(w): x for w in words if (x := known[w])}.values()))
             score = 1 / (1 + np.exp(-np.clip(np.asarray(z, float), -700, 700)))
