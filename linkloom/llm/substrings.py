@@ -1,11 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends);
-a sentence of more than ``LONG`` words is cut further after words picked by a hash of the word
-itself, so that the same passage is cut alike wherever it stands. Every run of ``run`` sentences
-with at least ``min_words`` words is hashed (lower-cased, white space made even). The first
-place of a hash is the least (doc_id, position); every sentence covered by a run that stands at
-any other place goes.
+a sentence of more than ``PART`` words is cut further, after the word with the least hash of every
+``PART`` words in a row, so that no part is longer and the same passage is cut alike wherever it
+stands. From every sentence on, the shortest run of at least ``run`` sentences and ``min_words``
+words is hashed (lower-cased, white space made even), and likewise the shortest that ends with it.
+The first place of a hash is the least (doc_id, position); every sentence covered by a run that
+stands at any other place goes.
+
+Any passage of ``4 * PART + 1`` words that stands twice has a run in common: its first and last cut
+in common are at most ``PART`` words from its ends, so three parts at least lie between them.
 
 Repeats within a document are settled in the task that reads it, so each document sends a hash
 once. First places come from one aggregation with partial sums; the join back is a plain
@@ -31,10 +35,10 @@ from pyspark.sql import functions as F
 from linkloom.llm.minhash import mixed
 from linkloom.llm.shared import held, plain, table, written
 
-#: Sentences of a run, and the words it must have.
+#: Sentences of a run, and the words it must have; both at least.
 RUN, MIN_WORDS = 3, 12
-#: Words beyond which a sentence is cut further, on average after every CUT words.
-LONG, CUT = 40, 16
+#: Words beyond which a sentence is cut further; no part has more.
+PART = 12
 END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 WORD = re.compile(r"\S+")
 
@@ -45,24 +49,52 @@ def sentences(text: str) -> list[tuple[int, int]]:
     for m in [*END.finditer(text), None]:
         end = m.start() if m else len(text)
         if text[at:end].strip():
-            out += parts(text, at, end) if end - at > 2 * LONG else [(at, end)]
+            out += parts(text, at, end) if end - at > 2 * PART else [(at, end)]
         at = m.end() if m else end
     return out
 
 
 def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     words = list(WORD.finditer(text, start, end))
-    if len(words) <= LONG:
+    if len(words) <= PART:
         return [(start, end)]
     out, at = [], start
-    for m in words[:-1]:
-        if zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % CUT == 0:
-            out.append((at, m.end()))
-            at = m.end()
+    for i in cuts([zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in words]):
+        if i < len(words) - 1:
+            out.append((at, words[i].end()))
+            at = words[i].end()
     return [*out, (at, end)]
 
 
-SPANS = "h long, doc_id long, pos int, start int, end int, n_words int, again boolean"
+def cuts(h: list[int]) -> list[int]:
+    """Places of the least value of every ``PART`` in a row, the last of equal ones."""
+    out, least = [], -1
+    for i in range(PART - 1, len(h)):
+        if least > i - PART and h[i] > h[least]:
+            continue
+        if least > i - PART:
+            least = i
+        else:
+            least = min(range(i, i - PART, -1), key=h.__getitem__)
+        out.append(least)
+    return out
+
+
+def runs_of(words: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of the shortest runs from each sentence on, and up to each."""
+    n, upto = len(words), np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(n + 1)
+    behind = np.maximum(at + run, np.searchsorted(upto, upto + min_words))
+    first = np.minimum(at - run, np.searchsorted(upto, upto - min_words, "right") - 1)
+    a, b = at[behind <= n], at[first >= 0]
+    both = np.unique(np.concatenate([a * (n + 1) + behind[a], first[b] * (n + 1) + b]))
+    return both // (n + 1), both % (n + 1) - 1
+
+
+SPANS = "h long, doc_id long, pos int, last int, start int, end int, again boolean"
+#: An odd factor of the rolling hash of runs, and its inverse.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
@@ -76,47 +108,51 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 at = sentences(text)
-                n = len(at) - run + 1
-                if doc_id is None or n < 1:
+                n = len(at)
+                if doc_id is None or n < run:
                     continue
                 split = [text[a:b].lower().split() for a, b in at]
                 h = np.fromiter((xxh64_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in split), np.uint64, len(split))
                 w = np.fromiter(map(len, split), np.int64, len(split))
-                key, words = np.full(n, run, np.uint64), np.zeros(n, np.int64)
-                for i in range(run):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
-                    words += w[i : n + i]
-                pos = np.flatnonzero(words >= min_words)
-                key = key[pos].view(np.int64)
+                pos, last = runs_of(w, run, min_words)
+                powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h) * powers(FACTOR)[:n])])
+                key = mixed((upto[last + 1] - upto[pos]) * powers(INVERSE)[pos] + (last - pos + 1).astype(np.uint64)).view(np.int64)
                 again = np.ones(len(pos), bool)
                 again[np.unique(key, return_index=True)[1]] = False
                 span = np.asarray(at, np.int32)
-                for c, x in zip(cols, (key, np.full(len(pos), doc_id), pos.astype(np.int32), span[pos, 0], span[pos + run - 1, 1], words[pos].astype(np.int32), again), strict=True):
+                for c, x in zip(cols, (key, np.full(len(pos), doc_id), pos.astype(np.int32), last.astype(np.int32), span[pos, 0], span[last, 1], again), strict=True):
                     c.append(x)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], names=["h", "doc_id", "pos", "start", "end", "n_words", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], names=["h", "doc_id", "pos", "last", "start", "end", "again"])
 
     return plain(docs, ["doc_id", "text"]).mapInArrow(work, SPANS)
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs that stand elsewhere first: doc_id, pos, start, end, first_doc_id."""
+    """Runs that stand elsewhere first: doc_id, pos, last, start, end, first_doc_id."""
     found = written(spans(docs, run, min_words), "spans")
-    first = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("l")).where("first_doc_id < l").select("h", "first_doc_id")
-    elsewhere = found.join(first, "h").where("doc_id > first_doc_id")
+    # The join carries a run's place as two numbers; rows of eight-byte fields take half as much again.
+    low = F.lit(0xFFFFFFFF)
+    two = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    sent = found.select("h", "doc_id", two(F.col("pos"), F.col("start")).alias("a"), two(F.col("last"), F.col("end")).alias("b"))
+    first = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
+    hits = sent.join(first, "h").where("doc_id > first_doc_id")
+    parted = lambda c: [F.shiftright(c, 32).cast("int"), F.col(c).bitwiseAND(low).cast("int")]
+    (pos, start), (last, end) = parted("a"), parted("b")
+    elsewhere = hits.select("doc_id", pos.alias("pos"), last.alias("last"), start.alias("start"), end.alias("end"), "first_doc_id")
     within = found.where("again").withColumn("first_doc_id", F.col("doc_id"))
-    columns = ["doc_id", "pos", "start", "end", "first_doc_id"]
-    return elsewhere.select(columns).unionAll(within.select(columns))
+    return elsewhere.unionAll(within.select(elsewhere.columns))
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """Maximal spans of sentences to remove: doc_id, first_sentence, last_sentence, start, end, first_doc_id (the least that has a part of it)."""
-    runs = repeated_runs(docs, run, min_words).groupBy("doc_id", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+    runs = repeated_runs(docs, run, min_words).groupBy("doc_id", "pos").agg(F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     order = W.partitionBy("doc_id").orderBy("pos")
-    fresh = F.coalesce(F.col("pos") > F.lag("pos").over(order) + run, F.lit(True))
+    fresh = F.coalesce(F.col("pos") > F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
     runs = runs.withColumn("island", F.sum(fresh.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     joined = runs.groupBy("doc_id", "island").agg(
-        F.min("pos").alias("first_sentence"), (F.max("pos") + run - 1).alias("last_sentence"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")
+        F.min("pos").alias("first_sentence"), F.max("last").alias("last_sentence"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")
     )
     return joined.drop("island")
 

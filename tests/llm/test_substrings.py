@@ -1,4 +1,4 @@
-from linkloom.llm.substrings import RUN, repeated_spans, sentences, without_repeats
+from linkloom.llm.substrings import PART, RUN, repeated_spans, sentences, without_repeats
 from tests.llm.conftest import ODD, prose
 
 
@@ -45,3 +45,23 @@ def test_odd_tables(make):
     assert repeated_spans(docs.limit(0)).count() == 0
     same = make(*[(1, "One two three four five. Six seven eight nine. Ten eleven twelve thirteen.")] * 2)
     assert repeated_spans(same).count() == 0
+
+
+def test_every_passage_of_51_words_is_found(make, rnd):
+    """Against a brute force of 51-word windows: each that stands in an earlier document too loses words."""
+    fresh = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 10**6)}" for _ in range(n)]
+
+    def told(lengths, end=". "):
+        return end.join(" ".join(fresh(n)) for n in lengths)
+
+    passages = [told([30, 30]) + ".", told([32, 32, 2, 3]), told([7, 5, 30, 27]), told([51]), told([1] * 51, "\n"), told([2] * 26, "\n"), told([11] * 5), told([1, 9, 1, 1] * 5), " ".join(["same"] * 60)]
+    passages += [told([rnd.choice([1, 2, 3, 8, 11, 12, 25, 40]) for _ in range(30)]) for _ in range(15)]
+    passages += [told([51]) for _ in range(15)]
+    around = lambda p: " ".join(fresh(rnd.randint(0, 14))) + " " + p + " " + " ".join(fresh(rnd.randint(0, 14)))
+    docs = [(i + 1000 * k, around(p)) for k in range(2) for i, p in enumerate(passages)]
+    left = {r["doc_id"]: r["text"] for r in without_repeats(make(*docs)).collect()}
+    windows = lambda t: {tuple(t[i : i + 51]) for i in range(len(t) - 50)}
+    assert all(windows(dict(docs)[i + 1000].split()) & windows(dict(docs)[i].split()) for i in range(len(passages)))
+    missed = [i for i in range(len(passages)) if windows(left[i + 1000].split()) & windows(left[i].split())]
+    # Of a passage at most PART words at either end stay.
+    assert not missed and all(len(left[i + 1000].split()) <= 2 * 14 + 2 * PART for i in range(len(passages)))
