@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, then a random forest that removes false positives.
 
-A candidate is a run of at least ``MIN_LENGTH`` key characters inside a word, long words and
-numbers included. What the forest sees of it:
+A word is split at ``= : " ' ? & @`` and the like, so that a name becomes the neighbour of its
+value. Candidates are all runs of at least ``MIN_LENGTH`` key characters in each piece, long words
+and numbers included; a value assigned to an announcing name, or a password before ``@``, is one
+whole candidate from ``MIN_VALUE`` characters on. What the forest sees of a candidate:
 
 * its length, its shares of digits and capitals, how many different characters it has;
 * character transitions: the mean log probability of its character pairs under a model counted
@@ -9,7 +11,8 @@ numbers included. What the forest sees of it:
 * dictionary coverage: the share of its characters that belong to words frequent in the corpus;
 * the path it was found under, and the words before and after it, both as known cues and hashed.
 
-The forest learns from labelled findings ``(doc_id, word_no, label)``. All steps are DataFrame
+The forest learns from labelled findings ``(doc_id, word_no, label)``, which label all candidates
+of the word, or ``(doc_id, word_no, run_no, label)``. All steps are DataFrame
 functions and Spark's own forest. The corpus model is two aggregations: distinct words with
 their counts, and from these a table of at most 28 x 28 transitions, which is broadcast.
 
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.shared import plain, table, words_of, written
 
-MIN_LENGTH = 16
+MIN_LENGTH, MIN_VALUE = 16, 6
 KEY = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}={{0,2}}"
+#: What separates pieces of a word, and a piece with its base64 padding, if any, and the separators behind it.
+APART = r"=:\"'?&@,;(){}\[\]<>"
+PIECE = rf"([^{APART}]+(?:={{1,2}}(?=$|[\"']?(?:$|[,;&)}}\]])))?)([{APART}]*)"
 #: Occurrences from which a word of the corpus is in the dictionary.
 DICTIONARY_COUNT = 5
 #: Words that announce a secret, and words that announce something harmless.
@@ -35,19 +41,45 @@ ANNOUNCE = "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|p
 HARMLESS = "example|sample|dummy|placeholder|test|sha|commit|md5|checksum|digest|uuid|version|revision|card|isbn"
 TREES, DEPTH, HASHED = 20, 6, 16
 
-PLACE = ["doc_id", "word_no"]
+WORD_PLACE = ["doc_id", "word_no"]
+PLACE = [*WORD_PLACE, "run_no"]
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, word_no, candidate, word, path, and the two words before and the one after, lower-cased."""
+    """doc_id, word_no, run_no, candidate, word (its piece), path, and the two pieces before and the one after, lower-cased."""
     d = docs.select("doc_id", F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"), words_of(F.col("text")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    fits = lambda i: (F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(KEY)
+    # A value may stand in the word of its name, or up to two words behind it.
+    near = lambda i: F.lower(F.concat(word(i - 2), word(i - 1), word(i)))
+    value = lambda i: (F.length(word(i)) >= MIN_VALUE) & near(i).rlike("[=:]") & near(i).rlike(f"{ANNOUNCE}|:[^:]*@")
+    fits = lambda i: ((F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(KEY)) | value(i)
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)
-    found = F.transform(F.when(F.size("words") > 0, at), lambda i: F.struct(i.alias("word_no"), word(i).alias("word"), F.lower(word(i - 1)).alias("before"), F.lower(word(i - 2)).alias("before2"), F.lower(word(i + 1)).alias("after")))
-    d = d.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*")
-    d = d.withColumn("candidate", F.regexp_extract("word", f"({KEY})", 1))
-    return d.dropDuplicates(PLACE)
+    found = F.transform(F.when(F.size("words") > 0, at), lambda i: F.struct(i.alias("word_no"), word(i).alias("whole"), F.lower(word(i - 1)).alias("b1"), F.lower(word(i - 2)).alias("b2"), F.lower(word(i + 1)).alias("a1")))
+    d = d.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*").dropDuplicates(WORD_PLACE)
+
+    # The pieces of a word, each with the sign of an assignment that follows it.
+    sign = lambda c: F.when(c.rlike("[=:]"), F.lit("=")).otherwise(F.lit(""))
+    raw = F.regexp_extract_all("whole", F.lit(PIECE), F.lit(0))
+    pieces = F.transform(raw, lambda x: F.struct(F.regexp_extract(x, PIECE, 1).alias("piece"), F.regexp_extract(x, PIECE, 2).alias("sep")))
+    lead = sign(F.regexp_extract("whole", f"^[{APART}]*", 0))
+    d = d.withColumn("lead", lead).withColumn("pieces", pieces).select("*", F.posexplode("pieces").alias("i", "p"))
+    told = lambda x: F.lower(F.concat(x["piece"], sign(x["sep"])))
+    own = lambda i: told(F.get("pieces", i))
+    i = F.col("i")
+    # In front of the first piece stand the word before, and a leading sign as a word of its own.
+    outer = F.when(F.col("lead") == "=", F.array("lead", "b1")).otherwise(F.array("b1", "b2"))
+    before = F.when(i >= 1, own(i - 1)).otherwise(outer[0])
+    before2 = F.when(i >= 2, own(i - 2)).when(i == 1, outer[0]).otherwise(outer[1])
+    d = d.withColumn("before", before).withColumn("before2", before2).withColumn("after", F.coalesce(own(i + 1), F.col("a1")))
+    d = d.withColumn("word", F.col("p.piece"))
+    named = F.col("before").rlike("[=:]$") & (F.col("before").rlike(ANNOUNCE) | (F.col("before").rlike("^[=:>]+$") & F.col("before2").rlike(ANNOUNCE)))
+    account = F.col("p.sep").startswith("@") & F.col("before").rlike("=$") & (i >= 1)
+    plain_value = F.regexp_replace("word", r"[.!]+$", "")
+    runs = F.regexp_extract_all("word", F.lit(f"({KEY})"), F.lit(1))
+    d = d.withColumn("runs", F.when((named | account) & (F.length(plain_value) >= MIN_VALUE), F.array(plain_value)).otherwise(runs))
+    d = d.select("doc_id", "path", "word_no", "i", "word", "before", "before2", "after", F.posexplode("runs").alias("j", "candidate"))
+    # A word has fewer than 2 ** 31 runs in all, but place within it is by piece and run.
+    return d.withColumn("run_no", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("j"))).drop("i", "j")
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
@@ -105,9 +137,9 @@ NUMBERS = ["length", "digits", "capitals", "different", "hex", "flow", "coverage
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", seed: int = 5) -> DataFrame:
-    """One row per candidate: doc_id, word_no, length, sha256, score, is_secret. The secret itself isn't copied.
+    """One row per candidate: doc_id, word_no, run_no (its piece of the word, times 2 ** 32, and its place there), length, sha256, score, is_secret. The secret itself isn't copied.
 
-    ``findings``: labelled findings (doc_id, word_no, label). Without any, the unambiguous candidates
+    ``findings``: labelled findings (doc_id, word_no, label), with run_no if there is one. Without any, the unambiguous candidates
     label themselves (``plain_cases``).
     """
     from pyspark.ml.classification import RandomForestClassifier
@@ -116,10 +148,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 
     docs = plain(docs, list(dict.fromkeys(["doc_id", "text", path])))
     found = written(described(written(candidates(docs, path), "candidates"), corpus_words(docs)), "described")
-    labelled = plain_cases(found) if findings is None else plain(findings, [*PLACE, "label"])
-    labelled = written(labelled.where("label in (0, 1)").groupBy(*PLACE).agg(F.max("label").cast("double").alias("label")).join(found, PLACE), "labelled")
+    at = PLACE if findings is None or "run_no" in findings.columns else WORD_PLACE
+    labelled = plain_cases(found) if findings is None else plain(findings, [*at, "label"])
+    labelled = written(labelled.where("label in (0, 1)").groupBy(*at).agg(F.max("label").cast("double").alias("label")).join(found, at), "labelled")
     n, secret = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
-    out = [F.col("doc_id"), F.col("word_no"), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256")]
+    out = [*map(F.col, PLACE), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256")]
     if not n or secret in (0, n):
         score = F.lit(float(secret / n) if n else 0.5)
         return found.select(*out, score.alias("score"), (score >= 0.5).alias("is_secret"))

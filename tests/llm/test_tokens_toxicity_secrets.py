@@ -104,3 +104,17 @@ def test_secrets_odd(spark, make):
     assert secrets.scan(docs.limit(0)).count() == 0
     assert {r["score"] for r in secrets.scan(docs, spark.createDataFrame([], "doc_id long, word_no int, label int")).collect()} == {0.5}
     assert secrets.scan(docs.withColumn("source", F.lit(None).cast("string"))).count() == 4
+
+
+def test_every_run_of_a_word_is_a_candidate(make):
+    key, other = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "sk0123456789abcdef0123"
+    texts = [
+        f"AWS_SECRET_ACCESS_KEY={key}", f'{{"aws_secret_access_key":"{key}","api_token":"{other}"}}', f"https://api.example.com/v1/customers/list?api_key={other}",
+        "password=hunter2secret", "postgres://admin:s3cretpw@db/x", 'token = "c2VjcmV0LXZhbHVlLWJhc2U2NA=="', "password: hunter2", f"{key}.{other}",
+    ]
+    got = {}
+    for r in secrets.candidates(make(*texts)).collect():
+        got.setdefault(r["doc_id"], []).append(r["candidate"])
+    wanted = [[key], [key, other], [other], ["hunter2secret"], ["s3cretpw"], ["c2VjcmV0LXZhbHVlLWJhc2U2NA=="], ["hunter2"], [key, other]]
+    assert all(set(w) <= set(got.get(i, [])) for i, w in enumerate(wanted, 1)), got
+    assert secrets.scan(make(*texts)).select("doc_id", "word_no", "run_no").distinct().count() == sum(map(len, got.values()))
