@@ -20,8 +20,10 @@ Lines of fewer than ``min_words`` words stay; lines of fewer than ``fuzzy_words`
 equality only, since one edit would change too much of them.
 
 Defined cases: null texts stay null, empty lines stay; rows that repeat whole count as one
-document and share its fate; rows that share a doc_id are ordered by a hash of the row; an empty
-table gives an empty result; all columns of the input are kept, whatever their names.
+document and share its fate; rows that share a doc_id are ordered by a hash of the row; rows
+without a doc_id come before all others and are ordered likewise; an empty table gives an empty
+result; all columns of the input are kept, whatever their names, but for one named
+``lines_report``, which ``without_lines`` replaces (``cut_lines`` keeps it).
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFra
 
     # Their words, in the documents where they stand first.
     wanted = near.groupBy(F.col("doc_id").alias("w_doc"), F.col("row").alias("w_row")).agg(F.collect_set("line_no").alias("numbers"))
-    at = rows.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
+    at = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
     split = F.split("text", "\n", -1)
     texts = at.select("doc_id", "row", F.explode("numbers").alias("line_no"), split.alias("split")).select(*PLACE, F.element_at("split", F.col("line_no") + 1).alias("line"))
     lines = written(texts.select(F.struct(*PLACE).alias("place"), words_in(F.col("line")).alias("words")), "near-lines")
@@ -134,6 +136,12 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``; and ``n_lines``, ``n_removed`` in a struct ``lines_report``."""
+    found = cut_lines(docs, min_words, fuzzy_words)
+    return found.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "lines_report"], "lines_report")
+
+
+def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    """The same as two structs: ``d``, a row of ``docs`` as it becomes, and ``lines_report``."""
     rows = docs.select(held(docs), row_hash(docs).alias("row"))
     cuts = repeated_lines(rows.select("d.doc_id", "d.text", "row"), min_words, fuzzy_words)
     cuts = cuts.groupBy(F.col("doc_id").alias("cut_doc"), F.col("row").alias("cut_row")).agg(F.collect_set("line_no").alias("cut_lines"))
@@ -145,7 +153,8 @@ def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int
     text = F.when(F.col("cut_lines").isNull(), F.col("d.text")).otherwise(kept)
     n_lines = F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.size("split"))
     report = F.struct(n_lines.alias("n_lines"), F.when(F.col("cut_lines").isNull(), F.lit(0)).otherwise(F.size("cut_lines")).alias("n_removed"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], report.alias("lines_report"))
+    row = F.struct(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    return joined.select(row.alias("d"), report.alias("lines_report"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,16 +11,21 @@ are linked when ``100 * |A and B| >= similarity * |A or B|``. The steps:
    Pairs survive by size, then by how many minima agree (a bound that a true link misses with a
    chance of about 1e-9), then by the exact intersection of full sets. Links give components.
 4. Buckets in which several components are left are gone through in full, so no link between
-   components is lost: the exact intersections of all their sets are products of incidence
-   matrices, made in blocks of bounded size; a block returns one link for each two components
-   that have one, so no pairs are ever emitted. (Links within a component can't change anything.)
+   components is lost. (Links within a component can't change anything.) Buckets with the same
+   members count once. Blocks of bounded size meet, first by minima alone: a member goes on if
+   enough minima agree with a member of another component. What is left meets again by sets: the
+   exact intersections of all of a block are products of incidence matrices, and a block returns
+   one link for each two components that have one, so no pairs are ever emitted.
 
 With 24 bands of 4 minima, a link at 80 % misses all buckets with a chance of 3e-6, one at 90 %
 with 3e-11.
 
 Defined cases: null, empty or blank texts have no set (``n_shingles`` 0) and are linked with
-nothing; a text with fewer words than a run is one run; repeated rows belong to one class; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+nothing; a text with fewer words than a run is one run; repeated rows belong to one class; rows
+that share a doc_id are one document, which has the links of all its texts; rows without a doc_id
+can't be named, hence not linked: they are kept unless a document with a doc_id has the same set; an
+empty table gives an empty result; other columns are ignored, whatever their names
+(``without_near_copies`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.shared import plain, table, written
+from linkloom.llm.shared import held, plain, table, written
 
 BANDS, ROWS = 24, 4
 #: Members and shingles of a block of a bucket; two blocks meet in a task.
@@ -79,7 +85,7 @@ def minima(items: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1024) -
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, minima array<int>, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, minima array<int>, bands array<long>, text_hash long"
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int, seed: int) -> DataFrame:
@@ -89,20 +95,20 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, seed: int) -> D
         a, b = coefficients(bands * rows, seed)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 items = shingles(text.as_py(), words)
                 if not len(items):
-                    out.append((doc_id, 0, 0, 0, None, None))
+                    out.append((doc_id, 0, 0, 0, None, None, text_hash))
                     continue
                 least = minima(items, a, b)
                 keys = [xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - 2**63 for i in range(bands)]
                 whole = np.frombuffer(xxh128_digest(items.tobytes()), np.int64)
-                out.append((doc_id, len(items), int(whole[0]), int(whole[1]), least.view(np.int32), keys))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_shingles", "s1", "s2", "minima", "bands"])
+                out.append((doc_id, len(items), int(whole[0]), int(whole[1]), least.view(np.int32), keys, text_hash))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_shingles", "s1", "s2", "minima", "bands", "text_hash"])
 
-    return plain(docs, ["doc_id", "text"]).mapInArrow(run, SKETCH)
+    return plain(docs, ["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SKETCH)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -126,16 +132,46 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -
     return joined.mapInArrow(run, "u long, v long")
 
 
+def agreeing(similarity: int, count: int) -> int:
+    """How many of ``count`` minima of a linked pair agree, but for a chance of about 1e-9, at least."""
+    p = similarity / 100
+    return max(1, math.floor(count * p - DEVIATIONS * math.sqrt(count * p * (1 - p))))
+
+
 def similar_by_minima(pairs: DataFrame, sketch: DataFrame, similarity: int, count: int) -> DataFrame:
     """Drops pairs of which too few minima agree, or whose sizes alone rule a link out."""
-    p = similarity / 100
-    least = max(1, math.floor(count * p - DEVIATIONS * math.sqrt(count * p * (1 - p))))
+    least = agreeing(similarity, count)
     side = lambda c: sketch.select(F.col("id").alias(c), F.col("minima").alias(f"minima_{c}"), F.col("n").alias(f"n_{c}"))
     agree = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda same: same))
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
     return pairs.join(side("a"), "a").join(side("b"), "b").where(close & (agree >= least)).select("a", "b")
 
 
+def close_by_minima(similarity: int, count: int):
+    """The members of a block that may be linked to one of another component, judged by minima and sizes."""
+    least = agreeing(similarity, count)
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, size = group["component"].to_numpy(), group["n"].to_numpy()
+        least_values = group["minima"].combine_chunks().flatten().to_numpy().reshape(len(parts), count)
+        alive = np.zeros(len(parts), bool)
+        for at in range(0, len(parts), 64):
+            rows = slice(at, at + 64)
+            agree = (least_values[rows, None, :] == least_values[None, :, :]).sum(axis=2)
+            few, many = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
+            alive[rows] = ((agree >= least) & (100 * few >= similarity * many) & (parts[rows, None] != parts[None, :])).any(axis=1)
+        return group.select(["key", "id", "component", "n"]).filter(pa.array(alive))
+
+    return run
+
+
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Each member of a bucket with every pair (i, j) of the bucket's blocks that its own block belongs to."""
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "blocks", "other")
+
+
 def links_between(words: int, similarity: int):
     """One link for each two components of a block that have one, from the exact intersections of all its sets."""
 
@@ -169,35 +205,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, bands
     filled = sketch.where("n_shingles > 0")
     classes = written(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
     keyed = filled.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"])
-    keyed = keyed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "minima", F.explode("bands").alias("key"))
+    keyed = keyed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # Buckets that hold two sets or more, and their members; everything later looks at these alone.
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    members = written(keyed.select("id", "n", "key").join(shared.select("key", "first"), "key"), "members")
+    members = written(keyed.select("id", "key").join(shared.select("key", "first"), "key").dropDuplicates(["key", "id"]), "members")
     near = members.select("id").distinct()
-    reps = written(filled.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "minima").join(near, "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # A row for each text of an id; rows that repeat whole are one.
+    reps = written(filled.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "minima", "s1", "s2").join(near, "id", "left_semi").dropDuplicates(["id", "s1", "s2"]).drop("s1", "s2"), "candidates")
+    texts = written(plain(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id").join(near, "id", "left_semi").withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "t"]).drop("t"), "texts")
+    # Several sets of one id: their classes belong together.
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("doc_id is not null and x <> y").select("doc_id")
+    own = filled.join(several, "doc_id").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).where("id <> doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
 
     stars = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    links = written(confirmed(similar_by_minima(stars, reps, similarity, bands * rows), texts, words, similarity), "links")
+    links = written(confirmed(similar_by_minima(stars, reps, similarity, bands * rows), texts, words, similarity).unionAll(own).distinct(), "links")
     found = components(links)
 
-    named = members.select("key", "id", "n").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    per_key = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"))
-    mixed_keys = per_key.where("x <> y").select("key", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    left = written(named.join(mixed_keys, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "left")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("key", "id", "component", "block", other).select("key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = left.join(texts, "id").groupBy("key", "i", "j").applyInArrow(links_between(words, similarity), "u long, v long")
+    named = members.select("key", "id").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    per_key = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), *[F.expr(f"{f}(xxhash64(id, {i}))").alias(f"m{i}") for i, f in enumerate(("bit_xor", "bit_xor", "bit_or"))])
+    # Buckets whose members hash alike have the same members, and one of them will do.
+    mixed_keys = per_key.where("x <> y").groupBy("rows", "m0", "m1", "m2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+    left = written(named.join(mixed_keys, "key").select("key", "id", "component", "blocks"), "left")
+    by_minima = in_blocks(left, F.col("blocks")).join(reps, "id").select("key", "i", "j", "id", "component", "n", "minima")
+    alive = by_minima.groupBy("key", "i", "j").applyInArrow(close_by_minima(similarity, bands * rows), "key long, id long, component long, n long")
+    alive = written(alive.groupBy("key", "id", "component").agg(F.max("n").alias("n")), "alive")
+    sizes = alive.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    by_sets = in_blocks(alive.join(sizes, "key"), F.col("blocks")).join(texts, "id").select("key", "i", "j", "id", "component", "text")
+    more = by_sets.groupBy("key", "i", "j").applyInArrow(links_between(words, similarity), "u long, v long")
     found = components(written(links.unionAll(more.distinct()), "links"))
 
     of_class = classes.join(found, F.col("id") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     out = sketch.join(of_class, ["s1", "s2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+
+
+def without_near_copies(docs: DataFrame, **how) -> DataFrame:
+    """One row of each component, that with the least doc_id (of several with it, that with the least hash of its text); all columns stay.
+
+    Texts without a set are no copies and stay, but for rows that repeat doc_id and text.
+    """
+    kept = near_duplicates(docs, **how).where("kept")
+    once = kept.groupBy("doc_id", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("text_hash")).alias("k")).agg(F.min("text_hash").alias("kept_hash"))
+    rows = docs.select(held(docs), F.xxhash64(F.col("text")).alias("text_hash"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "kept_hash").orderBy(F.xxhash64("d")))
+    return rows.join(once, same).withColumn("nth", nth).where("nth = 1").select("d.*")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).drop("text_hash")
 
 
 OP5_SQL = r"""

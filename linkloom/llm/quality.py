@@ -14,8 +14,10 @@ summed within the task that read the text, and only sums are shuffled.
 
 Defined cases: null, empty and blank texts have no words and fail the base rules; rows that repeat
 whole get one verdict each; rows without labels are only counted in the raw corpus; without
-trusted documents no ratio speaks (verdict by the base rules alone); an empty table gives an
-empty result; other columns are ignored (``quality``) or kept (``passing``).
+trusted documents no ratio speaks (verdict by the base rules alone); rows without a doc_id are
+judged like all others and are never trusted; rows that share a doc_id are judged each by its own
+text; an empty table gives an empty result; other columns are ignored (``quality``) or kept
+(``passing``).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ THRESHOLD = -0.25
 SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 #: Ids of trusted documents up to which they are broadcast; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def passing(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
     """The documents that are kept, with all their columns."""
     kept = quality(docs, trusted, **how).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row_hash").alias("kept_hash")).distinct()
     rows = docs.select(held(docs))
-    return rows.join(kept, (F.col("d.doc_id") == F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash")), "left_semi").select("d.*")
+    return rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash")), "left_semi").select("d.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

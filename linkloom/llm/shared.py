@@ -16,14 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset (a local session, as in tests) a temporary folder is set as the
-    checkpoint directory and used instead.
+    Where that is unset, a local session (as in tests) gets a temporary folder as its checkpoint
+    directory; on a cluster a folder of one machine would lose rows, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -11,7 +11,7 @@ character lies (a token that starts inside a character, to that character's sect
 line break that ends a section belongs to it. So counts of a document's sections add up to its
 tokens. ``n_crossing`` counts the tokens of a section that reach into a later one.
 
-Defined cases: a null field is empty; an empty text is one empty section; repeated rows are
+Defined cases: a null field is empty, any other value is written out (0 and False too); an empty text is one empty section; repeated rows are
 counted each; a section may have 0 tokens; an empty table gives no rows; other columns are
 ignored.
 """
@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, ranks_file: str, pattern: str, header: list[st
             ids, names, cols = [], [], [[] for _ in range(5)]
             fields = [c.to_pylist() for c in batch.columns[1:-1]]
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.columns[-1], strict=True)):
-                lines = [str(f[i] or "").replace("\n", " ") for f in fields] + (text.as_py() or "").encode("utf-8", "replace").decode().split("\n")
+                lines = ["" if f[i] is None else str(f[i]).replace("\n", " ") for f in fields] + (text.as_py() or "").encode("utf-8", "replace").decode().split("\n")
                 whole = "\n".join(lines)
                 sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
                 sizes[-1] -= 1

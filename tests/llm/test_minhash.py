@@ -71,3 +71,16 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(1, 31)} == {1} and {got[i] for i in range(100, 140)} == {100} and {got[i] for i in (60, 61, 62)} == {60}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_shared_and_missing_ids(make, rnd):
+    """Rows of one doc_id are one document; rows without one stay unless a document has their set."""
+    a, b, c = (prose(rnd, 40) for _ in range(3))
+    docs = make((1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (None, b), (None, "no such text"), (None, "no such text"), (8, None))
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (8, 8, True), (9, 9, True), (9, 9, True)]
+    kept = minhash.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(0, "no such text"), (1, a), (8, ""), (9, c)])
+    two = make((4, a), (4, b))
+    assert minhash.without_near_copies(two).count() == 1 and minhash.without_near_copies(make(*ODD, extra=True)).count() == len(ODD) - 1
