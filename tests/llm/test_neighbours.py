@@ -30,3 +30,24 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (0, 3, 9, -1.0), (20, 1, 1, 0.5), (20, 2, 0, 0.0), (20, 3, 9, 0.0)]
     assert nearest(df.limit(0), "vec_id % 20 = 0").count() == 0
     assert nearest(df.where("vec_id = 0"), "vec_id % 20 = 0").count() == 0
+
+
+def test_close_and_extreme_vectors(spark):
+    """Clusters within the quantisation error, a vector that most rows share, sizes from tiny to huge."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 24))
+    x[:150] = x[0] + rng.normal(scale=1e-4, size=(150, 24))
+    x[150:300] = x[150]
+    x[300:310] *= 1e150
+    x[310:320] *= 1e-300
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], VEC.replace("float", "double"))
+    got = {}
+    for r in nearest(df, "vec_id % 20 = 0", k=7, block=64, query_block=8).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, 400, 20):
+        score = [0.0] * 400
+        for i in range(400):
+            for a, b in zip(x[q], x[i], strict=True):
+                score[i] += float(a) * float(b)
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:7]
+        assert [got[q][k] for k in range(1, 8)] == [(i, score[i]) for i in want], q
