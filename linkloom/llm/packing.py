@@ -10,7 +10,7 @@ Cuts follow one rule, so they depend on a document's own length alone: full sequ
 a remainder stays whole where its class wastes little, else a piece that fills its slot exactly
 is taken off and the rest is looked at again. The last, incomplete sequence of each class is
 broken up: those leftovers (fewer than ``capacity * (1 + ln capacity)`` pieces, whatever the
-input) are placed by first fit.
+input) are dealt by a hash into groups of about ``LEFTOVERS``, and each group is placed by best fit.
 
 Shuffled are piece descriptions only (some 50 bytes each), never texts or ids.
 
@@ -40,6 +40,9 @@ END_ID = 2
 #: A piece may waste this share of its slot, or this many tokens, before it is cut once more.
 WASTE_SHARE, WASTE_TOKENS = 0.01, 3
 
+#: Leftover pieces that are placed together.
+LEFTOVERS = 1000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int"
 
 
@@ -84,10 +87,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, PIECES)
 
 
-def first_fit(capacity: int):
-    """Leftovers of all classes, longest first, each into the fullest sequence that still takes it."""
+def best_fit(capacity: int):
+    """Leftovers of a group, longest first, each into the fullest sequence that still takes it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
         room: list[tuple[int, int]] = []  # (tokens left, sequence), sorted
         seq, at, made = [], [], 0
@@ -95,10 +98,10 @@ def first_fit(capacity: int):
             i = bisect_left(room, (length, -1))
             left, s = room.pop(i) if i < len(room) else (capacity, made)
             made += s == made
-            seq.append(s)
+            seq.append((int(key[0]) << 24) + s)
             at.append(capacity - left)
             insort(room, (left - length, s))
-        return pdf.assign(sequence_id=pd.Series(seq, index=pdf.index, dtype="int64"), offset=pd.Series(at, index=pdf.index, dtype="int64")).drop(columns=["left"])
+        return pdf.assign(sequence_id=pd.Series(seq, index=pdf.index, dtype="int64"), offset=pd.Series(at, index=pdf.index, dtype="int64")).drop(columns=["group"])
 
     return run
 
@@ -110,7 +113,8 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     class plus its rank within its own bucket. There are about sqrt(n) buckets, so neither a
     bucket nor the list of bucket counts ever holds more than about sqrt(n) rows of a class.
     """
-    n = found.count()
+    per_class = found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") % F.col("k"))).first()
+    n, n_left = (x or 0 for x in per_class)
     buckets = max(1, math.isqrt(n))
     found = found.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     order = ["doc_id", "start", "ids_crc32", "length"]
@@ -127,7 +131,8 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = full.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(*columns, "sequence_id", "offset")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     as_text = F.col("doc_id").cast("string").alias("doc_id")  # pandas has no whole numbers with nulls
-    rest = ranked.where("left").select(as_text, *columns[1:], "left").groupBy("left").applyInPandas(first_fit(capacity), schema.replace("doc_id long", "doc_id string"))
+    group = F.pmod(F.xxhash64("k", "rank"), F.lit(max(1, math.ceil(n_left / LEFTOVERS)))).alias("group")
+    rest = ranked.where("left").select(as_text, *columns[1:], group).groupBy("group").applyInPandas(best_fit(capacity), schema.replace("doc_id long", "doc_id string"))
     return full.unionByName(rest.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from linkloom.llm import packing
 from linkloom.llm.packing import cut, pack
 from linkloom.llm.word_bpe import WordBpe
 from tests.llm.conftest import ODD, prose
@@ -61,3 +62,15 @@ def test_repeats_and_empty(make):
     assert len(both) == 4 and len({(r["sequence_id"], r["offset"]) for r in both}) == 4
     assert pack(docs.limit(0), PATH).count() == 0
     assert pack(make((None, "x"), (3, None)), PATH).count() == 2
+
+
+def test_leftovers_in_groups(make, rnd, monkeypatch):
+    """Groups of leftovers don't share sequences, and nothing overlaps."""
+    monkeypatch.setattr(packing, "LEFTOVERS", 7)
+    rows = pack(make(*[prose(rnd, rnd.choice([3, 40, 300, 700])) for _ in range(80)]), PATH).collect()
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
