@@ -1,9 +1,11 @@
 """Secret scans: candidates by shape, then a random forest that removes false positives.
 
-A word is split at ``= : " ' ? & @`` and the like, so that a name becomes the neighbour of its
+A word is split at ``= : " ' &`` and the like, so that a name becomes the neighbour of its
 value. Candidates are all runs of at least ``MIN_LENGTH`` key characters in each piece, long words
-and numbers included; a value assigned to an announcing name, or a password before ``@``, is one
-whole candidate from ``MIN_VALUE`` characters on. What the forest sees of a candidate:
+and numbers included; in a piece without any, a run of as many printable characters of all kinds
+(dotted tokens, pass phrases with symbols); a value assigned to an announcing name, or a password
+before ``@``, is one whole candidate from ``MIN_VALUE`` characters on. What the forest sees of a
+candidate:
 
 * its length, its shares of digits and capitals, how many different characters it has;
 * character transitions: the mean log probability of its character pairs under a model counted
@@ -12,14 +14,23 @@ whole candidate from ``MIN_VALUE`` characters on. What the forest sees of a cand
 * the path it was found under, and the words before and after it, both as known cues and hashed.
 
 The forest learns from labelled findings ``(doc_id, word_no, label)``, which label all candidates
-of the word, or ``(doc_id, word_no, run_no, label)``. All steps are DataFrame
-functions and Spark's own forest. The corpus model is two aggregations: distinct words with
-their counts, and from these a table of at most 28 x 28 transitions, which is broadcast.
+of the word, or ``(doc_id, word_no, run_no, label)``. Where there are none, the corpus gives them:
+a value that is assigned to an announcing name counts as a secret, one that is neither announced
+nor assigned as none (``cued``). What tells these labels is then hidden from the forest, in teaching
+and in scoring: the columns ``EVIDENCE``, and cues among the neighbouring words. So it has to
+learn what the values themselves and the rest of their surroundings look like, and drops announced
+values that look like the harmless ones.
+
+All steps are DataFrame functions and Spark's own forest. The corpus model is two aggregations:
+distinct words with their counts, and from these a table of at most 28 x 28 transitions, which is
+broadcast.
 
 Defined cases: null and empty texts have no candidates; null paths are an empty path; repeated
-rows yield the same finding once; repeated labels of a finding count as secret if one is; labels
-for other places teach nothing; without labels of both classes all scores are the secrets' share
-among the labels (0.5 without any); an empty table gives no rows; other columns are ignored.
+rows yield the same finding once; rows that share a doc_id yield each their own; a null doc_id is an
+id like others, but can't be named by a finding; repeated labels of a finding count as secret if one
+is; labels for other places teach nothing; without labels of both classes all scores are the
+secrets' share among the labels (0.5 without any); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +42,10 @@ from linkloom.llm.shared import plain, table, words_of, written
 
 MIN_LENGTH, MIN_VALUE = 16, 6
 KEY = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}={{0,2}}"
+#: Printable characters of all kinds, from a letter or digit to another.
+WIDE = rf"[A-Za-z0-9][\x21-\x7E]{{{MIN_LENGTH - 2},}}[A-Za-z0-9]"
 #: What separates pieces of a word, and a piece with its base64 padding, if any, and the separators behind it.
-APART = r"=:\"'?&@,;(){}\[\]<>"
+APART = r"=:\"'&,;(){}\[\]<>"
 PIECE = rf"([^{APART}]+(?:={{1,2}}(?=$|[\"']?(?:$|[,;&)}}\]])))?)([{APART}]*)"
 #: Occurrences from which a word of the corpus is in the dictionary.
 DICTIONARY_COUNT = 5
@@ -41,21 +54,31 @@ ANNOUNCE = "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|p
 HARMLESS = "example|sample|dummy|placeholder|test|sha|commit|md5|checksum|digest|uuid|version|revision|card|isbn"
 TREES, DEPTH, HASHED = 20, 6, 16
 
-WORD_PLACE = ["doc_id", "word_no"]
+#: A row of the table is told by its id and a hash of its text.
+WORD_PLACE = ["doc_id", "row", "word_no"]
 PLACE = [*WORD_PLACE, "run_no"]
 
 
+def at_place(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Joins two tables by place; a null id equals a null id."""
+    r = right.select(*[F.col(c).alias(f"r_{c}") if c in PLACE else F.col(c) for c in right.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("r_doc_id"))
+    for c in PLACE[1:]:
+        same = same & (F.col(c) == F.col(f"r_{c}"))
+    return left.join(r, same, how).drop(*[f"r_{c}" for c in PLACE])
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, word_no, run_no, candidate, word (its piece), path, and the two pieces before and the one after, lower-cased."""
-    d = docs.select("doc_id", F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"), words_of(F.col("text")).alias("words"))
+    """doc_id, row (a hash of the text), word_no, run_no, candidate, word (its piece), path, and the two pieces before and the one after, lower-cased."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"), words_of(F.col("text")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     # A value may stand in the word of its name, or up to two words behind it.
     near = lambda i: F.lower(F.concat(word(i - 2), word(i - 1), word(i)))
     value = lambda i: (F.length(word(i)) >= MIN_VALUE) & near(i).rlike("[=:]") & near(i).rlike(f"{ANNOUNCE}|:[^:]*@")
-    fits = lambda i: ((F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(KEY)) | value(i)
+    fits = lambda i: ((F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(f"{KEY}|{WIDE}")) | value(i)
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)
     found = F.transform(F.when(F.size("words") > 0, at), lambda i: F.struct(i.alias("word_no"), word(i).alias("whole"), F.lower(word(i - 1)).alias("b1"), F.lower(word(i - 2)).alias("b2"), F.lower(word(i + 1)).alias("a1")))
-    d = d.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*").dropDuplicates(WORD_PLACE)
+    d = d.select("doc_id", "row", "path", F.explode(found).alias("f")).select("doc_id", "row", "path", "f.*").dropDuplicates(WORD_PLACE)
 
     # The pieces of a word, each with the sign of an assignment that follows it.
     sign = lambda c: F.when(c.rlike("[=:]"), F.lit("=")).otherwise(F.lit(""))
@@ -73,11 +96,14 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     d = d.withColumn("before", before).withColumn("before2", before2).withColumn("after", F.coalesce(own(i + 1), F.col("a1")))
     d = d.withColumn("word", F.col("p.piece"))
     named = F.col("before").rlike("[=:]$") & (F.col("before").rlike(ANNOUNCE) | (F.col("before").rlike("^[=:>]+$") & F.col("before2").rlike(ANNOUNCE)))
-    account = F.col("p.sep").startswith("@") & F.col("before").rlike("=$") & (i >= 1)
     plain_value = F.regexp_replace("word", r"[.!]+$", "")
-    runs = F.regexp_extract_all("word", F.lit(f"({KEY})"), F.lit(1))
-    d = d.withColumn("runs", F.when((named | account) & (F.length(plain_value) >= MIN_VALUE), F.array(plain_value)).otherwise(runs))
-    d = d.select("doc_id", "path", "word_no", "i", "word", "before", "before2", "after", F.posexplode("runs").alias("j", "candidate"))
+    # A password stands between the colon behind an account's name and the last @.
+    password = F.regexp_extract("word", "^(.*)@", 1)
+    account = F.col("before").rlike("//.*=$") & (i >= 1) & (F.length(password) >= MIN_VALUE)
+    keys, wide = (F.regexp_extract_all("word", F.lit(f"({p})"), F.lit(1)) for p in (KEY, WIDE))
+    runs = F.when(F.size(keys) > 0, keys).otherwise(wide)
+    d = d.withColumn("runs", F.when(account, F.array(password)).when(named & (F.length(plain_value) >= MIN_VALUE), F.array(plain_value)).otherwise(runs))
+    d = d.select("doc_id", "row", "path", "word_no", "i", "word", "before", "before2", "after", F.posexplode("runs").alias("j", "candidate"))
     # A word has fewer than 2 ** 31 runs in all, but place within it is by piece and run.
     return d.withColumn("run_no", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("j"))).drop("i", "j")
 
@@ -121,7 +147,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     size = F.length(c).cast("double")
     share = lambda pattern: (size - F.length(F.regexp_replace(c, pattern, ""))) / size
     cue = lambda pattern, *cs: F.concat_ws(" ", *cs).rlike(pattern).cast("double")
-    out = found.join(flow, PLACE, "left").join(cover, PLACE, "left")
+    out = at_place(at_place(found, flow), cover)
     return out.select(
         *PLACE, "candidate", "before", "before2", "after", "path",
         F.least(size, F.lit(200.0)).alias("length"), share("[0-9]").alias("digits"), share("[A-Z]").alias("capitals"),
@@ -133,14 +159,16 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
+#: What tells the labels of ``cued``.
+EVIDENCE = ["announced", "harmless", "assigned"]
 NUMBERS = ["length", "digits", "capitals", "different", "hex", "flow", "coverage", "announced", "harmless", "assigned", "address", "depth", "harmless_path"]
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", seed: int = 5) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", seed: int = 5, teach: str = "true") -> DataFrame:
     """One row per candidate: doc_id, word_no, run_no (its piece of the word, times 2 ** 32, and its place there), length, sha256, score, is_secret. The secret itself isn't copied.
 
-    ``findings``: labelled findings (doc_id, word_no, label), with run_no if there is one. Without any, the unambiguous candidates
-    label themselves (``plain_cases``).
+    ``findings``: labelled findings (doc_id, word_no, label), with run_no if there is one. Without any, cues in the corpus
+    label candidates, and the forest doesn't see these cues (``cued``). ``teach``: a condition on doc_id; only rows that fulfil it teach.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import FeatureHasher, VectorAssembler
@@ -148,16 +176,22 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 
     docs = plain(docs, list(dict.fromkeys(["doc_id", "text", path])))
     found = written(described(written(candidates(docs, path), "candidates"), corpus_words(docs)), "described")
-    at = PLACE if findings is None or "run_no" in findings.columns else WORD_PLACE
-    labelled = plain_cases(found) if findings is None else plain(findings, [*at, "label"])
-    labelled = written(labelled.where("label in (0, 1)").groupBy(*at).agg(F.max("label").cast("double").alias("label")).join(found, at), "labelled")
+    if findings is None:
+        # Candidates label themselves, row by row: no join.
+        found = hidden(found)
+        labelled = found.where("label in (0, 1)").where(teach)
+    else:
+        at = ["doc_id", "word_no", *(["run_no"] if "run_no" in findings.columns else [])]
+        labels = plain(findings, [*at, "label"]).where("label in (0, 1)").where(teach).groupBy(*at).agg(F.max("label").cast("double").alias("label"))
+        labelled = written(labels.join(found, at), "labelled")
     n, secret = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
-    out = [*map(F.col, PLACE), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256")]
+    out = [*map(F.col, ["doc_id", "word_no", "run_no"]), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256")]
     if not n or secret in (0, n):
         score = F.lit(float(secret / n) if n else 0.5)
         return found.select(*out, score.alias("score"), (score >= 0.5).alias("is_secret"))
     hashed = FeatureHasher(inputCols=["before", "before2", "after", "path"], outputCol="around", numFeatures=HASHED)
-    joined = VectorAssembler(inputCols=[*NUMBERS, "around"], outputCol="features")
+    seen = NUMBERS if findings is not None else [c for c in NUMBERS if c not in EVIDENCE]
+    joined = VectorAssembler(inputCols=[*seen, "around"], outputCol="features")
     prepare = lambda df: joined.transform(hashed.transform(df))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird").fit(prepare(labelled.orderBy(*PLACE)))
     score = vector_to_array("probability")[1]
@@ -165,11 +199,17 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
     return scored.select(*out, "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
-def plain_cases(found: DataFrame) -> DataFrame:
-    """Labels for candidates that leave no doubt: long random values assigned to an announced name, and words, addresses or numbers without either."""
-    yes = (F.col("announced") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 24) & (F.col("coverage") < 0.3) & (F.col("harmless") == 0)
-    no = ((F.col("address") == 1) | (F.col("coverage") > 0.6) | (F.col("harmless") == 1) | (F.col("digits") == 1) | (F.col("flow") > -4)) & (F.col("announced") == 0)
-    return found.select(*PLACE, F.when(yes, 1).when(no, 0).alias("label")).where("label is not null")
+def cued() -> Column:
+    """The label that a candidate's surroundings give it, null if they are ambiguous: 1 for a value assigned to an announcing name, 0 for one that is neither announced nor assigned."""
+    announced, assigned, harmless = (F.col(c) == 1 for c in ("announced", "assigned", "harmless"))
+    return F.when(announced & assigned & ~harmless, 1.0).when(~announced & ~assigned, 0.0)
+
+
+def hidden(found: DataFrame) -> DataFrame:
+    """Adds ``label`` as the cues have it, and takes the cues out of the neighbouring words."""
+    cue = f"[=:]|{ANNOUNCE}|{HARMLESS}"
+    blank = {c: F.when(F.col(c).rlike(cue), F.lit("")).otherwise(F.col(c)) for c in ("before", "before2", "after")}
+    return found.withColumn("label", cued()).withColumns(blank)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

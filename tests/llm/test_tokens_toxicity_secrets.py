@@ -118,3 +118,57 @@ def test_every_run_of_a_word_is_a_candidate(make):
     wanted = [[key], [key, other], [other], ["hunter2secret"], ["s3cretpw"], ["c2VjcmV0LXZhbHVlLWJhc2U2NA=="], ["hunter2"], [key, other]]
     assert all(set(w) <= set(got.get(i, [])) for i, w in enumerate(wanted, 1)), got
     assert secrets.scan(make(*texts)).select("doc_id", "word_no", "run_no").distinct().count() == sum(map(len, got.values()))
+
+
+def test_wide_candidates_and_shared_ids(make):
+    """Symbols and dots belong to a secret; rows of one doc_id, or of none, keep their own findings."""
+    jwt, pw, discord = "eyJhbGciOi.eyJzdWIi.SflKxwRJSM", "P@ssw0rd!Xy#92kLq", "Nzk4.XyZ_9a.bC3dEfGhIjK"
+    texts = [(1, f"password={pw}"), (1, f"api_token: {jwt}"), (2, f"see {pw} there"), (3, f"{discord}."), (None, f"secret={jwt}"), (None, f"secret={discord}"), (4, "postgres://root:a@b@cdefg@host/db")]
+    got = sorted((r["doc_id"] or 0, r["candidate"]) for r in secrets.candidates(make(*texts)).collect())
+    assert got == sorted([(1, pw), (1, jwt), (2, pw), (3, discord), (0, jwt), (0, discord), (4, "a@b@cdefg")])
+    assert secrets.scan(make(*texts, extra=True)).count() == len(texts)
+
+
+def test_features_by_brute_force(spark, make, rnd):
+    """What the forest sees, again in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = [prose(rnd, 60) + f' token = "{rnd.getrandbits(160):040x}" commonwordcommon{i % 2} end' for i in range(12)]
+    docs = make(*texts)
+    words = Counter(re.sub("[^A-Za-z]", "", w).lower() for t in texts for w in t.split())
+    del words[""]
+    spelled = lambda w: "^" + re.sub("[^a-z0]", "-", re.sub("[0-9]", "0", w.lower())) + "$"
+    pairs, first = Counter(), Counter()
+    for w, n in words.items():
+        s = spelled(w)
+        for a, b in zip(s, s[1:]):
+            pairs[a + b] += n
+            first[a] += n
+    chance = {p: math.log((n + 0.5) / (first[p[0]] + 15)) for p, n in pairs.items()}
+    rows = secrets.described(secrets.candidates(docs), secrets.corpus_words(docs)).collect()
+    assert len(rows) == 24
+    for r in rows:
+        c, s = r["candidate"], spelled(r["candidate"])
+        flow = [chance.get(a + b, secrets.UNSEEN) for a, b in zip(s, s[1:])]
+        covered = sum(len(w) for w in re.findall("[a-z]{3,}", c.lower()) if words[w] >= secrets.DICTIONARY_COUNT)
+        want = {"length": len(c), "digits": sum(x.isdigit() for x in c) / len(c), "capitals": sum(x.isupper() for x in c) / len(c), "different": len(set(c)) / min(64, len(c)), "hex": float(set(c) <= set("0123456789abcdef")), "flow": sum(flow) / len(flow), "coverage": covered / len(c), "announced": float("token" in r["before"] + r["before2"]), "assigned": float(r["before"][-1] in "=:")}
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    assert {(r["before"], r["announced"], r["assigned"]) for r in rows if r["hex"]} == {("=", 1.0, 1.0)}
+
+
+def test_cues_teach_what_values_look_like(spark, make, rnd):
+    """The forest doesn't see the cues: it finds keys without any, and drops announced placeholders."""
+    hexes = lambda: f"{rnd.getrandbits(160):040x}"
+    word = lambda: "".join(rnd.choice(["ing", "tion", "ber", "the", "and", "ous"]) for _ in range(7))
+    vocabulary = [word() for _ in range(30)]
+    texts, kinds = [], []
+    for i in range(160):
+        kind = ("announced", "bare", "placeholder", "word")[i % 4] if i >= 100 else ("announced", "word")[i % 2]
+        value = hexes() if kind in ("announced", "bare") else rnd.choice(vocabulary)
+        cue = 'token = "{}"' if kind in ("announced", "placeholder") else "{}"
+        texts.append(prose(rnd, 30) + " " + cue.format(value) + " " + prose(rnd, 10))
+        kinds.append(kind)
+    got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(make(*texts), teach="doc_id <= 100").collect()}
+    assert all(got[i] == (k in ("announced", "bare")) for i, k in enumerate(kinds, 1))
