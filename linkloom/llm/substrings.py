@@ -3,9 +3,10 @@
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends);
 a sentence of more than ``PART`` words is cut further, after the word with the least hash of every
 ``PART`` words in a row, so that no part is longer and the same passage is cut alike wherever it
-stands. From every sentence on, the shortest run of at least ``run`` sentences and ``min_words``
-words is hashed (lower-cased, white space made even), and likewise the shortest that ends with it.
-The first place of a hash is the least (doc_id, position); every sentence covered by a run that
+stands. Every run of ``run`` sentences is hashed (lower-cased, white space made even), however short
+they are; longer runs consist of these. (A caller may ask for ``min_words`` as well: then from every
+sentence on the shortest run that has them counts, and likewise the shortest that ends with it.) The
+first place of a hash is the least (doc_id, position); every sentence covered by a run that
 stands at any other place goes.
 
 Any passage of ``4 * PART + 1`` words that stands twice has a run in common: its first and last cut
@@ -15,7 +16,8 @@ Repeats within a document are settled in the task that reads it, so each documen
 once. First places come from one aggregation with partial sums; the join back is a plain
 equi-join, whose hot keys Spark splits. Texts are never shuffled for the spans.
 
-Defined cases: null, empty and short texts have no runs; rows that share a doc_id count as one
+Defined cases: null, empty and short texts have no runs; rows without a doc_id have no place and
+lose nothing; rows that share a doc_id count as one
 place and don't repeat one another; an empty table gives no spans; other columns are ignored by
 ``repeated_spans`` and kept by ``without_repeats``.
 """
@@ -36,7 +38,7 @@ from linkloom.llm.minhash import mixed
 from linkloom.llm.shared import held, plain, table, written
 
 #: Sentences of a run, and the words it must have; both at least.
-RUN, MIN_WORDS = 3, 12
+RUN, MIN_WORDS = 3, 1
 #: Words beyond which a sentence is cut further; no part has more.
 PART = 12
 END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
