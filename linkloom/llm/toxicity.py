@@ -4,7 +4,9 @@ Features are the distinct lower-cased words of a whole text, hashed. A logistic
 an L1 penalty learns from labelled documents; for every labelled sentence that names a group, a
 counterfactual is made by replacing the group term with each other term of its family, and the
 squared change of the score (before the sigmoid) is added to the loss. Terms thus can't earn
-weight from how often they are insulted in the data, and neutral mentions stay neutral.
+weight from how often they are insulted in the data, and neutral mentions stay neutral. Where no
+labelled text names a group of ``families``, there are no counterfactuals and the penalty is idle:
+what is left is the L1 logistic regression.
 
 The fit uses at most ``max_rows`` labelled documents (those with the least hash of their id,
 toxic and clean ones each up to half, so that a rare class isn't lost); counting and scoring use
@@ -13,7 +15,8 @@ texts with the learned weights, whose number is bounded by the hash space.
 
 Defined cases: null and empty texts get the score of a text without known words; documents
 without a label teach nothing; with no labels, or of one class only, every score is that class's
-share (0.5 without any); repeated rows are scored each; repeated labels of a document count as
+share (0.5 without any); repeated rows are scored each and teach once; a row without a doc_id is scored
+and teaches nothing; of texts that share a labelled doc_id each teaches; repeated labels of a document count as
 toxic if one of them is; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.shared import plain, table
 
-#: Families of terms for groups of people that may stand in for each other.
+#: Families of terms, in four languages, for groups of people that may stand in for each other.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
@@ -41,8 +44,19 @@ IDENTITY_TERMS = (
     ("immigrants", "natives"),
     ("disabled", "blind", "deaf"),
     ("old", "young"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frauen", "männer"),
+    ("einwanderer", "einheimische"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femmes", "hommes"),
+    ("immigrés", "français"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujeres", "hombres"),
+    ("inmigrantes", "españoles"),
 )
 SPACE = 2**18
+#: The weight with the least log loss on a quarter of the teaching rows of a sample (sf0.1), fitted to the rest.
+L1 = 1e-4
 MAX_ROWS = 20_000
 #: Standard deviations from chance at which a word may get a weight.
 SCREEN = 2.0
@@ -177,14 +191,16 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, families=IDENTITY_TERMS, l1: float = 5e-4, fairness: float = 1.0, rounds: int = 200) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, families=IDENTITY_TERMS, l1: float = L1, fairness: float = 1.0, rounds: int = 200) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     marked = plain(labels, ["doc_id", "toxic"]).where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Those with the least hashes, by class: a bounded list of ids, then their texts.
     order = F.xxhash64("doc_id")
     chosen = [marked.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(max_rows // 2) for x in (0, 1)]
     # At most max_rows ids, so they may be broadcast.
-    rows = plain(docs, ["doc_id", "text"]).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("toxic", "text")
+    # Rows that repeat an id and a text teach once.
+    rows = plain(docs, ["doc_id", "text"]).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    rows = rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).select("toxic", "text")
     out = scored(docs, learned(rows, families, l1, fairness, rounds))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

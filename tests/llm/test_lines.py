@@ -1,8 +1,8 @@
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
-from linkloom.llm.lines import without_lines
+from linkloom.llm.lines import cut_lines, without_lines
 from tests.llm.conftest import ODD, prose
 
 
@@ -67,3 +67,13 @@ def test_odd_tables(spark, make):
     assert without_lines(docs.limit(0)).count() == 0
     twice = without_lines(docs.where("doc_id = 7").unionAll(docs.where("doc_id = 7"))).collect()
     assert [r["text"] for r in twice] == [ODD[6]] * 2
+
+
+def test_null_ids_and_clashing_names(make):
+    """Rows without an id come first; an input column named lines_report is kept by ``cut_lines``."""
+    line = "one two three four five six seven eight nine"
+    docs = make((None, line), (None, line.replace("two", "2")), (4, line.replace("nine", "9")), (5, line)).withColumn("lines_report", F.lit("mine"))
+    found = cut_lines(docs).select("d.*", F.col("lines_report.n_removed").alias("n")).collect()
+    assert {r["lines_report"] for r in found} == {"mine"} and [r["text"] for r in found if r["doc_id"]] == ["", ""]
+    assert sorted(r["text"] == "" for r in found if r["doc_id"] is None) == [False, True]
+    assert without_lines(docs).columns == docs.columns

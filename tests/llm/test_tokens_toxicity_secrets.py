@@ -172,3 +172,65 @@ def test_cues_teach_what_values_look_like(spark, make, rnd):
         kinds.append(kind)
     got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(make(*texts), teach="doc_id <= 100").collect()}
     assert all(got[i] == (k in ("announced", "bare")) for i, k in enumerate(kinds, 1))
+
+
+def test_fit_meets_the_conditions_of_its_loss(rnd):
+    """At a minimum, each weight's slope of loss and counterfactual penalty, again by plain loops, balances the L1 penalty."""
+    import math
+
+    from linkloom.llm.toxicity import fit
+
+    n, l1, fairness = 120, 2e-3, 3.0
+    toxic = np.asarray([float(i % 3 == 0) for i in range(n)])
+    items = [np.unique([rnd.randrange(40) for _ in range(6)] + ([rnd.choice([50, 51])] if t and rnd.random() < 0.8 else []) + ([60] if rnd.random() < (0.9 if t else 0.1) else [61])).astype(np.int32) for t in toxic]
+    pairs = [(60, 61), (61, 60), (60, 62)] * 5
+    at, w, c = fit(items, toxic, np.asarray(pairs), l1, fairness, 20_000)
+    weight = dict(zip(at.tolist(), w.tolist(), strict=True))
+    share = toxic.mean()
+    slope = {j: 0.0 for x in items for j in x.tolist()}
+    start = 0.0
+    for x, t in zip(items, toxic, strict=True):
+        g = (1 / (1 + math.exp(-c - sum(weight.get(j, 0) for j in x.tolist()))) - t) * (0.5 / share if t else 0.5 / (1 - share)) / n
+        start += g
+        for j in x.tolist():
+            slope[j] += g
+    for a, b in pairs:
+        d = 2 * fairness / len(pairs) * (weight.get(b, 0) - weight.get(a, 0))
+        for j, s in ((b, d), (a, -d)):
+            if j in slope:
+                slope[j] += s
+    assert weight and 50 in weight and abs(start) < 1e-6
+    assert all(slope[j] == pytest.approx(-l1 * np.sign(x), abs=1e-5) for j, x in weight.items())
+    seen, expected = {j: [t for x, t in zip(items, toxic, strict=True) if j in x] for j in slope}, share
+    for j, ts in seen.items():
+        known = len(ts) >= 3 and abs(sum(ts) - expected * len(ts)) / math.sqrt(len(ts) * share * (1 - share)) >= 2.0
+        assert (j in weight) <= known
+        if known and j not in weight:
+            assert abs(slope[j]) <= l1 + 1e-5
+
+
+def test_sections_by_brute_force(make, rnd):
+    """Tokens of every section: each token's first character, found token by token; fields that are 0 or False are written out."""
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    spelled = {i: t for t, i in ranks.items()}
+    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["naïve — 中文\n\n\nline 🙂🙂\n\nend\n", "a\n" * 40, "x\n \n\ty  z\n", prose(rnd, 80), *ODD[:5]]
+    docs = make(*texts).withColumns({"zero": F.lit(0), "no": F.lit(False), "none": F.lit(None).cast("string")})
+    got = {(r["doc_id"], r["field"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in token_counts(docs, RANKS, public_tokenizers.PATTERN, ["zero", "no", "none"]).collect()}
+    want = {}
+    for i, t in enumerate(texts, 1):
+        lines = ["0", "False", "", *(t or "").split("\n")]
+        names = [("zero", 0), ("no", 0), ("none", 0), *(("text", n) for n in range(len(lines) - 3))]
+        owner = [n for n, line in enumerate(lines) for _ in range(len(line) + 1)]  # of each character, line breaks included
+        whole = "\n".join(lines)
+        byte_owner = [owner[k] for k, ch in enumerate(whole) for _ in ch.encode()]
+        counts, at = [[0, 0] for _ in lines], 0
+        for token in encode(whole):
+            end = at + len(spelled[token])
+            counts[byte_owner[at]][0] += 1
+            counts[byte_owner[at]][1] += byte_owner[end - 1] != byte_owner[at]
+            at = end
+        want |= {(i, *name): tuple(c) for name, c in zip(names, counts, strict=True)}
+    assert got == want
