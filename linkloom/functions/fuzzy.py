@@ -2,8 +2,11 @@
 
 The measure of two strings is ``2 * LCS / (len a + len b)``; the weighted ratio mixes it with
 ratios of sorted tokens, of token sets and of the best window, as its public documentation says.
-All longest common subsequences of a batch are computed at once: strings become rows of code
-points, and each character of the left strings advances one row of the table for every pair.
+
+Longest common subsequences of a whole batch are computed at once, bit-parallel: the shorter
+string of a pair is the bits of a 64-bit number, and each character of the longer one updates the
+numbers of all pairs. All windows of a pair go through the same steps side by side. Strings are
+prepared once each, however many pairs they are in; patterns of over 64 characters take tables.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Table cells that one step works on.
-CELLS = 4_000_000
+#: Pairs, or windows of pairs, whose numbers are updated at a time.
+LANES = 32_768
+#: Characters of a pattern that one number holds.
+BITS = 64
 
 
 def codes(strings: list[str], pad: int) -> np.ndarray:
@@ -26,23 +31,72 @@ def codes(strings: list[str], pad: int) -> np.ndarray:
 
 
 def lcs_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of the rows; the paddings of a and b differ."""
+    """Lengths of the longest common subsequences of the rows, by tables; the paddings of a and b differ."""
     row = np.zeros((len(a), b.shape[1] + 1), np.int16)
     for i in range(a.shape[1]):
         row[:, 1:] = np.maximum.accumulate(np.where(b == a[:, i : i + 1], row[:, :-1] + 1, row[:, 1:]), axis=1)
     return row[:, -1].astype(np.int64)
 
 
+def numbered(*lists: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The different strings of all lists, and each list as places among them."""
+    place: dict[str, int] = {}
+    out = [np.fromiter((place.setdefault(s, len(place)) for s in strings), np.int64, len(strings)) for strings in lists]
+    return list(place), out
+
+
+class Batch:
+    """Different strings with their characters numbered from 1, and the bits at which each character stands in each pattern."""
+
+    def __init__(self, strings: list[str], patterns: np.ndarray) -> None:
+        raw = codes(strings, -1)
+        letters, chars = np.unique(raw, return_inverse=True)
+        chars = chars.reshape(raw.shape)
+        # Number 0 is the padding; it stands in no pattern.
+        self.chars = chars.astype(np.int64) if letters.size and letters[0] == -1 else chars + 1
+        self.size = lengths(strings)
+        self.width = int(self.chars.max(initial=0)) + 1
+        self.row = np.full(len(strings), -1)
+        self.row[patterns] = np.arange(len(patterns))
+        self.bits = np.zeros((len(patterns), self.width), np.uint64)
+        for i in range(min(BITS, int(self.size[patterns].max(initial=0)))):
+            at = np.flatnonzero(self.size[patterns] > i)
+            self.bits[at, self.chars[patterns[at], i]] |= np.uint64(1) << np.uint64(i)
+
+    def masks(self, p: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        return self.bits.reshape(-1)[self.row[p] * self.width + chars]
+
+
+def advance(v: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """One character of the longer strings: zeros among the bits are what is common so far."""
+    u = v & mask
+    return (v + u) | (v - u)
+
+
+def zeros(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    full = np.where(m >= BITS, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(m, BITS - 1).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & full).astype(np.int64)
+
+
 def lcs(a: list[str], b: list[str]) -> np.ndarray:
     """Pairs are taken in order of length, so a batch has little padding."""
+    strings, (ia, ib) = numbered(a, b)
+    size = lengths(strings)
+    p, t = np.where(size[ia] <= size[ib], ia, ib), np.where(size[ia] <= size[ib], ib, ia)
     out = np.zeros(len(a), np.int64)
-    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
-    at = 0
-    while at < len(order):
-        end = at + max(1, CELLS // max(1, 64 * max(1, len(b[order[at]]))))
-        part = order[at:end]
-        out[part] = lcs_codes(codes([a[i] for i in part], -1), codes([b[i] for i in part], -2))
-        at = end
+    small = size[p] <= BITS
+    batch = Batch(strings, np.unique(p[small]))
+    order = np.flatnonzero(small)
+    order = order[np.argsort(size[t[order]], kind="stable")]
+    for at in range(0, len(order), LANES):
+        part = order[at : at + LANES]
+        pp, tt = p[part], t[part]
+        v = np.full(len(part), 2**64 - 1, np.uint64)
+        for j in range(int(size[tt].max(initial=0))):
+            v = advance(v, batch.masks(pp, batch.chars[tt, j]))
+        out[part] = zeros(v, size[pp])
+    for i in np.flatnonzero(~small):
+        out[i] = lcs_codes(codes([strings[p[i]]], -1), codes([strings[t[i]]], -2))[0]
     return out
 
 
@@ -60,24 +114,48 @@ def ratios(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """The best ratio of the shorter string with any window of the longer one, windows at its ends included."""
+    """The best ratio of the shorter string with any window of the longer one, windows at its ends included.
+
+    With ``m - 1`` blanks at either end of the longer string, every window has ``m`` characters; a
+    blank stands in no pattern and doesn't count as length.
+    """
+    strings, (ia, ib) = numbered(a, b)
+    size = lengths(strings)
+    equal = np.flatnonzero((size[ia] == size[ib]) & (ia != ib))
+    p, t = np.where(size[ia] <= size[ib], ia, ib), np.where(size[ia] <= size[ib], ib, ia)
+    # Of strings of equal length either may be the pattern.
+    p, t, owner = np.concatenate([p, t[equal]]), np.concatenate([t, p[equal]]), np.concatenate([np.arange(len(a)), equal])
+    found = np.zeros(len(p))
+    small = np.flatnonzero((size[p] > 0) & (size[p] <= BITS))
+    batch = Batch(strings, np.unique(p[small]))
+    order = small[np.lexsort((size[t[small]], size[p[small]]))]
+    at = 0
+    while at < len(order):
+        m, n = int(size[p[order[at]]]), int(size[t[order[at]]])
+        end = at + max(1, LANES // (n + m))
+        part = order[at:end]
+        part = part[size[p[part]] == m]
+        at += len(part)
+        pp, tt = p[part], t[part]
+        widest = int(size[tt].max())
+        chars = np.zeros((len(part), widest + 2 * (m - 1)), np.int64)
+        chars[:, m - 1 : m - 1 + widest] = batch.chars[tt, :widest]
+        mask = batch.masks(pp[:, None], chars)
+        windows = widest + m - 1
+        v = np.full((len(part), windows), 2**64 - 1, np.uint64)
+        for j in range(m):
+            v = advance(v, mask[:, j : j + windows])
+        start = np.arange(windows) - (m - 1)
+        length = np.minimum(start + m, size[tt][:, None]) - np.maximum(start, 0)
+        ratio = np.where(length > 0, 200.0 * zeros(v, np.asarray(m)) / (m + np.maximum(length, 1)), 0.0)
+        found[part] = ratio.max(axis=1)
+    for i in np.flatnonzero(size[p] > BITS):
+        m, s = int(size[p[i]]), strings[t[i]]
+        cut = list({s[max(0, k) : k + m] for k in range(1 - m, len(s))})
+        whole = np.repeat(codes([strings[p[i]]], -1), len(cut), axis=0)
+        found[i] = share(lcs_codes(whole, codes(cut, -2)), m + lengths(cut)).max()
     out = np.zeros(len(a))
-    short, window, owner = [], [], []
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        for p, t in ((x, y),) if len(x) < len(y) else ((y, x),) if len(x) > len(y) else ((x, y), (y, x)):
-            if p in t:
-                out[k] = 100.0 if p else 0.0
-                continue
-            m, n = len(p), len(t)
-            found = {t[:i] for i in range(1, m)} | {t[i : i + m] for i in range(n - m)} | {t[i:] for i in range(n - m, n)}
-            letters = set(p)
-            for w in found:
-                if not letters.isdisjoint(w):
-                    short.append(p)
-                    window.append(w)
-                    owner.append(k)
-    if short:
-        np.maximum.at(out, np.asarray(owner), ratios(short, window))
+    np.maximum.at(out, owner, found)
     return out
 
 
@@ -98,10 +176,15 @@ class Tokens:
 def set_ratios(a: list[tuple], b: list[tuple]) -> np.ndarray:
     """Token set ratios: what both share counts as one string, with and without what each has besides."""
     only_a, only_b, both = [], [], []
-    for (_, x, _), (_, y, _) in zip(a, b, strict=True):
-        both.append(len(" ".join(sorted(x & y))))
-        only_a.append(" ".join(sorted(x - y)))
-        only_b.append(" ".join(sorted(y - x)))
+    for (_, x, joined_x), (_, y, joined_y) in zip(a, b, strict=True):
+        if x.isdisjoint(y):
+            both.append(0)
+            only_a.append(joined_x)
+            only_b.append(joined_y)
+        else:
+            both.append(len(" ".join(x & y)))
+            only_a.append(" ".join(sorted(x - y)))
+            only_b.append(" ".join(sorted(y - x)))
     if not both:
         return np.empty(0)
     s, la, lb = np.asarray(both), lengths(only_a), lengths(only_b)

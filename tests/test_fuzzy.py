@@ -85,3 +85,14 @@ def test_lcs_of_batches():
     word = lambda: "".join(rnd.choice("abcé中") for _ in range(rnd.randint(0, 30)))
     a, b = [word() for _ in range(400)], [word() for _ in range(400)]
     assert list(lcs(a, b)) == [plain_lcs(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_long_strings():
+    """Patterns around and beyond the 64 characters that one number holds."""
+    rnd = random.Random(4)
+    title = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 9))) for _ in range(n))[: rnd.choice([63, 64, 65, 90, 130])]
+    pairs = [(title(rnd.randint(1, 26)), title(rnd.randint(1, 26))) for _ in range(60)]
+    pairs += [(a, a[5:] + "x") for a, _ in pairs[:10]] + [(a[:64], a[-64:]) for a, _ in pairs[:10]]
+    a, b = zip(*pairs, strict=True)
+    np.testing.assert_allclose(weighted_ratios(list(a), list(b)), [plain(x, y) for x, y in pairs], atol=1e-9)
+    assert list(lcs(list(a), list(b))) == [plain_lcs(x, y) for x, y in pairs]
