@@ -53,7 +53,8 @@ def normalize_author(c: Column) -> Column:
     surname = F.when(comma > 0, F.array_join(before, " ")).otherwise(F.try_element_at(words, F.lit(-1)))
     given = F.when(comma > 0, after).otherwise(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
     name = F.struct(surname.alias("surname"), F.transform(given, lambda w: F.substring(w, 1, 1)).alias("initials"))
-    return F.when(c.isNotNull() & (F.coalesce(surname, F.lit("")) != ""), name)
+    # The cast keeps the names of the fields where the optimiser would make them anew.
+    return F.when(c.isNotNull() & (F.coalesce(surname, F.lit("")) != ""), name).cast("struct<surname:string,initials:array<string>>")
 
 
 def split_pipe_list(c: Column) -> Column:

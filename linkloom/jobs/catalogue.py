@@ -51,21 +51,62 @@ def norm(x: str) -> str:
     return rf"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[‘’''`]', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '^(the|a|an) (.)', '\2')"
 
 
-def surname(x: str) -> str:
-    return f"list_last(string_split({norm(x)}, ' '))"
+def spaced(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(strip_accents({x}), '\.(\S)', '. \1', 'g'), '\s+', ' ', 'g'))"
 
 
-def initials(x: str) -> str:
-    return f"list_transform(list_slice(string_split({norm(x)}, ' '), 1, -2), lambda w: w[1])"
+def words(x: str) -> str:
+    """The words of a name, or of a part of it, punctuation counting as space."""
+    return rf"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+def surname(x: str) -> str:
+    """All before the first comma, or else the last word; null if there is none."""
+    y = spaced(x)
+    return f"nullif(case when contains({y}, ',') then array_to_string({words(f'split_part({y}, chr(44), 1)')}, ' ') else list_last({words(y)}) end, '')"
 
 
-#: Longest common subsequences of the pairs (a, b), row by row of the table.
-LCS = """lcs as (
-  select a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as r from pairs
-  union all
-  select a, b, i + 1, list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: list_max(c[1:j])))
-  from (select *, list_transform(range(1, length(b) + 1), lambda j: case when b[j] = a[i + 1] then r[j] + 1 else r[j + 1] end) as c from lcs where i < length(a))
-), ratio as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0::double * list_last(r) / (length(a) + length(b)) end as q from lcs where i = length(a))"""
+def initials(x: str) -> str:
+    y = spaced(x)
+    return f"list_transform(case when contains({y}, ',') then {words(f'substr({y}, strpos({y}, chr(44)) + 1)')} else list_slice({words(y)}, 1, -2) end, lambda w: w[1])"
+
+
+def masks(p: str, t: str) -> str:
+    """For each character of t, the bits at which it stands in p (of up to 60 characters)."""
+    return f"list_transform(string_split({t}, ''), lambda ch: list_sum(list_transform(range(1, length({p}) + 1), lambda i: case when {p}[i] = ch then 1::bigint << (i - 1)::int else 0::bigint end))::bigint)"
+
+
+def common(m: str, found: str) -> str:
+    """The longest common subsequence of a pattern of m characters and the characters of ``found`` masks: zeros among m bits."""
+    full = f"((1::bigint << ({m})::int) - 1)"
+    return f"(({m}) - bit_count(list_reduce(list_prepend({full}, {found}), lambda acc, bits: ((acc + (acc & bits)) | (acc - (acc & bits))) & {full})))"
+
+
+#: Longest common subsequences of the pairs (a, b), and their ratio.
+LCS = f"""need as (select distinct case when length(a) <= length(b) then a else b end as p, case when length(a) <= length(b) then b else a end as t from pairs),
+lcs as (select p, t, case when p = '' then 0 else {common('length(p)', masks('p', 't'))} end as n from need),
+ratio as (select a, b, case when length(a) + length(b) = 0 then 1.0::double else 200::double * n / (length(a) + length(b)) / 100 end as q from pairs join lcs on p = case when length(a) <= length(b) then a else b end and t = case when length(a) <= length(b) then b else a end)"""
+
+#: The weighted ratio of the pairs (a, b): with sorted tokens and token sets where lengths are alike, else with the best window.
+WEIGHTED = f"""tok as (select s, array_to_string(list_sort(string_split(s, ' ')), ' ') as ss, list_sort(list_distinct(string_split(s, ' '))) as ws from (select a as s from pairs union select b from pairs)),
+base as (select a, b, length(a) as la, length(b) as lb, greatest(length(a), length(b))::double / least(length(a), length(b)) as lr, x.ss as sa, y.ss as sb, array_to_string(x.ws, ' ') as ua, array_to_string(y.ws, ' ') as ub,
+  array_to_string(list_filter(x.ws, lambda w: list_contains(y.ws, w)), ' ') as ji, array_to_string(list_filter(x.ws, lambda w: not list_contains(y.ws, w)), ' ') as ja, array_to_string(list_filter(y.ws, lambda w: not list_contains(x.ws, w)), ' ') as jb
+  from pairs join tok x on x.s = a join tok y on y.s = b where a <> '' and b <> ''),
+two as (select a as x, b as y from base union select sa, sb from base where lr < 1.5 union select ja, jb from base where lr < 1.5),
+need as (select distinct case when length(x) <= length(y) then x else y end as p, case when length(x) <= length(y) then y else x end as t from two),
+lcs as (select p, t, case when p = '' then 0 else {common('length(p)', masks('p', 't'))} end as n from need),
+both_ways as (select p, t, n from lcs union select t, p, n from lcs),
+wide as (select a as x, b as y from base where lr >= 1.5 union select sa, sb from base where lr >= 1.5 and ji = '' union select ua, ub from base where lr >= 1.5 and ji = '' and (sa <> ua or sb <> ub)),
+sides as (select x, y, x as p, y as t from wide where length(x) <= length(y) union select x, y, y, x from wide where length(y) <= length(x)),
+masked as (select x, y, length(p) as m, length(t) as n, {masks('p', 't')} as mt from sides),
+windowed as (select x, y, max(list_max(list_transform(range(1 - m, n), lambda s: 200::double * {common('m', 'list_slice(mt, greatest(s, 0) + 1, least(s + m, n))')} / (m + least(s + m, n) - greatest(s, 0))))) as q from masked group by 1, 2),
+parts as (select base.*, 200::double * r.n / (la + lb) as plain, 200::double * o.n / (la + lb) as sorted, length(ji) as s, (ji <> '')::int as gap, length(ja) as na, length(jb) as nb, d.n as nd, w.q as q1, v.q as q2, u.q as q3, case when lr <= 8 then 0.9::double else 0.6::double end as scale
+  from base join both_ways r on r.p = a and r.t = b left join both_ways o on o.p = sa and o.t = sb and lr < 1.5 left join both_ways d on d.p = ja and d.t = jb and lr < 1.5
+  left join windowed w on w.x = a and w.y = b left join windowed v on v.x = sa and v.y = sb and ji = '' left join windowed u on u.x = ua and u.y = ub and ji = ''),
+sets as (select *, case when s > 0 and (na = 0 or nb = 0) then 100::double else greatest(case when 2 * (s + gap) + na + nb = 0 then 100::double else 100::double - 100::double * (na + nb - 2 * nd) / (2 * (s + gap) + na + nb) end,
+  case when s > 0 then greatest(100::double - 100::double * (gap + na) / (2 * s + gap + na), 100::double - 100::double * (gap + nb) / (2 * s + gap + nb)) else 0 end) end as by_set from parts),
+ratio as (select a, b, (case when lr < 1.5 then greatest(plain, 0.95::double * greatest(sorted, by_set)) else greatest(plain, scale * q1, 0.95::double * scale * case when ji <> '' then 100::double else greatest(q2, coalesce(q3, 0)) end) end) / 100 as q from sets
+  union all select a, b, 0::double from pairs where a = '' or b = '')"""
 
 
 def rec(with_: str) -> str:
@@ -119,104 +160,122 @@ def _(v):
 
 # Scores and matches
 
-PAIRS = f"""{rec(ctes('catalog', 'reads'))}, pairs as (select distinct {norm('r.title')} as a, {norm('c.title')} as b from (select distinct title from reads where trim(title) <> '') r join (select distinct title from catalog) c on left({norm('r.title')}, 1) = left({norm('c.title')}, 1))"""
+def matched(scorer: str, select: str) -> str:
+    """Every read against every book, in SQL: ``ranked`` (books of a distinct read in order), ``best`` (the first two) and ``out`` (the decision for each read)."""
+    return f"""{rec(ctes('catalog', 'reads'))},
+r as (select *, {norm('title')} as nt, {surname('author')} as rs, case when {surname('author')} is not null then {initials('author')} end as ri from reads where trim(title) <> ''),
+dr as (select distinct nt, rs, ri from r),
+c0 as (select book_id, {norm('title')} as t from catalog union select book_id, {norm('unnest(alt_titles)')} from catalog),
+ct as (select * from c0 where t <> ''),
+pairs as (select distinct nt as a, t as b from (select distinct nt from dr), (select distinct t from ct)),
+{scorer},
+cn as (select book_id, {surname('author')} as cs, {initials('author')} as ci from catalog),
+names as (select distinct rs as x, cs as y from (select distinct rs from dr where rs is not null), (select distinct cs from cn where cs is not null)),
+near as (select x, y, case when x = y then 1::double else 200::double * (case when length(x) <= length(y) then {common('length(x)', masks('x', 'y'))} else {common('length(y)', masks('y', 'x'))} end) / (length(x) + length(y)) / 100 end as q from names),
+people as (select rs, ri, cs, ci, q >= 0.85 as is_near, case when q < 0.85 then 0::double when len(ri) = 0 or len(ci) = 0 or ri[1:least(len(ri), len(ci))] = ci[1:least(len(ri), len(ci))] then q else q * 0.5::double end as s
+  from (select distinct rs, ri from dr where rs is not null) join near on x = rs join (select distinct cs, ci from cn where cs is not null) on y = cs),
+ts as (select nt, book_id, max(q) as t from (select distinct nt from dr) join ratio on a = nt join ct on ct.t = b group by 1, 2),
+scored as (select dr.nt, dr.rs, dr.ri, ts.book_id, coalesce(p.is_near, cn.cs is null) as is_near, case when p.s is null then least(t, 0.85::double) else 0.75::double * t + 0.25::double * p.s end as s
+  from dr join ts on ts.nt = dr.nt join cn using (book_id) left join people p on p.rs = dr.rs and p.ri = dr.ri and p.cs = cn.cs and p.ci = cn.ci),
+ranked as (select *, row_number() over (partition by nt, rs, ri order by s desc, book_id) as k from scored),
+best as (select nt, rs, ri, max(case when k = 1 then s end) as s1, max(case when k = 2 then s end) as s2, max(case when k = 1 then book_id end) as b1 from ranked where k <= 2 group by 1, 2, 3),
+out as (select reads.read_id, case when s1 is null or s1 < 0.55 then 'unmatched' when s1 >= 0.9 and s1 - coalesce(s2, 0) >= 0.12 then 'auto_added' else 'needs_review' end as match_status, round(s1, 6) as confidence,
+  case when s1 >= 0.55 then round(s1 - coalesce(s2, 0), 6) end as margin, case when s1 >= 0.9 and s1 - coalesce(s2, 0) >= 0.12 then b1 end as chosen_book
+  from reads left join r on r.read_id = reads.read_id left join best on best.nt = r.nt and best.rs is not distinct from r.rs and best.ri is not distinct from r.ri),
+close_ones as (select reads.read_id, reads.spine_color as rc, k.book_id, k.s, k.k, b.s1, b.s1 - coalesce(b.s2, 0) as lead, c.spine_color as cc from reads join r on r.read_id = reads.read_id
+  join ranked k on k.nt = r.nt and k.rs is not distinct from r.rs and k.ri is not distinct from r.ri and k.k <= 3 join best b on b.nt = r.nt and b.rs is not distinct from r.rs and b.ri is not distinct from r.ri join catalog c on c.book_id = k.book_id),
+tied as (select read_id, any_value(s1) as s1, any_value(lead) as lead, count_if(s1 - s <= 0.05) as tied, count_if(s1 - s <= 0.05 and cc = rc) as same, max(case when s1 - s <= 0.05 and cc = rc then book_id end) as colored, max(case when k = 1 then book_id end) as leader from close_ones group by 1),
+shown as (select read_id, case when s1 >= 0.55 and lead <= 0.05 and tied >= 2 and same = 1 then colored else leader end as shown_book from tied),
+listed as (select read_id, book_id, s, row_number() over (partition by read_id order by book_id <> shown_book, k) as rank from close_ones join shown using (read_id))
+{select}"""
+
+
+#: Distinct titles of reads and of their candidates.
+NEAR_TITLES = f"select distinct a, b, round(q, 6) as ratio from (select distinct nt, book_id from ranked where k <= 3) join catalog using (book_id) join ratio on a = nt and b = {norm('title')}"
 
 
 def title_pairs(v: Views) -> DataFrame:
-    """Distinct titles of reads and of the catalog that begin alike."""
-    one = lambda df, c: df.select(normalize_text(F.col("title")).alias(c)).distinct().withColumn("k", F.substring(c, 1, 1))
-    return one(v.derived("reads").where("trim(title) <> ''"), "a").join(one(v.derived("catalog"), "b"), "k").select("a", "b")
+    """Distinct normalised titles of reads and of the candidates that the match gives them."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog")).select("title", F.explode("candidates").alias("c"))
+    titles = found.select("title", F.col("c.title").alias("other")).distinct()
+    return titles.select(normalize_text(F.col("title")).alias("a"), normalize_text(F.col("other")).alias("b")).distinct()
 
 
-@query("indel_ratios", f"{PAIRS}, {LCS} select a, b, round(q, 6) as ratio from ratio")
+@query("indel_ratios", matched(f"{WEIGHTED}", NEAR_TITLES.replace("ratio on a = nt", "plain_ratio on a = nt")).replace("cn as (select", "plain_ratio as (select a, b, plain / 100 as q from parts),\ncn as (select", 1))
 def _(v):
     return title_pairs(v).select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query("weighted_ratios")
+@query("weighted_ratios", matched(WEIGHTED, NEAR_TITLES))
 def _(v):
     return title_pairs(v).select("a", "b", F.round(wratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-MATCHED = f"""{rec(ctes('catalog', 'reads'))},
-r as (select *, {norm('title')} as nt, {norm('author')} as na, {surname('author')} as rs, {initials('author')} as ri from reads where trim(title) <> ''),
-dr as (select distinct nt, na, rs, ri from r),
-ct as (select book_id, {norm('title')} as t from catalog union select book_id, {norm('unnest(alt_titles)')} from catalog),
-pairs as (select distinct nt as a, t as b from (select distinct nt from dr), (select distinct t from ct)),
-{LCS},
-cn as (select book_id, {surname('author')} as cs, {initials('author')} as ci from catalog),
-ts as (select nt, book_id, max(q) as t from (select distinct nt from dr) join ratio on a = nt join ct on ct.t = b group by 1, 2),
-scored as (select dr.nt, dr.na, ts.book_id, case when na is null then least(t, 0.85::double) else 0.75::double * t + 0.25::double * (case when rs <> cs then 0 when len(ri) = 0 or len(ci) = 0 or ri[1] = ci[1] then 1 else 0.5 end) end as s from dr join ts on ts.nt = dr.nt join cn using (book_id)),
-ranked as (select *, row_number() over (partition by nt, na order by s desc, book_id) as k from scored),
-best as (select nt, na, max(case when k = 1 then s end) as s1, max(case when k = 2 then s end) as s2, max(case when k = 1 then book_id end) as b1 from ranked where k <= 2 group by 1, 2),
-out as (select reads.read_id, case when s1 is null or s1 < 0.55 then 'unmatched' when s1 >= 0.9 and s1 - s2 >= 0.12 then 'auto_added' else 'needs_review' end as match_status, round(s1, 6) as confidence,
-  case when s1 >= 0.55 then round(s1 - s2, 6) end as margin, case when s1 >= 0.9 and s1 - s2 >= 0.12 then b1 end as chosen_book
-  from reads left join r on r.read_id = reads.read_id left join best on best.nt = r.nt and best.na is not distinct from r.na)
-select * from out"""
-
-MATCH_COLUMNS = ["read_id", "match_status", "confidence", "margin", "chosen_book"]
+def rounded(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("read_id", *more, "match_status", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "chosen_book")
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select("read_id", "match_status", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "chosen_book")
-
-
-@query("match_reads")
+@query("match_reads", matched(WEIGHTED, """, ids as (select read_id, string_agg(book_id::varchar, ',' order by rank) as candidates from listed group by 1)
+  select out.read_id, title, author, coalesce(candidates, '') as candidates, match_status, confidence, margin, chosen_book from out join reads on reads.read_id = out.read_id left join ids on ids.read_id = out.read_id"""))
 def _(v):
     """Every read against the whole catalog, by the weighted ratio."""
     found = M.match_reads(v.derived("reads"), v.derived("catalog"))
-    return found.select("read_id", "title", "author", F.to_json("candidates").alias("candidates"), *MATCH_COLUMNS[1:])
+    ids = F.array_join(F.transform("candidates", lambda c: c["book_id"].cast("string")), ",")
+    return rounded(found.withColumn("candidates", F.coalesce(ids, F.lit(""))), "title", "author", "candidates")
 
 
-@query("match_reads_plain", MATCHED)
+@query("match_reads_plain", matched(LCS, "select * from out"))
 def _(v):
-    """The same with the plain ratio, which SQL can say."""
+    """The same with the plain ratio."""
     return rounded(M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio"))
 
 
-SHOWN = MATCHED.replace("select * from out", """, near as (select reads.read_id, reads.spine_color as rc, k.book_id, k.s, k.k, b.s1, b.s1 - b.s2 as lead, c.spine_color as cc from reads join r on r.read_id = reads.read_id
-  join ranked k on k.nt = r.nt and k.na is not distinct from r.na and k.k <= 3 join best b on b.nt = r.nt and b.na is not distinct from r.na join catalog c on c.book_id = k.book_id),
-  t as (select read_id, any_value(s1) as s1, any_value(lead) as lead, count_if(s1 - s <= 0.05) as tied, count_if(s1 - s <= 0.05 and cc = rc) as same, max(case when s1 - s <= 0.05 and cc = rc then book_id end) as colored, max(case when k = 1 then book_id end) as leader from near group by 1)
-  select read_id, case when s1 >= 0.55 and lead <= 0.05 and tied >= 2 and same = 1 then colored else leader end as shown_book from t""").replace("chosen_book\n  from", "chosen_book from").replace("best.na is not distinct from r.na)\n,", "best.na is not distinct from r.na),")
-
-
-@query("match_shown", SHOWN)
+@query("match_shown", matched(WEIGHTED, "select * from shown"))
 def _(v):
     """The candidate that is shown first, near-ties settled by colour."""
-    found = M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio")
+    found = M.match_reads(v.derived("reads"), v.derived("catalog"))
     return found.where("trim(title) <> ''").select("read_id", F.get("candidates", F.lit(0))["book_id"].alias("shown_book"))
 
 
-@query("match_auto_blocked")
+@query("match_candidates", matched(WEIGHTED, """select read_id, rank::integer as rank, l.book_id, c.title, c.author, floor(s * 10000 + 0.5000001) / 10000 as score, c.year::integer as year, c.series, c.spine_color, c.spine_hex from listed l join catalog c using (book_id)"""))
+def _(v):
+    """What detections store of their candidates."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog")).select("read_id", F.posexplode(M.candidates_payload(F.col("candidates"))).alias("at", "c"))
+    return found.select("read_id", (F.col("at") + 1).alias("rank"), "c.*")
+
+
+@query("match_auto_blocked", matched(WEIGHTED, """, met as (select *, row_number() over (partition by nt, rs, ri order by s desc, book_id) as m from scored where rs is not null and is_near),
+  lead2 as (select nt, rs, ri, max(case when m = 1 then s end) - coalesce(max(case when m = 2 then s end), 0) as lead from met where m <= 2 group by 1, 2, 3)
+  select out.read_id, chosen_book, confidence, round(lead, 6) as margin_upper from out join r on r.read_id = out.read_id join lead2 on lead2.nt = r.nt and lead2.rs = r.rs and lead2.ri = r.ri where match_status = 'auto_added'"""))
 def _(v):
-    """Automatic matches found through blocks of like surnames."""
+    """Automatic matches found through blocks of like surnames, and what can spoil them."""
     found = M.match_reads(v.derived("reads"), v.derived("catalog"), mode="blocked")
     return found.where("match_status = 'auto_added'").select("read_id", "chosen_book", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin_upper"))
 
 
-@query("match_buckets", f"{MATCHED.replace('select * from out', 'select match_status as status, count(*) as n from out group by 1')}")
+@query("match_buckets", matched(WEIGHTED, "select match_status as status, count(*) as n from out group by 1"))
 def _(v):
-    return R.match_buckets(M.match_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio").select(F.col("match_status").alias("status")))
+    return R.match_buckets(M.match_reads(v.derived("reads"), v.derived("catalog")).select(F.col("match_status").alias("status")))
 
 
-@query("distinct_reads", f"{ctes('reads')} select count(*) as n, count(distinct norm_title) as titles from (select distinct {norm('title')} as norm_title, {norm('author')} as a from reads where trim(title) <> '')")
+@query("distinct_reads", f"{ctes('reads')} select count(*) as n, count(distinct norm_title) as titles from (select distinct {norm('title')} as norm_title, coalesce({surname('author')} || '/' || array_to_string({initials('author')}, ' '), '') as a from reads where trim(title) <> '')")
 def _(v):
     return M.distinct_reads(v.derived("reads")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("norm_title").alias("titles"))
 
 
-ROUTED = MATCHED.replace("select * from out", """select d.scan_id, count_if(st in ('auto_added', 'confirmed')) as added, count_if(st in ('needs_review', 'unmatched', 'unreadable', 'failed')) as review,
-  count_if(st = 'auto_added') as auto_added, count_if(st = 'needs_review') as needs_review, count_if(st = 'unmatched') as unmatched, count_if(st = 'unreadable') as unreadable, count_if(st = 'failed') as failed, count_if(st = 'confirmed') as confirmed, count_if(st = 'discarded') as discarded
-  from (select r0.scan_id, case when r0.not_a_book or r0.status = 'duplicate' then 'discarded' when not r0.readable then case when r0.status = 'failed' then 'failed' else 'unreadable' end else o.match_status end as st from reads r0 join out o using (read_id)) d group by 1""")
+#: Only a status discards, not the flag of a read that could be read.
+FATES = """fates as (select r0.scan_id, r0.read_id, case when r0.status in ('not_a_book', 'duplicate') then 'discarded' when not r0.readable or coalesce(r0.title, '') = '' then case when r0.status = 'failed' then 'failed' else 'unreadable' end else o.match_status end as st from reads r0 join out o using (read_id))"""
 
 
-@query("routed_scans", ROUTED)
+@query("routed_scans", matched(WEIGHTED, f""", {FATES} select scan_id, count_if(st in ('auto_added', 'confirmed')) as added, count_if(st in ('needs_review', 'unmatched', 'unreadable', 'failed')) as review,
+  count_if(st = 'auto_added') as auto_added, count_if(st = 'needs_review') as needs_review, count_if(st = 'unmatched') as unmatched, count_if(st = 'unreadable') as unreadable, count_if(st = 'failed') as failed, count_if(st = 'confirmed') as confirmed, count_if(st = 'discarded') as discarded from fates group by 1"""))
 def _(v):
-    return R.scan_summary(L.route_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio"))
+    return R.scan_summary(L.route_reads(v.derived("reads"), v.derived("catalog")))
 
 
-@query("auto_confirmed", MATCHED.replace("select * from out", "select chosen_book as book_id, count(*) as n from out join reads using (read_id) where match_status = 'auto_added' and readable and not not_a_book and reads.status = 'ok' group by 1"))
+@query("auto_confirmed", matched(WEIGHTED, f", {FATES} select chosen_book as book_id, count(*) as n from out join fates using (read_id) where st = 'auto_added' group by 1"))
 def _(v):
-    routed = L.route_reads(v.derived("reads"), v.derived("catalog"), scorer="ratio")
+    routed = L.route_reads(v.derived("reads"), v.derived("catalog"))
     rows = L.auto_confirm(routed.withColumn("detection_id", F.col("read_id")).withColumn("created_at", F.lit(None).cast("timestamp")))
     return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
 

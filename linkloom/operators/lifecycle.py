@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from linkloom.config import ADDED, MATCH, REVIEW, STATUS_LABELS, MatchConfig
 from linkloom.functions.text import normalize_text
-from linkloom.operators.matching import candidates_payload, match_reads
+from linkloom.operators.matching import Prepared, candidates_payload, match_reads
 
 
-def route_reads(reads: DataFrame, catalog: DataFrame, config: MatchConfig = MATCH, mode: str = "exact", scorer: str = "wratio") -> DataFrame:
-    """Detections from reads (…, title, author, spine_color, readable, not_a_book, status): each gets exactly one status.
+def route_reads(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, mode: str = "exact", scorer: str = "wratio") -> DataFrame:
+    """Detections from reads (…, title, author, spine_color, readable, status): each gets exactly one status.
 
-    What isn't a book or repeats another is discarded; what can't be read is unreadable or failed;
-    the rest is matched.
+    What has the status of no book or of a repeat is discarded; what can't be read is unreadable or
+    failed; the rest is matched. A flag ``not_a_book`` alone discards nothing: a spine that could be
+    read is a book.
     """
-    gone = F.col("not_a_book") | (F.col("status") == "duplicate")
+    gone = F.col("status").isin("not_a_book", "duplicate")
     lost = ~F.coalesce("readable", F.lit(True)) | F.col("title").isNull() | (F.col("title") == "")
     fate = F.when(F.coalesce(gone, F.lit(False)), "discarded").when(lost, F.when(F.col("status") == "failed", "failed").otherwise("unreadable"))
     reads = reads.withColumn("fate", fate)
@@ -52,29 +53,52 @@ def confirmed_entries(checked: DataFrame) -> DataFrame:
     return rows.select("book_id", own("custom_title").alias("custom_title"), own("custom_author").alias("custom_author"), F.col("detection_id").alias("source_detection_id"), F.col("ts").alias("created_at"))
 
 
-def apply_review_actions(detections: DataFrame, checked: DataFrame) -> DataFrame:
-    """Detections after their latest valid confirmation or discard."""
-    what = F.struct("action", "book_id")
-    last = checked.where("valid and action in ('confirm', 'discard')").groupBy("detection_id").agg(F.max_by(what, F.struct("ts", "action_id")).alias("last"))
-    out = detections.join(last, "detection_id", "left")
-    confirmed = F.col("last.action") == "confirm"
-    status = F.when(confirmed, "confirmed").when(F.col("last.action") == "discard", "discarded").otherwise(F.col("status"))
-    return out.withColumn("status", status).withColumn("chosen_book", F.when(confirmed, F.col("last.book_id")).otherwise(F.col("chosen_book"))).drop("last")
+#: What a retry replaces in a detection, besides its status and its book.
+MATCHED = ("title", "author", "spine_color", "readable", "not_a_book", "candidates", "confidence", "margin")
+
 
+def apply_review_actions(detections: DataFrame, checked: DataFrame, retries: DataFrame | None = None) -> DataFrame:
+    """Detections after their valid actions, in the order of (ts, action_id).
 
-def retried(detections: DataFrame, checked: DataFrame, reads: DataFrame, catalog: DataFrame, **how) -> DataFrame:
-    """New matches of the detections that are read again; ``reads`` holds one read for each detection_id."""
+    The latest action names the status. The book is that of the latest confirmation or retry: a discard
+    keeps it. With ``retries`` (see ``retried``) a retry replaces all that was read and matched.
+    """
+    when = F.struct("ts", "action_id")
+    counts = checked.where(F.col("valid") & F.col("action").isin("confirm", "discard", *(["retry"] if retries is not None else [])))
+    chose = F.when(F.col("action") != "discard", when)
+    last = counts.groupBy("detection_id").agg(F.max_by("action", when).alias("last"), F.max_by(F.struct("action", "book_id"), chose).alias("choice"), F.max(F.col("action") == "retry").alias("retried"))
+    out = detections.join(last, "detection_id", "left")
+    again = F.lit(None).cast(f"struct<status:string,chosen_book:{dict(detections.dtypes)['chosen_book']}>")
+    replaced = {}
+    if retries is not None:
+        fields = [c for c in MATCHED if c in detections.columns and c in retries.columns]
+        out = out.join(retries.select("detection_id", F.struct("status", "chosen_book", *fields).alias("again")), "detection_id", "left")
+        again = F.when(F.coalesce("retried", F.lit(False)), F.col("again"))
+        replaced = {c: F.when(again.isNotNull(), again[c]).otherwise(F.col(c)) for c in fields}
+    status = F.when(F.col("last") == "confirm", "confirmed").when(F.col("last") == "discard", "discarded").when(F.col("last") == "retry", F.coalesce(again["status"], F.col("status")))
+    book = F.when(F.col("choice.action") == "confirm", F.col("choice.book_id")).when((F.col("choice.action") == "retry") & again.isNotNull(), again["chosen_book"])
+    book = F.when(F.col("choice").isNull(), F.col("chosen_book")).otherwise(book)
+    return out.withColumns(replaced | {"status": F.coalesce(status, F.col("status")), "chosen_book": book}).drop("last", "choice", "retried", "again")
+
+
+def retried(detections: DataFrame, checked: DataFrame, reads: DataFrame, catalog: DataFrame | Prepared, **how) -> DataFrame:
+    """New matches of the detections that are read again; ``reads`` holds one read for each detection_id.
+
+    ``apply_review_actions`` puts them into the detections, ``auto_confirm`` adds the library rows of those that match.
+    """
     again = checked.where("valid and action = 'retry'").select("detection_id").distinct()
     kept = detections.select("detection_id", "scan_id", "created_at").join(again, "detection_id", "left_semi")
     return route_reads(kept.join(reads, "detection_id"), catalog, **how)
 
 
 def edit_library(library: DataFrame, edits: DataFrame) -> DataFrame:
-    """``edits``: (entry_id, kind edit or delete, custom_title, custom_author, ts). The latest edit counts; a deletion is final."""
+    """``edits``: (entry_id, kind edit or delete, custom_title, custom_author, ts, action_id). A null field isn't edited; of each field the latest edit counts, of equal times that with the larger action_id. A deletion is final."""
     gone = edits.where("kind = 'delete'").select("entry_id").distinct()
-    last = edits.where("kind = 'edit'").groupBy("entry_id").agg(F.max_by(F.struct("custom_title", "custom_author"), "ts").alias("e"))
+    fields = ("custom_title", "custom_author")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "action_id"))).alias(f"new_{c}")
+    last = edits.where("kind = 'edit'").groupBy("entry_id").agg(*map(latest, fields))
     kept = library.join(gone, "entry_id", "left_anti").join(last, "entry_id", "left")
-    return kept.withColumns({c: F.coalesce(F.col(f"e.{c}"), F.col(c)) for c in ("custom_title", "custom_author")}).drop("e")
+    return kept.withColumns({c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in fields}).drop(*[f"new_{c}" for c in fields])
 
 
 def scan_status(scans: DataFrame, boxes: DataFrame, reads: DataFrame) -> DataFrame:
@@ -139,13 +163,23 @@ def omnibus_volumes(catalog: DataFrame) -> DataFrame:
 def search_catalog(queries: DataFrame, catalog: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, rank, book_id): books whose title or author holds the query, by id.
 
-    A query of three characters or more meets only books that share its first three letters, by an
-    equi-join; shorter ones, which fit much of any catalog, meet their own first letters.
+    A query meets only books that have its first three letters (of a shorter one, all), by an equi-join of
+    letter groups. Only groups that are asked for are made and kept, without the strings; these are
+    fetched for hits. Equal queries are answered once.
     """
-    q = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where("q <> ''").withColumn("n", F.least(F.length("q"), F.lit(3))).withColumn("gram", F.substring("q", 1, 3))
-    both = F.array(F.lower("title"), F.lower("author"))
-    books = catalog.select("book_id", F.explode(both).alias("s"))
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("s"), F.lit(3)))).alias("n")
-    grams = books.where("s <> ''").select("book_id", "s", sizes).select("book_id", "s", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1), lambda i: F.substring("s", i, F.col("n"))))).alias("gram"))
-    hits = q.join(grams, ["n", "gram"]).where(F.col("s").contains(F.col("q"))).select("query_id", "book_id").distinct()
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("book_id"))).where(F.col("rank") <= limit)
+    asked = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where("q <> ''")
+    q = asked.select("q").distinct().withColumn("gram", F.substring("q", 1, 3))
+    wanted = q.select("gram").distinct()
+    strings = catalog.select("book_id", F.explode(F.array(F.lower("title"), F.lower("author"))).alias("s")).where("s <> ''")
+    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # of 1, 2 and 3
+    groups = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring("s", i, F.lit(n)))
+    every = F.concat(F.array().cast("array<string>"), *[F.when(F.length("s") >= n, groups(n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+    grams = strings.select("book_id", F.explode(F.array_distinct(every)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
+    # A query of up to three letters is its group: every book that has it is a hit. Only longer ones look at the strings.
+    met = q.join(grams, "gram").select("q", "book_id")
+    short = met.where(F.length("q") <= 3)
+    looked = met.where(F.length("q") > 3).join(catalog.select("book_id", F.lower("title").alias("t"), F.lower("author").alias("a")), "book_id")
+    long = looked.where(F.coalesce(F.col("t").contains(F.col("q")), F.lit(False)) | F.coalesce(F.col("a").contains(F.col("q")), F.lit(False))).select("q", "book_id")
+    first = F.row_number().over(W.partitionBy("q").orderBy("book_id"))
+    found = short.unionAll(long).withColumn("rank", first).where(F.col("rank") <= limit)
+    return asked.join(found, "q").select("query_id", "rank", "book_id")

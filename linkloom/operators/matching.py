@@ -1,14 +1,16 @@
 """Matching reads against a catalog: scores, the best candidates, the decision.
 
-Equal reads are scored once. The exact mode compares each distinct read with each catalog row, in
-tiles: a block of reads meets a block of rows, scores each distinct pair of strings in it once,
-and returns the few best rows of each read, so pairs are never emitted. The blocked mode lets
-only rows meet that can decide an automatic match, by joins on authors.
+Equal reads are scored once, and so is each distinct pair of a read's and a book's title. Both sides
+are dealt by title into blocks of bounded size, a title with very many rows into several; a block of
+reads meets a block of titles in a tile, which scores the titles, combines them with authors, and
+returns the few best books of each read. Pairs are never emitted, and neither side is broadcast. The
+blocked mode lets only rows meet that can decide an automatic match, by joins on surnames.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +19,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.config import MATCH, MatchConfig
-from linkloom.functions.fuzzy import Tokens, indel_ratio, ratios, weighted_ratios, wratio
+from linkloom.functions.fuzzy import Tokens, indel_ratio, lengths, numbered, ratios, weighted_ratios
 from linkloom.functions.text import normalize_author, normalize_text
+from linkloom.tables import written
 
-#: Distinct reads and catalog rows of a tile.
-READS, ROWS = 256, 2048
+#: Different titles of a block of reads and of a block of books, and the rows of either.
+READ_TITLES, BOOK_TITLES, ROWS = 256, 1024, 8192
+#: Pairs of titles that are scored at a time, and scores of reads with books that are looked at at a time.
+PAIRS, SCORES = 100_000, 2_000_000
 
 
-def with_keys(df: DataFrame, alts: bool) -> DataFrame:
-    """Adds ``titles`` (normalised, the title first, then alternates; no empty ones) and ``name`` (the parsed author)."""
-    one = normalize_text(F.col("title"))
-    if not alts:
-        return df.withColumn("norm_title", one).withColumn("name", normalize_author(F.col("author")))
+@dataclass(frozen=True)
+class Prepared:
+    """A catalog and its keys, made once for any number of matches."""
+
+    catalog: DataFrame
+    keys: DataFrame
+
+
+def prepare(catalog: DataFrame, config: MatchConfig = MATCH) -> Prepared:
+    """Keys: (book_id, book_title, row_name), a row for each different normalised title of a book, '' if it has none.
+
+    Books that agree in title and author score alike; of these only the first few ids can be candidates.
+    """
+    every = F.concat(F.array("title"), F.coalesce("alt_titles", F.array().cast("array<string>")))
     # Titles are normalised as rows of their own, so a Python function sees plain strings.
-    every = df.select("book_id", F.explode(F.concat(F.array("title"), F.coalesce("alt_titles", F.array().cast("array<string>")))).alias("t"))
-    titles = every.withColumn("t", normalize_text(F.col("t"))).groupBy("book_id").agg(F.sort_array(F.collect_set(F.when(F.col("t") != "", F.col("t")))).alias("titles"))
-    return df.join(titles, "book_id").withColumn("name", normalize_author(F.col("author")))
+    rows = catalog.select("book_id", "author", F.posexplode(every).alias("at", "t")).withColumn("t", normalize_text(F.col("t")))
+    rows = rows.where("at = 0 or t <> ''").groupBy("book_id", "author").agg(F.collect_set("t").alias("titles"))
+    named = F.when(F.size(F.array_remove("titles", "")) > 0, F.array_remove("titles", "")).otherwise(F.array(F.lit("")))
+    rows = rows.select("book_id", normalize_author(F.col("author")).alias("row_name"), F.explode(named).alias("book_title"))
+    alike = F.row_number().over(W.partitionBy("book_title", "row_name").orderBy("book_id"))
+    keys = rows.withColumn("alike", alike).where(F.col("alike") <= max(2, config.candidates)).drop("alike")
+    return Prepared(catalog, written(keys, "catalog-keys"))
 
 
 def author_score(a: Column, b: Column, surname_ratio: Column, config: MatchConfig = MATCH) -> Column:
@@ -49,132 +67,214 @@ def blend(title: Column, author: Column, config: MatchConfig = MATCH) -> Column:
     return F.when(author.isNull(), F.least(title, F.lit(config.no_author_cap))).otherwise(config.title_weight * title + config.author_weight * author)
 
 
-def title_scores(reads: list[str], rows: list[list[str]], of) -> np.ndarray:
-    """The best ratio of each read with any title of each row, every distinct pair scored once."""
-    titles = list(dict.fromkeys(t for ts in rows for t in ts))
-    place = {t: i for i, t in enumerate(titles)}
-    different = list(dict.fromkeys(r for r in reads if r))
-    out = np.zeros((len(reads), len(rows)))
-    if not different or not titles:
-        return out
-    flat = of([r for r in different for _ in titles], titles * len(different)).reshape(len(different), len(titles)) / 100
-    best = np.stack([flat[:, [place[t] for t in ts]].max(axis=1) if ts else np.zeros(len(different)) for ts in rows], axis=1)
-    at = {r: i for i, r in enumerate(different)}
-    named = [i for i, r in enumerate(reads) if r]
-    out[named] = best[[at[reads[i]] for i in named]]
-    return out
+def names(column: pa.ChunkedArray) -> list[tuple[str, tuple] | None]:
+    return [None if n is None else (n["surname"], tuple(n["initials"])) for n in column.to_pylist()]
 
 
-def author_scores(reads: list[dict | None], rows: list[dict | None], config: MatchConfig) -> np.ndarray:
-    """Author scores of each read with each row, NaN where unknown."""
-    key = lambda n: None if n is None else (n["surname"], tuple(n["initials"]))
-    left, right = list(map(key, reads)), list(map(key, rows))
-    a, b = list(dict.fromkeys(left)), list(dict.fromkeys(right))
-    apart = sorted({(x[0], y[0]) for x in a if x for y in b if y and x[0] != y[0]})
-    near = dict(zip(apart, (ratios([x for x, _ in apart], [y for _, y in apart]) / 100).tolist(), strict=True)) if apart else {}
+def surname_scores(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """Ratios of all pairs of different surnames, 1 for equal ones, 0 below the threshold.
+
+    Unequal surnames at 0.85 have about the same length and two adjacent letters in common (see
+    ``near_surnames``); only such pairs are computed.
+    """
+    place = {y: j for j, y in enumerate(b)}
+    out = np.zeros((len(a), len(b)))
+    pairs_of = lambda x: sum({1 << (hash(x[i : i + 2]) % 63) for i in range(len(x) - 1)})
+    ga, gb = (np.fromiter((pairs_of(x) for x in s), np.uint64, len(s)) for s in (a, b))
+    la, lb = lengths(a)[:, None], lengths(b)[None, :]
+    close = (np.minimum(la, lb) * (2 - threshold) >= threshold * np.maximum(la, lb)) & ((ga[:, None] & gb[None, :]) != 0)
+    i, j = np.nonzero(close)
+    if len(i):
+        found = ratios([a[x] for x in i], [b[x] for x in j]) / 100
+        out[i, j] = np.where(found >= threshold, found, 0.0)
+    for k, x in enumerate(a):
+        if x in place:
+            out[k, place[x]] = 1.0
+    return out
 
-    def score(x, y) -> float:
-        if x is None or y is None:
-            return math.nan
-        base = 1.0 if x[0] == y[0] else near[x[0], y[0]]
-        if base < config.surname_threshold:
-            return 0.0
-        k = min(len(x[1]), len(y[1]))
-        return base if k == 0 or x[1][:k] == y[1][:k] else base * 0.5
 
-    table = np.asarray([[score(x, y) for y in b] for x in a]).reshape(len(a), len(b))
-    ia, ib = {x: i for i, x in enumerate(a)}, {y: i for i, y in enumerate(b)}
-    return table[[ia[x] for x in left]][:, [ib[y] for y in right]]
+def author_scores(left: list[tuple | None], right: list[tuple | None], config: MatchConfig) -> np.ndarray:
+    """Author scores of all pairs of different names, NaN where one is unknown."""
+    sa, (ia,) = numbered([x[0] for x in left if x])
+    sb, (ib,) = numbered([y[0] for y in right if y])
+    out = np.full((len(left), len(right)), math.nan)
+    known_a, known_b = (np.flatnonzero([n is not None for n in ns]) for ns in (left, right))
+    if not len(known_a) or not len(known_b):
+        return out
+    base = surname_scores(sa, sb, config.surname_threshold)[ia][:, ib]
+    i, j = np.nonzero(base)
+
+    def initials(ns):
+        wide = [x[1] for x in ns if x]
+        cut = np.full((len(wide), max(1, max(map(len, wide)))), "", dtype="U2")
+        for row, w in zip(cut, wide, strict=True):
+            row[: len(w)] = w
+        return cut, np.fromiter(map(len, wide), np.int64, len(wide))
+
+    (ca, na), (cb, nb) = initials(left), initials(right)
+    common = np.minimum(na[i], nb[j])
+    same = np.ones(len(i), bool)
+    for at in range(min(ca.shape[1], cb.shape[1])):
+        same &= (at >= common) | (ca[i, at] == cb[j, at])
+    base[i, j] = np.where((common == 0) | same, base[i, j], base[i, j] * 0.5)
+    out[np.ix_(known_a, known_b)] = base
+    return out
 
 
-SCORED = "read_key long, book_id long, title_score double, author_score double, score double"
+#: What is shown of a candidate.
+SHOWN = ("title", "author", "year", "series", "spine_color", "spine_hex")
+SCORED = "read_key binary, book_id long, title_score double, author_score double, score double"
+SCORED_TYPES = pa.schema([("read_key", pa.binary()), ("book_id", pa.int64()), ("title_score", pa.float64()), ("author_score", pa.float64()), ("score", pa.float64())])
 
 
 def tile(config: MatchConfig, scorer: str):
-    """The best rows of one catalog block for each read of another block."""
+    """The best books of one block for each read of another. Each pair of different titles is scored once."""
+    n_best = max(2, config.candidates)
+
+    def title_table(a: list[str], b: list[str]) -> np.ndarray:
+        tokens, out = Tokens(), []
+        step = max(1, PAIRS // max(1, len(b)))
+        for at in range(0, len(a), step):
+            x = [t for t in a[at : at + step] for _ in b]
+            y = b * len(a[at : at + step])
+            out.append((ratios(x, y) if scorer == "ratio" else weighted_ratios(x, y, tokens)).reshape(-1, len(b)) / 100)
+        table = np.concatenate(out)
+        table[[i for i, t in enumerate(a) if not t]] = 0
+        table[:, [i for i, t in enumerate(b) if not t]] = 0
+        return table
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({k: pa.array([], pa.int64() if k in ("read_key", "book_id") else pa.float64()) for k in ("read_key", "book_id", "title_score", "author_score", "score")})
-        tokens = Tokens()
-        of = ratios if scorer == "ratio" else lambda a, b: weighted_ratios(a, b, tokens)
-        t = title_scores(left["norm_title"].to_pylist(), right["titles"].to_pylist(), of)
-        a = author_scores(left["name"].to_pylist(), right["row_name"].to_pylist(), config)
-        score = np.where(np.isnan(a), np.minimum(t, config.no_author_cap), config.title_weight * t + config.author_weight * np.nan_to_num(a))
-        books = right["book_id"].to_numpy()
-        by_id = np.argsort(books, kind="stable")
-        order = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, : max(2, config.candidates)]]
-        rows = np.repeat(np.arange(len(t)), order.shape[1])
-        cols = order.ravel()
-        names = a[rows, cols]
-        return pa.table({"read_key": left["read_key"].to_numpy()[rows], "book_id": books[cols], "title_score": t[rows, cols], "author_score": pa.array(names, mask=np.isnan(names)), "score": score[rows, cols]})
+            return SCORED_TYPES.empty_table()
+        right = right.sort_by("book_id")
+        books, first = np.unique(right["book_id"].to_numpy(), return_index=True)
+        read_titles, (of_read,) = numbered(left["norm_title"].to_pylist())
+        book_titles, (of_row,) = numbered(right["book_title"].to_pylist())
+        t = np.maximum.reduceat(title_table(read_titles, book_titles)[:, of_row], first, axis=1)
+        read_names, (name_of_read,) = numbered(names(left["name"]))
+        book_names, (name_of_book,) = numbered(names(right["row_name"].take(pa.array(first))))
+        a = author_scores(read_names, book_names, config)[:, name_of_book]
+        keys, out = left["read_key"], []
+        step = max(1, SCORES // len(books))
+        for at in range(0, left.num_rows, step):
+            mine, theirs = t[of_read[at : at + step]], a[name_of_read[at : at + step]]
+            score = np.where(np.isnan(theirs), np.minimum(mine, config.no_author_cap), config.title_weight * mine + config.author_weight * np.nan_to_num(theirs))
+            n = score.shape[1]
+            floor = np.partition(score, n - n_best, axis=1)[:, n - n_best] if n > n_best else np.full(len(score), -1.0)
+            rows, cols = np.nonzero(score >= floor[:, None])
+            order = np.lexsort((cols, -score[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < n_best
+            rows, cols = rows[best], cols[best]
+            by = theirs[rows, cols]
+            out.append(pa.table([keys.take(pa.array(rows + at)).combine_chunks(), pa.array(books[cols]), pa.array(mine[rows, cols]), pa.array(by, mask=np.isnan(by)), pa.array(score[rows, cols])], schema=SCORED_TYPES))
+        return pa.concat_tables(out)
 
     return run
 
 
-def distinct_reads(reads: DataFrame) -> DataFrame:
-    """(read_key, norm_title, name): the different reads that need scoring. Blank titles aren't among them."""
-    keyed = with_keys(reads.select("title", "author").where(F.trim("title") != ""), alts=False)
-    return keyed.select("norm_title", "name").distinct().withColumn("read_key", read_key())
-
+def spelled(reads: DataFrame) -> DataFrame:
+    """(title, author, norm_title, name, read_key): the different spellings of reads with a title that isn't blank."""
+    raw = reads.select("title", "author").where(F.trim("title") != "").distinct()
+    keyed = raw.withColumn("norm_title", normalize_text(F.col("title"))).withColumn("name", normalize_author(F.col("author")))
+    # 128 bits, so that two reads of even the largest table don't share a key.
+    return keyed.withColumn("read_key", F.unhex(F.md5(F.to_json(F.struct("norm_title", "name")))))
 
-def read_key() -> Column:
-    return F.xxhash64("norm_title", F.col("name.surname"), F.col("name.initials"))
 
-
-def score_exact(reads: DataFrame, catalog: DataFrame, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
-    """The best candidates of each distinct read, from all rows of the catalog."""
-    catalog = with_keys(catalog, alts=True).select("book_id", "titles", F.col("name").alias("row_name"))
-    blocks = max(1, math.ceil(catalog.count() / ROWS))
-    read_blocks = max(1, math.ceil(reads.count() / READS))
+def distinct_reads(reads: DataFrame) -> DataFrame:
+    """(read_key, norm_title, name): the different reads that need scoring. Blank titles aren't among them."""
+    return spelled(reads).select("norm_title", "name", "read_key").distinct()
+
+
+def dealt(df: DataFrame, title: str, row: str, titles: int, least: int = 1) -> tuple[DataFrame, int]:
+    """Adds ``block``, by title; a title with more than an eighth of a block's rows is spread over several. And the number of blocks."""
+    part = max(1, ROWS // 8)
+    counts = df.groupBy(title).agg(F.count(F.lit(1)).alias("n"))
+    n_titles, n_rows = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    blocks = max(least, math.ceil(n_titles / titles), math.ceil((n_rows or 0) / ROWS))
+    hot = counts.where(F.col("n") > part).select(F.col(title).alias("hot_title"), F.ceil(F.col("n") / part).alias("shares"))
+    share = F.pmod(F.xxhash64(row), F.coalesce("shares", F.lit(1)))
+    out = df.join(hot, F.col(title) == F.col("hot_title"), "left").withColumn("block", F.pmod(F.xxhash64(title, share), F.lit(blocks)).cast("int"))
+    return out.drop("hot_title", "shares"), blocks
+
+
+def score_exact(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
+    """The best candidates of each distinct read, from all rows of the catalog. Both sides should be tables, not plans: they are read several times."""
+    keys = (catalog if isinstance(catalog, Prepared) else prepare(catalog, config)).keys
+    right, blocks = dealt(keys, "book_title", "book_id", BOOK_TITLES)
+    # A small catalog still gives all cores a tile.
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    least = min(max(1, cores // blocks), max(1, reads.limit(16 * cores).count() // 16))
+    left, read_blocks = dealt(reads, "norm_title", "read_key", READ_TITLES, least)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = reads.select("read_key", "norm_title", "name", F.pmod("read_key", F.lit(read_blocks)).cast("int").alias("rb"), every(blocks).alias("cb"))
-    right = catalog.select("book_id", "titles", "row_name", F.pmod(F.xxhash64("book_id"), F.lit(blocks)).cast("int").alias("cb2"), every(read_blocks).alias("rb2"))
+    left = left.select("read_key", "norm_title", "name", F.col("block").alias("rb"), every(blocks).alias("cb"))
+    right = right.select("book_id", "book_title", "row_name", F.col("block").alias("cb2"), every(read_blocks).alias("rb2"))
     return left.groupBy("rb", "cb").cogroup(right.groupBy("rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
 
 
-def score_blocked(reads: DataFrame, catalog: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
-    """Scores with those rows only that can decide an automatic match.
-
-    An automatic match needs 0.90. A row whose author doesn't fit gets 0.75 at most, and one whose
-    author is unknown 0.85; so the winner's surname is near the read's, and only such rows or rows
-    without an author can come close enough to spoil its lead. Reads without an author never match
-    automatically and get no rows. Decisions equal the exact mode's; margins are upper bounds.
-    """
-    catalog = with_keys(catalog, alts=True).select("book_id", "titles", F.col("name").alias("row_name"))
-    reads = reads.where("name is not null")
-    a, b = reads.select(F.col("name.surname").alias("x")).distinct(), catalog.where("row_name is not null").select(F.col("row_name.surname").alias("y")).distinct()
+def near_surnames(a: DataFrame, b: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
+    """(x, y): equal surnames, and those whose ratio reaches the threshold; ``a`` and ``b`` hold different surnames x and y."""
     # Unequal surnames at 0.85 or more have a longest common subsequence L >= 0.425 (m + n), and at most
     # m + n - 2 L places where it breaks; L - 1 exceeds that, so a pair of adjacent letters is common.
     low = config.surname_threshold / (2 - config.surname_threshold)
     pairs_of = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).alias("g")
-    grams = lambda df, c: df.where(F.length(c) >= 2).select(c, pairs_of(F.col(c)))
-    fits = (F.least(F.length("x"), F.length("y")) >= low * F.greatest(F.length("x"), F.length("y"))) & (F.col("x") != F.col("y"))
-    apart = grams(a, "x").join(grams(b, "y"), "g").where(fits).select("x", "y").distinct().where(indel_ratio(F.col("x"), F.col("y")) >= config.surname_threshold)
-    near = a.join(b, F.col("x") == F.col("y")).select("x", "y").unionAll(apart)
-    known = reads.join(near, F.col("name.surname") == F.col("x")).join(catalog, F.col("row_name.surname") == F.col("y"))
-    unknown = catalog.where("row_name is null")
-    # Rows without an author spoil a lead only with a title near the read's: they meet by a shared word or a like start.
-    known = known.select("read_key", "norm_title", "name", "book_id", "titles", "row_name")
-    token = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    words = reads.select("read_key", "norm_title", "name", token(F.col("norm_title")).alias("w"))
-    others = unknown.select("book_id", "titles", "row_name", token(F.array_join("titles", " ")).alias("w"))
-    spoilers = words.join(others, "w").drop("w").dropDuplicates(["read_key", "book_id"])
-    pairs = known.unionByName(spoilers.select(known.columns))
-    pairs = pairs.withColumn("pair_title", F.explode("titles")).withColumn("t", wratio(F.col("norm_title"), F.col("pair_title")))
-    near_name = indel_ratio(F.col("name.surname"), F.coalesce(F.col("row_name.surname"), F.lit("")))
-    pairs = pairs.withColumn("author_score", author_score(F.col("name"), F.col("row_name"), near_name, config))
-    best = pairs.groupBy("read_key", "book_id").agg(F.max("t").alias("title_score"), F.max("author_score").alias("author_score"))
-    return best.withColumn("score", blend(F.col("title_score"), F.col("author_score"), config))
+    # Letter pairs meet within like lengths only.
+    sizes = lambda c: F.explode(F.sequence(F.ceil(F.length(c) * low), F.length(c))).alias("size")
+    shorter = a.where("length(x) >= 2").select("x", pairs_of(F.col("x")), F.length("x").alias("lx"))
+    longer = b.where("length(y) >= 2").select("y", pairs_of(F.col("y")), F.length("y").alias("ly"))
+    fits = (F.col("x") != F.col("y")) & (F.col("lx") == F.col("size"))
+    # Either side may be the shorter one; equal lengths come from the first join.
+    one = shorter.join(longer.select("y", "g", sizes(F.col("y"))), "g").where(fits).select("x", "y")
+    two = longer.join(shorter.select("x", "g", "lx", sizes(F.col("x"))), "g").where((F.col("ly") == F.col("size")) & (F.col("ly") < F.col("lx"))).select("x", "y")
+    apart = one.unionAll(two).distinct().where(indel_ratio(F.col("x"), F.col("y")) >= config.surname_threshold)
+    return a.join(b, F.col("x") == F.col("y")).select("x", "y").unionAll(apart)
+
+
+def score_by_surname(reads: DataFrame, keys: DataFrame, config: MatchConfig, scorer: str) -> DataFrame:
+    """The best candidates of each read among the books whose author's surname is near. Hot surnames are dealt into blocks."""
+    reads, keys = reads.where("name is not null").withColumn("x", F.col("name.surname")), keys.where("row_name is not null").withColumn("y", F.col("row_name.surname"))
+    counted = lambda df, c, n: df.groupBy(c).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias(n))
+    a, b = counted(reads, "x", "read_blocks"), counted(keys, "y", "book_blocks")
+    near = written(near_surnames(a.select("x"), b.select("y"), config).join(a, "x").join(b, "y"), "surnames")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = reads.join(near, "x").select("read_key", "norm_title", "name", "x", "y", own("read_key", "read_blocks").alias("rb"), every("book_blocks").alias("cb"))
+    right = keys.join(near, "y").select("book_id", "book_title", "row_name", F.col("x").alias("x2"), F.col("y").alias("y2"), own("book_id", "book_blocks").alias("cb2"), every("read_blocks").alias("rb2"))
+    return left.groupBy("x", "y", "rb", "cb").cogroup(right.groupBy("x2", "y2", "rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
+
+
+def score_blocked(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
+    """Scores with those rows only that can decide an automatic match; decisions to match equal the exact mode's.
+
+    An automatic match needs 0.90. A row whose author doesn't fit gets 0.75 at most, and one whose
+    author is unknown 0.85; so the winner's surname is near the read's. Of other rows, 0.75 is too
+    little to spoil a lead of 0.12, but 0.85 isn't: a read that would be matched among near surnames
+    meets all rows without an author, in tiles, before it is. Reads without an author never match
+    automatically and get no rows. Candidates, and hence margins, are of the rows that were met; a
+    margin is an upper bound of the exact one.
+    """
+    if config.no_author_cap >= config.auto_score or config.auto_score - config.title_weight < config.auto_margin:
+        raise ValueError("with these thresholds any row can decide a match: use the exact mode")
+    prepared = catalog if isinstance(catalog, Prepared) else prepare(catalog, config)
+    known = written(score_by_surname(reads, prepared.keys, config, scorer), "scores")
+    lead = ranked(known, 2).groupBy("read_key").agg(F.max("score").alias("first"), F.min(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+    sure = lead.where((F.col("first") >= config.auto_score) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= config.auto_margin)).select("read_key")
+    doubtful = written(reads.join(sure, "read_key", "left_semi"), "reads")
+    unknown = Prepared(prepared.catalog, prepared.keys.where("row_name is null"))
+    return known.unionByName(score_exact(doubtful, unknown, config, scorer))
+
+
+def ranked(scored: DataFrame, n: int) -> DataFrame:
+    """The n best books of each read with their rank ``r``, ties to the smaller book_id. A book that was met by several titles counts by the best."""
+    by_read = scored.repartition("read_key").groupBy("read_key", "book_id").agg(F.max(F.struct("score", "title_score", "author_score")).alias("s")).select("read_key", "book_id", "s.*")
+    return by_read.withColumn("r", F.row_number().over(W.partitionBy("read_key").orderBy(F.desc("score"), "book_id"))).where(F.col("r") <= n)
 
 
 def top_candidates(scored: DataFrame, catalog: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
     """(read_key, candidates): the best, ties to the smaller book_id, with what is shown of a book."""
-    n = max(2, config.candidates)
-    ranked = scored.withColumn("r", F.row_number().over(W.partitionBy("read_key").orderBy(F.desc("score"), "book_id"))).where(F.col("r") <= n)
-    shown = catalog.select("book_id", "title", "author", "year", "series", "spine_color")
-    item = F.struct("r", "book_id", F.col("title"), F.col("author"), "score", "title_score", "author_score", "year", "series", "spine_color")
-    return ranked.join(shown, "book_id").groupBy("read_key").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
+    shown = catalog.select("book_id", *[c if c in catalog.columns else F.lit("").alias(c) for c in SHOWN])
+    item = F.struct("r", "book_id", F.col("title"), F.col("author"), "score", "title_score", "author_score", *SHOWN[2:])
+    return ranked(scored, max(2, config.candidates)).join(shown, "book_id").groupBy("read_key").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
 
 
 def decide(df: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
@@ -200,19 +300,19 @@ def color_tiebreak(candidates: Column, color: Column, margin: Column, config: Ma
 
 
 def candidates_payload(candidates: Column) -> Column:
-    fields = ("book_id", "title", "author", "year", "series", "spine_color")
-    return F.transform(candidates, lambda c: F.struct(c["book_id"].alias("book_id"), F.round(c["score"], 4).alias("score"), *[c[f].alias(f) for f in fields[1:]]))
+    """What a detection stores of its candidates: scores rounded to four places."""
+    return F.transform(candidates, lambda c: F.struct(c["book_id"].alias("book_id"), c["title"].alias("title"), c["author"].alias("author"), F.round(c["score"], 4).alias("score"), *[c[f].alias(f) for f in SHOWN[2:]]))
 
 
-def match_reads(reads: DataFrame, catalog: DataFrame, config: MatchConfig = MATCH, mode: str = "exact", scorer: str = "wratio") -> DataFrame:
+def match_reads(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, mode: str = "exact", scorer: str = "wratio") -> DataFrame:
     """Adds candidates, confidence, margin, match_status and chosen_book to reads (title, author, spine_color)."""
     if config.candidates < 2:
         raise ValueError("a margin needs at least two candidates")
-    different = distinct_reads(reads)
-    scored = score_exact(different, catalog, config, scorer) if mode == "exact" else score_blocked(different, catalog, config)
-    best = top_candidates(scored, catalog, config).withColumnRenamed("read_key", "k")
-    keyed = with_keys(reads, alts=False).withColumn("read_key", F.when(F.trim("title") != "", read_key()))
-    out = decide(keyed.join(best, F.col("read_key") == F.col("k"), "left"), config)
+    prepared = catalog if isinstance(catalog, Prepared) else prepare(catalog, config)
+    forms = written(spelled(reads), "spelled")
+    different = written(forms.select("read_key", "norm_title", "name").distinct(), "reads")
+    scored = (score_exact if mode == "exact" else score_blocked)(different, prepared, config, scorer)
+    best = forms.select(F.col("title").alias("t"), F.col("author").alias("a"), "read_key").join(top_candidates(scored, prepared.catalog, config), "read_key").drop("read_key")
+    out = decide(reads.join(best, (F.col("title") == F.col("t")) & F.col("author").eqNullSafe(F.col("a")), "left").drop("t", "a"), config)
     out = out.withColumn("candidates", color_tiebreak(F.col("candidates"), F.col("spine_color"), F.col("margin"), config))
-    out = out.withColumn("chosen_book", F.when(F.col("match_status") == "auto_added", F.get("candidates", F.lit(0))["book_id"]))
-    return out.drop("norm_title", "name", "read_key", "k")
+    return out.withColumn("chosen_book", F.when(F.col("match_status") == "auto_added", F.get("candidates", F.lit(0))["book_id"]))

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.config import MatchConfig
-from linkloom.operators.lifecycle import auto_confirm, checked_actions, retried, route_reads
+from linkloom.operators import matching
+from linkloom.operators.lifecycle import apply_review_actions, auto_confirm, checked_actions, edit_library, retried, route_reads
 from linkloom.operators.matching import match_reads
+from linkloom.sources.catalog import RESPONSE
 
 BOOK = "book_id long, title string, author string, alt_titles array<string>, year int, series string, spine_color string"
 READ = "read_id long, title string, author string, spine_color string"
@@ -98,3 +100,86 @@ def test_retry(spark):
     got = retried(detections, checked_actions(actions, cat), reads, cat)
     assert [(r["detection_id"], r["status"], r["chosen_book"]) for r in got.collect()] == [(10, "auto_added", 1)]
     assert auto_confirm(got).count() == 1
+
+
+def test_spoilers_without_an_author_or_a_common_word(spark):
+    """A row without an author comes close enough to stop an automatic match, though no word is the same."""
+    cat = catalog(spark, ("abcdefghij", "Ann Lee", [], ""), ("abcdefghil", None, [], ""))
+    for mode in ("exact", "blocked"):
+        got = matched(spark, cat, ("abcdefghik", "Ann Lee", None), mode=mode)[0]
+        assert got["match_status"] == "needs_review" and got["margin"] == pytest.approx(0.075), mode
+
+
+def test_blocked_equals_exact_at_random(spark, monkeypatch):
+    """Typos, swapped and near authors, rows without authors, hot titles and surnames, small blocks: the same matches."""
+    import random
+
+    monkeypatch.setattr(matching, "ROWS", 16)
+    monkeypatch.setattr(matching, "READ_TITLES", 8)
+    monkeypatch.setattr(matching, "BOOK_TITLES", 8)
+    rnd = random.Random(6)
+    words = ["the", "of", *("".join(rnd.choice("bcdfgklmnprstv") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(60))]
+    title = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+    typo = lambda t: t if rnd.random() < 0.5 or len(t) < 4 else (t[: (i := rnd.randrange(len(t)))] + rnd.choice(["", "x"]) + t[i + 1 :])
+    people = ["Ann Lee", "Lee, A.", "B. Lee", "Carla Månsson", "C. Manson", "D. Montgomery", "Dee Montgomerie", "E. Quist"]
+    rows = [(title() if rnd.random() < 0.8 else "Hot Title", rnd.choice([*people, None]), [title()] if rnd.random() < 0.3 else [], "") for _ in range(90)]
+    cat = catalog(spark, *rows)
+    reads = [(typo(t), typo(a) if a else rnd.choice(people), None) for t, a, *_ in rows] + [(typo(t), None, None) for t, *_ in rows[:10]]
+    exact, blocked = matched(spark, cat, *reads), matched(spark, cat, *reads, mode="blocked")
+    auto = lambda got: {i: (r["chosen_book"], r["confidence"]) for i, r in got.items() if r["match_status"] == "auto_added"}
+    assert auto(exact) == auto(blocked) and len(auto(exact)) > 15
+    assert all(blocked[i]["margin"] >= exact[i]["margin"] for i in auto(exact))
+    # The tiles of the exact mode against plain loops over all pairs.
+    from linkloom.functions.fuzzy import weighted_ratios
+    from linkloom.operators.matching import author_scores, names, prepare
+
+    monkeypatch.undo()
+    keys = prepare(cat).keys.toArrow()
+    spelled = matching.spelled(spark.createDataFrame([(t, a) for t, a, _ in reads], "title string, author string")).toArrow()
+    by = {(t, a): (n, who) for t, a, n, who in zip(*(spelled[c].to_pylist() for c in ("title", "author", "norm_title")), names(spelled["name"]), strict=True)}
+    books = list(zip(keys["book_id"].to_pylist(), keys["book_title"].to_pylist(), names(keys["row_name"]), strict=True))
+    for i, (t, a, _) in enumerate(reads):
+        n, who = by[t, a]
+        best = {}
+        for (b, bt, person), w in zip(books, weighted_ratios([n] * len(books), [x[1] for x in books]) / 100, strict=True):
+            y = author_scores([who], [person], MatchConfig())[0, 0]
+            best[b] = max(best.get(b, -1), min(w, 0.85) if y != y else 0.75 * w + 0.25 * y)
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [(c["book_id"], pytest.approx(c["score"])) for c in exact[i]["candidates"]] == want
+
+
+def test_readable_books_are_never_discarded(spark):
+    """A model that contradicts itself doesn't lose a book that could be read; from its text to the detection."""
+    from linkloom.operators.responses import align_reads
+
+    text = '[{"index": 1, "title": "Dune", "author": "Frank Herbert", "readable": true, "not_a_book": true}, {"index": 2, "title": null, "readable": false, "not_a_book": true}]'
+    reads = align_reads(spark.createDataFrame([(1, 2, text, False, None, False)], RESPONSE))
+    got = {r["slot"]: r for r in route_reads(reads, catalog(spark, DUNE[0])).collect()}
+    assert got[1]["status"] == "auto_added" and got[1]["chosen_book"] == 1 and got[1]["not_a_book"]
+    assert got[2]["status"] == "discarded"
+
+
+ACTION = "action_id long, detection_id long, action string, book_id long, custom_title string, custom_author string, has_crop boolean, ts long"
+
+
+def test_actions_in_time_order(spark):
+    """Discarding keeps the book that was confirmed; a retry replaces what was matched; the latest action names the status."""
+    cat = catalog(spark, *DUNE)
+    acts = [(1, 10, "confirm", 2), (2, 10, "discard", None), (3, 11, "discard", None), (4, 11, "confirm", 2), (5, 12, "confirm", 2), (6, 12, "retry", None), (7, 13, "retry", None), (8, 13, "discard", None), (9, 14, "retry", None), (10, 14, "confirm", 2), (11, 15, "discard", None), (12, 16, "confirm", 99)]
+    rows = [(i, d, a, b, None, None, True, 5) for i, d, a, b in acts]
+    checked = checked_actions(spark.createDataFrame(rows, ACTION), cat)
+    read = "detection_id long, title string, author string, spine_color string, readable boolean, status string"
+    reads = spark.createDataFrame([(i, "Dune Messiah", "Frank Herbert", None, True, "ok") for i in range(10, 18)], read)
+    before = route_reads(spark.createDataFrame([(i, "Dune", None, "red", True, "ok") for i in range(10, 18)], read).withColumns({"scan_id": F.lit(1), "created_at": F.lit(None).cast("timestamp")}), cat)
+    again = retried(before, checked, reads, cat)
+    got = {r["detection_id"]: (r["status"], r["chosen_book"], r["title"]) for r in apply_review_actions(before, checked, again).collect()}
+    messiah = again.first()["status"], again.first()["chosen_book"], "Dune Messiah"
+    assert messiah[0] in ("auto_added", "needs_review")
+    assert got == {10: ("discarded", 2, "Dune"), 11: ("confirmed", 2, "Dune"), 12: messiah, 13: ("discarded", messiah[1], "Dune Messiah"), 14: ("confirmed", 2, "Dune Messiah"), 15: ("discarded", None, "Dune"), 16: ("needs_review", None, "Dune"), 17: ("needs_review", None, "Dune")}
+
+
+def test_edits_of_single_fields(spark):
+    library = spark.createDataFrame([(i, 1, "", "", 7) for i in (1, 2, 3)], "entry_id long, book_id long, custom_title string, custom_author string, source_detection_id long")
+    edits = [(1, 1, "edit", "T", None, 5), (2, 1, "edit", None, "A", 6), (3, 2, "edit", "old", "x", 5), (4, 2, "edit", "new", None, 5), (5, 3, "delete", None, None, 1), (6, 3, "edit", "late", None, 9)]
+    df = spark.createDataFrame(edits, "action_id long, entry_id long, kind string, custom_title string, custom_author string, ts long")
+    assert {(r["entry_id"], r["custom_title"], r["custom_author"]) for r in edit_library(library, df).collect()} == {(1, "T", "A"), (2, "new", "x")}
