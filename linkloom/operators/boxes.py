@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,50 +79,42 @@ def divider_decision(hits: Column, height: Column, config: BoxConfig = BOXES) ->
     return F.coalesce((n >= 2) & (height >= 2) & (peak >= config.divider_share * height) & (peak >= config.divider_peak * median), F.lit(False))
 
 
-MERGED = "scan_id long, ord long, kept_pos int, conf double, x1 int, y1 int, x2 int, y2 int, n_merged int"
-
-
-def merger(config: BoxConfig):
-    """Greedy and order-dependent, hence a loop: but over one photo's few dozen boxes."""
-
-    def area(b) -> int:
-        return max(0, b[2] - b[0]) * max(0, b[3] - b[1])
-
-    def same(a, b) -> bool:
-        common = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-        least, all_ = min(area(a), area(b)), area(a) + area(b) - common
-        wa, wb = a[2] - a[0], b[2] - b[0]
-        ratio = min(wa, wb) / max(wa, wb) if min(wa, wb) > 0 else 0.0
-        return (all_ > 0 and common / all_ >= config.same_iou) or (least > 0 and common / least >= config.same_containment and ratio >= config.same_width_ratio)
-
-    def run(pdf: pd.DataFrame, dividers: frozenset) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values(["conf", "ord"], ascending=[False, True]).itertuples():
-            box = [r.x1, r.y1, r.x2, r.y2]
-            for k in kept:
-                apart = any((min(r.ord, o), max(r.ord, o)) in dividers for o in k["ords"])
-                if not apart and same(box, k["box"]):
-                    k["box"] = [min(k["box"][0], box[0]), min(k["box"][1], box[1]), max(k["box"][2], box[2]), max(k["box"][3], box[3])]
-                    k["ords"].append(r.ord)
-                    break
-            else:
-                kept.append({"box": box, "conf": r.conf, "ord": r.ord, "ords": [r.ord], "scan": r.scan_id})
-        return pd.DataFrame([(k["scan"], k["ord"], i, k["conf"], *k["box"], len(k["ords"])) for i, k in enumerate(kept)], columns=["scan_id", "ord", "kept_pos", "conf", *SIDES, "n_merged"])
-
-    return run
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def merge_boxes(boxes: DataFrame, edges: DataFrame | None = None, config: BoxConfig = BOXES) -> DataFrame:
     """Boxes by falling confidence join the first kept box that shows the same thing, which grows to hold them.
 
-    ``edges``: (scan_id, ord_a, ord_b, hits, height) of overlaps; a divider keeps two boxes apart.
+    ``edges``: (scan_id, ord_a, ord_b, hits, height) of overlaps; a divider keeps two boxes apart. The
+    order decides, so the boxes of one photo, a few dozen, are folded in one row.
     """
-    run = merger(config)
-    if edges is None:
-        return boxes.groupBy("scan_id").applyInPandas(lambda pdf: run(pdf, frozenset()), MERGED)
-    cut = edges.where(divider_decision(F.col("hits"), F.col("height"), config)).select("scan_id", F.least("ord_a", "ord_b").alias("a"), F.greatest("ord_a", "ord_b").alias("b"))
-    both = lambda left, right: run(left, frozenset(zip(right["a"], right["b"], strict=True)) if len(right) else frozenset())
-    return boxes.groupBy("scan_id").cogroup(cut.groupBy("scan_id")).applyInPandas(lambda a, b: both(a, b) if len(a) else pd.DataFrame(columns=["scan_id", "ord", "kept_pos", "conf", *SIDES, "n_merged"]), MERGED)
+    rect = F.struct(*SIDES).alias("box")
+    scans = boxes.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("rank"), "ord", "conf", rect))).alias("boxes"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    apart = lambda k, x: F.lit(False)
+    if edges is not None:
+        cut = edges.where(divider_decision(F.col("hits"), F.col("height"), config)).groupBy("scan_id").agg(F.collect_set(pair(F.col("ord_a").cast("long"), F.col("ord_b").cast("long"))).alias("dividers"))
+        scans = scans.join(cut, "scan_id", "left")
+        apart = lambda k, x: F.exists(k["ords"], lambda o: F.coalesce(F.array_contains("dividers", pair(o, x["ord"].cast("long"))), F.lit(False)))
+
+    def same(k: Column, x: Column) -> Column:
+        a, b = k["box"], x["box"]
+        within = (containment(a, b) >= config.same_containment) & (width_ratio(a, b) >= config.same_width_ratio)
+        return ((iou(a, b) >= config.same_iou) | within) & ~apart(k, x)
+
+    def step(kept: Column, x: Column) -> Column:
+        grown = lambda k: F.struct(k["ord"].alias("ord"), k["conf"].alias("conf"), union_box(k["box"], x["box"]).alias("box"), F.concat(k["ords"], F.array(x["ord"].cast("long"))).alias("ords"))
+        alone = F.struct(x["ord"].alias("ord"), x["conf"].alias("conf"), x["box"].alias("box"), F.array(x["ord"].cast("long")).alias("ords"))
+        first = F.array_position(F.transform(kept, lambda k: same(k, x)), True)
+        join = lambda at: F.when(at == 0, F.concat(kept, F.array(alone))).otherwise(F.transform(kept, lambda k, i: F.when(i + 1 == at, grown(k)).otherwise(k)))
+        return bound(first, join)
+
+    kind = dict(boxes.dtypes)
+    none = F.array().cast(f"array<struct<ord:{kind['ord']},conf:{kind['conf']},box:struct<x1:int,y1:int,x2:int,y2:int>,ords:array<bigint>>>")
+    kept = scans.select("scan_id", F.posexplode(F.aggregate("boxes", none, step)).alias("kept_pos", "k"))
+    return kept.select("scan_id", "k.ord", "kept_pos", "k.conf", "k.box.*", F.size("k.ords").alias("n_merged"))
 
 
 def order_boxes(boxes: DataFrame) -> DataFrame:

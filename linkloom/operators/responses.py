@@ -1,4 +1,8 @@
-"""From a model's raw text to one typed read per crop, within the row of a scan: no shuffle."""
+"""From a model's raw text to one typed read per crop, within the row of a scan: no shuffle.
+
+Steps that others read several times are made by ``once``. As plain columns, the optimiser would
+put them into the functions that use them, and parse a text again for every crop.
+"""
 
 from __future__ import annotations
 
@@ -49,34 +53,44 @@ def string(v: Column) -> Column:
     return F.when(kind(v) != "VOID", F.try_variant_get(v, "$", "string"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row, whatever uses it: a generator is a border for the optimiser, and an outer one brings no filter along."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def chosen_response(df: DataFrame) -> DataFrame:
     """Adds ``items`` (null if there are none) and ``outcome``: parsed, failed or unreadable.
 
     A call that failed isn't repaired; a text that doesn't parse is replaced by its repair.
     """
-    first, second = parse_items(F.col("raw_text")), parse_items(F.col("repair_text"))
-    df = df.withColumn("first_items", first).withColumn("repair_items", second)
+    df = once(once(df, "first_items", parse_items(F.col("raw_text"))), "repair_items", parse_items(F.col("repair_text")))
     outcome = F.when(F.col("call_failed"), "failed").when(F.col("first_items").isNotNull(), "parsed")
     outcome = outcome.when(F.col("repair_failed"), "failed").when(F.col("repair_items").isNotNull(), "parsed").otherwise("unreadable")
     df = df.withColumn("outcome", outcome)
     return df.withColumn("items", F.when(F.col("outcome") == "parsed", F.coalesce("first_items", "repair_items"))).drop("first_items", "repair_items")
 
 
+FIELDS = ("index", "title", "author", "spine_color", "readable", "not_a_book", "duplicate_of")
+
+
 def read_struct(item: Column) -> Column:
-    """The fields of one item (null for a slot without one)."""
-    title = string(field(item, "title"))
-    readable = item.isNotNull() & truthy(field(item, "readable"), missing=True) & truthy(field(item, "title"))
-    color = F.when(kind(field(item, "spine_color")) == "STRING", normalize_spine_color(F.try_variant_get(item, "$.spine_color", "string")))
+    """The read of one item, a struct of its FIELDS; ``at`` is the crop it names."""
+    readable = truthy(item["readable"], missing=True) & truthy(item["title"])
+    color = F.when(kind(item["spine_color"]) == "STRING", normalize_spine_color(F.try_variant_get(item["spine_color"], "$", "string")))
     return F.struct(
-        F.when(readable, title).alias("title"),
-        string(field(item, "author")).alias("author"),
+        whole(item["index"], booleans=True).alias("at"),
+        F.when(readable, string(item["title"])).alias("title"),
+        string(item["author"]).alias("author"),
         color.alias("spine_color"),
-        F.coalesce(truthy(field(item, "not_a_book")), F.lit(False)).alias("not_a_book"),
+        F.coalesce(truthy(item["not_a_book"]), F.lit(False)).alias("not_a_book"),
         readable.alias("readable"),
-        whole(field(item, "duplicate_of"), booleans=False).alias("points_to"),
+        whole(item["duplicate_of"], booleans=False).alias("points_to"),
     )
 
 
+READ = "struct<at:bigint,title:string,author:string,spine_color:string,not_a_book:boolean,readable:boolean,points_to:bigint>"
+
+
 def align_reads(responses: DataFrame) -> DataFrame:
     """One row per crop of each scan: scan_id, slot, title, author, spine_color, not_a_book, readable, status.
 
@@ -84,14 +98,19 @@ def align_reads(responses: DataFrame) -> DataFrame:
     same crop the last counts; a crop without an item still gets its row.
     """
     df = chosen_response(responses)
-    objects = F.filter("items", lambda v: kind(v).startswith("OBJECT"))
-    indexed = F.transform(objects, lambda v: F.struct(whole(field(v, "index"), booleans=True).alias("at"), v.alias("item")))
-    df = df.withColumn("indexed", F.coalesce(indexed, F.array().cast("array<struct<at:bigint,item:variant>>")))
-    # A crop's items, last one first. Slots hold plain fields from here on.
-    slots = F.when(F.col("n_crops") > 0, F.sequence(F.lit(1), F.col("n_crops").cast("int"))).otherwise(F.array().cast("array<int>"))
-    last = lambda i: F.try_element_at(F.filter("indexed", lambda x: x["at"] == i), F.lit(-1))["item"]
-    df = df.withColumn("slots", F.transform(slots, last)).withColumn("slots", F.transform("slots", read_struct))
-    df = df.withColumn("twins", duplicates(F.col("slots")))
+    # Each item's fields are read once, then its read is made once.
+    objects = F.transform(F.filter("items", lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[field(v, f).alias(f) for f in FIELDS]))
+    df = once(df.select("scan_id", "n_crops", "outcome", "items"), "objects", objects).drop("items")
+    df = once(df, "reads", F.transform("objects", read_struct)).drop("objects")
+    # In order of crop and place, the last item of each crop is the one before another crop's.
+    places = F.array_sort(F.filter(F.transform("reads", lambda r, i: F.struct(r["at"].alias("at"), i.alias("i"))), lambda p: p["at"].isNotNull()))
+    df = once(df, "places", places)
+    last = F.filter("places", lambda p, i: ~p["at"].eqNullSafe(F.get("places", i + 1)["at"]))
+    df = once(df, "item_at", F.map_from_entries(F.transform(last, lambda p: F.struct(p["at"], p["i"]))))
+    numbers = F.when(F.col("n_crops") > 0, F.sequence(F.lit(1), F.col("n_crops").cast("int"))).otherwise(F.array().cast("array<int>"))
+    missing = F.struct(F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(False), F.lit(False), F.lit(None)).cast(READ)
+    df = once(df, "slots", F.transform(numbers, lambda n: F.coalesce(F.get("reads", F.try_element_at("item_at", n.cast("long"))).cast(READ), missing)))
+    df = once(df, "twins", duplicates(F.col("slots")))
     df = df.select("scan_id", "outcome", "twins", F.posexplode("slots").alias("pos", "s")).withColumn("slot", F.col("pos") + 1)
     duplicate = F.array_contains("twins", F.col("slot"))
     status = F.when(F.col("outcome") != "parsed", F.col("outcome")).when(duplicate, "duplicate").when(F.col("s.not_a_book") & ~F.col("s.readable"), "not_a_book").when(F.col("s.readable"), "ok").otherwise("unreadable")

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkloom.functions.text import clean_color, normalize_author, normalize_hex, normalize_text, parse_flag, parse_year, split_pipe_list
+from linkloom.tables import written
 
 OPTIONAL = ("alt_titles", "year", "series", "is_omnibus", "contained_titles", "spine_color", "spine_hex")
 RESPONSE = "scan_id long, n_crops int, raw_text string, call_failed boolean, repair_text string, repair_failed boolean"
@@ -21,11 +21,26 @@ def read_catalog(spark: SparkSession, path: str, on_error: str = "raise") -> Dat
     if missing := {"title", "author"} - set(raw.columns):
         raise ValueError(f"the catalog has no column {sorted(missing)}")
     if "book_id" not in raw.columns:
-        schema = T.StructType([*raw.schema.fields, T.StructField("book_id", T.LongType())])
-        raw = spark.createDataFrame(raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+        # The id that Spark gives a row is its partition's number, times 2 ** 33, and its place there: files in the order of
+        # their names, lines in theirs.
+        raw = numbered(raw.withColumn("file", F.col("_metadata.file_path")).withColumn("start", F.col("_metadata.file_block_start")).withColumn("line", F.monotonically_increasing_id()), ["file", "start", "line"], 0).drop("file", "start", "line")
     return typed_catalog(raw, on_error)
 
 
+def numbered(df: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Adds book_id from ``start + 1`` on, in an order that tells all rows apart. No task sees more than its own range.
+
+    Rows are parted by ranges of the order; a row's number is the count of rows in earlier parts and
+    its rank within its own. Both read one written table, so parts don't change between them.
+    """
+    parted = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "parted")
+    counts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # A row a partition: as many as Spark has shuffle partitions.
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    ranked = parted.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(*order)))
+    return ranked.join(F.broadcast(before), "part").withColumn("book_id", F.lit(start) + F.col("before") + F.col("rank")).drop("part", "before", "rank")
+
+
 def typed_catalog(raw: DataFrame, on_error: str = "raise") -> DataFrame:
     c = {n: F.coalesce(F.col(n), F.lit("")) if n in raw.columns else F.lit("") for n in ("title", "author", *OPTIONAL)}
     return raw.select(
@@ -67,7 +82,7 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     both = o.join(n, F.col("o.key").eqNullSafe(F.col("n.key")), "full_outer").select(F.col("o.book_id").alias("book_id"), F.coalesce("n.key", "o.key").alias("key"), *[F.when(F.col("n.key").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns])
     last = current.agg(F.coalesce(F.max("book_id"), F.lit(0))).first()[0]
-    fresh = both.where("book_id is null").withColumn("book_id", F.row_number().over(W.orderBy("key")).cast("long") + last)
+    fresh = numbered(both.where("book_id is null").drop("book_id"), ["key"], last).select(both.columns)
     return both.where("book_id is not null").unionByName(fresh).select("book_id", *columns)
 
 

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkloom.config import MATCH, MatchConfig
-from linkloom.operators.lifecycle import route_reads
+from linkloom.operators.lifecycle import auto_confirm, route_reads
+from linkloom.operators.matching import prepare
 
 
-def match_stream(reads: DataFrame, catalog: DataFrame, out: str, checkpoint: str, config: MatchConfig = MATCH, mode: str = "exact", once: bool = True) -> StreamingQuery:
-    """Routes each micro-batch as a batch would and writes it under its batch id.
+def match_stream(reads: DataFrame, catalog: DataFrame, out: str, checkpoint: str, config: MatchConfig = MATCH, mode: str = "exact", once: bool = True, library: str | None = None) -> StreamingQuery:
+    """Routes each micro-batch as a batch would and writes it under its batch id; automatic matches go to ``library`` as entries, if it is given.
 
-    A batch that is run again overwrites its own folder, so results are written exactly once.
+    The catalog's keys are made once. A batch that is run again overwrites its own folders, so results
+    are written exactly once. For ``library``, reads carry detection_id and created_at.
     """
+    prepared = prepare(catalog, config)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        route_reads(batch, catalog, config, mode).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        folder = lambda root: f"{root.rstrip('/')}/batch_id={batch_id}"
+        route_reads(batch, prepared, config, mode).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(folder(out))
+        if library:
+            detections = batch.sparkSession.read.parquet(folder(out))
+            auto_confirm(detections).write.mode("overwrite").parquet(folder(library))
 
     writer = reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

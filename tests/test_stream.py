@@ -12,3 +12,14 @@ def test_stream_equals_batch(spark, tmp_path):
         match_stream(stream, cat, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r["read_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "auto_added", 2: "failed", 3: "needs_review"}
+
+
+def test_automatic_matches_enter_the_library(spark, tmp_path):
+    cat = spark.createDataFrame([(1, "Dune", "Frank Herbert", [], None, "", ""), (2, "Emma", "Jane Austen", [], None, "", "")], "book_id long, title string, author string, alt_titles array<string>, year int, series string, spine_color string")
+    schema = "detection_id long, created_at timestamp, " + READ
+    rows = [(10, None, 1, "Dune", "Frank Herbert", None, True, False, "ok"), (11, None, 2, "Emma", None, None, True, False, "ok"), (12, None, 3, "Emma", "Austen, J.", None, True, True, "ok")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        match_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), cat, str(tmp_path / "out"), str(tmp_path / "ck"), library=str(tmp_path / "library")).awaitTermination()
+    got = sorted((r["source_detection_id"], r["book_id"]) for r in spark.read.parquet(str(tmp_path / "library")).collect())
+    assert got == [(10, 1), (12, 2)]
