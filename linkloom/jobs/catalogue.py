@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from linkloom.operators import lifecycle as L
 from linkloom.operators import matching as M
 from linkloom.operators import reports as R
 from linkloom.operators import responses as P
-from linkloom.sources.catalog import scan_documents, upsert_catalog
+from linkloom.sources.catalog import read_catalog, read_responses, replace_catalog, scan_documents, upsert_catalog, write_detections
+from linkloom.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,9 +162,9 @@ def _(v):
 
 # Scores and matches
 
-def matched(scorer: str, select: str) -> str:
+def matched(scorer: str, select: str, *more: str) -> str:
     """Every read against every book, in SQL: ``ranked`` (books of a distinct read in order), ``best`` (the first two) and ``out`` (the decision for each read)."""
-    return f"""{rec(ctes('catalog', 'reads'))},
+    return f"""{rec(ctes('catalog', 'reads', *more))},
 r as (select *, {norm('title')} as nt, {surname('author')} as rs, case when {surname('author')} is not null then {initials('author')} end as ri from reads where trim(title) <> ''),
 dr as (select distinct nt, rs, ri from r),
 c0 as (select book_id, {norm('title')} as t from catalog union select book_id, {norm('unnest(alt_titles)')} from catalog),
@@ -331,8 +333,31 @@ def _(v):
     return B.sliver_filter(B.spine_shape_filter(B.filter_detections(v.derived("boxes")))).select("scan_id", "ord", *B.SIDES)
 
 
-@query("boxes_merged")
+def overlap(a: str, b: str) -> str:
+    return f"(greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0)::bigint * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0))"
+
+
+def same_box(a: str, b: str) -> str:
+    area = lambda x: f"({x}.x2 - {x}.x1)::bigint * ({x}.y2 - {x}.y1)"
+    wide = lambda f: f"{f}({a}.x2 - {a}.x1, {b}.x2 - {b}.x1)"
+    return f"({overlap(a, b)} / ({area(a)} + {area(b)} - {overlap(a, b)}) >= 0.55::double or ({overlap(a, b)} / least({area(a)}, {area(b)}) >= 0.8::double and {wide('least')} / {wide('greatest')} >= 0.6::double))"
+
+
+#: The greedy fold: box after box, by falling confidence, joins the first kept one that shows the same.
+MERGED = rec(CLEANED).replace("select scan_id, ord, x1, y1, x2, y2 from w", "select scan_id, ord, conf, x1, y1, x2, y2, image_width from w") + f""",
+l as (select scan_id, any_value(image_width) as iw, list(struct_pack(conf := conf, x1 := x1, y1 := y1, x2 := x2, y2 := y2, n := 1) order by conf desc, ord) as bs, count(*) as c from w2 group by 1),
+fold as (select scan_id, 0 as i, bs[1:0] as kept from l
+  union all select scan_id, i + 1, case when coalesce(place, 0) = 0 then list_append(kept, b) else list_transform(kept, lambda k, j: case when j = place then struct_pack(conf := k.conf, x1 := least(k.x1, b.x1), y1 := least(k.y1, b.y1), x2 := greatest(k.x2, b.x2), y2 := greatest(k.y2, b.y2), n := k.n + 1) else k end) end
+  from (select f.scan_id, f.i, f.kept, l.bs[f.i + 1] as b, list_position(list_transform(f.kept, lambda k: {same_box('k', 'l.bs[f.i + 1]')}), true) as place from fold f join l on l.scan_id = f.scan_id where f.i < l.c)),
+each_box as (select fold.scan_id, iw, unnest(range(1, len(kept) + 1)) as pos, kept from fold join l on l.scan_id = fold.scan_id and i = c),
+flat as (select scan_id, iw, pos, kept[pos].conf as conf, kept[pos].x1 as x1, kept[pos].y1 as y1, kept[pos].x2 as x2, kept[pos].y2 as y2, kept[pos].n as n from each_box),
+padded as (select *, greatest(x1 - 6, 0) as cx1, greatest(y1 - 6, 0) as cy1, least(x2 + 6, iw) as cx2, least(y2 + 6, 900) as cy2 from flat)
+select scan_id, row_number() over (partition by scan_id order by x1, pos)::integer as slot, x1, y1, x2, y2, round(conf, 6) as conf, n as n_merged, cx1, cy1, cx2, cy2, case when cx2 > cx1 then (cy2 - cy1) / (cx2 - cx1) >= 1.15::double else false end as rotate from padded"""
+
+
+@query("boxes_merged", MERGED)
 def _(v):
+    """Raw boxes to merged spines in reading order, and their crops."""
     return B.clean_boxes(v.derived("boxes")).select("scan_id", "slot", *B.SIDES, F.round("conf", 6).alias("conf"), "n_merged", "cx1", "cy1", "cx2", "cy2", "rotate")
 
 
@@ -365,24 +390,44 @@ def _(v):
     return L.checked_actions(v.derived("actions"), v.derived("catalog")).groupBy("action", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("review_applied", f"""{ACTED}, last as (select detection_id, arg_max(action, (ts, action_id)) as action, arg_max(struct_pack(b := book_id), (ts, action_id)).b as book from chk where valid and action <> 'retry' group by 1)
-  select d.detection_id, case last.action when 'confirm' then 'confirmed' when 'discard' then 'discarded' else d.status end as status, case when last.action = 'confirm' then last.book else d.chosen_book end as chosen_book from detections d left join last using (detection_id)""")
+@query("review_applied", f"""{ACTED}, last as (select detection_id, arg_max(action, (ts, action_id)) as action from chk where valid and action <> 'retry' group by 1),
+  chose as (select detection_id, arg_max(struct_pack(b := book_id), (ts, action_id)).b as book from chk where valid and action = 'confirm' group by 1)
+  select d.detection_id, case last.action when 'confirm' then 'confirmed' when 'discard' then 'discarded' else d.status end as status, case when chose.detection_id is not null then chose.book else d.chosen_book end as chosen_book
+  from detections d left join last using (detection_id) left join chose using (detection_id)""")
 def _(v):
+    """The latest action names the status; the book is that of the latest confirmation, which a discard keeps."""
     checked = L.checked_actions(v.derived("actions"), v.derived("catalog"))
     return L.apply_review_actions(v.derived("detections"), checked).select("detection_id", "status", "chosen_book")
 
 
+@query("review_retried", matched(WEIGHTED, f""", {FATES}, chk as (select a.*, case action when 'confirm' then c.book_id is not null or (a.book_id is null and trim(coalesce(custom_title, '')) <> '') when 'retry' then has_crop and exists (select 1 from reads where read_id = a.detection_id) and exists (select 1 from detections d where d.detection_id = a.detection_id) else true end as valid
+    from actions a left join (select book_id from catalog) c on c.book_id = a.book_id),
+  last as (select detection_id, arg_max(action, (ts, action_id)) as action from chk where valid group by 1),
+  chose as (select detection_id, arg_max(struct_pack(a := action, b := book_id), (ts, action_id)) as x from chk where valid and action <> 'discard' group by 1),
+  again as (select read_id as detection_id, st, case when st = 'auto_added' then chosen_book end as book from fates join out using (read_id))
+  select d.detection_id, case last.action when 'confirm' then 'confirmed' when 'discard' then 'discarded' when 'retry' then again.st else d.status end as status,
+    case when x is null then d.chosen_book when x.a = 'confirm' then x.b else again.book end as chosen_book
+  from detections d left join last using (detection_id) left join chose using (detection_id) left join again using (detection_id)""", "actions", "detections"))
+def _(v):
+    """Confirmations, discards and new reads of detections, in the order they came."""
+    checked, reads = L.checked_actions(v.derived("actions"), v.derived("catalog")), v.derived("reads").withColumnRenamed("read_id", "detection_id").drop("scan_id", "slot")
+    again = L.retried(v.derived("detections"), checked, reads, v.derived("catalog"))
+    return L.apply_review_actions(v.derived("detections"), checked, again).select("detection_id", "status", "chosen_book")
+
+
 @query("entries_confirmed", f"{ACTED} select book_id, case when book_id is null then trim(coalesce(custom_title, '')) else '' end as custom_title, detection_id as source_detection_id from chk where valid and action = 'confirm'")
 def _(v):
     return L.confirmed_entries(L.checked_actions(v.derived("actions"), v.derived("catalog"))).select("book_id", "custom_title", "source_detection_id")
 
 
-@query("library_edited", f"""{ctes('library', 'actions')}, e as (select action_id * 2 // 3 as entry_id, case action when 'discard' then 'delete' else 'edit' end as kind, 'Edit ' || action_id as t, ts from actions),
-  l as (select entry_id, arg_max(t, ts) as t from e where kind = 'edit' group by 1)
-  select entry_id, coalesce(l.t, custom_title) as custom_title from library left join l using (entry_id) where entry_id not in (select entry_id from e where kind = 'delete')""")
+@query("library_edited", f"""{ctes('library', 'actions')}, e as (select action_id, action_id * 2 // 3 as entry_id, case action when 'discard' then 'delete' else 'edit' end as kind, case when action_id % 3 > 0 then 'Edit ' || action_id end as t, case when action_id % 3 <> 1 then 'By ' || action_id end as w, ts from actions),
+  l as (select entry_id, arg_max(t, (ts, action_id)) filter (where t is not null) as t, arg_max(w, (ts, action_id)) filter (where w is not null) as w from e where kind = 'edit' group by 1)
+  select entry_id, coalesce(l.t, custom_title) as custom_title, coalesce(l.w, custom_author) as custom_author from library left join l using (entry_id) where entry_id not in (select entry_id from e where kind = 'delete')""")
 def _(v):
-    edits = v.derived("actions").select(F.expr("action_id * 2 div 3").alias("entry_id"), F.when(F.col("action") == "discard", "delete").otherwise("edit").alias("kind"), F.concat(F.lit("Edit "), F.col("action_id").cast("string")).alias("custom_title"), F.lit("").alias("custom_author"), "ts")
-    return L.edit_library(v.derived("library"), edits).select("entry_id", "custom_title")
+    """Edits of one field or both; each field takes its latest."""
+    i, text = F.col("action_id"), F.col("action_id").cast("string")
+    edits = v.derived("actions").select("action_id", F.expr("action_id * 2 div 3").alias("entry_id"), F.when(F.col("action") == "discard", "delete").otherwise("edit").alias("kind"), F.when(i % 3 > 0, F.concat(F.lit("Edit "), text)).alias("custom_title"), F.when(i % 3 != 1, F.concat(F.lit("By "), text)).alias("custom_author"), "ts")
+    return L.edit_library(v.derived("library"), edits).select("entry_id", "custom_title", "custom_author")
 
 
 @query("library_orphans", f"{ctes('library', 'catalog')} select entry_id, book_id from library where custom_title = '' and (book_id is null or book_id not in (select book_id from catalog))")
@@ -412,18 +457,62 @@ def _(v):
     return L.scan_status(scans, v.derived("boxes").where("conf > 0.5"), v.derived("detections"))
 
 
-@query("scan_documents", f"{ctes('detections')} select o_orderkey as scan_id, count(detection_id)::integer as n_detections from orders left join detections on scan_id = o_orderkey group by 1")
+@query("scan_documents", f"""{ctes('detections')}, d as (select scan_id, count(*) as n, string_agg('{{"detection_id":' || detection_id || ',"slot":' || slot || ',"status":"' || status || '"' || coalesce(',"chosen_book":' || chosen_book, '') || '}}', ',' order by detection_id) as items from detections group by 1)
+  select o_orderkey as scan_id, coalesce(n, 0)::integer as n_detections, '{{"scan_id":' || o_orderkey || ',"detections":[' || coalesce(items, '') || ']}}' as document from orders left join d on scan_id = o_orderkey""")
 def _(v):
-    return scan_documents(v.table("orders").select(F.col("o_orderkey").alias("scan_id")), v.derived("detections")).select("scan_id", "n_detections")
+    """A JSON document of each scan, word for word."""
+    return scan_documents(v.table("orders").select(F.col("o_orderkey").alias("scan_id")), v.derived("detections").drop("created_at"))
 
 
-@query("catalog_upserted", f"""{ctes('catalog')}, n as (select * replace (case when book_id % 2 = 0 then title else title || ' II' end as title, 'New' as series) from catalog),
-  k as (select {norm('title')} as t, {norm('author')} as a, year, count(*) over (partition by {norm('title')}, {norm('author')}, year) as c from n)
-  select (select count(*) from catalog) + (select count(*) from k where not exists (select 1 from catalog c where {norm('c.title')} = k.t and {norm('c.author')} = k.a and c.year = k.year)) as n_rows, (select count(*) from n) as n_new""")
+@query("catalog_upserted", f"""{ctes('catalog')}, old as (select *, ({norm('title')}, {surname('author')}, {initials('author')}, year) as key from catalog where author <> ''), fresh as (select book_id, case when book_id % 2 = 0 then title else title || ' II' end as title, author, year from catalog where author <> ''),
+  n as (select title, author, year, ({norm('title')}, {surname('author')}, {initials('author')}, year) as key from fresh), added as (select n.*, row_number() over (order by n.key) as nth from n where key not in (select key from old))
+  select book_id, case when n.title is null then '' else 'New' end as series, coalesce(n.title, old.title) as title, coalesce(n.author, old.author) as author from old left join n on n.key = old.key
+  union all select (select max(book_id) from old) + nth, 'New', title, author from added""")
 def _(v):
-    catalog = v.derived("catalog")
+    """Half of the rows replace those of the same key, half are new and get ids after the largest, in the order of their keys."""
+    catalog = v.derived("catalog").where("author <> ''").withColumn("series", F.lit(""))
     incoming = catalog.withColumn("title", F.when(F.col("book_id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" II")))).withColumn("series", F.lit("New"))
-    return upsert_catalog(catalog, incoming).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("series") == "New").alias("n_new"))
+    return upsert_catalog(catalog, incoming).select("book_id", "series", "title", "author")
+
+
+FLAT = "select book_id, title, author, array_to_string(alt_titles, '/') as alt_titles, year::integer as year, series, is_omnibus, array_to_string(contained_titles, '/') as contained_titles, spine_color, spine_hex"
+
+
+def flat(catalog: DataFrame) -> DataFrame:
+    return catalog.select("book_id", "title", "author", F.array_join("alt_titles", "/").alias("alt_titles"), "year", "series", "is_omnibus", F.array_join("contained_titles", "/").alias("contained_titles"), "spine_color", "spine_hex")
+
+
+@query("catalog_read", f"{ctes('catalog')} {FLAT} from catalog")
+def _(v):
+    """The catalog as text with bars, commas and quotes, read back and typed."""
+    path = f"{shared_dir(v.spark)}/catalog-{uuid4().hex}"
+    lists = {c: F.concat(F.lit(" "), F.array_join(c, " | "), F.lit("| ")) for c in ("alt_titles", "contained_titles")}
+    v.derived("catalog").withColumns(lists | {"is_omnibus": F.when(F.col("is_omnibus"), "TRUE").otherwise("no"), "spine_hex": F.lower(F.replace("spine_hex", F.lit("#"), F.lit("##")))}).write.csv(path, header=True, escape='"')
+    return flat(read_catalog(v.spark, path))
+
+
+@query("catalog_replaced", f"{ctes('catalog')} {FLAT} from catalog where year % 2 = 0")
+def _(v):
+    """A second version in place of the first one."""
+    path = f"{shared_dir(v.spark)}/versions-{uuid4().hex}"
+    replace_catalog(v.derived("catalog"), path)
+    return flat(v.spark.read.parquet(replace_catalog(v.derived("catalog").where("year % 2 = 0"), path)))
+
+
+@query("responses_read", f"{ALIGNED} select * from reads2")
+def _(v):
+    """Responses as JSON lines, read back and aligned."""
+    path = f"{shared_dir(v.spark)}/responses-{uuid4().hex}"
+    v.derived("responses").write.json(path)
+    return P.align_reads(read_responses(v.spark, path))
+
+
+@query("detections_written", f"{ctes('detections')} select created_at::date as scan_date, status, count(*) as n, sum(detection_id)::bigint as ids, count(chosen_book) as chosen from detections group by 1, 2")
+def _(v):
+    """Detections by the date of the scan, read back."""
+    path = f"{shared_dir(v.spark)}/detections-{uuid4().hex}"
+    write_detections(v.derived("detections"), path)
+    return v.spark.read.parquet(path).groupBy("scan_date", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("detection_id").alias("ids"), F.count("chosen_book").alias("chosen"))
 
 
 # Reports and audits

@@ -61,10 +61,13 @@ def apply_review_actions(detections: DataFrame, checked: DataFrame, retries: Dat
     """Detections after their valid actions, in the order of (ts, action_id).
 
     The latest action names the status. The book is that of the latest confirmation or retry: a discard
-    keeps it. With ``retries`` (see ``retried``) a retry replaces all that was read and matched.
+    keeps it. With ``retries`` (see ``retried``) a retry replaces all that was read and matched; one that
+    hasn't been read yet counts for nothing.
     """
     when = F.struct("ts", "action_id")
-    counts = checked.where(F.col("valid") & F.col("action").isin("confirm", "discard", *(["retry"] if retries is not None else [])))
+    counts = checked.where(F.col("valid") & F.col("action").isin("confirm", "discard"))
+    if retries is not None:
+        counts = counts.unionByName(checked.where("valid and action = 'retry'").join(retries.select("detection_id"), "detection_id", "left_semi"))
     chose = F.when(F.col("action") != "discard", when)
     last = counts.groupBy("detection_id").agg(F.max_by("action", when).alias("last"), F.max_by(F.struct("action", "book_id"), chose).alias("choice"), F.max(F.col("action") == "retry").alias("retried"))
     out = detections.join(last, "detection_id", "left")
