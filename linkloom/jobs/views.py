@@ -24,21 +24,22 @@ def spelled(text: str, first: int, n: int) -> str:
     return f"translate(substr(md5({text}), {first}, {n}), '0123456789abcdef', 'kabemotirufselnd')"
 
 
-#: A title of three words that tell it from others; some have a sequel's name, which holds the whole title.
-TITLE = f"concat(p_name, ' ', {spelled('p_name', 1, 5)}, case when {{size}} % 4 = 0 then ' Returns' else '' end)"
+#: A title of three words that tell it from others; some are second volumes, whose titles hold the first one's. And another title.
+TITLE = f"concat(p_name, ' ', {spelled('p_name', 1, 5)}, case when {{size}} % 4 = 0 then ' II' else '' end)"
+OTHER = f"concat('The ', {spelled('p_name', 6, 5)}, ' ', {spelled('p_name', 11, 5)}, ' ', {spelled('p_name', 16, 4)})"
 SURNAME, GIVEN, SECOND = spelled("p_brand", 1, 7), spelled("p_brand", 9, 1), spelled("p_brand", 10, 1)
 #: A row per book: products by name and brand. Brands are authors, whose names come in several forms, one a letter off, some not at all.
 CATALOG = f"""select min(p_partkey) as book_id, {TITLE.format(size='min(p_size)')} as title,
     case when min(p_partkey) % 11 = 0 then '' when min(p_partkey) % 5 = 0 then concat({SURNAME}, ', ', {GIVEN}, '.') when min(p_partkey) % 5 = 1 then concat({GIVEN}, '. ', {SURNAME}, 's')
          when min(p_partkey) % 5 = 2 then concat({GIVEN}, '.', {SECOND}, '. ', {SURNAME}) else concat({GIVEN}, '. ', {SURNAME}) end as author,
-    array(concat('The ', split_part(p_name, ' ', 2), ' ', {spelled('p_name', 1, 5)})) as alt_titles, 1950 + min(p_size) as year,
+    array({OTHER}) as alt_titles, 1950 + min(p_size) as year,
     case when min(p_size) % 3 = 0 then concat('Series ', cast(min(p_size) as string)) else '' end as series,
     min(p_size) % 10 = 0 as is_omnibus, array({TITLE.format(size='1')}, concat('old ', split_part(p_name, ' ', 2))) as contained_titles,
     split_part(p_name, ' ', 1) as spine_color, concat('#', upper(substr(md5(p_name), 1, 6))) as spine_hex
   from {{part}} group by p_name, p_brand"""
 #: A row per read: orders see the product that has their customer's number, well or badly.
 READS = f"""select o_orderkey as read_id, o_orderkey div 8 as scan_id, cast(o_orderkey % 8 + 1 as int) as slot,
-    case o_orderkey % 6 when 2 then concat(substr(p_name, 1, 1), substr({TITLE.format(size='p_size')}, 3)) when 4 then concat('Zyxw ', o_orderpriority) when 5 then '  ' else {TITLE.format(size='p_size')} end as title,
+    case when o_orderkey % 12 = 6 then {OTHER} when o_orderkey % 6 = 2 then concat(substr(p_name, 1, 1), substr({TITLE.format(size='p_size')}, 3)) when o_orderkey % 6 = 4 then concat('Zyxw ', o_orderpriority) when o_orderkey % 6 = 5 then '  ' else {TITLE.format(size='p_size')} end as title,
     case when o_orderkey % 6 = 1 then null when o_orderkey % 6 = 3 then 'Nobody Else' when o_orderkey % 4 = 0 then concat({SURNAME}, ', ', {GIVEN}) else concat({GIVEN}, '. ', {SURNAME}) end as author,
     split_part(p_name, ' ', 1) as spine_color, o_orderkey % 31 = 0 as not_a_book,
     case when o_orderkey % 37 = 0 then 'duplicate' when o_orderkey % 41 = 0 then 'failed' when o_orderkey % 43 = 0 then 'unreadable' when o_orderkey % 31 = 0 and o_orderkey % 2 = 0 then 'not_a_book' else 'ok' end as status,
