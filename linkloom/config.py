@@ -37,6 +37,7 @@ ADDED = ("auto_added", "confirmed")
 REVIEW = ("needs_review", "unmatched", "unreadable", "failed")
 
 
+#: Weights, thresholds and limits of matching.
 @dataclass(frozen=True)
 class MatchConfig:
     title_weight: float = 0.75
@@ -50,6 +51,7 @@ class MatchConfig:
     color_margin: float = 0.05
 
 
+#: Thresholds of box cleaning and the padding of crops.
 @dataclass(frozen=True)
 class BoxConfig:
     kind: str = "book"

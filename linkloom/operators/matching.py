@@ -25,6 +25,8 @@ from linkloom.tables import written
 
 #: Different titles of a block of reads and of a block of books, and the rows of either.
 READ_TITLES, BOOK_TITLES, ROWS = 256, 1024, 8192
+#: Parts that tiles are dealt into, at most.
+MOST_PARTS = 20_000
 #: Pairs of titles that are scored at a time, and scores of reads with books that are looked at at a time.
 PAIRS, SCORES = 100_000, 2_000_000
 
@@ -209,7 +211,9 @@ def score_exact(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchCo
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("read_key", "norm_title", "name", F.col("block").alias("rb"), every(blocks).alias("cb"))
     right = right.select("book_id", "book_title", "row_name", F.col("block").alias("cb2"), every(read_blocks).alias("rb2"))
-    return left.groupBy("rb", "cb").cogroup(right.groupBy("rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
+    # A tile is little to send and much to compute: as many parts as tiles, which the engine would merge by their size otherwise.
+    parts = min(blocks * read_blocks, MOST_PARTS)
+    return left.repartition(parts, "rb", "cb").groupBy("rb", "cb").cogroup(right.repartition(parts, "rb2", "cb2").groupBy("rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
 
 
 def near_surnames(a: DataFrame, b: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
@@ -240,7 +244,8 @@ def score_by_surname(reads: DataFrame, keys: DataFrame, config: MatchConfig, sco
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = reads.join(near, "x").select("read_key", "norm_title", "name", "x", "y", own("read_key", "read_blocks").alias("rb"), every("book_blocks").alias("cb"))
     right = keys.join(near, "y").select("book_id", "book_title", "row_name", F.col("x").alias("x2"), F.col("y").alias("y2"), own("book_id", "book_blocks").alias("cb2"), every("read_blocks").alias("rb2"))
-    return left.groupBy("x", "y", "rb", "cb").cogroup(right.groupBy("x2", "y2", "rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
+    parts, mine, theirs = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["x", "y", "rb", "cb"], ["x2", "y2", "rb2", "cb2"]
+    return left.repartition(parts, *mine).groupBy(*mine).cogroup(right.repartition(parts, *theirs).groupBy(*theirs)).applyInArrow(tile(config, scorer), SCORED)
 
 
 def score_blocked(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
