@@ -33,24 +33,27 @@ def field(item: Column, name: str) -> Column:
     return F.try_variant_get(item, f"$.{name}", "variant")
 
 
-def truthy(v: Column, missing: bool = False) -> Column:
-    """Is a JSON value true in the loose sense: not false, 0, '', [], {} or null?"""
-    text, k = F.try_variant_get(v, "$", "string"), kind(v)
-    empty = k.isin("VOID", "ARRAY<VOID>", "OBJECT<>") | (k.startswith("ARRAY") & (F.to_json(v) == "[]")) | (k.startswith("OBJECT") & (F.to_json(v) == "{}"))
-    false = empty | ((k == "BOOLEAN") & (text == "false")) | ((k == "STRING") & (text == ""))
-    number = k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(v, "$", "double") == 0)
-    return F.when(v.isNull(), F.lit(missing)).otherwise(~(false | F.coalesce(number, F.lit(False))))
+def value(v: Column) -> Column:
+    """struct(kind, text) of a variant: all that the tests below look at."""
+    return F.struct(kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))
 
 
-def whole(v: Column, booleans: bool) -> Column:
+def truthy(x: Column, missing: bool = False) -> Column:
+    """Is a JSON value true in the loose sense: not false, 0, '', [], {} or null? ``x``: its kind and text."""
+    k, text = x["kind"], x["text"]
+    found = F.when(k.isNull(), F.lit(missing)).when(k == "BOOLEAN", text == "true").when(k == "STRING", text != "").when(k == "VOID", False)
+    return found.when(k.startswith("ARRAY"), text != "[]").when(k.startswith("OBJECT"), text != "{}").otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+
+
+def whole(x: Column, booleans: bool) -> Column:
     """A whole number, true and false counting as 1 and 0 if ``booleans``; null for anything else."""
-    out = F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "long"))
-    return out.when(kind(v) == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), 1).otherwise(0)) if booleans else out
+    out = F.when(x["kind"] == "BIGINT", x["text"].try_cast("long"))
+    return out.when(x["kind"] == "BOOLEAN", F.when(x["text"] == "true", 1).otherwise(0)) if booleans else out
 
 
-def string(v: Column) -> Column:
+def string(x: Column) -> Column:
     """A value as text; JSON null is null, other types are written out."""
-    return F.when(kind(v) != "VOID", F.try_variant_get(v, "$", "string"))
+    return F.when(x["kind"] != "VOID", x["text"])
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -74,9 +77,9 @@ FIELDS = ("index", "title", "author", "spine_color", "readable", "not_a_book", "
 
 
 def read_struct(item: Column) -> Column:
-    """The read of one item, a struct of its FIELDS; ``at`` is the crop it names."""
+    """The read of one item, a struct of the values of its FIELDS; ``at`` is the crop it names."""
     readable = truthy(item["readable"], missing=True) & truthy(item["title"])
-    color = F.when(kind(item["spine_color"]) == "STRING", normalize_spine_color(F.try_variant_get(item["spine_color"], "$", "string")))
+    color = F.when(item["spine_color"]["kind"] == "STRING", normalize_spine_color(item["spine_color"]["text"]))
     return F.struct(
         whole(item["index"], booleans=True).alias("at"),
         F.when(readable, string(item["title"])).alias("title"),
@@ -101,7 +104,8 @@ def align_reads(responses: DataFrame) -> DataFrame:
     # Each item's fields are read once, then its read is made once.
     objects = F.transform(F.filter("items", lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[field(v, f).alias(f) for f in FIELDS]))
     df = once(df.select("scan_id", "n_crops", "outcome", "items"), "objects", objects).drop("items")
-    df = once(df, "reads", F.transform("objects", read_struct)).drop("objects")
+    df = once(df, "values", F.transform("objects", lambda o: F.struct(*[value(o[f]).alias(f) for f in FIELDS]))).drop("objects")
+    df = once(df, "reads", F.transform("values", read_struct)).drop("values")
     # In order of crop and place, the last item of each crop is the one before another crop's.
     places = F.array_sort(F.filter(F.transform("reads", lambda r, i: F.struct(r["at"].alias("at"), i.alias("i"))), lambda p: p["at"].isNotNull()))
     df = once(df, "places", places)
@@ -128,6 +132,7 @@ def duplicates(slots: Column) -> Column:
 def fallback_reads(responses: DataFrame) -> DataFrame:
     """Reads of a whole photo: items with a title, in order, colours as they come; errors give none."""
     items = F.when(~F.col("call_failed"), parse_items(F.col("raw_text")))
-    titled = F.filter(items, lambda v: kind(v).startswith("OBJECT") & truthy(field(v, "title")))
-    df = responses.select("scan_id", F.posexplode(titled).alias("pos", "v"))
-    return df.select("scan_id", (F.col("pos") + 1).alias("slot"), string(field(F.col("v"), "title")).alias("title"), string(field(F.col("v"), "author")).alias("author"), string(field(F.col("v"), "spine_color")).alias("spine_color"))
+    objects = F.transform(F.filter(items, lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[value(field(v, f)).alias(f) for f in ("title", "author", "spine_color")]))
+    df = once(responses.select("scan_id", "raw_text", "call_failed"), "objects", objects)
+    df = once(df, "titled", F.filter("objects", lambda o: truthy(o["title"]))).select("scan_id", F.posexplode("titled").alias("pos", "v"))
+    return df.select("scan_id", (F.col("pos") + 1).alias("slot"), *[string(F.col(f"v.{f}")).alias(f) for f in ("title", "author", "spine_color")])
