@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import WORD_GAP, held, plain, table, written
+from linkloom.llm.shared import WORD_GAP, held, known_id, plain, table, written
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
 
@@ -87,7 +87,7 @@ def repeated_lines(rows: DataFrame, min_words: int, fuzzy_words: int) -> DataFra
 
     # Their words, in the documents where they stand first.
     wanted = near.groupBy(F.col("doc_id").alias("w_doc"), F.col("row").alias("w_row")).agg(F.collect_set("line_no").alias("numbers"))
-    at = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
+    at = rows.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))).dropDuplicates(["doc_id", "row"])
     split = F.split("text", "\n", -1)
     texts = at.select("doc_id", "row", F.explode("numbers").alias("line_no"), split.alias("split")).select(*PLACE, F.element_at("split", F.col("line_no") + 1).alias("line"))
     lines = written(texts.select(F.struct(*PLACE).alias("place"), words_in(F.col("line")).alias("words")), "near-lines")
@@ -143,9 +143,10 @@ def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int
 def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """The same as two structs: ``d``, a row of ``docs`` as it becomes, and ``lines_report``."""
     rows = docs.select(held(docs), row_hash(docs).alias("row"))
-    cuts = repeated_lines(rows.select("d.doc_id", "d.text", "row"), min_words, fuzzy_words)
+    # The hash of the row tells a missing id from one that equals its stand-in.
+    cuts = repeated_lines(rows.select(known_id(F.col("d.doc_id")).alias("doc_id"), "d.text", "row"), min_words, fuzzy_words)
     cuts = cuts.groupBy(F.col("doc_id").alias("cut_doc"), F.col("row").alias("cut_row")).agg(F.collect_set("line_no").alias("cut_lines"))
-    joined = rows.join(cuts, F.col("d.doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("row") == F.col("cut_row")), "left")
+    joined = rows.join(cuts, (known_id(F.col("d.doc_id")) == F.col("cut_doc")) & (F.col("row") == F.col("cut_row")), "left")
     # The split lines are a column of their own: within a function of lines they would be split again for each line.
     joined = joined.withColumn("split", F.split("d.text", "\n", -1))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("cut_lines"))

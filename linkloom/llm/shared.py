@@ -2,50 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.tables import shared_dir, written
+
+__all__ = ["NO_ID", "WORD", "WORD_GAP", "checkpointed", "held", "known_id", "plain", "shared_dir", "table", "words_of", "written"]
+
 #: The characters that separate words, as a pattern for Java and for RE2.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (as in tests) gets a temporary folder as its checkpoint
-    directory; on a cluster a folder of one machine would lose rows, so that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends here.
-
-    A lost executor costs a re-read of the table, never a recomputation of what made it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, for the small tables of iterations."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: What a missing id counts as where tables are joined by id: null-safe keys would not keep the partitions that joins make.
+NO_ID = -(2**63)
+
+
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(NO_ID))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
