@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.shared import held, plain, table, written
+from linkloom.llm.shared import held, known_id, plain, table, written
 
 BANDS, ROWS = 24, 4
 #: Members and shingles of a block of a bucket; two blocks meet in a task.
@@ -246,11 +246,11 @@ def without_near_copies(docs: DataFrame, **how) -> DataFrame:
     Texts without a set are no copies and stay, but for rows that repeat doc_id and text.
     """
     kept = near_duplicates(docs, **how).where("kept")
-    once = kept.groupBy("doc_id", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("text_hash")).alias("k")).agg(F.min("text_hash").alias("kept_hash"))
-    rows = docs.select(held(docs), F.xxhash64(F.col("text")).alias("text_hash"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("kept_hash"))
-    nth = F.row_number().over(W.partitionBy("doc_id", "kept_hash").orderBy(F.xxhash64("d")))
-    return rows.join(once, same).withColumn("nth", nth).where("nth = 1").select("d.*")
+    once = kept.groupBy(known_id(F.col("doc_id")).alias("kept_id"), F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("text_hash")).alias("k")).agg(F.min("text_hash").alias("kept_hash"))
+    rows = docs.select(held(docs), known_id(F.col("doc_id")).alias("id"), F.xxhash64(F.col("text")).alias("text_hash"))
+    same = (F.col("id") == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    nth = F.row_number().over(W.partitionBy("id", "text_hash").orderBy(F.xxhash64("d")))
+    return rows.join(once.select("kept_id", "kept_hash").distinct(), same, "left_semi").withColumn("nth", nth).where("nth = 1").select("d.*")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import WORD, WORD_GAP, held, plain, table, words_of, written
+from linkloom.llm.shared import WORD, WORD_GAP, held, known_id, plain, table, words_of, written
 
 BUCKETS = 2**16
 SMOOTHING = 20.0
@@ -107,9 +107,9 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
 
 def passing(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    kept = quality(docs, trusted, **how).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row_hash").alias("kept_hash")).distinct()
+    kept = quality(docs, trusted, **how).where("kept").select(known_id(F.col("doc_id")).alias("kept_id"), F.col("row_hash").alias("kept_hash")).distinct()
     rows = docs.select(held(docs))
-    return rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash")), "left_semi").select("d.*")
+    return rows.join(kept, (known_id(F.col("d.doc_id")) == F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash")), "left_semi").select("d.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
