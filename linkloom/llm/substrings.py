@@ -13,8 +13,10 @@ Any passage of ``4 * PART + 1`` words that stands twice has a run in common: its
 in common are at most ``PART`` words from its ends, so three parts at least lie between them.
 
 Repeats within a document are settled in the task that reads it, so each document sends a hash
-once. First places come from one aggregation with partial sums; the join back is a plain
-equi-join, whose hot keys Spark splits. Texts are never shuffled for the spans.
+once. First places come from one aggregation with partial sums, and only those of hashes that several
+documents have go on. The join back is an equi-join; the few hashes that very many documents have, at
+most ``HOT`` of them, are broadcast instead, so their rows stay where they are. Texts are never
+shuffled for the spans.
 
 Defined cases: null, empty and short texts have no runs; rows without a doc_id have no place and
 lose nothing; rows that share a doc_id count as one
@@ -24,6 +26,7 @@ place and don't repeat one another; an empty table gives no spans; other columns
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +42,8 @@ from linkloom.llm.shared import held, plain, table, written
 
 #: Sentences of a run, and the words it must have; both at least.
 RUN, MIN_WORDS = 3, 1
+#: Hashes that are broadcast, at most: each stands for more than a HOT-th of all rows.
+HOT = 10_000
 #: Words beyond which a sentence is cut further; no part has more.
 PART = 12
 END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -138,8 +143,14 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
     low = F.lit(0xFFFFFFFF)
     two = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     sent = found.select("h", "doc_id", two(F.col("pos"), F.col("start")).alias("a"), two(F.col("last"), F.col("end")).alias("b"))
-    first = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
-    hits = sent.join(first, "h").where("doc_id > first_doc_id")
+    places = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times"))
+    first = written(places.where("first_doc_id < last_doc_id").select("h", "first_doc_id", "times"), "firsts")
+    often = F.col("times") > max(100, math.ceil(found.count() / HOT))
+    hot = F.broadcast(first.where(often).select(F.col("h").alias("hot_h"), F.col("first_doc_id").alias("hot_first")))
+    met = sent.join(hot, F.col("h") == F.col("hot_h"), "left")
+    at_once = met.where("hot_h is not null").select("h", "doc_id", "a", "b", F.col("hot_first").alias("first_doc_id"))
+    joined = met.where("hot_h is null").select("h", "doc_id", "a", "b").join(first.where(~often).select("h", "first_doc_id"), "h").select("h", "doc_id", "a", "b", "first_doc_id")
+    hits = at_once.unionAll(joined).where("doc_id > first_doc_id")
     parted = lambda c: [F.shiftright(c, 32).cast("int"), F.col(c).bitwiseAND(low).cast("int")]
     (pos, start), (last, end) = parted("a"), parted("b")
     elsewhere = hits.select("doc_id", pos.alias("pos"), last.alias("last"), start.alias("start"), end.alias("end"), "first_doc_id")

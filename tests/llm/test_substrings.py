@@ -1,3 +1,4 @@
+from linkloom.llm import substrings
 from linkloom.llm.substrings import PART, RUN, repeated_spans, without_repeats
 from tests.llm.conftest import ODD, prose
 
@@ -64,3 +65,14 @@ def test_every_passage_of_51_words_is_found(make, rnd):
     missed = [i for i in range(len(passages)) if windows(left[i + 1000].split()) & windows(left[i].split())]
     # Of a passage at most PART words at either end stay.
     assert not missed and all(len(left[i + 1000].split()) <= 2 * 14 + 2 * PART for i in range(len(passages)))
+
+
+def test_hot_runs(make, rnd, monkeypatch):
+    """Runs that most documents have are met by broadcast; the result is the same."""
+    hot = "Alpha beta gamma. Delta. Epsilon zeta eta theta."
+    docs = [(i, prose(rnd, 30).replace("\n", " ") + " " + (hot if i % 5 else prose(rnd, 20)) + " " + prose(rnd, 30)) for i in range(300)]
+    both = []
+    for most in (10_000, 1):
+        monkeypatch.setattr(substrings, "HOT", most)
+        both.append(sorted(map(tuple, repeated_spans(make(*docs)).select("doc_id", "first_sentence", "last_sentence", "first_doc_id").collect())))
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {i for i in range(2, 300) if i % 5}
