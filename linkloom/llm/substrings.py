@@ -6,8 +6,8 @@ a sentence of more than ``PART`` words is cut further, after the word with the l
 stands. Every run of ``run`` sentences is hashed (lower-cased, white space made even), however short
 they are; longer runs consist of these. (A caller may ask for ``min_words`` as well: then from every
 sentence on the shortest run that has them counts, and likewise the shortest that ends with it.) The
-first place of a hash is the least (doc_id, position); every sentence covered by a run that
-stands at any other place goes.
+first place of a hash is the least (doc_id, row, position); every sentence covered by a run that
+stands at any other place goes. ``row`` is a hash of the text where several rows share a doc_id, else 0.
 
 Any passage of ``4 * PART + 1`` words that stands twice has a run in common: its first and last cut
 in common are at most ``PART`` words from its ends, so three parts at least lie between them.
@@ -19,8 +19,8 @@ most ``HOT`` of them, are broadcast instead, so their rows stay where they are.
 shuffled for the spans.
 
 Defined cases: null, empty and short texts have no runs; rows without a doc_id have no place and
-lose nothing; rows that share a doc_id count as one
-place and don't repeat one another; an empty table gives no spans; other columns are ignored by
+lose nothing; of rows that share a doc_id each is judged by its own text; rows that repeat whole
+are one place and don't repeat one another; an empty table gives no spans; other columns are ignored by
 ``repeated_spans`` and kept by ``without_repeats``.
 """
 
@@ -44,6 +44,8 @@ from linkloom.llm.shared import held, plain, table, written
 RUN, MIN_WORDS = 3, 1
 #: Hashes that are broadcast, at most: each stands for more than a HOT-th of all rows.
 HOT = 10_000
+#: Ids that several rows share, up to which they are broadcast; beyond, texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Words beyond which a sentence is cut further; no part has more.
 PART = 12
 END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -98,7 +100,7 @@ def runs_of(words: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np
     return both // (n + 1), both % (n + 1) - 1
 
 
-SPANS = "h long, doc_id long, pos int, last int, start int, end int, again boolean"
+SPANS = "h long, doc_id long, row long, pos int, last int, start int, end int, again boolean"
 #: An odd factor of the rolling hash of runs, and its inverse.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -111,8 +113,8 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 at = sentences(text)
                 n = len(at)
@@ -128,43 +130,57 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
                 again = np.ones(len(pos), bool)
                 again[np.unique(key, return_index=True)[1]] = False
                 span = np.asarray(at, np.int32)
-                for c, x in zip(cols, (key, np.full(len(pos), doc_id), pos.astype(np.int32), last.astype(np.int32), span[pos, 0], span[last, 1], again), strict=True):
+                for c, x in zip(cols, (key, np.full(len(pos), doc_id), np.full(len(pos), row), pos.astype(np.int32), last.astype(np.int32), span[pos, 0], span[last, 1], again), strict=True):
                     c.append(x)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], names=["h", "doc_id", "pos", "last", "start", "end", "again"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], names=["h", "doc_id", "row", "pos", "last", "start", "end", "again"])
 
-    return plain(docs, ["doc_id", "text"]).mapInArrow(work, SPANS)
+    return placed(plain(docs, ["doc_id", "text"])).select("doc_id", "row", "text").mapInArrow(work, SPANS)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: a hash of the text where several rows share a doc_id, else 0."""
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("shared_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared_id")
+    shared = written(shared, "shared-ids")
+    n = shared.count()
+    if not n:
+        return docs.withColumn("row", F.lit(0).cast("long"))
+    side = F.broadcast(shared) if n <= BROADCAST_IDS else shared
+    joined = docs.join(side, F.col("doc_id") == F.col("shared_id"), "left")
+    return joined.withColumn("row", F.when(F.col("shared_id").isNotNull(), F.xxhash64("text")).otherwise(0)).drop("shared_id")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs that stand elsewhere first: doc_id, pos, last, start, end, first_doc_id."""
+    """Runs that stand elsewhere first: doc_id, row, pos, last, start, end, first_doc_id."""
     found = written(spans(docs, run, min_words), "spans")
     # The join carries a run's place as two numbers; rows of eight-byte fields take half as much again.
     low = F.lit(0xFFFFFFFF)
     two = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-    sent = found.select("h", "doc_id", two(F.col("pos"), F.col("start")).alias("a"), two(F.col("last"), F.col("end")).alias("b"))
-    places = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times"))
-    first = written(places.where("first_doc_id < last_doc_id").select("h", "first_doc_id", "times"), "firsts")
+    sent = found.select("h", "doc_id", "row", two(F.col("pos"), F.col("start")).alias("a"), two(F.col("last"), F.col("end")).alias("b"))
+    place = F.struct("doc_id", "row")
+    places = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count(F.lit(1)).alias("times"))
+    first = written(places.where("first < final").select("h", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), "times"), "firsts")
     often = F.col("times") > max(100, math.ceil(found.count() / HOT))
-    hot = F.broadcast(first.where(often).select(F.col("h").alias("hot_h"), F.col("first_doc_id").alias("hot_first")))
+    hot = F.broadcast(first.where(often).select(F.col("h").alias("hot_h"), "first_doc_id", "first_row"))
     met = sent.join(hot, F.col("h") == F.col("hot_h"), "left")
-    at_once = met.where("hot_h is not null").select("h", "doc_id", "a", "b", F.col("hot_first").alias("first_doc_id"))
-    joined = met.where("hot_h is null").select("h", "doc_id", "a", "b").join(first.where(~often).select("h", "first_doc_id"), "h").select("h", "doc_id", "a", "b", "first_doc_id")
-    hits = at_once.unionAll(joined).where("doc_id > first_doc_id")
+    columns = ["doc_id", "row", "a", "b", "first_doc_id", "first_row"]
+    at_once = met.where("hot_h is not null").select(columns)
+    joined = met.where("hot_h is null").select("h", "doc_id", "row", "a", "b").join(first.where(~often).drop("times"), "h").select(columns)
+    hits = at_once.unionAll(joined).where("doc_id > first_doc_id or (doc_id = first_doc_id and row > first_row)")
     parted = lambda c: [F.shiftright(c, 32).cast("int"), F.col(c).bitwiseAND(low).cast("int")]
     (pos, start), (last, end) = parted("a"), parted("b")
-    elsewhere = hits.select("doc_id", pos.alias("pos"), last.alias("last"), start.alias("start"), end.alias("end"), "first_doc_id")
+    elsewhere = hits.select("doc_id", "row", pos.alias("pos"), last.alias("last"), start.alias("start"), end.alias("end"), "first_doc_id")
     within = found.where("again").withColumn("first_doc_id", F.col("doc_id"))
     return elsewhere.unionAll(within.select(elsewhere.columns))
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal spans of sentences to remove: doc_id, first_sentence, last_sentence, start, end, first_doc_id (the least that has a part of it)."""
-    runs = repeated_runs(docs, run, min_words).groupBy("doc_id", "pos").agg(F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-    order = W.partitionBy("doc_id").orderBy("pos")
+    """Maximal spans of sentences to remove: doc_id, row, first_sentence, last_sentence, start, end, first_doc_id (the least that has a part of it)."""
+    runs = repeated_runs(docs, run, min_words).groupBy("doc_id", "row", "pos").agg(F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+    order = W.partitionBy("doc_id", "row").orderBy("pos")
     fresh = F.coalesce(F.col("pos") > F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
     runs = runs.withColumn("island", F.sum(fresh.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    joined = runs.groupBy("doc_id", "island").agg(
+    joined = runs.groupBy("doc_id", "row", "island").agg(
         F.min("pos").alias("first_sentence"), F.max("last").alias("last_sentence"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")
     )
     return joined.drop("island")
@@ -172,8 +188,9 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
 
 def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the text of all repeated spans taken out; all columns stay."""
-    cuts = repeated_spans(docs, run, min_words).groupBy(F.col("doc_id").alias("cut_doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut_spans"))
-    joined = docs.select(held(docs)).join(cuts, F.col("d.doc_id") == F.col("cut_doc_id"), "left")
+    cuts = repeated_spans(docs, run, min_words).groupBy(F.col("doc_id").alias("cut_doc_id"), F.col("row").alias("cut_row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut_spans"))
+    rows = placed(docs.select(held(docs)).select("d", "d.doc_id", "d.text"))
+    joined = rows.join(cuts, (F.col("doc_id") == F.col("cut_doc_id")) & (F.col("row") == F.col("cut_row")), "left")
     text, empty = F.col("d.text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))).alias("text"))
     left = F.aggregate("cut_spans", empty, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))

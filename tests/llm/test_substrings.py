@@ -76,3 +76,22 @@ def test_hot_runs(make, rnd, monkeypatch):
         monkeypatch.setattr(substrings, "HOT", most)
         both.append(sorted(map(tuple, repeated_spans(make(*docs)).select("doc_id", "first_sentence", "last_sentence", "first_doc_id").collect())))
     assert both[0] == both[1] and {r[0] for r in both[0]} == {i for i in range(2, 300) if i % 5}
+
+
+def test_rows_that_share_an_id(make):
+    """Each loses what stands elsewhere, and only that."""
+    p, y = "One two three four. Five six seven eight. Nine ten eleven twelve.", "Red green blue black. White gray brown pink. Gold teal navy beige."
+    left = sorted(tuple(r) for r in without_repeats(make((1, p), (2, p + " Tail of it."), (2, y))).select("doc_id", "text").collect())
+    assert left == [(1, p), (2, " Tail of it."), (2, y)]
+    spans = sorted(tuple(r) for r in repeated_spans(make((1, p + " " + y), (2, p), (2, y))).select("doc_id", "start", "end", "first_doc_id").collect())
+    assert spans == [(2, 0, len(p), 1), (2, 0, len(y), 1)]
+    # Of rows with the same id and a passage in common, one keeps it.
+    texts = [r["text"] for r in without_repeats(make((3, p + " A."), (3, "B. " + p))).collect()]
+    assert sum("Five six" in t for t in texts) == 1
+
+
+def test_shared_ids_by_a_shuffle(make, monkeypatch):
+    p = "One two three four. Five six seven eight. Nine ten eleven twelve."
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
+    test_rows_that_share_an_id(make)
+    assert repeated_spans(make((1, p), (2, p), (2, p))).count() == 1
