@@ -13,9 +13,11 @@ import re
 import unicodedata
 from pathlib import Path
 
-#: Up to this character, lower-casing, composition and white space are the same in all libraries.
+#: Up to this character, composition and white space are the same in all libraries.
 LAST = 0x24F
-UNUSUAL = re.compile(rf"[^\n\r\t\x20-\x7e\xa1-{chr(LAST)}]|<\|")
+#: Lower-casing too, of characters that it leaves below LAST.
+SAFE = "".join(c for c in map(chr, range(0xA1, LAST + 1)) if max(map(ord, c.lower())) <= LAST)
+UNUSUAL = re.compile(rf"[^\n\r\t\x20-\x7e{SAFE}]|<\|")
 
 
 def of_kind(kind: str) -> str:

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from linkloom.llm import packing
 from linkloom.llm.packing import cut, pack
-from linkloom.llm.word_bpe import WordBpe
+from linkloom.llm.word_bpe import LAST, SAFE, WordBpe
 from tests.llm.conftest import ODD, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,15 @@ def test_ids_equal_the_tokenizer(rnd):
         assert coder.encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_ids_of_every_safe_letter():
+    """Also of those that aren't, which go to the tokenizer."""
+    coder, tokenizer = WordBpe(PATH), Tokenizer.from_file(PATH)
+    for c in map(chr, range(0x21, LAST + 80)):
+        for t in (c, f"a{c}b", f"{c}{c} 1{c}2", f"x {c}", f"'{c}s", f"{c}\n{c}A"):
+            assert coder.encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ascii(t)
+    assert all(ord(x) <= LAST for c in SAFE for x in c.lower()) and "\u0181" not in SAFE and "é" in SAFE
+
+
 @pytest.mark.parametrize("n", [1, 2, 100, 1000, 2047, 2048, 2049, 4095, 4096, 4097, 10_000])
 def test_cuts(n):
     parts = cut(n)
