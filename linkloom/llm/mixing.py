@@ -29,7 +29,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,7 +110,7 @@ def landing(p: list[float], size: list[float], at: list[int]) -> None:
 
 def flown(last: bool, seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "nth", "p"], na_position="first").reset_index(drop=True)
         rng = random.Random(f"{seed} {key[0]} {key[1]} {last}")
         order = list(range(len(pdf)))
         rng.shuffle(order)
@@ -127,17 +127,31 @@ def flown(last: bool, seed: int):
     return run
 
 
-#: Ids travel as text: pandas has no whole numbers with nulls.
-UNIT = "doc_id string, source string, size long, whole int, p double"
+#: Ids travel as text: pandas has no whole numbers with nulls. ``nth`` tells rows apart that agree in the rest.
+UNIT = "doc_id string, source string, size long, nth long, whole int, p double"
+#: Rows that are written out of a count at a time.
+SPREAD = 4096
+
+
+def told_apart(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``nth`` (from 1) among rows that agree in all columns: they are counted and written out again."""
+    counts = sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {SPREAD}"))))
+    return parts.withColumn("nth", F.explode(F.sequence(F.col("part") * SPREAD + 1, F.least("n", (F.col("part") + 1) * SPREAD)))).drop("n", "part")
+
+
+def block_of(rows: Column, turn: int, block: int) -> Column:
+    """The block of a row of a source that has so many; rows that agree in all but ``nth`` are spread too."""
+    return F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(turn)), F.ceil(rows / block)).cast("long")
 
 
 def mix_sizes(sizes: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """Adds source_size, target and copies to (doc_id, source, size)."""
-    sizes = written(sizes.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size"), "sizes")
+    sizes = written(told_apart(sizes.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size")), "sizes")
     plan = targets(sizes, share, most)
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    units = units.select("doc_id", "source", "size", F.floor(e + NEAR).cast("int").alias("whole"), F.greatest(F.lit(0.0), e - F.floor(e + NEAR)).alias("p"))
+    units = units.select("doc_id", "source", "size", "nth", F.floor(e + NEAR).cast("int").alias("whole"), F.greatest(F.lit(0.0), e - F.floor(e + NEAR)).alias("p"))
     done, turn = [units.where(F.col("p") <= NEAR)], 0
     units = units.where(F.col("p") > NEAR)
     while True:
@@ -145,8 +159,7 @@ def mix_sizes(sizes: DataFrame, share: float = 1.5, most: float = 2.0, seed: int
         most_rows = counts.agg(F.max("n")).first()[0] or 0
         last = most_rows <= block
         dealt = units.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        number = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "size", F.lit(turn)), F.ceil(F.col("n") / block))
-        dealt = dealt.withColumn("block", number.cast("long")).drop("n")
+        dealt = dealt.withColumn("block", F.lit(0).cast("long") if last else block_of(F.col("n"), turn, block)).drop("n")
         flew = written(dealt.groupBy("source", "block").applyInPandas(flown(last, seed + turn), UNIT + ", block long").drop("block"), "flown")
         if last:
             done.append(flew)

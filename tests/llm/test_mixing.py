@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from linkloom.llm.mixing import flight, mix, mixed
+from pyspark.sql import functions as F
+
+from linkloom.llm.mixing import block_of, flight, mix, mix_sizes, mixed, told_apart
 from tests.llm.conftest import ODD, prose
 
 
@@ -71,3 +73,14 @@ def test_rows_of_the_mix(spark, make):
     assert mix(odd.unionAll(odd)).count() == 2 * len(ODD) + 2
     twice = mixed(docs.unionAll(docs)).count()
     assert twice <= 4 * 80
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows that share id and size are spread over blocks like any others."""
+    rows = spark.range(6000).selectExpr("cast(null as string) as doc_id", "'a' as source", "0L as size").unionAll(spark.range(9000).selectExpr("cast(null as string)", "'b'", "3L"))
+    told = told_apart(rows)
+    assert sorted((r["source"], r["nth"]) for r in told.collect()) == [("a", i) for i in range(1, 6001)] + [("b", i) for i in range(1, 9001)]
+    blocks = told.where("source = 'a'").groupBy(block_of(F.lit(6000), 0, 2000).alias("b")).count().collect()
+    assert len(blocks) == 3 and max(r["count"] for r in blocks) < 2400
+    taken = mix_sizes(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert {r["source"]: r["n"] for r in taken} == {"a": 6000, "b": 9000} and all(abs(r["taken"] - r["target"]) <= 3 for r in taken)
