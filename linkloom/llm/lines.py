@@ -16,7 +16,7 @@ if an earlier line, by (doc_id, line number), is equal or near; the earliest sta
    line is compared with the least of these only.
 5. The edit distance of each such pair is verified on the words themselves.
 
-Lines of fewer than ``min_words`` words stay; lines of fewer than ``fuzzy_words`` words go by
+Lines without a word (or of fewer than ``min_words``) stay; lines of fewer than ``fuzzy_words`` words go by
 equality only, since one edit would change too much of them.
 
 Defined cases: null texts stay null, empty lines stay; rows that repeat whole count as one
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.shared import WORD_GAP, held, known_id, plain, table, written
 
-MIN_WORDS, FUZZY_WORDS = 3, 8
+MIN_WORDS, FUZZY_WORDS = 1, 8
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -169,7 +169,7 @@ OP2_SQL = r"""
 with split as (select doc_id, string_split(text, chr(10)) as ls from documents),
 lines as (select doc_id, unnest(range(0, len(ls))) as no, unnest(ls) as line from split),
 w as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from lines),
-e as (select *, doc_id * 1000000 + no as place from w where len(ws) >= 3),
+e as (select *, doc_id * 1000000 + no as place from w where len(ws) >= 1),
 f as (select line, any_value(ws) as ws, min(place) as first from e group by line),
 v as (
   select first, 0 as out, array_to_string(ws, ' ') as key from f where len(ws) >= 8

@@ -13,7 +13,7 @@ def near(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(docs, min_words=3, fuzzy=8):
+def brute(docs, min_words=1, fuzzy=8):
     lines = [(i, n, line, line.split()) for i, t in docs for n, line in enumerate((t or "").split("\n"))]
     first = {}
     for i, n, line, ws in sorted(lines, key=lambda x: x[:2]):
@@ -53,8 +53,8 @@ def test_equals_brute_force(make, rnd):
 
 def test_cases(make):
     line = "one two three four five six seven eight nine"
-    got = result(make(line, line.replace("five", "5"), line + " ten\nshort line", "short line", "a b c\n\na b c", "nine " + line[:-5]))
-    assert got == {1: line, 2: "", 3: "short line", 4: "short line", 5: "a b c\n", 6: "nine " + line[:-5]}
+    got = result(make(line, line.replace("five", "5"), line + " ten\nshort line", "short line", "a b c\n\na b c\n\n", "nine " + line[:-5], " \nx\nx\n "))
+    assert got == {1: line, 2: "", 3: "short line", 4: "", 5: "a b c\n\n\n", 6: "nine " + line[:-5], 7: " \nx\n "}
 
 
 def test_odd_tables(spark, make):
