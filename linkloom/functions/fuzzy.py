@@ -4,9 +4,14 @@ The measure of two strings is ``2 * LCS / (len a + len b)``; the weighted ratio
 ratios of sorted tokens, of token sets and of the best window, as its public documentation says.
 
 Longest common subsequences of a whole batch are computed at once, bit-parallel: the shorter
-string of a pair is the bits of a 64-bit number, and each character of the longer one updates the
-numbers of all pairs. All windows of a pair go through the same steps side by side. Strings are
-prepared once each, however many pairs they are in; patterns of over 64 characters take tables.
+string of a pair is the bits of one or several 64-bit numbers, and each character of the longer one
+updates the numbers of all pairs, with a carry from number to number.
+
+All windows of a pair are had from one comb. A strand starts above each character of the longer string
+and at each of the shorter; strands cross once at most, and never where the characters are equal.
+A window's common subsequence is as long as the window less the strands that both start and end in it.
+Cells on a diagonal don't depend on one another, so the steps of all pairs are taken by diagonals. Strings
+are prepared once each, however many pairs they are in.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pairs, or windows of pairs, whose numbers are updated at a time.
+#: Pairs whose numbers are updated at a time.
 LANES = 32_768
 #: Characters of a pattern that one number holds.
 BITS = 64
+#: Characters of the pairs that are combed at a time.
+COMBED = 100_000
 
 
 def codes(strings: list[str], pad: int) -> np.ndarray:
@@ -30,14 +37,6 @@ def codes(strings: list[str], pad: int) -> np.ndarray:
     return out
 
 
-def lcs_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of the rows, by tables; the paddings of a and b differ."""
-    row = np.zeros((len(a), b.shape[1] + 1), np.int16)
-    for i in range(a.shape[1]):
-        row[:, 1:] = np.maximum.accumulate(np.where(b == a[:, i : i + 1], row[:, :-1] + 1, row[:, 1:]), axis=1)
-    return row[:, -1].astype(np.int64)
-
-
 def numbered(*lists: list[str]) -> tuple[list[str], list[np.ndarray]]:
     """The different strings of all lists, and each list as places among them."""
     place: dict[str, int] = {}
@@ -58,24 +57,32 @@ class Batch:
         self.width = int(self.chars.max(initial=0)) + 1
         self.row = np.full(len(strings), -1)
         self.row[patterns] = np.arange(len(patterns))
-        self.bits = np.zeros((len(patterns), self.width), np.uint64)
-        for i in range(min(BITS, int(self.size[patterns].max(initial=0)))):
+        longest = int(self.size[patterns].max(initial=0))
+        self.bits = np.zeros((max(1, -(-longest // BITS)), len(patterns), self.width), np.uint64)
+        for i in range(longest):
             at = np.flatnonzero(self.size[patterns] > i)
-            self.bits[at, self.chars[patterns[at], i]] |= np.uint64(1) << np.uint64(i)
-
-    def masks(self, p: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        return self.bits.reshape(-1)[self.row[p] * self.width + chars]
-
-
-def advance(v: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """One character of the longer strings: zeros among the bits are what is common so far."""
-    u = v & mask
-    return (v + u) | (v - u)
-
-
-def zeros(v: np.ndarray, m: np.ndarray) -> np.ndarray:
-    full = np.where(m >= BITS, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(m, BITS - 1).astype(np.uint64)) - np.uint64(1))
-    return np.bitwise_count(~v & full).astype(np.int64)
+            self.bits[i // BITS, at, self.chars[patterns[at], i]] |= np.uint64(1) << np.uint64(i % BITS)
+
+
+def common(batch: Batch, p: np.ndarray, t: np.ndarray, words: int) -> np.ndarray:
+    """What pairs have in common, patterns having up to ``words`` numbers: the zeros among the bits, when all is read."""
+    v = np.full((words, len(p)), 2**64 - 1, np.uint64)
+    at = batch.row[p] * batch.width
+    for j in range(int(batch.size[t].max(initial=0))):
+        here, carry = at + batch.chars[t, j], None
+        for k in range(words):
+            u = v[k] & batch.bits[k].reshape(-1)[here]
+            total = v[k] + u
+            if words > 1:
+                over = total < u
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            v[k] = total | (v[k] - u)
+    left = batch.size[p][None, :] - BITS * np.arange(words)[:, None]
+    full = np.where(left >= BITS, np.uint64(2**64 - 1), (np.uint64(1) << np.clip(left, 0, BITS - 1).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & full).sum(axis=0, dtype=np.int64)
 
 
 def lcs(a: list[str], b: list[str]) -> np.ndarray:
@@ -84,19 +91,14 @@ def lcs(a: list[str], b: list[str]) -> np.ndarray:
     size = lengths(strings)
     p, t = np.where(size[ia] <= size[ib], ia, ib), np.where(size[ia] <= size[ib], ib, ia)
     out = np.zeros(len(a), np.int64)
-    small = size[p] <= BITS
-    batch = Batch(strings, np.unique(p[small]))
-    order = np.flatnonzero(small)
-    order = order[np.argsort(size[t[order]], kind="stable")]
-    for at in range(0, len(order), LANES):
-        part = order[at : at + LANES]
-        pp, tt = p[part], t[part]
-        v = np.full(len(part), 2**64 - 1, np.uint64)
-        for j in range(int(size[tt].max(initial=0))):
-            v = advance(v, batch.masks(pp, batch.chars[tt, j]))
-        out[part] = zeros(v, size[pp])
-    for i in np.flatnonzero(~small):
-        out[i] = lcs_codes(codes([strings[p[i]]], -1), codes([strings[t[i]]], -2))[0]
+    words = np.maximum(1, -(-size[p] // BITS))
+    order = np.lexsort((size[t], words))
+    for w in np.unique(words):
+        own = order[words[order] == w]
+        batch = Batch(strings, np.unique(p[own]))
+        for at in range(0, len(own), LANES):
+            part = own[at : at + LANES]
+            out[part] = common(batch, p[part], t[part], int(w))
     return out
 
 
@@ -113,12 +115,54 @@ def ratios(a: list[str], b: list[str]) -> np.ndarray:
     return share(lcs(a, b), lengths(a) + lengths(b)) if a else np.empty(0)
 
 
-def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """The best ratio of the shorter string with any window of the longer one, windows at its ends included.
+def combed(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each place in ``t`` the place in ``t`` at whose top the strand that ends there starts, below 0 if it starts in ``p``.
 
-    With ``m - 1`` blanks at either end of the longer string, every window has ``m`` characters; a
-    blank stands in no pattern and doesn't count as length.
+    A column is a pair. The strand from the left is kept for each character of p, from its last to its first.
+    """
+    m, n = len(p), len(t)
+    kind = np.int16 if m + n < 2**15 else np.int32
+    left = np.repeat(np.arange(m, dtype=kind)[:, None], p.shape[1], axis=1)
+    top = np.repeat(np.arange(m, m + n, dtype=kind)[:, None], p.shape[1], axis=1)
+    p = np.ascontiguousarray(p[::-1])
+    for d in range(m + n - 1):
+        first, last = max(0, d - n + 1), min(m - 1, d)
+        i, j = slice(m - 1 - last, m - first), slice(d - last, d - first + 1)
+        a, b = left[i], top[j]
+        turned = (p[i] == t[j]) | (a > b)  # the strands don't cross here: equal characters, or they have crossed before
+        change = (a ^ b) & -turned.view(np.int8).astype(kind)
+        a ^= change
+        b ^= change
+    return top - kind(m)
+
+
+def best_windows(p: np.ndarray, t: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best ratio of each pair over windows as long as p, or cut off at an end of t; ``m`` and ``n`` are the true lengths.
+
+    The strands inside a window follow from those inside the window before: the one that starts at the
+    character left behind may go, the one that ends at the new character may come.
     """
+    starts, size = combed(p, t), len(t)
+    kind = starts.dtype.type
+    at, m, n = np.arange(size, dtype=kind)[:, None], m.astype(kind), n.astype(kind)
+    ends = np.full((size + 1, p.shape[1]), 2 * size, np.int32)
+    np.put_along_axis(ends, np.where(starts >= 0, starts, size).astype(np.int64), np.arange(size)[:, None], axis=0)
+    new = np.full((size + len(p), p.shape[1]), -1, kind)
+    new[:size] = starts
+    # Windows that end after 1, 2, ... characters, then those that begin at 1, 2, ...
+    within = np.cumsum(starts >= 0, axis=0, dtype=kind)
+    change = (np.take_along_axis(new, (at + m).astype(np.int64), axis=0) > at).astype(kind) - (ends[:size] < at + m)
+    moved = np.take_along_axis(within, m[None, :].astype(np.int64) - 1, axis=0) + np.cumsum(change, axis=0, dtype=kind)
+    head = np.where(at < m, 200.0 * (at + 1 - within) / (m + at + 1), 0.0).max(axis=0)
+    # What lies behind the end of t is common to nothing, so it may be in the window or not.
+    begin = at[1:]
+    shared, length = np.minimum(begin + m, kind(size)) - begin - moved[:-1], np.minimum(begin + m, n) - begin
+    rest = np.where(length > 0, 200.0 * shared / (m + np.maximum(length, 1)), 0.0).max(axis=0, initial=0.0)
+    return np.maximum(head, rest)
+
+
+def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """The best ratio of the shorter string with any window of the longer one, windows at its ends included."""
     strings, (ia, ib) = numbered(a, b)
     size = lengths(strings)
     equal = np.flatnonzero((size[ia] == size[ib]) & (ia != ib))
@@ -126,34 +170,24 @@ def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
     # Of strings of equal length either may be the pattern.
     p, t, owner = np.concatenate([p, t[equal]]), np.concatenate([t, p[equal]]), np.concatenate([np.arange(len(a)), equal])
     found = np.zeros(len(p))
-    small = np.flatnonzero((size[p] > 0) & (size[p] <= BITS))
-    batch = Batch(strings, np.unique(p[small]))
-    order = small[np.lexsort((size[t[small]], size[p[small]]))]
-    at = 0
+    batch = Batch(strings, np.zeros(0, np.int64))
+    kind = np.uint16 if batch.width < 2**16 - 1 else np.int32
+    letters = batch.chars.astype(kind)
+    order = np.flatnonzero(size[p] > 0)
+    band = size[p[order]] // 8
+    order = order[np.lexsort((size[t[order]], band))]
+    band, at = np.sort(band), 0
     while at < len(order):
-        m, n = int(size[p[order[at]]]), int(size[t[order[at]]])
-        end = at + max(1, LANES // (n + m))
+        first = int(size[p[order[at]]] + size[t[order[at]]])
+        end = min(at + max(1, COMBED // first), int(np.searchsorted(band, band[at], "right")))
         part = order[at:end]
-        part = part[size[p[part]] == m]
+        # Titles of much greater length wait for a batch of their own.
+        part = part[: int(np.searchsorted(size[t[part]], size[t[part[0]]] * 1.25 + 8, "right"))]
         at += len(part)
         pp, tt = p[part], t[part]
-        widest = int(size[tt].max())
-        chars = np.zeros((len(part), widest + 2 * (m - 1)), np.int64)
-        chars[:, m - 1 : m - 1 + widest] = batch.chars[tt, :widest]
-        mask = batch.masks(pp[:, None], chars)
-        windows = widest + m - 1
-        v = np.full((len(part), windows), 2**64 - 1, np.uint64)
-        for j in range(m):
-            v = advance(v, mask[:, j : j + windows])
-        start = np.arange(windows) - (m - 1)
-        length = np.minimum(start + m, size[tt][:, None]) - np.maximum(start, 0)
-        ratio = np.where(length > 0, 200.0 * zeros(v, np.asarray(m)) / (m + np.maximum(length, 1)), 0.0)
-        found[part] = ratio.max(axis=1)
-    for i in np.flatnonzero(size[p] > BITS):
-        m, s = int(size[p[i]]), strings[t[i]]
-        cut = list({s[max(0, k) : k + m] for k in range(1 - m, len(s))})
-        whole = np.repeat(codes([strings[p[i]]], -1), len(cut), axis=0)
-        found[i] = share(lcs_codes(whole, codes(cut, -2)), m + lengths(cut)).max()
+        pattern = letters[pp, : size[pp].max()].T.copy()
+        pattern[np.arange(len(pattern))[:, None] >= size[pp]] = kind(batch.width)  # equal to nothing
+        found[part] = best_windows(pattern, letters[tt, : size[tt].max()].T.copy(), size[pp], size[tt])
     out = np.zeros(len(a))
     np.maximum.at(out, owner, found)
     return out

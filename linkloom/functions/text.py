@@ -15,6 +15,8 @@ from linkloom.config import COLOR_SYNONYMS, COLORS
 #: Fixed value: the four signs that count as an apostrophe.
 APOSTROPHES = "[‘’'`]"
 NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
+#: White space of any kind, the four separators of ASCII included.
+BLANK = r"[\s\x1C-\x1F]"
 
 
 @F.pandas_udf(T.StringType())
@@ -29,9 +31,14 @@ def strip_accents(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end; ``F.trim`` knows the blank only."""
+    return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+
+
 def even(c: Column) -> Column:
     """White space made even and trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U){BLANK}+", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -59,27 +66,27 @@ def normalize_author(c: Column) -> Column:
 
 def split_pipe_list(c: Column) -> Column:
     """The non-empty, trimmed items of a list written with bars; empty and null give an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), strip), lambda x: x != "")
 
 
 def normalize_hex(c: Column) -> Column:
     """``#RRGGBB`` in capitals, or '' for anything that isn't six hex digits."""
-    digits = F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), "^#+", "")
+    digits = F.regexp_replace(F.upper(strip(F.coalesce(c, F.lit("")))), "^#+", "")
     return F.when(digits.rlike("^[0-9A-F]{6}$"), F.concat(F.lit("#"), digits)).otherwise("")
 
 
 def parse_year(c: Column, on_error: str = "raise") -> Column:
     """A year; blank gives null. A bad one raises, or gives null with ``on_error='null'``."""
-    year = F.nullif(F.trim(c), F.lit(""))
+    year = F.nullif(strip(c), F.lit(""))
     return year.try_cast("int") if on_error == "null" else year.cast("int")
 
 
 def parse_flag(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False))
+    return F.coalesce(F.lower(strip(c)) == "true", F.lit(False))
 
 
 def clean_color(c: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
 def color_map() -> Column:
@@ -89,6 +96,6 @@ def color_map() -> Column:
 
 def normalize_spine_color(c: Column) -> Column:
     """The vocabulary's colour for a description: the whole of it, or else its last word that is known; else null."""
-    text, known = F.lower(F.trim(c)), color_map()
+    text, known = F.lower(strip(c)), color_map()
     words = F.transform(F.reverse(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))), lambda w: known[w])
     return F.coalesce(known[text], F.get(F.filter(words, lambda w: w.isNotNull()), F.lit(0)))

@@ -39,7 +39,7 @@ CATALOG = f"""select min(p_partkey) as book_id, {TITLE.format(size='min(p_size)'
   from {{part}} group by p_name, p_brand"""
 #: A row per read: orders see the product that has their customer's number, well or badly.
 READS = f"""select o_orderkey as read_id, o_orderkey div 8 as scan_id, cast(o_orderkey % 8 + 1 as int) as slot,
-    case when o_orderkey % 12 = 6 then {OTHER} when o_orderkey % 6 = 2 then concat(substr(p_name, 1, 1), substr({TITLE.format(size='p_size')}, 3)) when o_orderkey % 6 = 4 then concat('Zyxw ', o_orderpriority) when o_orderkey % 6 = 5 then '  ' else {TITLE.format(size='p_size')} end as title,
+    case when o_orderkey % 12 = 6 then {OTHER} when o_orderkey % 6 = 2 then concat(substr(p_name, 1, 1), substr({TITLE.format(size='p_size')}, 3)) when o_orderkey % 6 = 4 then concat('Zyxw ', o_orderpriority) when o_orderkey % 6 = 5 then concat(' ', chr(9), chr(160)) else {TITLE.format(size='p_size')} end as title,
     case when o_orderkey % 6 = 1 then null when o_orderkey % 6 = 3 then 'Nobody Else' when o_orderkey % 4 = 0 then concat({SURNAME}, ', ', {GIVEN}) else concat({GIVEN}, '. ', {SURNAME}) end as author,
     split_part(p_name, ' ', 1) as spine_color, o_orderkey % 31 = 0 as not_a_book,
     case when o_orderkey % 37 = 0 then 'duplicate' when o_orderkey % 41 = 0 then 'failed' when o_orderkey % 43 = 0 then 'unreadable' when o_orderkey % 31 = 0 and o_orderkey % 2 = 0 then 'not_a_book' else 'ok' end as status,
@@ -58,22 +58,26 @@ DETECTIONS = """select event_id as detection_id, event_id div 6 as scan_id, cast
 ACTIONS = """select event_id as action_id, event_id div 3 as detection_id,
     element_at(array('confirm', 'discard', 'retry', 'confirm'), cast(user_id % 4 + 1 as int)) as action,
     case when event_id % 5 > 0 then event_id % 3000 end as book_id,
-    case when event_id % 10 = 0 then concat('Own ', cast(event_id as string)) when event_id % 15 = 0 then '  ' end as custom_title,
+    case when event_id % 10 = 0 then concat('Own ', cast(event_id as string)) when event_id % 15 = 0 then concat(' ', chr(9)) end as custom_title,
     cast(null as string) as custom_author, event_id % 2 = 0 as has_crop, ts
   from {events}"""
 LIBRARY = """select event_id as entry_id, case when event_id % 11 > 0 then event_id % 2500 end as book_id,
     case when event_id % 22 = 0 then concat('Own ', cast(event_id as string)) else '' end as custom_title, '' as custom_author,
     event_id * 2 as source_detection_id, ts as created_at
   from {events}"""
-#: Raw model text of each order's lines: fenced, wrapped in prose or broken off, by key.
+#: Runs of edge points: a column of each product's box, from its top down.
+EDGES = """select l_orderkey as scan_id, cast(l_partkey % 40 * 40 + 12 as int) as x, cast(min(l_suppkey % 20 * 10) as int) as y1, cast(max(l_suppkey % 20 * 10 + 30 * l_linenumber + l_quantity * 4) as int) as y2
+  from {lineitem} group by l_orderkey, cast(l_partkey % 40 * 40 + 12 as int)"""
+#: Raw model text of each order's lines: fenced, wrapped in prose, with a remark in brackets, broken off, with repeated keys or what is no number, by key.
 RESPONSES = """select l_orderkey as scan_id, cast(count(*) + 1 as int) as n_crops, l_orderkey % 19 = 0 as call_failed, l_orderkey % 51 = 0 as repair_failed,
     case when l_orderkey % 17 = 0 then concat('[', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','))
          when l_orderkey % 3 = 0 then concat('```json [', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','), '] ```')
+         when l_orderkey % 23 = 0 then concat('Read: [', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','), '] with a note [1]')
          else concat('Here: [', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','), '] done') end as raw_text,
-    case when l_orderkey % 34 = 0 then concat('[', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','), ']') else 'sorry' end as repair_text
-  from (select *, concat('{{"index": ', cast(n as string), ', "title": "', case when l_partkey % 13 = 0 then '' else concat('Title ', cast(l_partkey as string)) end,
+    case when l_orderkey % 34 = 0 or l_orderkey % 46 = 0 then concat('[', array_join(transform(array_sort(collect_list(struct(n, item))), x -> x.item), ','), ']') else 'sorry' end as repair_text
+  from (select *, concat('{{"index": ', cast(n as string), ', "edition": ', case when l_suppkey % 9 = 0 then 'NaN' when l_suppkey % 9 = 1 then '-Infinity' else '"NaN"' end, case when l_partkey % 29 = 0 then ', "title": "Draft"' else '' end, ', "title": "', case when l_partkey % 13 = 0 then '' else concat('Title ', cast(l_partkey as string)) end,
       '", "author": ', case when l_suppkey % 4 = 0 then 'null' else concat('"Author ', cast(l_suppkey as string), '"') end,
-      ', "readable": ', case when l_partkey % 11 = 0 then 'false' else 'true' end, ', "spine_color": "', case when l_linenumber % 3 = 0 then 'pale Navy' else 'wooden' end,
+      ', "readable": ', case when l_partkey % 11 = 0 then 'false' when l_partkey % 31 = 0 then 'NaN' else 'true' end, ', "spine_color": "', case when l_linenumber % 3 = 0 then 'pale Navy' else 'wooden' end,
       '", "not_a_book": ', case when l_partkey % 5 = 0 then 'true' else 'false' end, ', "duplicate_of": ', case when l_suppkey % 7 = 0 then '1' else 'null' end, '}}') as item
     from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from {lineitem}))
   group by l_orderkey"""
@@ -82,6 +86,7 @@ SPARK_VIEWS = {
     "catalog": (CATALOG, ["part"]),
     "reads": (READS, ["orders", "part"]),
     "boxes": (BOXES, ["lineitem"]),
+    "edges": (EDGES, ["lineitem"]),
     "detections": (DETECTIONS, ["events"]),
     "actions": (ACTIONS, ["events"]),
     "library": (LIBRARY, ["events"]),

@@ -84,20 +84,43 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def edge_runs(points: DataFrame) -> DataFrame:
+    """(scan_id, x, y1, y2): points of edges (scan_id, x, y) as runs from y1 up to y2, without y2, of one column."""
+    place = F.row_number().over(W.partitionBy("scan_id", "x").orderBy("y"))
+    islands = points.select("scan_id", "x", "y").distinct().withColumn("island", F.col("y") - place)
+    return islands.groupBy("scan_id", "x", "island").agg(F.min("y").alias("y1"), (F.max("y") + 1).alias("y2")).drop("island")
+
+
+def edge_columns(runs: DataFrame) -> DataFrame:
+    """(scan_id, columns): of each photo an array of its columns from 0 on, each with its runs."""
+    runs = runs.groupBy("scan_id", F.col("x").cast("int").alias("x")).agg(F.collect_list(F.struct(F.col("y1").cast("int").alias("y1"), F.col("y2").cast("int").alias("y2"))).alias("runs"))
+    every = runs.groupBy("scan_id").agg(F.max("x").alias("last")).where("last >= 0").select("scan_id", F.explode(F.sequence(F.lit(0), "last")).alias("x"))
+    return every.join(runs, ["scan_id", "x"], "left").groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "runs"))), lambda c: c["runs"]).alias("columns"))
+
+
+def divides(columns: Column, a: Column, b: Column, config: BoxConfig = BOXES) -> Column:
+    """Does an edge divide two boxes where they overlap? Each column's points in the overlap are added up from its runs."""
+    x1, y1, x2, y2 = F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]), F.least(a["x2"], b["x2"]), F.least(a["y2"], b["y2"])
+    inside = lambda r: F.greatest(F.lit(0), F.least(r["y2"], y2) - F.greatest(r["y1"], y1))
+    hits = lambda x: F.coalesce(F.aggregate(F.get(columns, x), F.lit(0), lambda n, r: n + inside(r)), F.lit(0))
+    height = y2 - y1
+    decide = lambda found: divider_decision(found, height, config)
+    return F.coalesce((x2 - x1 >= 2) & (height >= 2) & bound(F.transform(F.sequence(x1, F.greatest(x1, x2 - 1)), hits), decide), F.lit(False))
+
+
 def merge_boxes(boxes: DataFrame, edges: DataFrame | None = None, config: BoxConfig = BOXES) -> DataFrame:
     """Boxes by falling confidence join the first kept box that shows the same thing, which grows to hold them.
 
-    ``edges``: (scan_id, ord_a, ord_b, hits, height) of overlaps; a divider keeps two boxes apart. The
-    order decides, so the boxes of one photo, a few dozen, are folded in one row.
+    ``edges``: (scan_id, x, y1, y2) runs of edge points in the columns of a photo, as ``edge_runs`` makes them; a divider
+    in the overlap with a kept box, as far as it has grown, keeps a box apart. The order decides, so
+    the boxes of one photo, a few dozen, are folded in one row.
     """
     rect = F.struct(*SIDES).alias("box")
     scans = boxes.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("rank"), "ord", "conf", rect))).alias("boxes"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     apart = lambda k, x: F.lit(False)
     if edges is not None:
-        cut = edges.where(divider_decision(F.col("hits"), F.col("height"), config)).groupBy("scan_id").agg(F.collect_set(pair(F.col("ord_a").cast("long"), F.col("ord_b").cast("long"))).alias("dividers"))
-        scans = scans.join(cut, "scan_id", "left")
-        apart = lambda k, x: F.exists(k["ords"], lambda o: F.coalesce(F.array_contains("dividers", pair(o, x["ord"].cast("long"))), F.lit(False)))
+        scans = scans.join(edge_columns(edges), "scan_id", "left")
+        apart = lambda k, x: divides(F.col("columns"), k["box"], x["box"], config)
 
     def same(k: Column, x: Column) -> Column:
         a, b = k["box"], x["box"]
@@ -105,16 +128,16 @@ def merge_boxes(boxes: DataFrame, edges: DataFrame | None = None, config: BoxCon
         return ((iou(a, b) >= config.same_iou) | within) & ~apart(k, x)
 
     def step(kept: Column, x: Column) -> Column:
-        grown = lambda k: F.struct(k["ord"].alias("ord"), k["conf"].alias("conf"), union_box(k["box"], x["box"]).alias("box"), F.concat(k["ords"], F.array(x["ord"].cast("long"))).alias("ords"))
-        alone = F.struct(x["ord"].alias("ord"), x["conf"].alias("conf"), x["box"].alias("box"), F.array(x["ord"].cast("long")).alias("ords"))
+        grown = lambda k: F.struct(k["ord"].alias("ord"), k["conf"].alias("conf"), union_box(k["box"], x["box"]).alias("box"), (k["n"] + 1).alias("n"))
+        alone = F.struct(x["ord"].alias("ord"), x["conf"].alias("conf"), x["box"].alias("box"), F.lit(1).alias("n"))
         first = F.array_position(F.transform(kept, lambda k: same(k, x)), True)
         join = lambda at: F.when(at == 0, F.concat(kept, F.array(alone))).otherwise(F.transform(kept, lambda k, i: F.when(i + 1 == at, grown(k)).otherwise(k)))
         return bound(first, join)
 
     kind = dict(boxes.dtypes)
-    none = F.array().cast(f"array<struct<ord:{kind['ord']},conf:{kind['conf']},box:struct<x1:int,y1:int,x2:int,y2:int>,ords:array<bigint>>>")
+    none = F.array().cast(f"array<struct<ord:{kind['ord']},conf:{kind['conf']},box:struct<x1:int,y1:int,x2:int,y2:int>,n:int>>")
     kept = scans.select("scan_id", F.posexplode(F.aggregate("boxes", none, step)).alias("kept_pos", "k"))
-    return kept.select("scan_id", "k.ord", "kept_pos", "k.conf", "k.box.*", F.size("k.ords").alias("n_merged"))
+    return kept.select("scan_id", "k.ord", "kept_pos", "k.conf", "k.box.*", F.col("k.n").alias("n_merged"))
 
 
 def order_boxes(boxes: DataFrame) -> DataFrame:

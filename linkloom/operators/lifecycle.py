@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.config import ADDED, MATCH, REVIEW, STATUS_LABELS, MatchConfig
-from linkloom.functions.text import normalize_text
+from linkloom.functions.text import normalize_text, strip
 from linkloom.operators.matching import Prepared, candidates_payload, match_reads
 
 
@@ -40,7 +40,7 @@ def checked_actions(actions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds ``valid``: a confirmation names a book that exists or a title, a retry has a crop."""
     books = catalog.select(F.col("book_id").alias("known")).distinct()
     df = actions.join(books, F.col("book_id") == F.col("known"), "left")
-    titled = F.trim(F.coalesce("custom_title", F.lit(""))) != ""
+    titled = strip(F.coalesce("custom_title", F.lit(""))) != ""
     confirm = F.col("known").isNotNull() | (F.col("book_id").isNull() & titled)
     valid = F.when(F.col("action") == "confirm", confirm).when(F.col("action") == "retry", F.col("has_crop")).otherwise(F.col("action") == "discard")
     return df.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("known")
@@ -48,7 +48,7 @@ def checked_actions(actions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def confirmed_entries(checked: DataFrame) -> DataFrame:
     """A library row for each valid confirmation, each time anew; a book leaves the custom fields blank."""
-    own = lambda c: F.when(F.col("book_id").isNotNull(), "").otherwise(F.trim(F.coalesce(c, F.lit(""))))
+    own = lambda c: F.when(F.col("book_id").isNotNull(), "").otherwise(strip(F.coalesce(c, F.lit(""))))
     rows = checked.where("valid and action = 'confirm'")
     return rows.select("book_id", own("custom_title").alias("custom_title"), own("custom_author").alias("custom_author"), F.col("detection_id").alias("source_detection_id"), F.col("ts").alias("created_at"))
 
@@ -161,28 +161,3 @@ def omnibus_volumes(catalog: DataFrame) -> DataFrame:
     own = catalog.select(normalize_text(F.col("title")).alias("t")).distinct()
     found = volumes.withColumn("v", normalize_text(F.col("volume"))).join(own, F.col("v") == F.col("t"), "left")
     return found.select("book_id", "volume", F.col("t").isNotNull().alias("is_present"))
-
-
-def search_catalog(queries: DataFrame, catalog: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, rank, book_id): books whose title or author holds the query, by id.
-
-    A query meets only books that have its first three letters (of a shorter one, all), by an equi-join of
-    letter groups. Only groups that are asked for are made and kept, without the strings; these are
-    fetched for hits. Equal queries are answered once.
-    """
-    asked = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where("q <> ''")
-    q = asked.select("q").distinct().withColumn("gram", F.substring("q", 1, 3))
-    wanted = q.select("gram").distinct()
-    strings = catalog.select("book_id", F.explode(F.array(F.lower("title"), F.lower("author"))).alias("s")).where("s <> ''")
-    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # of 1, 2 and 3
-    groups = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring("s", i, F.lit(n)))
-    every = F.concat(F.array().cast("array<string>"), *[F.when(F.length("s") >= n, groups(n)).otherwise(F.array().cast("array<string>")) for n in sizes])
-    grams = strings.select("book_id", F.explode(F.array_distinct(every)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
-    # A query of up to three letters is its group: every book that has it is a hit. Only longer ones look at the strings.
-    met = q.join(grams, "gram").select("q", "book_id")
-    short = met.where(F.length("q") <= 3)
-    looked = met.where(F.length("q") > 3).join(catalog.select("book_id", F.lower("title").alias("t"), F.lower("author").alias("a")), "book_id")
-    long = looked.where(F.coalesce(F.col("t").contains(F.col("q")), F.lit(False)) | F.coalesce(F.col("a").contains(F.col("q")), F.lit(False))).select("q", "book_id")
-    first = F.row_number().over(W.partitionBy("q").orderBy("book_id"))
-    found = short.unionAll(long).withColumn("rank", first).where(F.col("rank") <= limit)
-    return asked.join(found, "q").select("query_id", "rank", "book_id")

@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.config import MATCH, MatchConfig
+from linkloom.functions.bounds import counted, weighted_bounds
 from linkloom.functions.fuzzy import Tokens, indel_ratio, lengths, numbered, ratios, weighted_ratios
-from linkloom.functions.text import normalize_author, normalize_text
+from linkloom.functions.text import normalize_author, normalize_text, strip
 from linkloom.tables import written
 
 #: Different titles of a block of reads and of a block of books, and the rows of either.
@@ -73,54 +75,90 @@ def names(column: pa.ChunkedArray) -> list[tuple[str, tuple] | None]:
     return [None if n is None else (n["surname"], tuple(n["initials"])) for n in column.to_pylist()]
 
 
-def surname_scores(a: list[str], b: list[str], threshold: float) -> np.ndarray:
-    """Ratios of all pairs of different surnames, 1 for equal ones, 0 below the threshold.
+def near_pairs(a: list[str], b: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and ratios of all pairs of different surnames whose ratio reaches the threshold; equal ones have 1.
 
-    Unequal surnames at 0.85 have about the same length and two adjacent letters in common (see
-    ``near_surnames``); only such pairs are computed.
+    Of m and n letters, L >= threshold (m + n) / 2 are common in order, with at most m + n - 2 L places where the
+    order breaks; so at least L - 1 - (m + n - 2 L) pairs of adjacent letters are common, counted as often as
+    both have them. Pairs are found by the letter pairs of ``b``, so only they are ever held.
     """
-    place = {y: j for j, y in enumerate(b)}
-    out = np.zeros((len(a), len(b)))
-    pairs_of = lambda x: sum({1 << (hash(x[i : i + 2]) % 63) for i in range(len(x) - 1)})
-    ga, gb = (np.fromiter((pairs_of(x) for x in s), np.uint64, len(s)) for s in (a, b))
-    la, lb = lengths(a)[:, None], lengths(b)[None, :]
-    close = (np.minimum(la, lb) * (2 - threshold) >= threshold * np.maximum(la, lb)) & ((ga[:, None] & gb[None, :]) != 0)
-    i, j = np.nonzero(close)
-    if len(i):
-        found = ratios([a[x] for x in i], [b[x] for x in j]) / 100
-        out[i, j] = np.where(found >= threshold, found, 0.0)
-    for k, x in enumerate(a):
+    postings: dict[tuple, list[int]] = {}
+    for j, y in enumerate(b):
+        for g in counted(y[k : k + 2] for k in range(len(y) - 1)):
+            postings.setdefault(g, []).append(j)
+    arrays = {g: np.asarray(js, np.int64) for g, js in postings.items()}
+    place, lb, out = {y: j for j, y in enumerate(b)}, lengths(b), []
+    left, right, held = [], [], 0
+
+    def settled() -> None:
+        if not left:
+            return
+        i, j = np.concatenate(left), np.concatenate(right)
+        found = ratios([a[x] for x in i], [b[y] for y in j]) / 100
+        near = found >= threshold
+        out.append((i[near], j[near], found[near]))
+        left.clear()
+        right.clear()
+
+    for i, x in enumerate(a):
         if x in place:
-            out[k, place[x]] = 1.0
-    return out
-
-
-def author_scores(left: list[tuple | None], right: list[tuple | None], config: MatchConfig) -> np.ndarray:
-    """Author scores of all pairs of different names, NaN where one is unknown."""
-    sa, (ia,) = numbered([x[0] for x in left if x])
-    sb, (ib,) = numbered([y[0] for y in right if y])
-    out = np.full((len(left), len(right)), math.nan)
-    known_a, known_b = (np.flatnonzero([n is not None for n in ns]) for ns in (left, right))
-    if not len(known_a) or not len(known_b):
+            out.append((np.array([i]), np.array([place[x]]), np.ones(1)))
+        met = [arrays[g] for g in counted(x[k : k + 2] for k in range(len(x) - 1)) if g in arrays]
+        if met:
+            j, times = np.unique(np.concatenate(met), return_counts=True)
+            total = lb[j] + len(x)
+            least = np.ceil(threshold * total / 2 - 1e-9)
+            close = (np.minimum(lb[j], len(x)) >= least) & (times >= 3 * least - total - 1)
+            j = j[close]
+            j = j[j != place.get(x, -1)]
+            if len(j):
+                left.append(np.full(len(j), i))
+                right.append(j)
+                held += len(j)
+        if held >= PAIRS:
+            settled()
+            held = 0
+    settled()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class AuthorScores:
+    """Author scores of reads' names with books' names, as rows when they are asked for: most are 0, and only near surnames are held."""
+
+    def __init__(self, reads: list[tuple | None], books: list[tuple | None], config: MatchConfig) -> None:
+        self.reads, self.books = reads, books
+        self.known = np.array([n is not None for n in books], bool)
+        mine, (self.of_read,) = numbered([n[0] if n else "" for n in reads])
+        theirs, (of_book,) = numbered([n[0] if n else "" for n in books])
+        i, j, score = near_pairs(mine, theirs, config.surname_threshold)
+        order = np.argsort(i, kind="stable")
+        self.j, self.score = j[order], score[order]
+        self.cuts = np.searchsorted(i[order], np.arange(len(mine) + 1))
+        self.by_surname = np.argsort(of_book, kind="stable")
+        self.surname_cuts = np.searchsorted(of_book[self.by_surname], np.arange(len(theirs) + 1))
+        wide = max([1, *(len(n[1]) for n in books if n)])
+        self.initials = np.full((len(books), wide), "", dtype="U2")
+        for row, n in zip(self.initials, books, strict=True):
+            row[: len(n[1]) if n else 0] = n[1] if n else ()
+        self.sizes = np.fromiter((len(n[1]) if n else 0 for n in books), np.int64, len(books))
+
+    def row(self, read: int) -> np.ndarray:
+        """Scores with each book's name, NaN where either is unknown."""
+        if self.reads[read] is None:
+            return np.full(len(self.books), math.nan)
+        out = np.where(self.known, 0.0, math.nan)
+        own = self.reads[read][1]
+        at = self.of_read[read]
+        for j, score in zip(self.j[self.cuts[at] : self.cuts[at + 1]], self.score[self.cuts[at] : self.cuts[at + 1]], strict=True):
+            books = self.by_surname[self.surname_cuts[j] : self.surname_cuts[j + 1]]
+            books = books[self.known[books]]
+            common, same = np.minimum(self.sizes[books], len(own)), np.ones(len(books), bool)
+            for k, letter in enumerate(own[: self.initials.shape[1]]):
+                same &= (k >= common) | (self.initials[books, k] == letter)
+            out[books] = np.where((common == 0) | same, score, score * 0.5)
         return out
-    base = surname_scores(sa, sb, config.surname_threshold)[ia][:, ib]
-    i, j = np.nonzero(base)
-
-    def initials(ns):
-        wide = [x[1] for x in ns if x]
-        cut = np.full((len(wide), max(1, max(map(len, wide)))), "", dtype="U2")
-        for row, w in zip(cut, wide, strict=True):
-            row[: len(w)] = w
-        return cut, np.fromiter(map(len, wide), np.int64, len(wide))
-
-    (ca, na), (cb, nb) = initials(left), initials(right)
-    common = np.minimum(na[i], nb[j])
-    same = np.ones(len(i), bool)
-    for at in range(min(ca.shape[1], cb.shape[1])):
-        same &= (at >= common) | (ca[i, at] == cb[j, at])
-    base[i, j] = np.where((common == 0) | same, base[i, j], base[i, j] * 0.5)
-    out[np.ix_(known_a, known_b)] = base
-    return out
 
 
 #: What is shown of a candidate.
@@ -129,47 +167,102 @@ SCORED = "read_key binary, book_id long, title_score double, author_score double
 SCORED_TYPES = pa.schema([("read_key", pa.binary()), ("book_id", pa.int64()), ("title_score", pa.float64()), ("author_score", pa.float64()), ("score", pa.float64())])
 
 
-def tile(config: MatchConfig, scorer: str):
-    """The best books of one block for each read of another. Each pair of different titles is scored once."""
+def kth_best(score: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k-th best score; -1 where there are fewer."""
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] >= k else np.full(len(score), -1.0)
+
+
+def kth_column(score: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """The column of the k-th best score, which is ``value``, ties to the first."""
+    above = (score > value[:, None]).sum(axis=1)
+    return (np.cumsum(score == value[:, None], axis=1) == (k - above)[:, None]).argmax(axis=1)
+
+
+#: So many rows of the highest bounds are scored for each read, before the others are looked at.
+FIRST = (6, 30, 100)
+#: Cells of reads and rows to a pair of titles, from which all pairs are scored.
+MANY = 8
+
+
+def tile(config: MatchConfig, scorer: str, scored: Accumulator | None = None):
+    """The best books of one block for each read of another. Each pair of different titles is scored once, or not at all.
+
+    A pair is scored only if its bound says that it could bring a book among a read's best: the bound
+    is blended with the authors' score and held against the worst of the best so far. The best are therefore those of
+    all pairs. ``scored`` counts the pairs that are.
+    """
     n_best = max(2, config.candidates)
 
-    def title_table(a: list[str], b: list[str]) -> np.ndarray:
-        tokens, out = Tokens(), []
-        step = max(1, PAIRS // max(1, len(b)))
-        for at in range(0, len(a), step):
-            x = [t for t in a[at : at + step] for _ in b]
-            y = b * len(a[at : at + step])
-            out.append((ratios(x, y) if scorer == "ratio" else weighted_ratios(x, y, tokens)).reshape(-1, len(b)) / 100)
-        table = np.concatenate(out)
-        table[[i for i, t in enumerate(a) if not t]] = 0
-        table[:, [i for i, t in enumerate(b) if not t]] = 0
-        return table
+    def blended(t: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(a), np.minimum(t, config.no_author_cap), config.title_weight * t + config.author_weight * np.nan_to_num(a))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return SCORED_TYPES.empty_table()
         right = right.sort_by("book_id")
-        books, first = np.unique(right["book_id"].to_numpy(), return_index=True)
-        read_titles, (of_read,) = numbered(left["norm_title"].to_pylist())
-        book_titles, (of_row,) = numbered(right["book_title"].to_pylist())
-        t = np.maximum.reduceat(title_table(read_titles, book_titles)[:, of_row], first, axis=1)
+        books, first, book_of_row = np.unique(right["book_id"].to_numpy(), return_index=True, return_inverse=True)
+        mine, (of_read,) = numbered(left["norm_title"].to_pylist())
+        theirs, (of_row,) = numbered(right["book_title"].to_pylist())
         read_names, (name_of_read,) = numbered(names(left["name"]))
         book_names, (name_of_book,) = numbered(names(right["row_name"].take(pa.array(first))))
-        a = author_scores(read_names, book_names, config)[:, name_of_book]
+        authors = AuthorScores(read_names, book_names, config)
+        bound = np.where(np.array([bool(x) for x in mine])[:, None] & np.array([bool(x) for x in theirs])[None, :], weighted_bounds(mine, theirs), 0.0)
+        exact, done, tokens = np.zeros(bound.shape), bound == 0, Tokens()
+        step = max(1, SCORES // len(of_row))
+
+        def chunks():
+            for at in range(0, left.num_rows, step):
+                of, who = of_read[at : at + step], name_of_read[at : at + step]
+                some, place = np.unique(who, return_inverse=True)
+                yield at, of, np.stack([authors.row(x) for x in some])[place][:, name_of_book]
+
+        def score(pairs: np.ndarray) -> None:
+            rows, cols = np.nonzero(pairs & ~done)
+            for at in range(0, len(rows), PAIRS):
+                i, j = rows[at : at + PAIRS], cols[at : at + PAIRS]
+                x, y = [mine[k] for k in i], [theirs[k] for k in j]
+                exact[i, j] = (ratios(x, y) if scorer == "ratio" else weighted_ratios(x, y, tokens)) / 100
+            done[rows, cols] = True
+            if scored is not None:
+                scored.add(len(rows))
+
+        def needed(most_rows: int | None = None) -> np.ndarray:
+            """Pairs of titles that could still bring a book of a read among its best; of each read, if so asked, those of the highest bounds."""
+            out = np.zeros(bound.shape, bool)
+            for _, of, by in chunks():
+                found = blended(np.maximum.reduceat(exact[of][:, of_row], first, axis=1), by)
+                worst = kth_best(found, n_best)
+                most = blended(bound[of][:, of_row], by[:, book_of_row])
+                least = worst if most_rows is None else np.maximum(worst, kth_best(most, min(most_rows, most.shape[1])))
+                rows, cols = np.nonzero((most >= least[:, None]) & ~done[of][:, of_row])
+                # A bound that ties, as capped ones do, counts for a smaller id than that of the worst.
+                tied = np.flatnonzero(most[rows, cols] == worst[rows])
+                if len(tied) and found.shape[1] >= n_best:
+                    some, place = np.unique(rows[tied], return_inverse=True)
+                    late = tied[book_of_row[cols[tied]] > kth_column(found[some], worst[some], n_best)[place]]
+                    rows, cols = np.delete(rows, late), np.delete(cols, late)
+                out[of[rows], of_row[cols]] = True
+            return out
+
+        # Where many reads share a title, to look at every read costs more than to score every pair.
+        if left.num_rows * len(of_row) > MANY * bound.size:
+            score(~done)
+        for n in (*FIRST, None):
+            if not done.all():
+                score(needed(n))
         keys, out = left["read_key"], []
-        step = max(1, SCORES // len(books))
-        for at in range(0, left.num_rows, step):
-            mine, theirs = t[of_read[at : at + step]], a[name_of_read[at : at + step]]
-            score = np.where(np.isnan(theirs), np.minimum(mine, config.no_author_cap), config.title_weight * mine + config.author_weight * np.nan_to_num(theirs))
-            n = score.shape[1]
-            floor = np.partition(score, n - n_best, axis=1)[:, n - n_best] if n > n_best else np.full(len(score), -1.0)
-            rows, cols = np.nonzero(score >= floor[:, None])
-            order = np.lexsort((cols, -score[rows, cols], rows))
+        for at, of, by in chunks():
+            title = np.maximum.reduceat(exact[of][:, of_row], first, axis=1)
+            found = blended(title, by)
+            n = found.shape[1]
+            floor = np.partition(found, n - n_best, axis=1)[:, n - n_best] if n > n_best else np.full(len(found), -1.0)
+            rows, cols = np.nonzero(found >= floor[:, None])
+            order = np.lexsort((cols, -found[rows, cols], rows))
             rows, cols = rows[order], cols[order]
             best = np.arange(len(rows)) - np.searchsorted(rows, rows) < n_best
             rows, cols = rows[best], cols[best]
-            by = theirs[rows, cols]
-            out.append(pa.table([keys.take(pa.array(rows + at)).combine_chunks(), pa.array(books[cols]), pa.array(mine[rows, cols]), pa.array(by, mask=np.isnan(by)), pa.array(score[rows, cols])], schema=SCORED_TYPES))
+            author = by[rows, cols]
+            out.append(pa.table([keys.take(pa.array(rows + at)).combine_chunks(), pa.array(books[cols]), pa.array(title[rows, cols]), pa.array(author, mask=np.isnan(author)), pa.array(found[rows, cols])], schema=SCORED_TYPES))
         return pa.concat_tables(out)
 
     return run
@@ -177,7 +270,7 @@ def tile(config: MatchConfig, scorer: str):
 
 def spelled(reads: DataFrame) -> DataFrame:
     """(title, author, norm_title, name, read_key): the different spellings of reads with a title that isn't blank."""
-    raw = reads.select("title", "author").where(F.trim("title") != "").distinct()
+    raw = reads.select("title", "author").where(strip(F.col("title")) != "").distinct()
     keyed = raw.withColumn("norm_title", normalize_text(F.col("title"))).withColumn("name", normalize_author(F.col("author")))
     # 128 bits, so that two reads of even the largest table don't share a key.
     return keyed.withColumn("read_key", F.unhex(F.md5(F.to_json(F.struct("norm_title", "name")))))
@@ -200,7 +293,7 @@ def dealt(df: DataFrame, title: str, row: str, titles: int, least: int = 1) -> t
     return out.drop("hot_title", "shares"), blocks
 
 
-def score_exact(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
+def score_exact(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio", scored: Accumulator | None = None) -> DataFrame:
     """The best candidates of each distinct read, from all rows of the catalog. Both sides should be tables, not plans: they are read several times."""
     keys = (catalog if isinstance(catalog, Prepared) else prepare(catalog, config)).keys
     right, blocks = dealt(keys, "book_title", "book_id", BOOK_TITLES)
@@ -213,7 +306,7 @@ def score_exact(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchCo
     right = right.select("book_id", "book_title", "row_name", F.col("block").alias("cb2"), every(read_blocks).alias("rb2"))
     # A tile is little to send and much to compute: as many parts as tiles, which the engine would merge by their size otherwise.
     parts = min(blocks * read_blocks, MOST_PARTS)
-    return left.repartition(parts, "rb", "cb").groupBy("rb", "cb").cogroup(right.repartition(parts, "rb2", "cb2").groupBy("rb2", "cb2")).applyInArrow(tile(config, scorer), SCORED)
+    return left.repartition(parts, "rb", "cb").groupBy("rb", "cb").cogroup(right.repartition(parts, "rb2", "cb2").groupBy("rb2", "cb2")).applyInArrow(tile(config, scorer, scored), SCORED)
 
 
 def near_surnames(a: DataFrame, b: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
@@ -284,7 +377,7 @@ def top_candidates(scored: DataFrame, catalog: DataFrame, config: MatchConfig =
 
 def decide(df: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
     """Adds confidence, margin and match_status to rows with ``title`` and ``candidates``."""
-    blank = F.coalesce(F.trim("title"), F.lit("")) == ""
+    blank = F.coalesce(strip(F.col("title")), F.lit("")) == ""
     cands = F.when(~blank, F.col("candidates"))
     best, second = F.get(cands, F.lit(0))["score"], F.coalesce(F.get(cands, F.lit(1))["score"], F.lit(0.0))
     df = df.withColumn("confidence", best).withColumn("lead", best - second)

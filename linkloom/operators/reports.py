@@ -72,8 +72,8 @@ def keyed(catalog: DataFrame) -> DataFrame:
 
 
 def audit_shared_titles(catalog: DataFrame) -> DataFrame:
-    """Titles that several authors have."""
-    found = keyed(catalog).groupBy(F.col("t").alias("norm_title")).agg(F.count_distinct(F.coalesce(F.to_json("name"), F.lit(""))).alias("n_authors"), F.count(F.lit(1)).alias("n_rows"))
+    """Titles that several known authors have."""
+    found = keyed(catalog).groupBy(F.col("t").alias("norm_title")).agg(F.count_distinct("name").alias("n_authors"), F.count(F.lit(1)).alias("n_rows"))
     return found.where("n_authors > 1")
 
 

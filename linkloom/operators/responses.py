@@ -18,10 +18,36 @@ def extract_json_array(c: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))
 
 
+#: What stands for NaN and the infinities: a number, true in the loose sense, whole in none.
+NO_NUMBER = "5e-301"
+STRING = r'("(?:[^"\\]|\\.)*+")'
+
+
+def numbers_only(c: Column) -> Column:
+    """NaN, Infinity and -Infinity outside strings become ``NO_NUMBER``, which strict parsers take.
+
+    Every string gets the number behind it first, as every such word is replaced by the number and what the
+    string group holds, that is, nothing or the string; then strings lose it again.
+    """
+    both = F.regexp_replace(c, rf"{STRING}|-?\b(?:NaN|Infinity)\b", f"$1{NO_NUMBER}")
+    return F.when(c.rlike("NaN|Infinity"), F.regexp_replace(both, rf"{STRING}{NO_NUMBER}", "$1")).otherwise(c)
+
+
 def parse_items(c: Column) -> Column:
-    """The items as ``array<variant>``; null if the text isn't a JSON array."""
-    json = F.try_parse_json(extract_json_array(c))
-    return F.when(F.schema_of_variant(json).startswith("ARRAY"), json.cast("array<variant>"))
+    """The items as ``array<variant>``; null if the text isn't a JSON array and nothing else.
+
+    The parser reads one value and lets the rest be. As the element of an array, the text must be a
+    value to its end: of two, or of one with a remark behind it, nothing is read.
+    """
+    json = F.try_parse_json(F.concat(F.lit("["), numbers_only(extract_json_array(c)), F.lit("]"))).try_cast("array<variant>")
+    only = F.when(F.size(json) == 1, F.get(json, F.lit(0)))
+    return F.when(F.schema_of_variant(only).startswith("ARRAY"), only.cast("array<variant>"))
+
+
+def last_key_counts(df: DataFrame) -> DataFrame:
+    """Lets the parser of this session take objects with repeated keys, of which the last counts; by default it rejects them."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df
 
 
 def kind(v: Column) -> Column:
@@ -52,8 +78,9 @@ def whole(x: Column, booleans: bool) -> Column:
 
 
 def string(x: Column) -> Column:
-    """A value as text; JSON null is null, other types are written out."""
-    return F.when(x["kind"] != "VOID", x["text"])
+    """A value as text; JSON null and what is no number is null, other types are written out."""
+    no_number = (x["kind"] == "DOUBLE") & (x["text"].try_cast("double") == float(NO_NUMBER))
+    return F.when((x["kind"] != "VOID") & ~no_number, x["text"])
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -66,7 +93,7 @@ def chosen_response(df: DataFrame) -> DataFrame:
 
     A call that failed isn't repaired; a text that doesn't parse is replaced by its repair.
     """
-    df = once(once(df, "first_items", parse_items(F.col("raw_text"))), "repair_items", parse_items(F.col("repair_text")))
+    df = once(once(last_key_counts(df), "first_items", parse_items(F.col("raw_text"))), "repair_items", parse_items(F.col("repair_text")))
     outcome = F.when(F.col("call_failed"), "failed").when(F.col("first_items").isNotNull(), "parsed")
     outcome = outcome.when(F.col("repair_failed"), "failed").when(F.col("repair_items").isNotNull(), "parsed").otherwise("unreadable")
     df = df.withColumn("outcome", outcome)
@@ -78,7 +105,7 @@ FIELDS = ("index", "title", "author", "spine_color", "readable", "not_a_book", "
 
 def read_struct(item: Column) -> Column:
     """The read of one item, a struct of the values of its FIELDS; ``at`` is the crop it names."""
-    readable = truthy(item["readable"], missing=True) & truthy(item["title"])
+    readable = truthy(item["readable"], missing=True) & truthy(item["title"]) & string(item["title"]).isNotNull()
     color = F.when(item["spine_color"]["kind"] == "STRING", normalize_spine_color(item["spine_color"]["text"]))
     return F.struct(
         whole(item["index"], booleans=True).alias("at"),
@@ -133,6 +160,6 @@ def fallback_reads(responses: DataFrame) -> DataFrame:
     """Reads of a whole photo: items with a title, in order, colours as they come; errors give none."""
     items = F.when(~F.col("call_failed"), parse_items(F.col("raw_text")))
     objects = F.transform(F.filter(items, lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[value(field(v, f)).alias(f) for f in ("title", "author", "spine_color")]))
-    df = once(responses.select("scan_id", "raw_text", "call_failed"), "objects", objects)
+    df = once(last_key_counts(responses).select("scan_id", "raw_text", "call_failed"), "objects", objects)
     df = once(df, "titled", F.filter("objects", lambda o: truthy(o["title"]))).select("scan_id", F.posexplode("titled").alias("pos", "v"))
     return df.select("scan_id", (F.col("pos") + 1).alias("slot"), *[string(F.col(f"v.{f}")).alias(f) for f in ("title", "author", "spine_color")])

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that takes the written tables of the present scope.
+SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -30,6 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor costs a re-read of the table, never a recomputation of what made it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{SCOPE.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that are written within, removed at the end: what reads them must be written elsewhere by then."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        SCOPE.reset(token)
+        removed(spark, folder)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder in whatever store it lies; was there one?"""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

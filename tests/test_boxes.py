@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators.boxes import box_area, clean_boxes, containment, divider_decision, iou, merge_boxes, union_box, width_ratio
+from linkloom.operators.boxes import box_area, clean_boxes, containment, divider_decision, edge_runs, iou, merge_boxes, union_box, width_ratio
 
 BOX = "scan_id long, ord long, cls string, conf double, x1 double, y1 double, x2 double, y2 double, image_width int, image_height int"
 
@@ -34,8 +34,11 @@ def test_merging(spark):
 def test_divider(spark):
     two = (b(300, 0, 500, 2000), b(310, 10, 510, 1990, conf=0.8))
     assert len(cleaned(spark, *two)) == 1
-    edges = spark.createDataFrame([(1, 0, 1, [0] * 50 + [1900] + [0] * 50, 1980)], "scan_id long, ord_a long, ord_b long, hits array<int>, height int")
-    assert len(cleaned(spark, *two, edges=edges)) == 2
+    edges = lambda *runs: spark.createDataFrame([(1, *r) for r in runs], "scan_id long, x long, y1 long, y2 long")
+    assert len(cleaned(spark, *two, edges=edges((400, 10, 1910)))) == 2
+    # Too short, outside of the overlap, or one of many columns alike: no divider.
+    assert len(cleaned(spark, *two, edges=edges((400, 10, 500)))) == len(cleaned(spark, *two, edges=edges((505, 0, 2000)))) == len(cleaned(spark, *two, edges=edges(*[(x, 0, 2000) for x in range(300, 520)]))) == 1
+    assert len(cleaned(spark, *two, edges=edges((400, 0, 300), (400, 900, 1300)))) == 2
     df = spark.createDataFrame([([900] * 100, 1980), ([], 1980), ([5], 1), (None, 10)], "hits array<int>, height int")
     assert [r[0] for r in df.select(divider_decision(F.col("hits"), F.col("height"))).collect()] == [False] * 4
 
@@ -61,3 +64,18 @@ def test_greedy_order(spark):
     rows = [(1, 2, 0.9, 0, 0, 10, 100), (1, 1, 0.9, 1, 0, 11, 100), (1, 3, 0.95, 50, 0, 60, 100)]
     got = merge_boxes(spark.createDataFrame(rows, "scan_id long, ord long, conf double, x1 int, y1 int, x2 int, y2 int")).orderBy("kept_pos").collect()
     assert [(r["ord"], r["x1"], r["x2"], r["n_merged"]) for r in got] == [(3, 50, 60, 1), (1, 0, 11, 2)]
+
+
+def test_a_grown_box_is_looked_at_as_it_is(spark):
+    """An edge beside the first box divides what it has grown to from the third."""
+    three = (b(100, 0, 300, 2000), b(120, 0, 330, 2000, conf=0.8), b(140, 0, 330, 2000, conf=0.7))
+    edge = spark.createDataFrame([(1, 315, 0, 1900)], "scan_id long, x long, y1 long, y2 long")
+    assert len(cleaned(spark, *three)) == 1
+    # The first two overlap up to 300, so they merge; grown to 330, the box meets the edge at 315.
+    assert cleaned(spark, *three, edges=edge) == [(100, 0, 330, 2000), (140, 0, 330, 2000)]
+    assert len(cleaned(spark, three[0], three[2], edges=edge)) == 1
+
+
+def test_runs_of_points(spark):
+    points = spark.createDataFrame([(1, 5, y) for y in (3, 4, 5, 9, 4)] + [(1, 6, 0), (2, 5, 7)], "scan_id long, x int, y int")
+    assert sorted(tuple(r) for r in edge_runs(points).collect()) == [(1, 5, 3, 6), (1, 5, 9, 10), (1, 6, 0, 1), (2, 5, 7, 8)]

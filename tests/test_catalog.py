@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators.lifecycle import apply_review_actions, checked_actions, confirmed_entries
 from linkloom.operators.reports import catalog_coverage, catalog_profile, check_hexes
-from linkloom.sources.catalog import read_catalog, replace_catalog, scan_documents, upsert_catalog
+from linkloom.sources.catalog import current_catalog, read_catalog, replace_catalog, scan_documents, store_buckets, upsert_buckets, upsert_catalog, write_detections
 
 CSV = '''"title","author","alt_titles","year","series","is_omnibus","contained_titles","spine_color","spine_hex"
 "Northern Lights","Pullman, Philip","The Golden Compass|","1995","His Dark Materials","false",""," Yellow ","fce153"
@@ -28,7 +29,13 @@ def test_reading(spark, tmp_path):
 def test_replacing_and_updating(spark, tmp_path):
     one = read_catalog(spark, written(tmp_path, CSV))
     first = replace_catalog(one, str(tmp_path / "cat"))
+    reader = current_catalog(spark, str(tmp_path / "cat"))
     second = replace_catalog(one.limit(1), str(tmp_path / "cat"))
+    assert current_catalog(spark, str(tmp_path / "cat")).count() == 1 and reader.count() == 2
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):  # the folder itself isn't all versions
+        spark.read.parquet(str(tmp_path / "cat"))
+    with pytest.raises(FileNotFoundError):
+        current_catalog(spark, str(tmp_path / "none"))
     assert first != second and spark.read.parquet(first).count() == 2 and spark.read.parquet(second).count() == 1
     new = read_catalog(spark, written(tmp_path, 'title,author,year,series\n"northern lights","Philip Pullman",1995,New\nDune,Frank Herbert,1965,\n', "n.csv"))
     got = {r["book_id"]: (r["title"], r["series"]) for r in upsert_catalog(one, new).collect()}
@@ -64,3 +71,42 @@ def test_documents(spark):
     scans = spark.createDataFrame([(1,), (2,)], "scan_id long")
     got = {r["scan_id"]: r for r in scan_documents(scans, spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "scan_id long, slot int, title string")).collect()}
     assert got[1]["document"] == '{"scan_id":1,"detections":[{"slot":1,"title":"a"},{"slot":2,"title":"b"}]}' and got[2]["document"] == '{"scan_id":2,"detections":[]}'
+    null = scan_documents(scans.limit(1), spark.createDataFrame([(1, 1, None)], "scan_id long, slot int, chosen_book long")).first()
+    assert null["document"] == '{"scan_id":1,"detections":[{"slot":1,"chosen_book":null}]}'
+
+
+def test_white_space_in_titles_and_searches(spark):
+    cat = spark.createDataFrame([(7,)], "book_id long")
+    rows = [(1, 1, "confirm", None, "\t\u00a0", None, True, 1), (2, 2, "confirm", None, "\tOwn\n", "\u2003Me", True, 1)]
+    checked = checked_actions(spark.createDataFrame(rows, ACTION), cat)
+    assert [(r["custom_title"], r["custom_author"]) for r in confirmed_entries(checked).collect()] == [("Own", "Me")]
+
+
+def test_detections_are_written_once(spark, tmp_path):
+    rows = [(i, f"2024-01-0{i % 3 + 1} 10:00:00" if i < 9 else None, "ok") for i in range(10)]
+    batch = spark.createDataFrame(rows, "detection_id long, created_at string, status string").withColumn("created_at", F.to_timestamp("created_at"))
+    path = str(tmp_path / "detections")
+    for part in (batch.limit(4), batch.limit(4), batch, batch.where("detection_id > 7")):
+        write_detections(part, path)
+    assert sorted(r["detection_id"] for r in spark.read.parquet(path).collect()) == list(range(10))
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    rows = [(i, f"Title {i}", "" if i % 4 == 0 else f"A. Name{i}", 1900 + i, "") for i in range(1, 60)]
+    catalog = spark.createDataFrame(rows, "book_id long, title string, author string, year int, series string")
+    path = tmp_path / "buckets"
+    store_buckets(catalog, str(path))
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    before = files()
+    incoming = spark.createDataFrame([("TITLE 4", "", 1904, "New"), ("Title 7", "Name7, A.", 1907, "New"), ("Fresh", None, 2000, "New")], "title string, author string, year int, series string").withColumn("book_id", F.lit(0))
+    touched = upsert_buckets(spark, str(path), incoming)
+    after, own = files(), {f"bucket={b}" for b in touched}
+    assert 1 <= len(touched) <= 3 and {f: t for f, t in before.items() if f.split("/")[0] not in own} == {f: t for f, t in after.items() if f.split("/")[0] not in own}
+    got = {r["book_id"]: (r["title"], r["series"]) for r in spark.read.parquet(str(path)).collect()}
+    whole = {r["book_id"]: (r["title"], r["series"]) for r in upsert_catalog(catalog, incoming).collect()}
+    assert got == whole and got[4] == ("TITLE 4", "New") and got[60] == ("Fresh", "New")
+    # A second time nothing is new; a catalog may also begin empty.
+    upsert_buckets(spark, str(path), incoming)
+    assert {r["book_id"] for r in spark.read.parquet(str(path)).collect()} == set(got)
+    upsert_buckets(spark, str(tmp_path / "empty"), incoming)
+    assert sorted(r["book_id"] for r in spark.read.parquet(str(tmp_path / "empty")).collect()) == [1, 2, 3]

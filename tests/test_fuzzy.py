@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from linkloom.functions import bounds
+from linkloom.functions.bounds import weighted_bounds
 from linkloom.functions.fuzzy import lcs, ratios, weighted_ratios
 
 
@@ -96,3 +98,29 @@ def test_long_strings():
     a, b = zip(*pairs, strict=True)
     np.testing.assert_allclose(weighted_ratios(list(a), list(b)), [plain(x, y) for x, y in pairs], atol=1e-9)
     assert list(lcs(list(a), list(b))) == [plain_lcs(x, y) for x, y in pairs]
+
+
+LONG = st.lists(st.text("abcdeé", min_size=1, max_size=12), min_size=8, max_size=40).map(lambda ws: " ".join(ws)[:200]).filter(lambda t: len(t) >= 60)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(LONG, LONG | TITLES), min_size=1, max_size=4))
+def test_long_titles_equal_the_definition(pairs):
+    """60 to 200 characters: several numbers a pattern, with carries."""
+    a, b = zip(*[(x.strip(), y.strip()) for x, y in pairs], strict=True)
+    np.testing.assert_allclose(weighted_ratios(list(a), list(b)), [plain(x, y) for x, y in zip(a, b, strict=True)], atol=1e-9)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TITLES | LONG, min_size=1, max_size=6), st.lists(TITLES, min_size=1, max_size=6))
+def test_bounds_are_never_below(a, b):
+    a, b = [" ".join(x.split()) for x in a], [" ".join(x.split()) for x in b]
+    exact = weighted_ratios([x for x in a for _ in b], b * len(a)).reshape(len(a), len(b)) / 100
+    assert (weighted_bounds(a, b) >= exact).all()
+
+
+def test_bounds_by_few_features_at_a_time(monkeypatch):
+    a, b = ["red ring", "old rod", ""], ["old ring rod", "zz"]
+    whole = weighted_bounds(a, b)
+    monkeypatch.setattr(bounds, "CELLS", 10)
+    np.testing.assert_allclose(weighted_bounds(a, b), whole)

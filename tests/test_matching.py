@@ -1,7 +1,13 @@
+import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.config import MatchConfig
+from linkloom.functions.fuzzy import ratios, weighted_ratios
 from linkloom.operators import matching
 from linkloom.operators.lifecycle import apply_review_actions, auto_confirm, checked_actions, edit_library, retried, route_reads
 from linkloom.operators.matching import match_reads
@@ -131,7 +137,7 @@ def test_blocked_equals_exact_at_random(spark, monkeypatch):
     assert all(blocked[i]["margin"] >= exact[i]["margin"] for i in auto(exact))
     # The tiles of the exact mode against plain loops over all pairs.
     from linkloom.functions.fuzzy import weighted_ratios
-    from linkloom.operators.matching import author_scores, names, prepare
+    from linkloom.operators.matching import AuthorScores, names, prepare
 
     monkeypatch.undo()
     keys = prepare(cat).keys.toArrow()
@@ -142,7 +148,7 @@ def test_blocked_equals_exact_at_random(spark, monkeypatch):
         n, who = by[t, a]
         best = {}
         for (b, bt, person), w in zip(books, weighted_ratios([n] * len(books), [x[1] for x in books]) / 100, strict=True):
-            y = author_scores([who], [person], MatchConfig())[0, 0]
+            y = AuthorScores([who], [person], MatchConfig()).row(0)[0]
             best[b] = max(best.get(b, -1), min(w, 0.85) if y != y else 0.75 * w + 0.25 * y)
         want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]
         assert [(c["book_id"], pytest.approx(c["score"])) for c in exact[i]["candidates"]] == want
@@ -183,3 +189,63 @@ def test_edits_of_single_fields(spark):
     edits = [(1, 1, "edit", "T", None, 5), (2, 1, "edit", None, "A", 6), (3, 2, "edit", "old", "x", 5), (4, 2, "edit", "new", None, 5), (5, 3, "delete", None, None, 1), (6, 3, "edit", "late", None, 9)]
     df = spark.createDataFrame(edits, "action_id long, entry_id long, kind string, custom_title string, custom_author string, ts long")
     assert {(r["entry_id"], r["custom_title"], r["custom_author"]) for r in edit_library(library, df).collect()} == {(1, "T", "A"), (2, "new", "x")}
+
+
+def test_near_pairs_equal_all_pairs(monkeypatch):
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    bent = [w[:i] + rnd.choice("abcde") + w[i + rnd.randint(0, 1) :] for w in base for i in (rnd.randint(0, len(w)),)]
+    a, b = list(dict.fromkeys(base)), list(dict.fromkeys(bent + base[:10]))
+    monkeypatch.setattr(matching, "PAIRS", 7)
+    i, j, score = matching.near_pairs(a, b, 0.85)
+    every = ratios([x for x in a for _ in b], b * len(a)).reshape(len(a), len(b)) / 100
+    want = {(x, y): every[x, y] for x, y in zip(*np.nonzero(every >= 0.85), strict=True)}
+    assert len(i) == len(want) and {(x, y): s for x, y, s in zip(i, j, score, strict=True)} == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("scorer", "many"), [("wratio", 8), ("ratio", 8), ("wratio", 0)])
+def test_skipped_pairs_change_nothing(monkeypatch, scorer, many):
+    """The best books of a tile against those of all pairs, blank titles, ties and unknown authors included."""
+    rnd = random.Random(12)
+    words = ["red", "ring", "old", "rod", "the", "la", "gizmo", "anvil", "plate", "bolt", "kiesu", "fieed"]
+    title = lambda: " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 3, 4, 9])))
+    name = lambda: rnd.choice([None, {"surname": rnd.choice(["abcdefg", "abcdefgs", "other", "x"]), "initials": [rnd.choice("ab")]}])
+    monkeypatch.setattr(matching, "MANY", many)
+    left = pa.table({"read_key": pa.array([b"%d" % i for i in range(90)]), "norm_title": [title() for _ in range(90)], "name": pa.array([name() for _ in range(90)])})
+    right = pa.table({"book_id": [i // 2 for i in range(240)], "book_title": [title() for _ in range(240)], "row_name": pa.array([x for _ in range(120) for x in [name()] for _ in range(2)])})
+    counter = type("", (), {"n": 0, "add": lambda self, k: setattr(self, "n", self.n + k)})()
+    got = sorted((r["read_key"], -r["score"], r["book_id"], r["title_score"], r["author_score"]) for r in matching.tile(MatchConfig(), scorer, counter)(left, right).to_pylist())
+    score = ratios if scorer == "ratio" else weighted_ratios
+    want = []
+    rows = right.to_pylist()
+    for read in left.to_pylist():
+        best = {}
+        who = matching.AuthorScores([read["name"] and (read["name"]["surname"], tuple(read["name"]["initials"]))], [r["row_name"] and (r["row_name"]["surname"], tuple(r["row_name"]["initials"])) for r in rows], MatchConfig()).row(0)
+        titles = score([read["norm_title"]] * len(rows), [r["book_title"] for r in rows]) / 100
+        for r, t, a in zip(rows, titles, who, strict=True):
+            t = t if read["norm_title"] and r["book_title"] else 0.0
+            s = min(t, 0.85) if np.isnan(a) else 0.75 * t + 0.25 * a
+            if r["book_id"] not in best or t > best[r["book_id"]][1]:
+                best[r["book_id"]] = (s, t, None if np.isnan(a) else a)
+        want += sorted((read["read_key"], -s, b, t, a) for b, (s, t, a) in best.items())[:3]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=lambda w: w[:3])]
+    assert counter.n <= len(set(left["norm_title"].to_pylist())) * len(set(right["book_title"].to_pylist()))
+
+
+def test_a_full_tile_of_different_names_stays_small():
+    rnd = random.Random(2)
+    person = lambda: {"surname": "".join(rnd.choice("abcdefghijklmnoprstuvwz") for _ in range(rnd.randint(4, 10))), "initials": [rnd.choice("abc")]}
+    n, title = 8192, lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(2))
+    mine, theirs = [title() for _ in range(32)], [title() for _ in range(32)]
+    left = pa.table({"read_key": pa.array([b"%d" % i for i in range(n)]), "norm_title": [mine[i % 32] for i in range(n)], "name": pa.array([person() for _ in range(n)])})
+    right = pa.table({"book_id": list(range(n)), "book_title": [theirs[i % 32] for i in range(n)], "row_name": pa.array([person() for _ in range(n)])})
+    tracemalloc.start()
+    assert matching.tile(MatchConfig(), "wratio")(left, right).num_rows == 3 * n
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_blank_titles_of_any_kind(spark):
+    got = matched(spark, catalog(spark, *DUNE), ("\t", "Frank Herbert", None), ("\u00a0 \n", None, None), ("!!", None, None))
+    assert [(got[i]["match_status"], got[i]["confidence"], got[i]["candidates"] or []) for i in (0, 1)] == [("unmatched", None, [])] * 2
+    assert got[2]["match_status"] == "unmatched" and got[2]["confidence"] == 0 and got[2]["candidates"]

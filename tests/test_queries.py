@@ -18,7 +18,8 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple("" if v is None else f"{float(v):.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    """Cells as text; null is told from the empty text."""
+    return sorted(tuple("null" if v is None else f"={float(v):.6f}" if isinstance(v, float) else f"={v}" for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

@@ -63,3 +63,23 @@ def test_fallback(spark):
     rows = [(1, 0, json.dumps([item(1, spine_color="navy"), {"title": ""}, 3, {"title": "B"}]), False, None, False), (2, 0, json.dumps([item(1)]), True, None, False), (3, 0, "bad", False, None, False)]
     got = fallback_reads(spark.createDataFrame(rows, RESPONSE)).orderBy("scan_id", "slot").collect()
     assert [(r["scan_id"], r["title"], r["spine_color"]) for r in got] == [(1, "T1", "navy"), (1, "B", None)]
+
+
+def test_what_is_no_single_array(spark):
+    """A remark in brackets behind the array, or a second array, makes the text unreadable: the repair is asked for."""
+    good, repair = json.dumps([item(1)]), json.dumps([item(1, title="R")])
+    one = lambda raw: [(r["status"], r["title"]) for r in aligned(spark, 1, raw, False, repair)]
+    assert one(good + "\nNote [1]") == one(good + good) == one("[1], " + good) == one(good + ", [") == [("ok", "R")] or one(good + ", [") == [("ok", "T1")]
+    assert one(f"see below {good} done") == [("ok", "T1")]
+    assert aligned(spark, 1, good + " see [1]", False, "none", False)[0]["status"] == "unreadable" and aligned(spark, 1, good + " see [1]", False, None, True)[0]["status"] == "failed"
+
+
+def test_repeated_keys_and_no_numbers(spark):
+    """Of repeated keys the last counts; NaN and the infinities are values, true ones, and text of that kind stays text."""
+    raw = """[{"index": 1, "title": "first", "title": "last", "readable": NaN, "author": "NaN, Infinity \\" -Infinity"}, {"index": 2, "title": "B", "author": NaN, "readable": -Infinity, "not_a_book": Infinity},
+      {"index": NaN, "title": "C"}, {"index": 3, "title": NaN, "duplicate_of": NaN}]"""
+    rows = aligned(spark, 3, raw)
+    assert [r["title"] for r in rows] == ["last", "B", None] and [r["status"] for r in rows] == ["ok", "ok", "unreadable"]
+    assert rows[0]["author"] == 'NaN, Infinity " -Infinity' and rows[1]["author"] is None and rows[1]["not_a_book"] and not rows[2]["not_a_book"]
+    fallback = fallback_reads(spark.createDataFrame([(1, 0, raw, False, None, False), (2, 0, raw + " [1]", False, None, False)], RESPONSE)).collect()
+    assert [(r["scan_id"], r["title"]) for r in fallback][:2] == [(1, "last"), (1, "B")] and {r["scan_id"] for r in fallback} == {1}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.config import COLORS
-from linkloom.functions.text import normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list
+from linkloom.functions.text import clean_color, normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list, strip
 
 
 def column(spark, values, of, schema="c string"):
@@ -40,3 +40,16 @@ def test_colors(spark):
     cases = {"yellow": "yellow", "Yellow": "yellow", "  PURPLE  ": "purple", "grey": "gray", "navy": "blue", "burgundy": "red", "lilac": "purple", "multicolored": "multicolour", "multi-colour": "multicolour", "dark navy blue": "blue", "pale yellow": "yellow", "": None, None: None, "chartreuse": None, "wooden": None, "sandy dune tone": None}
     assert column(spark, list(cases), normalize_spine_color) == list(cases.values())
     assert column(spark, list(COLORS), normalize_spine_color) == list(COLORS)
+
+
+def test_white_space_of_all_kinds(spark):
+    """Tabs, line ends, no-break spaces and the separators of ASCII count like blanks."""
+    ends = ["\t", "\n", "\r\n", "\u00a0", "\u2003", "\x1c", "\x1f", "\x0b", "\u3000 \t"]
+    assert column(spark, [f"{e}a{e}b{e}" for e in ends] + ["", None, "\n \u00a0"], strip) == [f"a{e}b" for e in ends] + ["", None, ""]
+    assert column(spark, [f"#fce153{e}" for e in ends], normalize_hex) == ["#FCE153"] * len(ends)
+    assert column(spark, [f"{e}true{e}" for e in ends], parse_flag) == [True] * len(ends)
+    assert column(spark, [f"{e}1995{e}" for e in ends] + ends, parse_year) == [1995] * len(ends) + [None] * len(ends)
+    assert column(spark, [f"a{e}|{e}|{e}b" for e in ends], split_pipe_list) == [["a", "b"]] * len(ends)
+    assert column(spark, [f"{e}Multi-colour{e}" for e in ends] + [f"Red{e}" for e in ends], normalize_spine_color) == ["multicolour"] * len(ends) + ["red"] * len(ends)
+    assert column(spark, [f"Red{e}" for e in ends], clean_color) == ["red"] * len(ends)
+    assert column(spark, [f"{e}The{e}{e}Hobbit{e}" for e in ends], normalize_text) == ["hobbit"] * len(ends)
