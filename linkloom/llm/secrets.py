@@ -206,10 +206,17 @@ def cued() -> Column:
 
 
 def hidden(found: DataFrame) -> DataFrame:
-    """Adds ``label`` as the cues have it, and takes the cues out of the neighbouring words."""
+    """Adds ``label`` as the cues have it, and takes the cues out of the neighbouring words.
+
+    Candidates shorter than ``MIN_LENGTH`` exist behind announcing names only, so their length is a cue too: all up
+    to twice that length have it, and their share of different characters is of as many.
+    """
     cue = f"[=:]|{ANNOUNCE}|{HARMLESS}"
     blank = {c: F.when(F.col(c).rlike(cue), F.lit("")).otherwise(F.col(c)) for c in ("before", "before2", "after")}
-    return found.withColumn("label", cued()).withColumns(blank)
+    distinct = F.col("different") * F.least("length", F.lit(64.0))
+    least = F.lit(2.0 * MIN_LENGTH)
+    short = {"length": F.greatest("length", least), "different": distinct / F.greatest(F.least("length", F.lit(64.0)), least)}
+    return found.withColumn("label", cued()).withColumns(blank | short)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

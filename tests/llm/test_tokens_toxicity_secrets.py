@@ -174,6 +174,20 @@ def test_cues_teach_what_values_look_like(spark, make, rnd):
     assert all(got[i] == (k in ("announced", "bare")) for i, k in enumerate(kinds, 1))
 
 
+def test_announced_short_words_are_no_secrets(spark, make, rnd):
+    """Taught by short passwords that are announced and by long words that aren't, it tells passwords from words behind a name."""
+    password = lambda: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(10))
+    parts = ["ing", "tion", "ber", "the", "and", "ous"]
+    words = ["".join(rnd.choice(parts) for _ in range(3)) for _ in range(20)]
+    long = ["".join(rnd.choice(words) for _ in range(2)) for _ in range(20)]
+    common = [" ".join(rnd.choice(words + long) for _ in range(60)) for _ in range(6)]  # under every path
+    texts = common + [f"{prose(rnd, 20)} password = {password()} {prose(rnd, 5)}" if i % 2 else f"{prose(rnd, 20)} {rnd.choice(long)} {prose(rnd, 5)}" for i in range(120)]
+    texts += [f"{prose(rnd, 20)} password = {w} {prose(rnd, 5)}" for w in words] + [f"{prose(rnd, 20)} password = {password()} {prose(rnd, 5)}" for _ in range(20)]
+    got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(make(*texts), teach="doc_id <= 126").where("doc_id > 126").collect()}
+    flagged = [i for i in range(127, 147) if got.get(i)]
+    assert len(flagged) <= 1 and all(got[i] for i in range(147, 167))
+
+
 def test_fit_meets_the_conditions_of_its_loss(rnd):
     """At a minimum, each weight's slope of loss and counterfactual penalty, again by plain loops, balances the L1 penalty."""
     import math
