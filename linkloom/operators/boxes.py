@@ -92,20 +92,19 @@ def edge_runs(points: DataFrame) -> DataFrame:
 
 
 def edge_columns(runs: DataFrame) -> DataFrame:
-    """(scan_id, columns): of each photo an array of its columns from 0 on, each with its runs."""
-    runs = runs.groupBy("scan_id", F.col("x").cast("int").alias("x")).agg(F.collect_list(F.struct(F.col("y1").cast("int").alias("y1"), F.col("y2").cast("int").alias("y2"))).alias("runs"))
-    every = runs.groupBy("scan_id").agg(F.max("x").alias("last")).where("last >= 0").select("scan_id", F.explode(F.sequence(F.lit(0), "last")).alias("x"))
-    return every.join(runs, ["scan_id", "x"], "left").groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "runs"))), lambda c: c["runs"]).alias("columns"))
+    """(scan_id, columns): the columns of each photo that have edges, each with its place and its runs."""
+    columns = runs.groupBy("scan_id", F.col("x").cast("int").alias("x")).agg(F.collect_list(F.struct(F.col("y1").cast("int").alias("y1"), F.col("y2").cast("int").alias("y2"))).alias("runs"))
+    return columns.groupBy("scan_id").agg(F.collect_list(F.struct("x", "runs")).alias("columns"))
 
 
 def divides(columns: Column, a: Column, b: Column, config: BoxConfig = BOXES) -> Column:
-    """Does an edge divide two boxes where they overlap? Each column's points in the overlap are added up from its runs."""
+    """Does an edge divide two boxes where they overlap? Each column's points in the overlap are added up from its runs; the other columns have none."""
     x1, y1, x2, y2 = F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]), F.least(a["x2"], b["x2"]), F.least(a["y2"], b["y2"])
     inside = lambda r: F.greatest(F.lit(0), F.least(r["y2"], y2) - F.greatest(r["y1"], y1))
-    hits = lambda x: F.coalesce(F.aggregate(F.get(columns, x), F.lit(0), lambda n, r: n + inside(r)), F.lit(0))
-    height = y2 - y1
-    decide = lambda found: divider_decision(found, height, config)
-    return F.coalesce((x2 - x1 >= 2) & (height >= 2) & bound(F.transform(F.sequence(x1, F.greatest(x1, x2 - 1)), hits), decide), F.lit(False))
+    met = F.coalesce(F.filter(columns, lambda c: (c["x"] >= x1) & (c["x"] < x2)), F.slice(columns, 1, 0))
+    hits = F.transform(met, lambda c: F.aggregate(c["runs"], F.lit(0), lambda n, r: n + inside(r)))
+    decide = lambda found: divider_decision(F.concat(found, F.array_repeat(F.lit(0), x2 - x1 - F.size(found))), y2 - y1, config)
+    return F.coalesce((x2 - x1 >= 2) & (y2 - y1 >= 2) & bound(hits, decide), F.lit(False))
 
 
 def merge_boxes(boxes: DataFrame, edges: DataFrame | None = None, config: BoxConfig = BOXES) -> DataFrame:
