@@ -206,6 +206,8 @@ listed as (select read_id, book_id, s, row_number() over (partition by read_id o
 {select}"""
 
 
+#: The candidates of each read, best first.
+IDS = "ids as (select read_id, string_agg(book_id::varchar, ',' order by rank) as candidates from listed group by 1)"
 #: Distinct titles of reads and of their candidates.
 NEAR_TITLES = f"select distinct a, b, round(q, 6) as ratio from (select distinct nt, book_id from ranked where k <= 3) join catalog using (book_id) join ratio on a = nt and b = {norm('title')}"
 
@@ -286,6 +288,14 @@ def _(v):
     return found.where("match_status = 'auto_added'").select("read_id", "chosen_book", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin_upper"))
 
 
+@query("match_review", matched(WEIGHTED, f""", {IDS} select out.read_id, match_status, confidence, chosen_book, case when match_status = 'auto_added' then '' else coalesce(candidates, '') end as candidates from out left join ids on ids.read_id = out.read_id"""))
+def _(v):
+    """Automatic matches through blocks, the candidates of all other reads from the whole catalog."""
+    found = M.match_reads(v.derived("reads"), v.derived("catalog"), mode="review")
+    ids = F.when(F.col("match_status") != "auto_added", F.array_join(F.transform("candidates", lambda c: c["book_id"].cast("string")), ","))
+    return found.select("read_id", "match_status", F.round("confidence", 6).alias("confidence"), "chosen_book", F.coalesce(ids, F.lit("")).alias("candidates"))
+
+
 @query("match_buckets", matched(WEIGHTED, "select match_status as status, count(*) as n from out group by 1"))
 def _(v):
     return R.match_buckets(M.match_reads(v.derived("reads"), v.derived("catalog")).select(F.col("match_status").alias("status")))
@@ -306,7 +316,6 @@ def _(v):
     return R.scan_summary(L.route_reads(v.derived("reads"), v.derived("catalog")))
 
 
-IDS = "ids as (select read_id, string_agg(book_id::varchar, ',' order by rank) as candidates from listed group by 1)"
 ROUTED = f""", {FATES}, {IDS}, routed as (select r.read_id, r.scan_id, r.slot, r.title, r.author, f.st as status, case when f.st in ('auto_added', 'needs_review', 'unmatched') then o.confidence end as confidence, case when f.st in ('auto_added', 'needs_review') then o.margin end as margin,
   case when f.st = 'auto_added' then o.chosen_book end as chosen_book, case when f.st in ('auto_added', 'needs_review', 'unmatched') then coalesce(i.candidates, '') else '' end as candidates
   from reads r join fates f on f.read_id = r.read_id join out o on o.read_id = r.read_id left join ids i on i.read_id = r.read_id)"""

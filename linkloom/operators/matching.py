@@ -4,7 +4,8 @@ Equal reads are scored once, and so is each distinct pair of a read's and a book
 are dealt by title into blocks of bounded size, a title with very many rows into several; a block of
 reads meets a block of titles in a tile, which scores the titles, combines them with authors, and
 returns the few best books of each read. Pairs are never emitted, and neither side is broadcast. The
-blocked mode lets only rows meet that can decide an automatic match, by joins on surnames.
+blocked mode lets only rows meet that can decide an automatic match, by joins on surnames; the review
+mode does so first, and gives all reads that don't match their candidates from the whole catalog.
 """
 
 from __future__ import annotations
@@ -355,13 +356,30 @@ def score_blocked(reads: DataFrame, catalog: DataFrame | Prepared, config: Match
         raise ValueError("with these thresholds any row can decide a match: use the exact mode")
     prepared = catalog if isinstance(catalog, Prepared) else prepare(catalog, config)
     known = written(score_by_surname(reads, prepared.keys, config, scorer), "scores")
-    lead = ranked(known, 2).groupBy("read_key").agg(F.max("score").alias("first"), F.min(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
-    sure = lead.where((F.col("first") >= config.auto_score) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= config.auto_margin)).select("read_key")
-    doubtful = written(reads.join(sure, "read_key", "left_semi"), "reads")
+    doubtful = written(reads.join(leading(known, config), "read_key", "left_semi"), "reads")
     unknown = Prepared(prepared.catalog, prepared.keys.where("row_name is null"))
     return known.unionByName(score_exact(doubtful, unknown, config, scorer))
 
 
+def leading(scored: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
+    """(read_key): reads whose best book is good enough, and far enough ahead, for an automatic match."""
+    lead = ranked(scored, 2).groupBy("read_key").agg(F.max("score").alias("first"), F.min(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+    return lead.where((F.col("first") >= config.auto_score) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= config.auto_margin)).select("read_key")
+
+
+def score_for_review(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchConfig = MATCH, scorer: str = "wratio") -> DataFrame:
+    """Blocked scores of the reads that match automatically; all others, which a person looks at, meet the whole catalog as in the exact mode."""
+    prepared = catalog if isinstance(catalog, Prepared) else prepare(catalog, config)
+    blocked = written(score_blocked(reads, prepared, config, scorer), "scores")
+    sure = written(leading(blocked, config), "matched")
+    rest = written(reads.join(sure, "read_key", "left_anti"), "reads")
+    return blocked.join(sure, "read_key", "left_semi").select("read_key", "book_id", "title_score", "author_score", "score").unionByName(score_exact(rest, prepared, config, scorer))
+
+
+#: How reads meet the catalog: all rows; what can decide an automatic match; the second, then the first for the rest.
+MODES = {"exact": score_exact, "blocked": score_blocked, "review": score_for_review}
+
+
 def ranked(scored: DataFrame, n: int) -> DataFrame:
     """The n best books of each read with their rank ``r``, ties to the smaller book_id. A book that was met by several titles counts by the best."""
     by_read = scored.repartition("read_key").groupBy("read_key", "book_id").agg(F.max(F.struct("score", "title_score", "author_score")).alias("s")).select("read_key", "book_id", "s.*")
@@ -409,7 +427,7 @@ def match_reads(reads: DataFrame, catalog: DataFrame | Prepared, config: MatchCo
     prepared = catalog if isinstance(catalog, Prepared) else prepare(catalog, config)
     forms = written(spelled(reads), "spelled")
     different = written(forms.select("read_key", "norm_title", "name").distinct(), "reads")
-    scored = (score_exact if mode == "exact" else score_blocked)(different, prepared, config, scorer)
+    scored = MODES[mode](different, prepared, config, scorer)
     best = forms.select(F.col("title").alias("t"), F.col("author").alias("a"), "read_key").join(top_candidates(scored, prepared.catalog, config), "read_key").drop("read_key")
     out = decide(reads.join(best, (F.col("title") == F.col("t")) & F.col("author").eqNullSafe(F.col("a")), "left").drop("t", "a"), config)
     out = out.withColumn("candidates", color_tiebreak(F.col("candidates"), F.col("spine_color"), F.col("margin"), config))

@@ -249,3 +249,17 @@ def test_blank_titles_of_any_kind(spark):
     got = matched(spark, catalog(spark, *DUNE), ("\t", "Frank Herbert", None), ("\u00a0 \n", None, None), ("!!", None, None))
     assert [(got[i]["match_status"], got[i]["confidence"], got[i]["candidates"] or []) for i in (0, 1)] == [("unmatched", None, [])] * 2
     assert got[2]["match_status"] == "unmatched" and got[2]["confidence"] == 0 and got[2]["candidates"]
+
+
+def test_review_mode_gives_the_rest_its_candidates(spark):
+    """Reads without an author, or whose author is unknown to the catalog, get those of the exact mode."""
+    cat = catalog(spark, *DUNE, ("Emma", "Jane Austen", [], ""), ("The Trial", "Kafka, Franz", [], ""), ("Trial by Fire", "", [], ""))
+    reads = (("Emma", "Jane Austen", None), ("Emma", None, None), ("Trial", "Nobody", None), ("Dune", "Frank Herbert", None), ("qqq", None, None), ("", None, None))
+    exact, review = matched(spark, cat, *reads), matched(spark, cat, *reads, mode="review")
+    assert exact[0]["match_status"] == "auto_added"
+    for i in range(len(reads)):
+        assert (review[i]["match_status"], review[i]["confidence"], review[i]["chosen_book"]) == (exact[i]["match_status"], exact[i]["confidence"], exact[i]["chosen_book"])
+        if exact[i]["match_status"] != "auto_added":
+            assert review[i]["candidates"] == exact[i]["candidates"] and review[i]["margin"] == exact[i]["margin"]
+    with pytest.raises(KeyError):
+        matched(spark, cat, *reads, mode="other")
