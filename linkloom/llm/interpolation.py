@@ -45,7 +45,7 @@ ORDER = 2
 #: Of so many documents that teach, one is deleted.
 DELETED = 16
 #: Tokens of a chunk; n-grams of a range.
-CHUNK, RANGE = 1 << 21, 1 << 22
+CHUNK, RANGE = 1 << 20, 1 << 21
 #: Buckets of context frequencies: 0, 1, 2-3, 4-7, ...
 FREQUENCIES = 48
 ROUNDS, ENOUGH = 40, 1e-5
@@ -172,7 +172,8 @@ def asked(found: DataFrame, order: int, bits: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]  # one chunk at a time
                 for gram, (keys, at) in enumerate(of_chunk(row, order)[1]):
                     times = np.bincount(at, minlength=len(keys)).astype(np.uint32)
                     ranges = np.arange(1 << bits, dtype=np.uint64)
