@@ -151,10 +151,8 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     for part, rows_of in sorted(placed.groupBy("part").count().collect()):  # one row a partition
         before[part] = n
         n += rows_of
-    if not before:
-        return placed.withColumn("rank", F.lit(None).cast("long")).drop("part", "at")
-    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    return placed.withColumn("rank", (first[F.col("part")] + F.col("at") + 1).cast("long")).drop("part", "at")
+    first = rows.sparkSession.createDataFrame(list(before.items()), "part int, first long")
+    return placed.join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("at") + 1).drop("part", "at", "first")
 
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, run: int = RUN, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:

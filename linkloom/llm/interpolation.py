@@ -52,7 +52,8 @@ ROUNDS, ENOUGH = 40, 1e-5
 #: What the weights of all buckets together count for in each, in tokens.
 PRIOR = 10.0
 TRAIN, TAKEN_OUT, OTHER = 0, 1, 2
-END, BEGIN = b"\0end", b"\0begin"
+#: No word holds a blank.
+END, BEGIN = b" end", b" begin"
 
 CHUNKS = "chunk long, kind int, n_tokens long, pieces binary, doc_ids array<long>, words binary, tokens binary"
 

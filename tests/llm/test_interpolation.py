@@ -13,13 +13,13 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text):
-    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), "\0end"]
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), " end"]
 
 
 def counts(texts, order):
     gram, context = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
     for t in texts:
-        ts = ["\0begin"] * (order - 1) + tokens(t)
+        ts = [" begin"] * (order - 1) + tokens(t)
         for i in range(order - 1, len(ts)):
             for k in range(order):
                 gram[k][tuple(ts[i - k : i + 1])] += 1
@@ -28,7 +28,7 @@ def counts(texts, order):
 
 
 def estimates(text, gram, context, order):
-    ts = ["\0begin"] * (order - 1) + tokens(text)
+    ts = [" begin"] * (order - 1) + tokens(text)
     for i in range(order - 1, len(ts)):
         seen = max([k for k in range(1, order) if context[k][tuple(ts[i - k : i])]], default=0)
         c = context[seen][tuple(ts[i - seen : i])]
@@ -74,7 +74,7 @@ def brute(docs, order, deleted):
 @pytest.mark.parametrize(("order", "size", "ranges"), [(2, 1 << 20, 1 << 21), (2, 50, 100), (3, 300, 1000), (1, 100, 1000)])
 def test_equals_brute_force(make, rnd, order, size, ranges):
     common = prose(rnd, 60)
-    docs = [*enumerate([*ODD, "A b\x85c É É", common, *[prose(rnd, rnd.choice([3, 40, 200])) + rnd.choice(["", common]) for _ in range(60)]], 1)]
+    docs = [*enumerate([*ODD, "A b\x85c É É \0end end \0begin", common, *[prose(rnd, rnd.choice([3, 40, 200])) + rnd.choice(["", common]) for _ in range(60)]], 1)]
     docs += [(5, docs[-1][1]), (None, "w1 w2")]
     got = scores(make(*docs, extra=True), order=order, deleted=4, size=size, range_size=ranges)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
