@@ -60,8 +60,9 @@ def weighted_bounds(a: list[str], b: list[str]) -> np.ndarray:
     shared = joined > 0
     s = np.where(shared, joined - 1, 0)
     rest_a, rest_b = (np.where(shared, np.maximum(0, w - s - 1), w) for w in (whole[0][:, None], whole[1][None, :]))
-    # What is left of two token sets has no more in common than the shorter has characters, nor than the strings without the shared tokens and a blank more.
-    left = np.minimum(np.minimum(rest_a, rest_b), np.maximum(0, common - s) + 1)
+    # What is left of two token sets has no more in common than the shorter has characters, nor than the strings have
+    # besides the shared tokens, of whose blanks one is left over.
+    left = np.minimum(np.minimum(rest_a, rest_b), np.maximum(0, common - s - 1))
     apart = lambda x, y: np.where(y > 0, 100.0 - 100.0 * x / np.maximum(y, 1), 100.0)
     partly = np.maximum(apart(rest_a + rest_b - 2 * left, 2 * (s + 1) + rest_a + rest_b), np.maximum(apart(1 + rest_a, 2 * s + 1 + rest_a), apart(1 + rest_b, 2 * s + 1 + rest_b)))
     # Joined sets hold a part of the strings' characters: tokens that repeat count once.
