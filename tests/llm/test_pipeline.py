@@ -42,7 +42,7 @@ def test_queries_agree_with_sql(spark):
     from linkloom.llm import registry
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, SF)
