@@ -20,7 +20,7 @@ def extract_json_array(c: Column) -> Column:
 
 #: What stands for NaN and the infinities: a number, true in the loose sense, whole in none.
 NO_NUMBER = "5e-301"
-STRING = r'("(?:[^"\\]|\\.)*+")'
+STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
 
 
 def numbers_only(c: Column) -> Column:
@@ -39,9 +39,17 @@ def parse_items(c: Column) -> Column:
     The parser reads one value and lets the rest be. As the element of an array, the text must be a
     value to its end: of two, or of one with a remark behind it, nothing is read.
     """
-    json = F.try_parse_json(F.concat(F.lit("["), numbers_only(extract_json_array(c)), F.lit("]"))).try_cast("array<variant>")
-    only = F.when(F.size(json) == 1, F.get(json, F.lit(0)))
-    return F.when(F.schema_of_variant(only).startswith("ARRAY"), only.cast("array<variant>"))
+    return only_array(wrapped(extract_json_array(c)))
+
+
+def wrapped(text: Column) -> Column:
+    """A text as the element of an array; null if that is no JSON."""
+    return F.try_parse_json(F.concat(F.lit("["), numbers_only(text), F.lit("]"))).try_cast("array<variant>")
+
+
+def only_array(elements: Column) -> Column:
+    """The items of the only element, if it is one and an array."""
+    return F.when(F.size(elements) == 1, F.get(elements, F.lit(0)).try_cast("array<variant>"))
 
 
 def last_key_counts(df: DataFrame) -> DataFrame:
@@ -93,7 +101,11 @@ def chosen_response(df: DataFrame) -> DataFrame:
 
     A call that failed isn't repaired; a text that doesn't parse is replaced by its repair.
     """
-    df = once(once(last_key_counts(df), "first_items", parse_items(F.col("raw_text"))), "repair_items", parse_items(F.col("repair_text")))
+    df = last_key_counts(df)
+    for name, text in (("first", F.col("raw_text")), ("repair", F.when(F.col("first_items").isNull(), F.col("repair_text")))):
+        df = once(df, "array_text", extract_json_array(text))
+        df = once(df, "array_json", wrapped(F.col("array_text")))
+        df = once(df, f"{name}_items", only_array(F.col("array_json"))).drop("array_text", "array_json")
     outcome = F.when(F.col("call_failed"), "failed").when(F.col("first_items").isNotNull(), "parsed")
     outcome = outcome.when(F.col("repair_failed"), "failed").when(F.col("repair_items").isNotNull(), "parsed").otherwise("unreadable")
     df = df.withColumn("outcome", outcome)
@@ -158,8 +170,8 @@ def duplicates(slots: Column) -> Column:
 
 def fallback_reads(responses: DataFrame) -> DataFrame:
     """Reads of a whole photo: items with a title, in order, colours as they come; errors give none."""
-    items = F.when(~F.col("call_failed"), parse_items(F.col("raw_text")))
-    objects = F.transform(F.filter(items, lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[value(field(v, f)).alias(f) for f in ("title", "author", "spine_color")]))
-    df = once(last_key_counts(responses).select("scan_id", "raw_text", "call_failed"), "objects", objects)
+    objects = F.transform(F.filter("items", lambda v: kind(v).startswith("OBJECT")), lambda v: F.struct(*[value(field(v, f)).alias(f) for f in ("title", "author", "spine_color")]))
+    df = once(last_key_counts(responses).select("scan_id", extract_json_array(F.when(~F.col("call_failed"), F.col("raw_text"))).alias("text")), "json", wrapped(F.col("text")))
+    df = once(once(df, "items", only_array(F.col("json"))).select("scan_id", "items"), "objects", objects)
     df = once(df, "titled", F.filter("objects", lambda o: truthy(o["title"]))).select("scan_id", F.posexplode("titled").alias("pos", "v"))
     return df.select("scan_id", (F.col("pos") + 1).alias("slot"), *[string(F.col(f"v.{f}")).alias(f) for f in ("title", "author", "spine_color")])

@@ -9,14 +9,13 @@ reads the parts and the row groups of the groups it needs. The table is made onc
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import strip
-from linkloom.tables import shared_dir, written
+from linkloom.tables import written
 
 #: Letters of a group, at most; parts of the table; groups up to which a search names them to the scan.
 LETTERS, PARTS, NAMED = 3, 64, 1000
@@ -24,11 +23,15 @@ LETTERS, PARTS, NAMED = 3, 64, 1000
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Groups of a catalog: (part, gram, book_id), how many books have each (gram, n), and the strings (book_id, t, a)."""
+    """Groups of a catalog: (part, gram, book_id), how many books have each (gram, n), and the strings (book_id, t, a).
+
+    ``stored``: in parts, of which a search reads its own; else the groups of one search only.
+    """
 
     postings: DataFrame
     counts: DataFrame
     strings: DataFrame
+    stored: bool = True
 
 
 def part_of(gram: Column) -> Column:
@@ -45,21 +48,33 @@ def index_catalog(catalog: DataFrame, path: str) -> SearchIndex:
     """Writes the groups of a catalog to a new folder."""
     strings = catalog.select("book_id", F.lower("title").alias("t"), F.lower("author").alias("a"))
     strings.write.parquet(f"{path}/strings")
-    each = strings.select("book_id", F.explode(F.array("t", "a")).alias("s")).where("s <> ''")
-    grams = each.select("book_id", F.explode(groups(F.col("s"), 1)).alias("gram")).distinct()
-    dealt = grams.withColumn("part", part_of(F.col("gram"))).repartition("part").sortWithinPartitions("part", "gram", "book_id")
+    dealt = grams_of(strings).distinct().repartition("part").sortWithinPartitions("part", "gram", "book_id")
     dealt.write.partitionBy("part").parquet(f"{path}/postings")
     counts = catalog.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n"))
     counts.repartition("part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/counts")
     return open_index(catalog.sparkSession, path)
 
 
+def grams_of(strings: DataFrame) -> DataFrame:
+    each = strings.select("book_id", F.explode(F.array("t", "a")).alias("s")).where("s <> ''")
+    return each.select("book_id", F.explode(groups(F.col("s"), 1)).alias("gram")).withColumn("part", part_of(F.col("gram")))
+
+
+def asked_groups(catalog: DataFrame, grams: DataFrame) -> SearchIndex:
+    """The part of an index that some groups need, for one search."""
+    strings = catalog.select("book_id", F.lower("title").alias("t"), F.lower("author").alias("a"))
+    postings = written(grams_of(strings).join(grams, "gram", "left_semi").distinct(), "postings")
+    return SearchIndex(postings, postings.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")), strings, stored=False)
+
+
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
     return SearchIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "counts", "strings")))
 
 
-def only(stored: DataFrame, grams: DataFrame) -> DataFrame:
+def only(index: SearchIndex, stored: DataFrame, grams: DataFrame) -> DataFrame:
     """The rows of these groups, from their parts alone; of few groups the scan knows the names."""
+    if not index.stored:
+        return stored
     parts = [r[0] for r in grams.select(part_of(F.col("gram"))).distinct().collect()]  # PARTS at most
     out = stored.where(F.col("part").isin(parts))
     few = grams.limit(NAMED + 1).collect()
@@ -67,16 +82,18 @@ def only(stored: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def search_catalog(queries: DataFrame, catalog: DataFrame | SearchIndex, limit: int = 20) -> DataFrame:
-    """(query_id, rank, book_id): the first books by id whose title or author holds the query; blank ones find nothing. Equal queries are answered once."""
-    spark = queries.sparkSession
-    index = catalog if isinstance(catalog, SearchIndex) else index_catalog(catalog, f"{shared_dir(spark)}/search-{uuid4().hex}")
+    """(query_id, rank, book_id): the first books by id whose title or author holds the query; blank ones find nothing. Equal queries are answered once.
+
+    Without an index, only the groups that are asked for are made.
+    """
     asked = written(queries.select("query_id", F.lower(strip(F.col("q"))).alias("q")).where("q <> ''"), "asked")
     q = asked.select("q").distinct()
     own = F.when(F.length("q") <= LETTERS, F.array("q")).otherwise(groups(F.col("q"), LETTERS))
     each = written(q.select("q", F.explode(own).alias("gram")), "groups")
-    n = each.join(only(index.counts, each.select("gram").distinct()).select("gram", "n"), "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    index = catalog if isinstance(catalog, SearchIndex) else asked_groups(catalog, each.select("gram").distinct())
+    n = each.join(only(index, index.counts, each.select("gram").distinct()).select("gram", "n"), "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
     way = written(n.where("n > 0").select("q", "gram"), "ways")
-    met = way.join(only(index.postings, way.select("gram").distinct()).select("gram", "book_id"), "gram").select("q", "book_id")
+    met = way.join(only(index, index.postings, way.select("gram").distinct()).select("gram", "book_id"), "gram").select("q", "book_id")
     short = met.where(F.length("q") <= LETTERS)
     looked = met.where(F.length("q") > LETTERS).join(index.strings, "book_id")
     holds = lambda c: F.coalesce(F.col(c).contains(F.col("q")), F.lit(False))
