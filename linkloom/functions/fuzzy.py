@@ -119,9 +119,10 @@ def combed(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     """For each place in ``t`` the place in ``t`` at whose top the strand that ends there starts, below 0 if it starts in ``p``.
 
     A column is a pair. The strand from the left is kept for each character of p, from its last to its first.
+    Strands are numbered in as few bytes as they need, most often one.
     """
     m, n = len(p), len(t)
-    kind = np.int16 if m + n < 2**15 else np.int32
+    kind = np.uint8 if m + n <= 2**8 else np.int16 if m + n < 2**15 else np.int32
     left = np.repeat(np.arange(m, dtype=kind)[:, None], p.shape[1], axis=1)
     top = np.repeat(np.arange(m, m + n, dtype=kind)[:, None], p.shape[1], axis=1)
     p = np.ascontiguousarray(p[::-1])
@@ -130,10 +131,11 @@ def combed(p: np.ndarray, t: np.ndarray) -> np.ndarray:
         i, j = slice(m - 1 - last, m - first), slice(d - last, d - first + 1)
         a, b = left[i], top[j]
         turned = (p[i] == t[j]) | (a > b)  # the strands don't cross here: equal characters, or they have crossed before
-        change = (a ^ b) & -turned.view(np.int8).astype(kind)
+        change = (a ^ b) & -turned.view(np.uint8).astype(kind, copy=False)
         a ^= change
         b ^= change
-    return top - kind(m)
+    kind = np.int16 if kind == np.uint8 else kind
+    return top.astype(kind) - kind(m)
 
 
 def best_windows(p: np.ndarray, t: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,7 +173,7 @@ def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
     p, t, owner = np.concatenate([p, t[equal]]), np.concatenate([t, p[equal]]), np.concatenate([np.arange(len(a)), equal])
     found = np.zeros(len(p))
     batch = Batch(strings, np.zeros(0, np.int64))
-    kind = np.uint16 if batch.width < 2**16 - 1 else np.int32
+    kind = np.uint8 if batch.width < 2**8 else np.uint16 if batch.width < 2**16 - 1 else np.int32
     letters = batch.chars.astype(kind)
     order = np.flatnonzero(size[p] > 0)
     band = size[p[order]] // 8

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from linkloom.functions import bounds
 from linkloom.functions.bounds import weighted_bounds
-from linkloom.functions.fuzzy import lcs, ratios, weighted_ratios
+from linkloom.functions.fuzzy import lcs, ratios, weighted_ratios, window_ratios
 
 
 def plain_lcs(a, b):
@@ -100,6 +100,23 @@ def test_long_strings():
     assert list(lcs(list(a), list(b))) == [plain_lcs(x, y) for x, y in pairs]
 
 
+def test_windows_where_a_byte_ends():
+    """Strands or letters that just fit a byte, and just don't."""
+    rnd = random.Random(5)
+    text = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    for letters in ("abcdé", "".join(map(chr, range(0x100, 0x100 + 60)))):
+        for n in (154, 155, 156, 157, 158):
+            a, b = [text(100, letters), text(100, letters)], [text(n, letters), text(n - 3, letters)]
+            np.testing.assert_allclose(window_ratios(a, b), [partial(x, y) for x, y in zip(a, b, strict=True)], atol=1e-9)
+    for size in (253, 254, 255, 256, 257):
+        letters = list(map(chr, range(0x400, 0x400 + size)))
+        rnd.shuffle(letters)
+        a, b = ["".join(letters[-40:])], ["".join(letters)]
+        assert window_ratios(a, b)[0] == 100.0
+        changed = [a[0][:20] + a[0][22:] + a[0][:2]]
+        np.testing.assert_allclose(window_ratios(changed, b), [partial(changed[0], b[0])], atol=1e-9)
+
+
 LONG = st.lists(st.text("abcdeé", min_size=1, max_size=12), min_size=8, max_size=40).map(lambda ws: " ".join(ws)[:200]).filter(lambda t: len(t) >= 60)
 
 
