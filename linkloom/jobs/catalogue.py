@@ -579,8 +579,8 @@ def half_new(v: Views) -> tuple[DataFrame, DataFrame]:
 
 @query("catalog_upserted", UPSERTED)
 def _(v):
-    """Half of the rows replace those of the same key, half are new and get ids after the largest, in the order of their keys."""
-    return upsert_catalog(*half_new(v)).select("book_id", "series", "title", "author")
+    """Half of the rows replace those of the same key, half are new and get ids after the largest, in the order of their keys; books without an author may share a key."""
+    return upsert_catalog(*half_new(v), twice="join").select("book_id", "series", "title", "author")
 
 
 @query("catalog_upserted_buckets", UPSERTED)

@@ -102,21 +102,21 @@ def business_key() -> Column:
     return F.struct(normalize_text(F.col("title")).alias("t"), name["surname"].alias("s"), name["initials"].alias("i"), F.col("year").alias("y"))
 
 
-def upsert_catalog(current: DataFrame, incoming: DataFrame, last: int | None = None) -> DataFrame:
+def upsert_catalog(current: DataFrame, incoming: DataFrame, last: int | None = None, twice: str = "raise") -> DataFrame:
     """Incoming rows replace those of the same title, author and year, keep their ids, and new ones get ids after the largest (``last``, if ``current`` isn't the whole).
 
-    A key that comes twice in ``incoming`` is an error.
+    A key that comes twice in ``incoming`` is an error. With ``twice='join'``, as for books that nothing in
+    their key tells apart, each of its rows meets each stored row of the key, or gets an id of its own.
     """
     columns = [c for c in current.columns if c != "book_id"]
     old, new = current.withColumn("key", business_key()), incoming.select(*columns).withColumn("key", business_key())
-    twice = new.groupBy("key").count().where("count > 1").limit(1).count()
-    if twice:
+    if twice == "raise" and new.groupBy("key").count().where("count > 1").limit(1).count():
         raise ValueError("two incoming rows have the same title, author and year")
     o, n = old.alias("o"), new.alias("n")
     both = o.join(n, F.col("o.key").eqNullSafe(F.col("n.key")), "full_outer").select(F.col("o.book_id").alias("book_id"), F.coalesce("n.key", "o.key").alias("key"), *[F.when(F.col("n.key").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns])
     if last is None:
         last = current.agg(F.coalesce(F.max("book_id"), F.lit(0))).first()[0]
-    fresh = numbered(both.where("book_id is null").drop("book_id"), ["key"], last).select(both.columns)
+    fresh = numbered(both.where("book_id is null").drop("book_id"), ["key", *columns], last).select(both.columns)
     return both.where("book_id is not null").unionByName(fresh).select("book_id", *columns)
 
 

@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.jobs import catalogue
 from linkloom.operators.lifecycle import apply_review_actions, checked_actions, confirmed_entries
 from linkloom.operators.reports import catalog_coverage, catalog_profile, check_hexes
 from linkloom.sources.catalog import current_catalog, read_catalog, replace_catalog, scan_documents, store_buckets, upsert_buckets, upsert_catalog, write_detections
@@ -44,6 +46,27 @@ def test_replacing_and_updating(spark, tmp_path):
         upsert_catalog(one, new.unionAll(new))
 
 
+def test_a_key_that_comes_twice(spark, tmp_path):
+    """Where it is no error, each incoming row meets each stored one of its key, and new ones get ids of their own, whole or by buckets."""
+    schema = "book_id long, title string, author string, alt_titles array<string>, year int, series string, is_omnibus boolean, contained_titles array<string>, spine_color string, spine_hex string"
+    row = lambda i, title, series: (i, title, "", [], 1990, series, False, [], "", "")
+    current = spark.createDataFrame([row(1, "Dune", "a"), row(2, "Dune", "b"), row(3, "Emma", "c")], schema)
+    incoming = spark.createDataFrame([row(9, "Dune", "x"), row(8, "Dune", "y"), row(7, "Ivanhoe", "v"), row(6, "Ivanhoe", "u")], schema)
+    want = [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "c"), (4, "u"), (5, "v")]
+    assert sorted((r["book_id"], r["series"]) for r in upsert_catalog(current, incoming, twice="join").collect()) == want
+
+
+@pytest.mark.parametrize("name", ["catalog_upserted"])
+def test_upserts_of_a_catalog_with_equal_keys(spark, name):
+    """sf0.1 has books without an author that agree in title and year."""
+    sf, columns = "/root/testdata/sf0.1", "book_id, series, title, author"
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from read_parquet('{sf}/part.parquet')")
+    want = duck.execute(f"select {columns} from ({catalogue.oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in catalogue.queries()[name](spark, sf).select(*columns.split(", ")).collect()]
+    assert sorted(got) == sorted(want) and len({r[0] for r in got}) < len(got)
+
+
 def test_profile_and_coverage(spark, tmp_path):
     cat = read_catalog(spark, written(tmp_path, CSV))
     assert catalog_profile(cat).first().asDict() == {"n_rows": 2, "with_alt": 1, "with_series": 1, "with_year": 1, "with_color": 1, "omnibus": 1}
