@@ -589,7 +589,7 @@ def _(v):
     path = f"{shared_dir(v.spark)}/buckets-{uuid4().hex}"
     catalog, incoming = half_new(v)
     store_buckets(catalog, path)
-    upsert_buckets(v.spark, path, incoming)
+    upsert_buckets(v.spark, path, incoming, twice="join")
     return v.spark.read.parquet(path).select("book_id", "series", "title", "author")
 
 

@@ -138,7 +138,7 @@ def store_buckets(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     in_buckets(df, buckets).write.partitionBy("bucket").parquet(path)
 
 
-def upsert_buckets(spark: SparkSession, path: str, incoming: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def upsert_buckets(spark: SparkSession, path: str, incoming: DataFrame, buckets: int = BUCKETS, twice: str = "raise") -> list[int]:
     """``upsert_catalog`` into a stored catalog of which only the touched buckets are read and written; returns these.
 
     Rows lie in buckets of their key. The files of other buckets stay as they are; of them only the
@@ -151,7 +151,7 @@ def upsert_buckets(spark: SparkSession, path: str, incoming: DataFrame, buckets:
         stored = incoming.withColumn("book_id", F.lit(None).cast("long")).where("false")
     last = stored.agg(F.max("book_id")).first()[0] or 0
     columns = ["book_id", *[c for c in stored.columns if c not in ("book_id", "bucket")]]
-    merged = upsert_catalog(stored.where(F.col("bucket").isin(touched)).select(columns), incoming, last)
+    merged = upsert_catalog(stored.where(F.col("bucket").isin(touched)).select(columns), incoming, last, twice)
     # Read before it is overwritten.
     written(in_buckets(merged, buckets), "upserted").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     return touched

@@ -54,9 +54,12 @@ def test_a_key_that_comes_twice(spark, tmp_path):
     incoming = spark.createDataFrame([row(9, "Dune", "x"), row(8, "Dune", "y"), row(7, "Ivanhoe", "v"), row(6, "Ivanhoe", "u")], schema)
     want = [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "c"), (4, "u"), (5, "v")]
     assert sorted((r["book_id"], r["series"]) for r in upsert_catalog(current, incoming, twice="join").collect()) == want
+    store_buckets(current, str(tmp_path / "stored"), 4)
+    upsert_buckets(spark, str(tmp_path / "stored"), incoming, 4, twice="join")
+    assert sorted((r["book_id"], r["series"]) for r in spark.read.parquet(str(tmp_path / "stored")).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["catalog_upserted"])
+@pytest.mark.parametrize("name", ["catalog_upserted", "catalog_upserted_buckets"])
 def test_upserts_of_a_catalog_with_equal_keys(spark, name):
     """sf0.1 has books without an author that agree in title and year."""
     sf, columns = "/root/testdata/sf0.1", "book_id, series, title, author"
