@@ -83,3 +83,20 @@ def test_repeated_keys_and_no_numbers(spark):
     assert rows[0]["author"] == 'NaN, Infinity " -Infinity' and rows[1]["author"] is None and rows[1]["not_a_book"] and not rows[2]["not_a_book"]
     fallback = fallback_reads(spark.createDataFrame([(1, 0, raw, False, None, False), (2, 0, raw + " [1]", False, None, False)], RESPONSE)).collect()
     assert [(r["scan_id"], r["title"]) for r in fallback][:2] == [(1, "last"), (1, "B")] and {r["scan_id"] for r in fallback} == {1}
+
+
+def test_texts_are_read_in_batches(spark):
+    """No function interprets the fields of an item: each took as long as parsing the text. Long strings of escapes are no danger, nor is what only looks like a number."""
+    rows = [(1, 1, '[{"index": 1, "title": "' + "\\n" * 50_000 + '", "edition": NaN}]', False, None, False), (2, 1, '[{"index": 1, "title": "A", "edition": -NaN}]', False, "none", False)]
+    df = align_reads(spark.createDataFrame(rows, RESPONSE))
+    assert [(r["status"], len(r["title"] or "")) for r in df.orderBy("scan_id").collect()] == [("ok", 50_000), ("unreadable", 0)]
+    for reads in (df, fallback_reads(spark.createDataFrame(rows, RESPONSE))):
+        assert "variant" not in reads._jdf.queryExecution().toString()
+
+
+def test_values_as_text(spark):
+    """Numbers and nested values are written as Spark writes them, half of a pair of surrogates as a question mark."""
+    said = {"1.50": "1.5", "100.00": "100", "-0.0": None, "1e5": "100000.0", "1E-7": "1.0E-7", "12345678.9e1": "1.23456789E8", "1" * 39: "1.111111111111111E38", "1e400": "Infinity", "12345678901234567890": "12345678901234567890",
+            '{"b": 1.50, "a": [null, "\\u00e9"]}': '{"a":[null,"é"],"b":1.5}', "true": "true", '"\\ud800x"': "?x"}
+    raw = "[" + ", ".join(f'{{"index": {i}, "title": {v}}}' for i, v in enumerate(said, 1)) + "]"
+    assert [r["title"] for r in aligned(spark, len(said), raw)] == list(said.values())
