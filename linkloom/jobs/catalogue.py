@@ -340,13 +340,14 @@ def _(v):
 
 @query("stream_routed", matched(WEIGHTED, f"{ROUTED} select * from routed"))
 def _(v):
-    """The same from a stream of files, in which every third read is sent once more by a later file."""
+    """The same from a stream of files, in which every third read is sent once more by later files, after a stop."""
     folder = f"{shared_dir(v.spark)}/stream-{uuid4().hex}"
     reads = v.derived("reads").withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("read_id"), F.lit(3600))))
+    prepared = M.prepare(v.derived("catalog"))
     for some in ("read_id % 2 = 0", "read_id % 2 = 1 or read_id % 3 = 0"):
-        reads.where(some).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = v.spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    match_stream(stream, v.derived("catalog"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        reads.where(some).write.mode("append").parquet(f"{folder}/in")
+        stream = v.spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
+        match_stream(stream, prepared, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return with_candidates(v.spark.read.parquet(f"{folder}/out"))
 
 

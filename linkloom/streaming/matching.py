@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from linkloom.config import MATCH, MatchConfig
 from linkloom.operators.lifecycle import auto_confirm, route_reads
 from linkloom.operators.matching import Prepared, prepare
-from linkloom.tables import scratch
+from linkloom.tables import scratch, written
 
 #: What tells reads apart, and for how long a read that is sent again is known.
 READ, KNOWN_FOR = ("scan_id", "slot"), "1 day"
@@ -30,6 +30,7 @@ def match_stream(reads: DataFrame, catalog: DataFrame | Prepared, out: str, chec
     def each(batch: DataFrame, batch_id: int) -> None:
         folder = lambda root: f"{root.rstrip('/')}/batch_id={batch_id}"
         with scratch(batch.sparkSession):
+            batch = written(batch, "batch")  # the state is gone through once, whatever reads the batch
             route_reads(batch, prepared, config, mode).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(folder(out))
         if library:
             detections = batch.sparkSession.read.parquet(folder(out))

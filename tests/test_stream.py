@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from linkloom.jobs import catalogue
 from linkloom.streaming.matching import match_stream
 from linkloom.tables import shared_dir
 
@@ -43,3 +44,19 @@ def test_a_read_that_is_sent_again_counts_once(spark, tmp_path):
         match_stream(spark.readStream.schema(READ).parquet(str(tmp_path / "in")), cat, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["slot"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
     assert folders() == before
+
+
+def test_the_files_of_the_query_come_from_many_tasks(spark):
+    """Joined in one task, the reads of 1 GB took over 1 GB of its memory."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    folders = lambda: set(Path(shared_dir(spark)).glob("stream-*"))
+    before, old = folders(), {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        catalogue.queries()["stream_routed"](spark, "/root/testdata/sf0.001")
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+    (folder,) = folders() - before
+    assert len(list((folder / "in").glob("*.parquet"))) == 4  # two tasks, two times
