@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +19,12 @@ NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
 BLANK = r"[\s\x1C-\x1F]"
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents(values: pd.Series) -> pd.Series:
+#: Texts that are strings of Python at a time, of the many in an Arrow batch.
+AT_ONCE = 256
+
+
+@F.arrow_udf(T.StringType())
+def strip_accents(values: pa.Array) -> pa.Array:
     """Compatibility-decomposed text without combining marks; null stays null."""
 
     def one(text):
@@ -28,7 +32,8 @@ def strip_accents(values: pd.Series) -> pd.Series:
             return text
         return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
-    return values.map(one, na_action="ignore")
+    parts = [pa.array(map(one, values.slice(i, AT_ONCE).to_pylist()), pa.string()) for i in range(0, len(values), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def strip(c: Column) -> Column:

@@ -1,8 +1,11 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.config import COLORS
-from linkloom.functions.text import clean_color, normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list, strip
+from linkloom.functions.text import clean_color, normalize_author, normalize_hex, normalize_spine_color, normalize_text, parse_flag, parse_year, split_pipe_list, strip, strip_accents
 
 
 def column(spark, values, of, schema="c string"):
@@ -53,3 +56,16 @@ def test_white_space_of_all_kinds(spark):
     assert column(spark, [f"{e}Multi-colour{e}" for e in ends] + [f"Red{e}" for e in ends], normalize_spine_color) == ["multicolour"] * len(ends) + ["red"] * len(ends)
     assert column(spark, [f"Red{e}" for e in ends], clean_color) == ["red"] * len(ends)
     assert column(spark, [f"{e}The{e}{e}Hobbit{e}" for e in ends], normalize_text) == ["hobbit"] * len(ends)
+
+
+def test_a_batch_of_long_texts_stays_out_of_python():
+    """Of a full Arrow batch, few texts are strings of Python at a time."""
+    texts = pa.array(["été " * 1000 if i % 2 else None for i in range(10_000)])
+    tracemalloc.start()
+    try:
+        got = strip_accents.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[1].as_py() == "ete " * 1000 and got[0].as_py() is None and len(got) == 10_000 and strip_accents.func(texts[:0]).to_pylist() == []
+    assert peak < 8_000_000  # as strings, all of them and their results take 60 MB
