@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -94,9 +96,12 @@ def clean_color(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
+#: The vocabulary's colour of every known word.
+KNOWN = {c: c for c in COLORS} | COLOR_SYNONYMS
+
+
 def color_map() -> Column:
-    words = {c: c for c in COLORS} | COLOR_SYNONYMS
-    return F.create_map(*[F.lit(x) for x in chain(*words.items())])
+    return F.create_map(*[F.lit(x) for x in chain(*KNOWN.items())])
 
 
 def normalize_spine_color(c: Column) -> Column:
@@ -104,3 +109,21 @@ def normalize_spine_color(c: Column) -> Column:
     text, known = F.lower(strip(c)), color_map()
     words = F.transform(F.reverse(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))), lambda w: known[w])
     return F.coalesce(known[text], F.get(F.filter(words, lambda w: w.isNotNull()), F.lit(0)))
+
+
+#: What counts as a word of a description.
+WORD = re.compile("[a-z]+")
+
+
+def known_color(text: str) -> str | None:
+    text = text.strip().lower()
+    return KNOWN.get(text) or next((KNOWN[w] for w in reversed(WORD.findall(text)) if w in KNOWN), None)
+
+
+#: Few descriptions differ; only short ones are kept.
+cached_color = lru_cache(4096)(known_color)
+
+
+def spine_color(value) -> str | None:
+    """``normalize_spine_color`` of one value in Python; what is no text gives null."""
+    return None if type(value) is not str else cached_color(value) if len(value) <= 64 else known_color(value)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.functions.text import normalize_spine_color
+from linkloom.functions.text import spine_color
 
 
 def extract_json_array(c: Column) -> Column:
@@ -67,7 +67,7 @@ class Real(str):
 
 #: NaN and the infinities: true values that are no text and no number.
 NOT_A_NUMBER = object()
-DECODER = json.JSONDecoder(parse_float=Real, parse_constant=lambda _: NOT_A_NUMBER)
+SCAN = json.JSONDecoder(parse_float=Real, parse_constant=lambda _: NOT_A_NUMBER).scan_once
 FENCE = re.compile("```(?:json)?", re.IGNORECASE | re.ASCII)
 
 
@@ -81,9 +81,10 @@ def parsed(text: str | None) -> list | None:
     if not 0 <= first < last:
         return None
     try:
-        return DECODER.decode(text[first : last + 1])
-    except (ValueError, RecursionError):
+        items, end = SCAN(text, first)
+    except (StopIteration, ValueError, RecursionError):
         return None
+    return items if end == last + 1 else None
 
 
 def chosen(raw: str | None, call_failed: bool | None, repair: str | None, repair_failed: bool | None) -> tuple[str, list]:
@@ -136,34 +137,59 @@ def number(text: str) -> str:
 
 
 def slots(n_crops: int, outcome: str, items: list) -> Iterator[tuple]:
-    """slot, title, author, colour in words, not_a_book, readable and status of each crop, in order.
+    """slot, title, author, colour, not_a_book, readable and status of each crop, in order.
 
     A repeat is a read that points to another crop which isn't a repeat itself, so chains stay apart.
     """
-    # A whole number or a boolean names the crop; the last item for it counts.
-    at = {int(item["index"]): item for item in items if isinstance(item, dict) and type(item.get("index")) in (int, bool)}
-    repeats = set()
+    # A whole number or a boolean names the crop (as a key, a boolean is 1 or 0); the last item for it counts.
+    at = {}
+    for item in items:
+        if type(item) is dict and type(index := item.get("index")) in (int, bool):
+            at[index] = item
+    parsed, repeats = outcome == "parsed", set()
+    without = "unreadable" if parsed else outcome
     for slot in range(1, n_crops + 1):
-        item = at.get(slot, {"readable": False})
-        title, color, to = string(item.get("title")), item.get("spine_color"), item.get("duplicate_of")
-        readable = bool(item.get("readable", True)) and bool(item.get("title")) and title is not None
-        not_a_book = bool(item.get("not_a_book"))
+        item = at.get(slot)
+        if item is None:
+            yield slot, None, None, None, False, False, without
+            continue
+        get = item.get
+        said, color, to = get("title"), get("spine_color"), get("duplicate_of")
+        title = string(said)
+        readable = bool(get("readable", True)) and bool(said) and title is not None
+        not_a_book = bool(get("not_a_book"))
         repeat = readable and type(to) is int and 1 <= to <= n_crops and to != slot and to not in repeats
         if repeat:
             repeats.add(slot)
-        status = outcome if outcome != "parsed" else "duplicate" if repeat else "ok" if readable else "not_a_book" if not_a_book else "unreadable"
-        yield slot, title if readable else None, string(item.get("author")), color if type(color) is str else None, not_a_book, readable and not repeat, status
+        status = "duplicate" if repeat else "ok" if readable else "not_a_book" if not_a_book else "unreadable"
+        yield slot, title if readable else None, string(get("author")), spine_color(color), not_a_book, readable and not repeat, status
 
 
 def titled(items: list) -> Iterator[tuple]:
     """slot, title, author and colour of the items with a title, in order."""
-    kept = [item for item in items if isinstance(item, dict) and item.get("title")]
-    for slot, item in enumerate(kept, 1):
-        yield slot, *[string(item.get(f)) for f in ("title", "author", "spine_color")]
+    slot = 0
+    for item in items:
+        if type(item) is dict and (title := item.get("title")):
+            slot += 1
+            yield slot, string(title), string(item.get("author")), string(item.get("spine_color"))
 
 
-#: Rows that a task holds before it hands them on, give or take one scan's.
-ROWS = 10_000
+#: Rows that a task holds before it hands them on, give or take one scan's; and texts that are strings of Python at a time.
+ROWS, TEXTS = 10_000, 1_000
+
+
+def in_python(values: pa.Array) -> list:
+    """Values of an Arrow column by way of numpy, which is faster; but whole numbers with nulls turn into doubles there."""
+    if values.null_count and pa.types.is_integer(values.type):
+        return values.to_pylist()
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def in_arrow(column: tuple, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(column, kind)
+    except UnicodeEncodeError:  # half of a pair of surrogates can't be written
+        return pa.array([c if c is None else c.encode("utf-8", "replace").decode() for c in column], kind)
 
 
 def batches(ids: pa.Array, rows: Iterable[Iterable[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -171,12 +197,8 @@ def batches(ids: pa.Array, rows: Iterable[Iterable[tuple]], schema: pa.Schema) -
     of, held = [], []
 
     def batch() -> pa.RecordBatch:
-        columns = [ids.take(pa.array(of, pa.int64()))]
-        for f, column in zip(list(schema)[1:], zip(*held)):
-            if pa.types.is_string(f.type):  # half of a pair of surrogates can't be written
-                column = [c if c is None or c.isascii() else c.encode("utf-8", "replace").decode() for c in column]
-            columns.append(pa.array(column, f.type))
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        columns = [in_arrow(column, f.type) for f, column in zip(list(schema)[1:], zip(*held))]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *columns], schema=schema)
 
     for i, some in enumerate(rows):
         n = len(held)
@@ -198,7 +220,9 @@ def by_scan(responses: DataFrame, inputs: list[str], outputs: str, rows) -> Data
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             schema = pa.schema([("scan_id", part.schema.field("scan_id").type), *[(f.name, types[f.dataType.simpleString()]) for f in fields.fields[1:]]])
-            yield from batches(part.column("scan_id"), (rows(*r) for r in zip(*[part.column(c).to_pylist() for c in inputs])), schema)
+            some = (part.slice(i, TEXTS) for i in range(0, part.num_rows, TEXTS))
+            texts = (r for s in some for r in zip(*[in_python(s.column(c)) for c in inputs]))
+            yield from batches(part.column("scan_id"), (rows(*r) for r in texts), schema)
 
     return responses.select("scan_id", *inputs).mapInArrow(read, fields)
 
@@ -214,8 +238,7 @@ def align_reads(responses: DataFrame) -> DataFrame:
         return slots(n_crops or 0, *chosen(*texts))
 
     outputs = "slot int, title string, author string, spine_color string, not_a_book boolean, readable boolean, status string"
-    df = by_scan(responses, ["n_crops", "raw_text", "call_failed", "repair_text", "repair_failed"], outputs, rows)
-    return df.withColumn("spine_color", normalize_spine_color(F.col("spine_color")))
+    return by_scan(responses, ["n_crops", "raw_text", "call_failed", "repair_text", "repair_failed"], outputs, rows)
 
 
 def fallback_reads(responses: DataFrame) -> DataFrame:

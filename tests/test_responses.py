@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import normalize_spine_color, spine_color
+from linkloom.jobs.views import Views
 from linkloom.operators.responses import align_reads, extract_json_array, fallback_reads, parse_items
 from linkloom.sources.catalog import RESPONSE
 
@@ -100,3 +102,26 @@ def test_values_as_text(spark):
             '{"b": 1.50, "a": [null, "\\u00e9"]}': '{"a":[null,"é"],"b":1.5}', "true": "true", '"\\ud800x"': "?x"}
     raw = "[" + ", ".join(f'{{"index": {i}, "title": {v}}}' for i, v in enumerate(said, 1)) + "]"
     assert [r["title"] for r in aligned(spark, len(said), raw)] == list(said.values())
+
+
+def test_colors_are_read_in_the_batches(spark):
+    """Colours are named where texts are parsed, as the column function names them, and nothing interprets them behind it."""
+    texts = ["Pale NAVY", " multi-colour ", "\x1cmulti-color\x85", "wooden", "", " ", "red, then grey!", "redgrey", "\u0130vory pin\u212a", "b\u00e9ige tan", "\u03a3", "GOLD\x00", "red " * 40, "\u3000Grey\u2003"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("c", normalize_spine_color(F.col("t")))
+    assert [r["c"] for r in df.orderBy("i").collect()] == [spine_color(t) for t in texts] and spine_color(3) is None
+    reads = align_reads(spark.createDataFrame([(1, len(texts), json.dumps([item(i, spine_color=t) for i, t in enumerate(texts, 1)]), False, None, False)], RESPONSE))
+    assert [r["spine_color"] for r in reads.orderBy("slot").collect()] == [spine_color(t) for t in texts]
+    assert "regexp" not in (plan := reads._jdf.queryExecution().toString()) and "transform" not in plan
+
+
+def test_responses_are_parsed_in_as_many_tasks_as_asked_for(spark):
+    """Parts aren't merged by their compressed bytes into a few more than there are cores: most cores would wait for the last ones."""
+    reads = align_reads(Views(spark, "/root/testdata/sf0.001").derived("responses"))
+    assert reads.select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_nulls_and_halves_of_pairs_stay_in_their_rows(spark):
+    """A null beside numbers, or half of a pair of surrogates beside other texts, changes no other row of a batch."""
+    rows = [(i, n, raw, failed, None, None) for i, (n, raw, failed) in enumerate([(1, '[{"index": 1, "title": "\\ud800x", "author": "é"}]', None), (None, "[]", False), (2, json.dumps([item(2, title="é")]), None), (1, None, True)])]
+    got = align_reads(spark.createDataFrame(rows, RESPONSE).coalesce(1)).orderBy("scan_id", "slot").collect()
+    assert [(r["scan_id"], r["slot"], r["title"], r["status"]) for r in got] == [(0, 1, "?x", "ok"), (2, 1, None, "unreadable"), (2, 2, "é", "ok"), (3, 1, None, "failed")]
