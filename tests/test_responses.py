@@ -125,3 +125,8 @@ def test_nulls_and_halves_of_pairs_stay_in_their_rows(spark):
     rows = [(i, n, raw, failed, None, None) for i, (n, raw, failed) in enumerate([(1, '[{"index": 1, "title": "\\ud800x", "author": "é"}]', None), (None, "[]", False), (2, json.dumps([item(2, title="é")]), None), (1, None, True)])]
     got = align_reads(spark.createDataFrame(rows, RESPONSE).coalesce(1)).orderBy("scan_id", "slot").collect()
     assert [(r["scan_id"], r["slot"], r["title"], r["status"]) for r in got] == [(0, 1, "?x", "ok"), (2, 1, None, "unreadable"), (2, 2, "é", "ok"), (3, 1, None, "failed")]
+
+
+def test_whole_photos_are_parsed_in_as_many_tasks_as_asked_for(spark):
+    reads = fallback_reads(Views(spark, "/root/testdata/sf0.001").derived("responses"))
+    assert reads.select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism
