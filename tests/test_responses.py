@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import normalize_spine_color, spine_color
 from linkloom.jobs.views import Views
 from linkloom.operators.responses import align_reads, extract_json_array, fallback_reads, parse_items
-from linkloom.sources.catalog import RESPONSE
+from linkloom.sources.catalog import RESPONSE, read_responses
 
 
 def aligned(spark, n, raw, call_failed=False, repair=None, repair_failed=False):
@@ -130,3 +130,10 @@ def test_nulls_and_halves_of_pairs_stay_in_their_rows(spark):
 def test_whole_photos_are_parsed_in_as_many_tasks_as_asked_for(spark):
     reads = fallback_reads(Views(spark, "/root/testdata/sf0.001").derived("responses"))
     assert reads.select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_responses_are_written_in_as_many_files(spark, tmp_path):
+    """What is read back is dealt as it was written."""
+    Views(spark, "/root/testdata/sf0.001").derived("responses").write.json(f"{tmp_path}/lines")
+    assert len(list(tmp_path.glob("lines/*.json"))) >= 4 * spark.sparkContext.defaultParallelism
+    assert align_reads(read_responses(spark, f"{tmp_path}/lines")).count() == align_reads(Views(spark, "/root/testdata/sf0.001").derived("responses")).count()
