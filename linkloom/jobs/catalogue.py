@@ -19,7 +19,7 @@ from linkloom.operators import matching as M
 from linkloom.operators import reports as R
 from linkloom.operators import responses as P
 from linkloom.operators.search import search_catalog
-from linkloom.sources.catalog import current_catalog, numbered, read_catalog, read_responses, replace_catalog, scan_documents, store_buckets, upsert_buckets, upsert_catalog, write_detections
+from linkloom.sources.catalog import current_catalog, numbered, read_catalog, read_responses, replace_catalog, scan_documents, store_buckets, upsert_buckets, upsert_catalog, write_detections, write_responses
 from linkloom.streaming.matching import match_stream
 from linkloom.tables import shared_dir
 
@@ -622,9 +622,9 @@ def _(v):
 
 @query("responses_read", f"{ALIGNED} select * from reads2")
 def _(v):
-    """Responses as JSON lines, read back and aligned."""
+    """Responses as compressed JSON lines, read back and aligned."""
     path = f"{shared_dir(v.spark)}/responses-{uuid4().hex}"
-    v.derived("responses").write.json(path)
+    write_responses(v.derived("responses"), path)
     return P.align_reads(read_responses(v.spark, path))
 
 

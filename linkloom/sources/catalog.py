@@ -120,6 +120,14 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame, last: int | None = N
     return both.where("book_id is not null").unionByName(fresh).select("book_id", *columns)
 
 
+def write_responses(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """Responses as compressed JSON lines, which hold some eight times the bytes of the lines that they were made of.
+
+    Readers deal files out by their bytes and don't cut compressed ones, so a file has ``rows`` lines at most: many files make many tasks.
+    """
+    df.write.option("maxRecordsPerFile", rows).json(path, compression="lz4")
+
+
 def read_responses(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
     return spark.read.schema(RESPONSE).format(kind).load(path)
 

@@ -1,11 +1,12 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import normalize_spine_color, spine_color
 from linkloom.jobs.views import Views
 from linkloom.operators.responses import align_reads, extract_json_array, fallback_reads, parse_items
-from linkloom.sources.catalog import RESPONSE, read_responses
+from linkloom.sources.catalog import RESPONSE, read_responses, write_responses
 
 
 def aligned(spark, n, raw, call_failed=False, repair=None, repair_failed=False):
@@ -137,3 +138,28 @@ def test_responses_are_written_in_as_many_files(spark, tmp_path):
     Views(spark, "/root/testdata/sf0.001").derived("responses").write.json(f"{tmp_path}/lines")
     assert len(list(tmp_path.glob("lines/*.json"))) >= 4 * spark.sparkContext.defaultParallelism
     assert align_reads(read_responses(spark, f"{tmp_path}/lines")).count() == align_reads(Views(spark, "/root/testdata/sf0.001").derived("responses")).count()
+
+
+def test_responses_are_stored_small(spark, tmp_path):
+    """What lies between writing and reading takes a fraction of the text, in files of few enough lines to be dealt out, and comes back whole."""
+    odd = [None, "", "é\u2028\n", "\x00\t", "[1]" * 5_000]
+    rows = [(i, 1, odd[i] if i < len(odd) else json.dumps([item(1, title=f"Title {i}")] * 9), i % 2 == 0, None, None) for i in range(1_000)]
+    df = spark.createDataFrame(rows, RESPONSE).coalesce(1)
+    write_responses(df, f"{tmp_path}/lines", 150)
+    files = list(tmp_path.glob("lines/part-*"))
+    assert len(files) == 7 and sum(f.stat().st_size for f in files) * 3 < sum(len(r[2] or "") for r in rows)
+    assert sorted(map(tuple, read_responses(spark, f"{tmp_path}/lines").collect())) == [tuple(r) for r in rows]
+
+
+def test_the_query_stores_responses_small(spark, tmp_path):
+    """8 times the bytes of its input lay between the halves of the query."""
+    from linkloom.jobs.catalogue import queries
+    from linkloom.tables import shared_dir
+
+    there = set(Path(shared_dir(spark).removeprefix("file:")).glob("responses-*"))
+    got = queries()["responses_read"](spark, "/root/testdata/sf0.001")
+    (made,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("responses-*")) - there
+    text = Views(spark, "/root/testdata/sf0.001").derived("responses").agg(F.sum(F.length("raw_text"))).first()[0]
+    assert sum(f.stat().st_size for f in made.glob("part-*")) * 2 < text
+    plain = align_reads(Views(spark, "/root/testdata/sf0.001").derived("responses"))
+    assert got.exceptAll(plain).count() == 0 and got.count() == plain.count()
